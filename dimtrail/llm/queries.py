@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dimtrail.llm import decontaminate, html_text, language_model, line_templates, media, pieces, quality, simhash, token_counts
+from dimtrail.llm import decontaminate, html_text, language_model, line_templates, media, pieces, quality, simhash, token_counts, unit_dedup
 from dimtrail.llm.common import documents
 
 TOKENIZERS = {"byte_bpe": "byte_bpe_50k.json", "pieces": "piece_bpe_32k.model"}
@@ -32,6 +32,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op4_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.with_units_removed(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_removed", "removed", "text")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate.with_contamination(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -59,6 +63,6 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.with_scores(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_html_text, op3_token_counts, op5_decontaminate, op6_line_templates, op7_simhash, op8_media, op9_pieces, op10_language_model)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_html_text, op3_token_counts, op4_unit_dedup, op5_decontaminate, op6_line_templates, op7_simhash, op8_media, op9_pieces, op10_language_model)}
 
 ORACLES: dict[str, str] = {}
