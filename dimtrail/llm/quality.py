@@ -90,7 +90,7 @@ def votes_of(pattern: int) -> list[int]:
 def label_model(counts: dict[int, int], rounds: int = EM_ROUNDS) -> tuple[dict[int, float], np.ndarray]:
     """Probability of good for each pattern, and each labeller's vote shares on bad and good texts (labeller x class x vote)."""
     patterns = sorted(counts)
-    table = np.array([votes_of(p) for p in patterns]).reshape(-1, len(LABELLERS)) + 1
+    table = np.array([votes_of(p) for p in patterns], dtype=int).reshape(-1, len(LABELLERS)) + 1
     n = np.array([counts[p] for p in patterns], float)
     good = np.array([0.95, 0.4, 0.1])[np.minimum((table == 0).sum(axis=1), 2)]  # to begin with: two bad votes are much, one is little
     shares = np.full((len(LABELLERS), 2, 3), 1 / 3)
