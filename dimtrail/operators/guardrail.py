@@ -126,8 +126,9 @@ def latency_percentiles(rows: DataFrame, group: Sequence[str], value: str) -> Da
     """Count, mean, extremes and the values at index int(n * q) of the ordered values, for q of 0.5, 0.95 and 0.99.
 
     Values are counted first, so a group's sort holds its distinct values only."""
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*group).orderBy(value)
-    placed = counted.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*group)))
-    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("n") * q), F.col(value)))
-    return placed.groupBy(*group).agg(F.sum("c").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"), F.min(value).alias("min"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max(value).alias("max"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("__dt_value")).agg(F.count("*").alias("__dt_n"))
+    w = Window.partitionBy(*group).orderBy("__dt_value")
+    placed = counted.withColumn("upto", F.sum("__dt_n").over(w)).withColumn("total", F.sum("__dt_n").over(Window.partitionBy(*group)))
+    v, n = F.col("__dt_value"), F.col("__dt_n")
+    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("total") * q), v))
+    return placed.groupBy(*group).agg(F.sum(n).alias("n"), (F.sum(v * n) / F.sum(n)).alias("mean"), F.min(v).alias("min"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max(v).alias("max"))
