@@ -30,9 +30,9 @@ def _evidence(spark, d) -> DataFrame:
     return guardrail.evidence(rows, "day", ["user_id"], "ts", first)
 
 
-@query(f"WITH {X3} SELECT day, evaluated, changed, new_rows AS \"new\", mutated, dispersion, CAST(floor(max_relative * 1000 + 0.5) AS BIGINT) AS rel_milli, CAST(max_absolute AS BIGINT) AS max_absolute, total_absolute, transitions FROM evidence")
+@query(f"WITH {X3} SELECT day, evaluated, changed, new_rows AS \"new\", mutated, dispersion, CAST(round(round_even(max_relative, 4) * 10000) AS BIGINT) AS rel_1e4, CAST(max_absolute AS BIGINT) AS max_absolute, total_absolute, transitions FROM evidence")
 def guardrail_evidence(spark, d):
-    return _evidence(spark, d).select("day", "evaluated", "changed", "new", "mutated", "dispersion", F.floor(F.col("max_relative") * 1000 + 0.5).alias("rel_milli"), F.col("max_absolute").cast("bigint").alias("max_absolute"), F.col("total_absolute").cast("bigint").alias("total_absolute"), "transitions")
+    return _evidence(spark, d).select("day", "evaluated", "changed", "new", "mutated", "dispersion", F.round(F.col("max_relative") * 10000).cast("bigint").alias("rel_1e4"), F.col("max_absolute").cast("bigint").alias("max_absolute"), F.col("total_absolute").cast("bigint").alias("total_absolute"), "transitions")
 
 
 @query(f"WITH {X3} SELECT day, 'event_type' AS \"column\", count(*) AS n FROM changed WHERE n > 1 AND event_type <> old_type GROUP BY day UNION ALL SELECT day, 'cents', count(*) FROM changed WHERE n > 1 AND cents <> old_cents GROUP BY day")
