@@ -76,7 +76,7 @@ def marked_buckets(docs: DataFrame, min_docs: int = MIN_DOCS) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(doc_id, th, at, leaf, line, context) of every line in a marked bucket; context: the leaf of the longest other line."""
+    """(doc_id, th, at, leaf, line_id, line, context) of every line in a marked bucket; line_id: a hash of the line; context: the leaf of the longest other line."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -89,30 +89,34 @@ def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 for at, (leaf, line) in lines:
                     bucket = leaf % BUCKETS
                     if line.count(" ") >= MIN_TOKENS - 1 and marks[bucket >> 5] >> (bucket & 31) & 1:
-                        rows.append((doc_id, th, at, leaf, line, next((x[1][0] for x in longest if x[0] != at), 0)))
+                        rows.append((doc_id, th, at, leaf, xxhash.xxh64_intdigest(line) - (1 << 63), line, next((x[1][0] for x in longest if x[0] != at), 0)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (batch.column(0).type, pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["doc_id", "th", "at", "leaf", "line", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (batch.column(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["doc_id", "th", "at", "leaf", "line_id", "line", "context"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, at int, leaf long, line string, context long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, at int, leaf long, line_id long, line string, context long")
 
 
 def recurring_lines(found: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT, contexts: float = CONTEXTS) -> DataFrame:
-    """(leaf, line, template) of the lines whose template recurs."""
-    once = found.select("leaf", "line", "th").distinct()
-    lines = once.groupBy("leaf", "line").agg(F.count("*").alias("texts"))
-    full = lines.groupBy("leaf").agg(F.sum("texts").alias("in_leaf")).where(F.col("in_leaf") >= min_docs)
-    lines = checkpointed(lines.join(full, "leaf").select("leaf", "line", "texts"))
-    tokens = lines.select("leaf", "line", "texts", F.posexplode(F.split("line", " ")).alias("place", "token"))
-    fixed = tokens.where(~F.col("token").rlike(r"\d")).groupBy("leaf", "place", "token").agg(F.sum("texts").alias("n")).where(F.col("n") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("fixed"))
-    shaped = tokens.join(fixed, ["leaf", "place", "token"], "left").select("leaf", "line", F.struct("place", F.when(F.col("fixed"), F.col("token")).otherwise(ANY).alias("t")).alias("p"))
-    templates = shaped.groupBy("leaf", "line").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    templates = templates.select("leaf", "line", F.array_join("p.t", " ").alias("template"), (F.size(F.filter("p", lambda x: x.t != ANY)) / F.size("p")).alias("share")).where(F.col("share") >= constant)
-    templates = templates.select("leaf", "line", "template")
-    seen = found.select("leaf", "line", "th", "context").distinct().join(templates, ["leaf", "line"])
-    counts = seen.groupBy("leaf", "template").agg(F.count_distinct("th").alias("texts"), F.count_distinct("context").alias("contexts"))
+    """(leaf, line_id, template) of the lines whose template recurs.
+
+    A token at its place in a leaf is one hash, its cell; lines travel as ids, and their text comes back for templates only."""
+    counts = found.select("leaf", "line_id", "th").distinct().groupBy("leaf", "line_id").agg(F.count("*").alias("texts"))
+    full = counts.groupBy("leaf").agg(F.sum("texts").alias("in_leaf")).where(F.col("in_leaf") >= min_docs)
+    lines = counts.join(full, "leaf").join(found.groupBy("line_id").agg(F.min("line").alias("line")), "line_id").select("leaf", "line_id", "texts", "line")
+    lines = checkpointed(lines)
+    cell = lambda token, place: F.when(~token.rlike(r"\d"), F.xxhash64(F.col("leaf"), place, token))
+    cells = lines.select("line_id", "texts", F.posexplode(F.transform(F.split("line", " "), cell)).alias("place", "cell")).where("cell is not null")
+    fixed = cells.groupBy("cell").agg(F.sum("texts").alias("n")).where(F.col("n") >= min_docs).select("cell")
+    places = cells.drop("texts").join(fixed, "cell").groupBy("line_id").agg(F.collect_list("place").alias("places"))
+    tokens = F.split("line", " ")
+    shaped = lines.join(places, "line_id").where(F.size("places") >= constant * F.size(tokens))
+    shape = F.array_join(F.transform(tokens, lambda t, i: F.when(F.array_contains("places", i), t).otherwise(ANY)), " ")
+    templates = checkpointed(shaped.select("leaf", "line_id", shape.alias("template")).withColumn("template_id", F.xxhash64("template")))
+    seen = found.select("line_id", "th", "context").distinct().join(templates.select("leaf", "line_id", "template_id"), "line_id")
+    counts = seen.groupBy("leaf", "template_id").agg(F.count_distinct("th").alias("texts"), F.count_distinct("context").alias("contexts"))
     often = counts.where((F.col("texts") >= min_docs) & (F.col("contexts") >= min_docs) & (F.col("contexts") >= contexts * F.col("texts")))
-    return templates.join(often.select("leaf", "template"), ["leaf", "template"]).select("leaf", "line", "template")
+    return templates.join(often.select("leaf", "template_id"), ["leaf", "template_id"]).select("leaf", "line_id", "template")
 
 
 def with_line_drops(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT, contexts: float = CONTEXTS) -> DataFrame:
@@ -124,7 +128,7 @@ def with_line_drops(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float =
     bits = marked_buckets(docs, min_docs)
     found = checkpointed(occurrences(docs, bits))
     bad = recurring_lines(found, min_docs, constant, contexts)
-    drops = found.join(bad.select("leaf", "line"), ["leaf", "line"]).select("doc_id", "th", "at").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("at")).alias("dropped_lines"))
+    drops = found.select("doc_id", "th", "at", "line_id").join(bad.select("line_id"), "line_id").select("doc_id", "th", "at").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("at")).alias("dropped_lines"))
     drops = drops.select(F.col("doc_id").alias("__dt_id"), F.col("th").alias("__dt_th"), F.col("dropped_lines").alias("__dt_drops"))
     both = docs.drop("n_lines", "dropped_lines").join(drops, docs["doc_id"].eqNullSafe(F.col("__dt_id")) & (F.xxhash64("text") == F.col("__dt_th")), "left")
     lines = F.split("text", "\n")
