@@ -37,7 +37,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         yield start, len(column)
 
 
-def append_columns(docs: DataFrame, fields: Sequence[T.StructField], make: Callable[[], Callable[[list], Sequence]], text: str = "text", also: Sequence[str] = ()) -> DataFrame:
+def append_columns(docs: DataFrame, fields: Sequence[T.StructField], make: Callable[[], Callable[[list], Sequence]], text: str = "text", also: Sequence[str] = (), slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """`docs` with `fields` added, computed from the text column inside the tasks; rows neither move nor merge.
 
     `make` runs once a task and returns a function from a list of texts (None for null), and a list for each column of
@@ -54,7 +54,7 @@ def append_columns(docs: DataFrame, fields: Sequence[T.StructField], make: Calla
                 continue
             compute = compute or make()
             at = batch.schema.get_field_index(text)
-            for lo, hi in slices(batch.column(at)):
+            for lo, hi in slices(batch.column(at), slice_bytes):
                 part = batch.slice(lo, hi - lo)
                 made = compute(part.column(at).to_pylist(), *[part.column(batch.schema.get_field_index(c)).to_pylist() for c in also])
                 arrays = [part.column(batch.schema.get_field_index(f.name)) for f in kept]

@@ -28,6 +28,8 @@ ALPHA = 1.0
 SEED = 42
 BLANK = "▁"
 UNIT = re.compile(" +[^ ]*")
+#: Text of one batch: the lattice of a megabyte takes about a hundred.
+BATCH_BYTES = 1 << 20
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -223,7 +225,7 @@ def with_pieces(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int = SE
 
         return compute
 
-    return append_columns(docs, [T.StructField("pieces", T.ArrayType(T.IntegerType()))], make, also=[key])
+    return append_columns(docs, [T.StructField("pieces", T.ArrayType(T.IntegerType()))], make, also=[key], slice_bytes=BATCH_BYTES)
 
 
 def with_decoded(encoded: DataFrame, path: str, column: str = "decoded", pieces: str = "pieces") -> DataFrame:
@@ -256,4 +258,4 @@ def with_round_trip(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int
         return compute
 
     fields = [T.StructField("n_pieces", T.LongType()), T.StructField("pieces_sha256", T.StringType()), T.StructField("lossless", T.BooleanType())]
-    return append_columns(docs, fields, make, also=[key])
+    return append_columns(docs, fields, make, also=[key], slice_bytes=BATCH_BYTES)
