@@ -3,10 +3,15 @@
 A line's leaf is its token count and its first LEADING tokens, tokens with a digit standing for any. Inside a leaf a
 token counts as constant at its place when lines of at least MIN_DOCS texts have it there; other tokens, and all with
 a digit, become <*>. A template is what remains; it must have MIN_TOKENS tokens and be constant in at least CONSTANT of
-its places. A template recurs when it stands in at least MIN_DOCS different texts that have at least MIN_DOCS, and
-CONTEXTS times as many as texts, different leaves as their longest other line. Every line of a recurring template is
-dropped. The longest other line tells boilerplate, which stands in all kinds of documents, from copied documents, whose
-lines keep each other's company and which are left to document deduplication.
+its places. A template recurs when it stands in at least MIN_DOCS different companies. Every line of a recurring template
+is dropped. The company tells boilerplate, which stands in all kinds of documents, from copied documents, whose lines
+keep each other's company and which are left to document deduplication.
+
+A leaf of at least MIN_DOCS texts is common. A text with less than half of its other tokens in common leaves is a company
+of its own. All other texts are copies of something and are one company for each head, the longest other common line;
+a leaf is a head only if it is one of the two longest in at least half of its texts, so that a copy with a changed line
+is no new company. Templates with enough texts of their own are found first; their lines then count for nothing when
+the companies of the remaining templates are found. However many copies a company has, it counts once.
 
 First a sketch of fixed size finds which leaves may recur: one bit for each of BUCKETS leaf hashes, set where at least
 MIN_DOCS texts fall. Only lines of marked buckets are looked at closer; a bit too many costs time, never a result."""
@@ -14,6 +19,7 @@ MIN_DOCS texts fall. Only lines of marked buckets are looked at closer; a bit to
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +33,6 @@ LEADING = 3
 MIN_DOCS = 3
 MIN_TOKENS = 3
 CONSTANT = 0.7
-CONTEXTS = 0.3
 BUCKETS = 1 << 22
 _DIGIT = re.compile(r"\d")
 ANY = "<*>"
@@ -76,7 +81,7 @@ def marked_buckets(docs: DataFrame, min_docs: int = MIN_DOCS) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(doc_id, th, at, leaf, line_id, line, context) of every line in a marked bucket; line_id: a hash of the line; context: the leaf of the longest other line."""
+    """(doc_id, th, at, leaf, line_id, line, held, total) of every line in a marked bucket; line_id: a hash of the line; held and total: the text's tokens in lines of this leaf, and in all lines."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -84,20 +89,48 @@ def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, text, th in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                lines = [x for x in enumerate(text_leaves(text)) if x[1][1]]
-                longest = sorted(lines, key=lambda x: (-x[1][1].count(" "), x[0]))[:2]
-                for at, (leaf, line) in lines:
+                lines = [(at, leaf, line, line.count(" ") + 1) for at, (leaf, line) in enumerate(text_leaves(text)) if line]
+                total, held = sum(x[3] for x in lines), Counter()
+                for _, leaf, _, n in lines:
+                    held[leaf] += n
+                for at, leaf, line, n in lines:
                     bucket = leaf % BUCKETS
-                    if line.count(" ") >= MIN_TOKENS - 1 and marks[bucket >> 5] >> (bucket & 31) & 1:
-                        rows.append((doc_id, th, at, leaf, xxhash.xxh64_intdigest(line) - (1 << 63), line, next((x[1][0] for x in longest if x[0] != at), 0)))
+                    if n >= MIN_TOKENS and marks[bucket >> 5] >> (bucket & 31) & 1:
+                        rows.append((doc_id, th, at, leaf, xxhash.xxh64_intdigest(line) - (1 << 63), line, held[leaf], total))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (batch.column(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["doc_id", "th", "at", "leaf", "line_id", "line", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (batch.column(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "th", "at", "leaf", "line_id", "line", "held", "total"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, at int, leaf long, line_id long, line string, context long")
-
-
-def recurring_lines(found: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT, contexts: float = CONTEXTS) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, at int, leaf long, line_id long, line string, held long, total long")
+
+
+def _own(common: str, total: str) -> F.Column:
+    """Whether less than half of a text's tokens outside the template's leaf are in common leaves."""
+    return 2 * (F.col(common) - F.col("held")) < F.col(total) - F.col("held")
+
+
+def recurring_templates(seen: DataFrame, held: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(leaf, template_id) of the templates in at least min_docs companies; seen: (leaf, template_id, th, held); held: (leaf, th, held, total) of all texts."""
+    often = held.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    lines = checkpointed(held.join(often, "leaf"))
+    texts = lines.groupBy("th").agg(F.max("total").alias("total"), F.sum("held").alias("common"))
+    first = seen.join(texts, "th").where(_own("common", "total")).groupBy("leaf", "template_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    first = checkpointed(first.select("leaf", "template_id"))
+    known = first.select("leaf").distinct().withColumn("known", F.lit(True))
+    lines = lines.join(known, "leaf", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    longest = F.slice(F.sort_array(F.collect_list(F.when(~F.col("known"), F.struct("held", "leaf"))), asc=False), 1, 2)["leaf"]
+    of_known = lambda yes: F.coalesce(F.sum(F.when(F.col("known") == yes, F.col("held"))), F.lit(0))
+    texts = checkpointed(lines.groupBy("th").agg((F.max("total") - of_known(True)).alias("total"), of_known(False).alias("common"), longest.alias("longest")))
+    heads = texts.select(F.explode("longest").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("longest")).join(often, "leaf").where(2 * F.col("longest") >= F.col("n")).select(F.col("leaf").alias("head"))
+    left = seen.join(first, ["leaf", "template_id"], "left_anti").join(texts, "th")
+    own = left.where(_own("common", "total")).select("leaf", "template_id", F.struct(F.lit(1), "th").alias("company"))
+    copies = left.where(~_own("common", "total")).select("leaf", "template_id", F.get(F.filter("longest", lambda x: x != F.col("leaf")), F.lit(0)).alias("head"))
+    copies = copies.where("head is not null").distinct().join(heads, "head").select("leaf", "template_id", F.struct(F.lit(0), "head").alias("company"))
+    second = own.unionAll(copies).distinct().groupBy("leaf", "template_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    return first.unionAll(second.select("leaf", "template_id"))
+
+
+def recurring_lines(found: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
     """(leaf, line_id, template) of the lines whose template recurs.
 
     A token at its place in a leaf is one hash, its cell; lines travel as ids, and their text comes back for templates only."""
@@ -113,13 +146,12 @@ def recurring_lines(found: DataFrame, min_docs: int = MIN_DOCS, constant: float
     shaped = lines.join(places, "line_id").where(F.size("places") >= constant * F.size(tokens))
     shape = F.array_join(F.transform(tokens, lambda t, i: F.when(F.array_contains("places", i), t).otherwise(ANY)), " ")
     templates = checkpointed(shaped.select("leaf", "line_id", shape.alias("template")).withColumn("template_id", F.xxhash64("template")))
-    seen = found.select("line_id", "th", "context").distinct().join(templates.select("leaf", "line_id", "template_id"), "line_id")
-    counts = seen.groupBy("leaf", "template_id").agg(F.count_distinct("th").alias("texts"), F.count_distinct("context").alias("contexts"))
-    often = counts.where((F.col("texts") >= min_docs) & (F.col("contexts") >= min_docs) & (F.col("contexts") >= contexts * F.col("texts")))
-    return templates.join(often.select("leaf", "template_id"), ["leaf", "template_id"]).select("leaf", "line_id", "template")
+    seen = found.select("line_id", "th", "held").join(templates.select("leaf", "line_id", "template_id"), "line_id").select("leaf", "template_id", "th", "held").distinct()
+    often = recurring_templates(checkpointed(seen), found.select("leaf", "th", "held", "total").distinct(), min_docs)
+    return templates.join(often, ["leaf", "template_id"]).select("leaf", "line_id", "template")
 
 
-def with_line_drops(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT, contexts: float = CONTEXTS) -> DataFrame:
+def with_line_drops(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
     """Every row with the lines of recurring templates taken out of text; adds n_lines and dropped_lines (numbers from 0, ascending).
 
     Lines end at line feeds; those that stay keep their bytes and order. Blank lines are never dropped. Null texts stay null,
@@ -127,7 +159,7 @@ def with_line_drops(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float =
     by their own text; equal texts lose equal lines."""
     bits = marked_buckets(docs, min_docs)
     found = checkpointed(occurrences(docs, bits))
-    bad = recurring_lines(found, min_docs, constant, contexts)
+    bad = recurring_lines(found, min_docs, constant)
     drops = found.select("doc_id", "th", "at", "line_id").join(bad.select("line_id"), "line_id").select("doc_id", "th", "at").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("at")).alias("dropped_lines"))
     drops = drops.select(F.col("doc_id").alias("__dt_id"), F.col("th").alias("__dt_th"), F.col("dropped_lines").alias("__dt_drops"))
     both = docs.drop("n_lines", "dropped_lines").join(drops, docs["doc_id"].eqNullSafe(F.col("__dt_id")) & (F.xxhash64("text") == F.col("__dt_th")), "left")

@@ -143,6 +143,26 @@ def test_templates_drop_boilerplate_and_leave_copies(spark):
     assert all(out[100 + i].dropped_lines == [] for i in range(8))
 
 
+def test_templates_beside_many_copies_and_other_boilerplate(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("aeioubdkmr") for _ in range(6)) for _ in range(n))
+    licence, notice = "Released under the licence of this place.", "This notice is longer than all other lines " + prose(60)
+    rows = [(i, "\n".join([prose(rng.randint(20, 40)), prose(rng.randint(20, 40)), licence])) for i in range(60)]
+    core = [prose(20 + 3 * k) for k in range(6)]
+    for i in range(1000):  # near copies: one word of the longest line differs; in every tenth another line is a new one
+        lines = [*core[:5], core[5] + str(i), licence]
+        if i % 10 == 0:
+            lines[i // 10 % 6] = prose(rng.randint(20, 40))
+        rows.append((100 + i, "\n".join(lines)))
+    rows += [(2000 + i, "\n".join([prose(rng.randint(20, 40)), notice, "Short line beside it."])) for i in range(12)]
+    rows += [(3000 + i, f"Page {i} stands all by itself") for i in range(5)]
+    out = {r.doc_id: r.dropped_lines for r in line_templates.with_line_drops(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert all(out[i] == [2] for i in range(60))
+    assert all(out[100 + i] == [6] for i in range(1000))
+    assert all(out[2000 + i] == [1, 2] for i in range(12))
+    assert all(out[3000 + i] == [] for i in range(5))
+
+
 # --- SimHash
 
 
