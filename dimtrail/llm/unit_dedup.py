@@ -1,8 +1,10 @@
 """Repeated lines and sentences, removed wherever they stand but first.
 
-A text's units are its lines, and the sentences of lines that have more than one. Units of at least MIN_WORDS words are
-normalised (lower case, single blanks) and hashed to 128 bits; digests are grouped over all documents and the occurrence
-with the smallest (document id, offset) stays. A repeated line goes with its line end; in lines that stay, repeated
+A text's units are its lines that aren't blank, of any length, and the sentences of lines that have more than one. Units
+are normalised (lower case, single blanks) and hashed to 128 bits. A sentence of fewer than MIN_WORDS words says too little
+alone: it is hashed with as many sentences before it, and once more with as many after it, as make MIN_WORDS words, and
+goes when either run repeats. Digests are grouped over all documents and the occurrence with the smallest (document id,
+offset) stays. A repeated line goes with its line end; in lines that stay, repeated
 sentences go. What is taken out is reported by its offsets in the original text."""
 
 from __future__ import annotations
@@ -22,18 +24,27 @@ SENTENCE = re.compile(r"[^.!?]+[.!?]*\s*|[.!?]+\s*")
 
 
 def units(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, str]]:
-    """(start, end, normalised text) of the units long enough, in text order; a line comes before its sentences."""
+    """(start, end, normalised text) of the units in text order; a line comes before its sentences, and a short sentence comes with each of its runs."""
     out, at = [], 0
     for line in (text or "").split("\n"):
         words = line.lower().split()
-        if len(words) >= min_words:
+        if words:
             out.append((at, at + len(line) + 1, " ".join(words)))
-            parts = list(SENTENCE.finditer(line))
+        if len(words) >= min_words:
+            parts = [(m.start(), m.end(), m[0].lower().split()) for m in SENTENCE.finditer(line)]
+            parts = [x for x in parts if x[2]]
             if len(parts) > 1:
-                for m in parts:
-                    own = m[0].lower().split()
+                for i, (start, end, own) in enumerate(parts):
                     if len(own) >= min_words:
-                        out.append((at + m.start(), at + m.end(), " ".join(own)))
+                        out.append((at + start, at + end, " ".join(own)))
+                        continue
+                    for mark, step in (("\x00<", -1), ("\x00>", 1)):  # a run is no line and no sentence, nor a run to the other side
+                        k, n = i, len(own)
+                        while n < min_words and 0 <= k + step < len(parts):
+                            k += step
+                            n += len(parts[k][2])
+                        if n >= min_words:
+                            out.append((at + start, at + end, mark + " ".join(w for x in parts[min(i, k) : max(i, k) + 1] for w in x[2])))
         at += len(line) + 1
     return out
 
@@ -117,4 +128,4 @@ def cut_out(text: str | None, spans: list[dict] | None) -> tuple[str | None, lis
         kept.append(text[at : s["start"]])
         at = s["end"]
     kept.append(text[at:])
-    return "".join(kept), merged, len(spans)
+    return "".join(kept), merged, len({(s["start"], s["end"]) for s in spans})

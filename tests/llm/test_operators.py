@@ -93,6 +93,15 @@ def test_units_against_plain_python(spark, docs, rows):
         assert [(s.start, s.end) for s in r.removed] == [(s["start"], s["end"]) for s in want[r.doc_id][1]]
 
 
+def test_short_units(spark):
+    passage = "The first sentence of the passage has quite enough words. So it goes. Another one of them follows here with many more words. It ends."
+    rows = [(1, f"Opening words of one document. {passage}\nAll rights reserved.\nSo it goes."), (2, f"Quite another opening. {passage} Not so there.\nAll rights  reserved."), (3, "A third text stands alone with words of its own. So it goes. Nothing else of it has been seen before.\n\nALL RIGHTS RESERVED.")]
+    out = {r.doc_id: r for r in unit_dedup.with_units_removed(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out[1].text == rows[0][1] and out[1].n_removed == 0
+    assert out[2].text == "Quite another opening. Not so there.\n" and out[2].n_removed == 5
+    assert out[3].text == rows[2][1][: rows[2][1].index("ALL")] and out[3].n_removed == 1
+
+
 # --- decontamination
 
 
