@@ -2,8 +2,11 @@
 
 Every node of a page's tree gets a density: its characters per tag, raised or lowered by the share of link characters
 and link tags below it and in the whole body. A node's density sum adds up its children's densities, and the node with
-the largest sum heads the main text. The threshold is the least density on the path from the body down to that node:
-inside the chosen subtree, containers of mostly links whose density is below it are left out.
+the largest sum heads the main text. The threshold is the least density on the path from the body down to that node.
+A head inside an <article> stands for the whole article, which is then the main text. On a page without one, the node
+with the largest sum of every branch whose density reaches the threshold is a head too, from the body down; the main text
+is that of all heads and of the headings and bare text between them. Inside a head, containers of mostly links whose
+density is below the threshold are left out.
 
 Parts that are never main text by their element or by the words of class, id or role (menus, sidebars, notices, adverts,
 forms, reader comments, page headers and footers) count for nothing and are not given out."""
@@ -11,6 +14,7 @@ forms, reader comments, page headers and footers) count for nothing and are not
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 from math import e, log
 
@@ -27,6 +31,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 KEPT = frozenset("html body main article".split())
 FURNITURE = frozenset("ad ads adbox adsense advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar share sharing social related recommended comment comments disqus respond replies widget pagination pager copyright legal disclaimer search complementary contentinfo dialog form hidden skip".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CONTENT = frozenset("article content post entry story main body text".split())
 SAME_CLOSES = {"li": ("li", ("ul", "ol", "menu")), "option": ("option", ("select",)), "tr": ("tr", ("table",)), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
 
@@ -152,8 +157,8 @@ def measure(nodes: list[Node]) -> None:
         node.density = c / t * log(max(c / lc * t / lt, 1.0)) / log(max(base, 1 + 1e-9)) if base > 1 else c / t * log(max(c / lc * t / lt, 1.0))
 
 
-def main_node(nodes: list[Node]) -> tuple[Node, float]:
-    """The head of the main text and the threshold."""
+def main_nodes(nodes: list[Node]) -> tuple[list[Node], float]:
+    """The heads of the main text in page order and the threshold."""
     sums = {id(n): 0.0 for n in nodes}
     for n in nodes[1:]:
         if not n.out:
@@ -162,6 +167,7 @@ def main_node(nodes: list[Node]) -> tuple[Node, float]:
     node = best
     while node is not None and node.tag != "article":
         node = node.parent
+    alone = node is not None
     best = node or best
     if best.tag in INLINE or best.tag == "p":
         best = best.parent or best
@@ -169,12 +175,49 @@ def main_node(nodes: list[Node]) -> tuple[Node, float]:
     while node.parent is not None:
         node = node.parent
         least = min(least, node.density)
-    return best, least
+    if alone:
+        return [best], least
+    top = {id(n): n for n in nodes}  # the node with the largest sum at or below a node
+    for n in reversed(nodes[1:]):
+        if not n.out and sums[id(top[id(n)])] > sums[id(top[id(n.parent)])]:
+            top[id(n.parent)] = top[id(n)]
+    above, inside, marked = _above(best), set(), {id(best)}  # nodes come after their parents
+    for n in nodes:
+        if n.out or n.chars == 0 or n.tag in INLINE:
+            continue
+        if n.parent is not None and id(n.parent) in inside or id(n) in marked:
+            inside.add(id(n))
+        elif n.parent is not None and n.density >= least:
+            head = top[id(n)]
+            while head is not n and (head.tag in INLINE or head.tag == "p"):
+                head = head.parent
+            up = head
+            while up is not None and id(up) not in marked:
+                up = up.parent
+            if up is None and id(n) not in above:
+                marked.add(id(head))
+                if head is n:
+                    inside.add(id(n))
+    return [n for n in nodes if id(n) in marked], least
+
+
+def _above(node: Node) -> set[int]:
+    out = set()
+    while node is not None:
+        out.add(id(node))
+        node = node.parent
+    return out
 
 
-def blocks(head: Node, threshold: float) -> list[str]:
-    """The text of each block below the head, in page order, white space inside a block turned into one space."""
-    found, held, todo = [], [], [head]
+def blocks(heads: list[Node], threshold: float) -> list[str]:
+    """The text of each block of the heads, and of the headings and bare text between them, in page order, white space inside a block turned into one space."""
+    marked, paths = {id(n) for n in heads}, Counter()
+    for head in heads:
+        paths.update(_above(head))
+    head = heads[0]
+    while paths[id(head)] < len(heads):  # up to the node that all heads have above them
+        head = head.parent
+    found, held, todo = [], [], [(head, False)]
 
     def flush() -> None:
         line = SPACE.sub(" ", "".join(held)).strip()
@@ -183,17 +226,18 @@ def blocks(head: Node, threshold: float) -> list[str]:
         held.clear()
 
     while todo:
-        part = todo.pop()
+        part, whole = todo.pop()
         if part is None:
             flush()
         elif isinstance(part, str):
             held.append(part)
-        elif part is head or not (part.out or (part.tags > 1 and part.density < threshold and 2 * part.link_chars > part.chars)):
+        elif id(part) in paths or ((whole or part.tag in HEADINGS or part.tag in INLINE) and not (part.out or (part.tags > 1 and part.density < threshold and 2 * part.link_chars > part.chars))):
             inline = part.tag in INLINE
             if not inline:
                 flush()
-                todo.append(None)
-            todo.extend(reversed(part.parts))
+                todo.append((None, False))
+            below = whole or id(part) in marked or part.tag in HEADINGS
+            todo.extend((x, below) for x in reversed(part.parts))
     flush()
     return found
 
@@ -204,7 +248,7 @@ def main_text(html: str | None) -> str:
         return ""
     nodes = parse(html)
     measure(nodes)
-    return " ".join(blocks(*main_node(nodes)))
+    return " ".join(blocks(*main_nodes(nodes)))
 
 
 def with_main_text(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -75,6 +75,17 @@ def test_html_layouts():
     assert html_text.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_html_without_article_keeps_every_section():
+    words = lambda k: (f"word{k} of the text, " * 40)[:500].strip()
+    sections = [[words(10 * i + j) for j in range(5)] for i in range(3)]
+    body = "".join(f"<h2>Part {i}</h2><section>" + "".join(f"<p>{p}</p>" for p in ps) + "</section>" for i, ps in enumerate(sections))
+    page = "<body><div>" + "".join(f"<a href={i}>link {i}</a>" for i in range(30)) + f"</div><div>{body}</div><div><a href=x>more</a> <a href=y>other</a></div></body>"
+    want = " ".join(" ".join([*([f"Part {i}"] if i else []), *ps]) for i, ps in enumerate(sections))
+    got = html_text.main_text(page)
+    assert got in (want, "Part 0 " + want)
+    assert html_text.main_text(f"<body><main>{body}</main></body>").count("word") == got.count("word")
+
+
 # --- unit dedup
 
 
