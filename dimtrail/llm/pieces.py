@@ -4,8 +4,8 @@ The lattice of a text has a node between any two characters and an edge for ever
 characters without a piece of their own take the edge of their bytes. Blanks only begin pieces, so the lattice falls
 apart before every run of blanks, and each unit (blanks and the word after them) has a forward filter of its own: the
 total weight of all paths to each node. A segmentation is drawn from the end of a unit backwards, each piece with its
-share of the weight that reaches the node. The distinct units of a batch are filtered together with numpy, and so are
-all draws of a batch made. Random numbers are a hash of seed, row key, unit number and draw number, so a row's
+share of the weight that reaches the node. The units that are new in a batch are filtered together with numpy and
+kept for later batches in a memo of bounded size; all draws of a batch are made together. Random numbers are a hash of seed, row key, unit number and draw number, so a row's
 segmentation is the same whatever the partitions, batches or retries are.
 
 A piece weighs (rank + 1) ** -alpha; the model file gives ranks, not probabilities. Literal U+2581 characters go as
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from math import log
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,39 @@ BLANK = "▁"
 UNIT = re.compile(" +[^ ]*")
 #: Text of one batch: the lattice of a megabyte takes about a hundred.
 BATCH_BYTES = 1 << 20
+#: Edges that a memo holds before it is given up, at 16 to 32 bytes each.
+MEMO_EDGES = 3 << 20
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
+class Memo:
+    """Filtered units of earlier batches, in arrays that grow; given up as a whole when it is full."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.units = self.edges = self.nodes = 0
+        self.held = [np.empty(0, t) for t in (np.int64, np.uint64, np.int32, np.int32)]
+
+    def full(self) -> bool:
+        return self.edges >= MEMO_EDGES
+
+    def add(self, last: np.ndarray, reach: np.ndarray, piece: np.ndarray, back: np.ndarray) -> None:
+        """Units after those there are; their nodes get the next numbers."""
+        made = (last + self.nodes, reach + (np.uint64(self.nodes) << np.uint64(32)), piece, np.where(back < 0, -1, back + self.nodes))
+        for k, (at, new) in enumerate(zip((self.units, *[self.edges] * 3), made, strict=True)):
+            if at + len(new) > len(self.held[k]):
+                grown = np.empty(2 * (at + len(new)), self.held[k].dtype)
+                grown[:at] = self.held[k][:at]
+                self.held[k] = grown
+            self.held[k][at : at + len(new)] = new
+        self.units += len(last)
+        self.edges += len(reach)
+        self.nodes += int(last[-1]) + 1
+
+    def arrays(self) -> list[np.ndarray]:
+        return [a[:n] for a, n in zip(self.held, (self.units, *[self.edges] * 3), strict=True)]
+
+
 class Lattice:
     def __init__(self, path: str, alpha: float = ALPHA):
         from sentencepiece import SentencePieceProcessor
@@ -69,6 +99,10 @@ class Lattice:
         self.step_key, self.step_to = np.append(keys, -1), np.array([*[step[k] for k in keys.tolist()], 0])
         self.ends = np.array(ends)
         self.longest = max(len(p) for p, _ in pieces)
+        self.byte_lengths = np.array([len(b) for b in self.bytes_of])
+        self.byte_starts = np.cumsum(self.byte_lengths) - self.byte_lengths
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.memo = Memo()
 
     def edges(self, chars: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First character, length, piece and weight of every edge; left: characters to the end of the unit. A character of bytes has the piece -1 - character."""
@@ -92,46 +126,53 @@ class Lattice:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def filtered(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Last node of each unit; and of the edges, by the node they end at: reach (node number plus the running share of the node's weight), piece and node before, -1 at the unit's start."""
+        """Last node of each unit; and of the edges, by the node they end at: reach (node number and running share of the node's weight as a 32-bit fraction), piece and node before, -1 at the unit's start.
+
+        Weights are summed as logarithms, so units may be of any length, and a unit's shares are the same whatever
+        units come with it."""
         chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sizes = np.array([len(u) for u in units], np.int64)
         unit = np.repeat(np.arange(len(units)), sizes)
         begin = np.cumsum(sizes) - sizes
         offset = np.arange(len(chars)) - begin[unit]
         at, length, piece, weight = self.edges(chars, sizes[unit] - offset)
-        start = at + unit[at]  # every unit has one node more than characters
+        order = np.argsort(at + unit[at] + length, kind="stable")  # every unit has one node more than characters
+        at, length, piece, weight = at[order], length[order], piece[order], np.log(weight[order])
+        start = at + unit[at]
         end = start + length
-        order = np.argsort(offset[at], kind="stable")
-        bounds = np.searchsorted(offset[at][order], np.arange(int(sizes.max(initial=0)) + 1))
         head = begin + np.arange(len(units))
-        forward, scale = np.zeros(len(chars) + len(units)), np.zeros(len(chars) + len(units))
-        forward[head] = 1.0
-        for depth in range(len(bounds) - 1):
-            if depth and depth % 16 == 0:  # keep long units from running out of range
-                here, stop = head[sizes > depth] + depth, (head + sizes)[sizes > depth] + 1
-                small = forward[here] < 1e-80
-                for lo, hi in zip(here[small].tolist(), stop[small].tolist(), strict=True):
-                    factor = 1.0 / forward[lo]
-                    forward[lo:hi] *= factor
-                    scale[lo:hi] += log(factor)
-            part = order[bounds[depth] : bounds[depth + 1]]
-            np.add.at(forward, end[part], forward[start[part]] * weight[part])
-        share = forward[start] * weight / forward[end] * np.exp(scale[end] - scale[start])
-        order = np.argsort(end, kind="stable")
-        end, run = end[order], np.cumsum(share[order])
-        node, where = np.unique(end, return_index=True)
-        before = np.where(where > 0, run[where - 1], 0.0)
-        count = np.diff([*where, len(end)])
-        total = run[np.append(where[1:], len(end)) - 1] - before if len(end) else before
-        reach = end + np.minimum((run - np.repeat(before, count)) / np.repeat(total, count), 1.0)
-        if len(end):
-            reach[np.append(where[1:], len(end)) - 1] = node + 1.0
-        start = start[order]
-        return head + sizes, reach, piece[order], np.where(start == head[unit[at[order]]], -1, start)
+        depth = offset[at] + length
+        longest = int(sizes.max(initial=0))
+        by_depth = np.argsort(depth.astype(np.int16) if longest < 1 << 15 else depth, kind="stable")
+        bounds = np.searchsorted(depth[by_depth], np.arange(1, longest + 2))
+        total, share = np.zeros(len(chars) + len(units)), np.empty(len(end))
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            part = by_depth[lo:hi]
+            node = end[part]
+            first = np.flatnonzero(np.diff(node, prepend=-1))
+            x = total[start[part]] + weight[part]
+            most = np.maximum.reduceat(x, first)
+            count = np.diff(first, append=len(part))
+            x = np.exp(x - np.repeat(most, count))
+            whole = np.add.reduceat(x, first)
+            total[node[first]] = most + np.log(whole)
+            share[part] = x / np.repeat(whole, count)
+        first = np.flatnonzero(np.diff(end, prepend=-1))
+        count = np.diff(first, append=len(end))
+        for k in range(1, int(count.max(initial=1))):
+            here = first[count > k] + k
+            share[here] += share[here - 1]
+        reach = np.minimum(share * 2.0**32, 2.0**32 - 1).astype(np.uint64)
+        reach[first + count - 1] = 1 << 32
+        reach += end.astype(np.uint64) << np.uint64(32)
+        return head + sizes, reach, piece, np.where(start == head[unit[at]], -1, start)
 
     def sample(self, texts: list[str | None], keys: list[int | None], seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts one after another, and where each text's begin (and the end)."""
-        number: dict[str, int] = {}
+        if self.memo.full():
+            self.memo = Memo()
+        number = self.memo.number
+        known = len(number)
         which, counts = [], []
         for t in texts:
             if not t:
@@ -145,23 +186,24 @@ class Lattice:
             counts.append(len(units))
         counts, which = np.array(counts, dtype=np.int64), np.array(which, dtype=np.int64)
         first = np.concatenate([[0], np.cumsum(counts)])
-        if not number:
+        if not len(which):
             return np.zeros(0, np.int32), first
-        last, reach, piece, back = self.filtered(list(number))
-        here = last[which]
+        if len(number) > known:
+            self.memo.add(*self.filtered(list(islice(number, known, None))))
+        last, reach, piece, back = self.memo.arrays()
         row_seed = mix(np.array([hash_key(k) for k in keys], dtype=np.uint64) ^ np.uint64(seed))
-        unit_seed = np.repeat(row_seed, counts) + np.arange(len(here), dtype=np.uint64) - np.repeat(first[:-1].astype(np.uint64), counts)
-        unit_seed = mix(unit_seed * np.uint64(0x9E3779B97F4A7C15))
-        live, drawn, step = np.arange(len(here)), [], 0
-        lengths = np.zeros(len(here), dtype=np.int64)
+        unit_seed = np.repeat(row_seed, counts) + np.arange(len(which), dtype=np.uint64) - np.repeat(first[:-1].astype(np.uint64), counts)
+        live, drawn, step = np.argsort(which), [], 0  # by unit, so that draws look at the memo in its order
+        here, unit_seed = last[which[live]], mix(unit_seed * np.uint64(0x9E3779B97F4A7C15))[live]
+        lengths = np.zeros(len(which), dtype=np.int64)
         while len(live):
-            u = (mix(unit_seed[live] + np.uint64(step)) >> np.uint64(12)).astype(np.float64) / 2.0**52
-            edge = np.searchsorted(reach, here[live] + u, side="right")
+            u = mix(unit_seed + np.uint64(step)) >> np.uint64(32)
+            edge = np.searchsorted(reach, here.astype(np.uint64) << np.uint64(32) | u, side="right")
             drawn.append((live, piece[edge]))
             lengths[live] += 1
-            nxt = back[edge]
-            here[live] = nxt
-            live = live[nxt >= 0]
+            here = back[edge]
+            on = np.flatnonzero(here >= 0)
+            live, here, unit_seed = live[on], here[on], unit_seed[on]
             step += 1
         ends = np.cumsum(lengths)
         ids = np.empty(int(ends[-1]), dtype=np.int64)
@@ -185,6 +227,16 @@ class Lattice:
             done = i + 1
         return np.concatenate([*parts, ids[done:]]), offsets + np.cumsum(extra)[offsets]
 
+    def same_texts(self, ids: np.ndarray, offsets: np.ndarray, texts: list[str | None]) -> np.ndarray:
+        """Whether the ids of each text decode to it."""
+        length = self.byte_lengths[ids]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        spelled = self.all_bytes[np.arange(ends[-1]) + np.repeat(self.byte_starts[ids] - ends[:-1], length)]
+        want = [b" " + t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        if spelled.tobytes() == b"".join(want) and (np.diff(ends[offsets]) == [len(w) for w in want]).all():
+            return np.ones(len(texts), bool)
+        return np.array([spelled[lo:hi].tobytes() == w for lo, hi, w in zip(ends[offsets[:-1]], ends[offsets[1:]], want, strict=True)])
+
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: the blank that begins every non-empty encoding is taken off."""
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
@@ -249,11 +301,9 @@ def with_round_trip(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int
 
         def compute(texts, keys):
             ids, offsets = model.sample(texts, keys, seed)
-            out = []
-            for t, lo, hi in zip(texts, offsets[:-1], offsets[1:], strict=True):
-                own = ids[lo:hi]
-                out.append((int(hi - lo), hashlib.sha256(own.astype("<i4").tobytes()).hexdigest(), model.decode(own.tolist()) == (t or "")))
-            return list(zip(*out, strict=True))
+            own = ids.astype("<i4", copy=False)
+            sums = [hashlib.sha256(own[lo:hi]).hexdigest() for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            return [pa.array(np.diff(offsets)), sums, pa.array(model.same_texts(ids, offsets, texts))]
 
         return compute
 
