@@ -29,6 +29,10 @@ DISTANCE = 4
 BITS = 64
 #: Work of one probe row, in compared pairs.
 PROBE_COST = 8.0
+#: Members of one label in a bucket above which they aren't compared with each other.
+HEAVY = 1000
+#: Tasks over which a component's fingerprints are dealt.
+SALTS = 16
 
 
 def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -110,7 +114,7 @@ def _signed(x: int) -> int:
 
 
 def fingerprint_components(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(node, component) over the distinct values of the column fp of `nodes`, for those with a link."""
+    """(node, component) over the distinct values of the column fp of `nodes`, for those with a link; component: the smallest node of it."""
     n, both = bit_statistics(nodes)
     plan = [(g, t) for g, t in search_plan(n, both, distance) if t >= 0]
     masks = [_signed(sum(1 << b for b in g)) for g, _ in plan]
@@ -120,18 +124,51 @@ def fingerprint_components(nodes: DataFrame, distance: int = DISTANCE) -> DataFr
         table = F.array(*[F.struct(F.lit(i).alias("part"), F.lit(m).cast("long").alias("mask"), F.lit(x).cast("long").alias("flip")) for i, m, x in rows])
         return df.select("*", F.explode(table).alias("s")).select(*df.columns, F.col("s.part").alias("part"), F.col("fp").bitwiseAND(F.col("s.mask")).bitwiseXOR(F.col("s.flip")).alias("sig"))
 
-    index = signatures(nodes.select("fp"), [(i, m, 0) for i, m in enumerate(masks)])
+    own = [(i, m, 0) for i, m in enumerate(masks)]
+    index = signatures(nodes.select("fp"), own)
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
     ends = index.groupBy("part", "sig").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
     stars = index.join(ends, ["part", "sig"])
     near = [stars.where((F.col("fp") != F.col(e)) & close("fp", e)).select(F.col("fp").alias("a"), F.col(e).alias("b")) for e in ("low", "high")]
     first = checkpointed(connected_components(near[0].unionByName(near[1])))
-    label = nodes.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("label"))
-    left = signatures(label, probes).select("part", "sig", F.col("fp").alias("a"), F.col("label").alias("la"))
-    right = signatures(label, [(i, m, 0) for i, m in enumerate(masks)]).select("part", "sig", F.col("fp").alias("b"), F.col("label").alias("lb"))
-    found = left.join(right, ["part", "sig"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & close("a", "b"))
+    label = nodes.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("label"), F.col("component").isNotNull().alias("starred"))
+    found = _between_labels(signatures(label.select("fp", "label"), probes), signatures(label.select("fp", "label"), own)).where((F.col("a") < F.col("b")) & close("a", "b"))
     second = connected_components(found.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()).select(F.col("node").alias("label"), F.col("component").alias("top"))
-    return label.join(second, "label", "left").select(F.col("fp").alias("node"), F.coalesce("top", "label").alias("component"))
+    return label.join(second, "label", "left").where(F.col("starred") | F.col("top").isNotNull()).select(F.col("fp").alias("node"), F.coalesce("top", "label").alias("component"))
+
+
+def _between_labels(probes: DataFrame, index: DataFrame) -> DataFrame:
+    """(a, la, b, lb): probes with the members of their bucket that have another label.
+
+    Members of one label are never put side by side where they are many: a label with more than HEAVY members in a bucket
+    meets the bucket's other heavy labels through the list of those, and light rows as usual."""
+    bucket = ["part", "sig"]
+    heavy = index.groupBy(*bucket, "label").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select(*bucket, "label")
+    heavy = checkpointed(heavy.withColumn("heavy", F.lit(True)))
+    left = probes.join(heavy, [*bucket, "label"], "left").select(*bucket, F.col("fp").alias("a"), F.col("label").alias("la"), F.col("heavy").isNotNull().alias("ha"))
+    right = index.join(heavy, [*bucket, "label"], "left").select(*bucket, F.col("fp").alias("b"), F.col("label").alias("lb"), F.col("heavy").isNotNull().alias("hb"))
+    columns = ["a", "la", "b", "lb"]
+    light = left.where("not ha").join(right, bucket).where("la != lb").select(*columns)
+    if heavy.isEmpty():
+        return light
+    mixed = left.where("ha").join(right.where("not hb"), bucket).where("la != lb").select(*columns)
+    pairs = heavy.select(*bucket, F.col("label").alias("la")).join(heavy.select(*bucket, F.col("label").alias("lb")), bucket).where("la != lb")
+    dense = left.where("ha").join(pairs, [*bucket, "la"]).join(right.where("hb"), [*bucket, "lb"]).select(*columns)
+    return light.unionByName(mixed).unionByName(dense)
+
+
+def fingerprint_classes(marked: DataFrame, lowest: F.Column, distance: int = DISTANCE) -> DataFrame:
+    """(fp, component, least) for every value of the column fp of `marked`; least: the smallest value of `lowest`, an aggregate, over the component.
+
+    The rows of a component are dealt over SALTS tasks when least is written to them."""
+    nodes = checkpointed(marked.groupBy("fp").agg(lowest.alias("least")))
+    linked = checkpointed(fingerprint_components(nodes, distance)).withColumnRenamed("node", "fp")
+    named = nodes.join(linked, "fp", "left")
+    alone = named.where("component is null").select("fp", F.col("fp").alias("component"), "least")
+    many = named.where("component is not null")
+    least = many.groupBy("component").agg(F.min("least").alias("least")).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    many = many.select("fp", "component", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt")).join(least, ["component", "salt"])
+    return alone.unionByName(many.select("fp", "component", "least"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -140,17 +177,16 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     Null and empty texts have fingerprint zero and are linked like any other. Null ids never become a component_id unless
     a component has no other. Repeated rows stay repeated; other columns are not looked at. An empty table gives an empty result."""
     marked = checkpointed(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "fp"))
-    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    linked = checkpointed(fingerprint_components(nodes, distance))
-    named = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = named.select("fp", "component").join(lowest, "component").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(fingerprint_classes(marked, F.min("doc_id"), distance), "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its component; of rows that repeat that doc_id, one. Rows without doc_id stay."""
-    classes = near_duplicates(docs, distance)
-    losers = classes.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(losers, "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """One row of each component of `docs`: that with the smallest doc_id, nulls last, and of texts that share it the one with the smallest hash.
+
+    Rows with equal id and text are one row; which of them stays, if other columns differ, is not fixed. Rows that repeat an
+    id with unlike texts are judged each by its own text. An empty table gives an empty result."""
+    keys = [F.xxhash64(F.col("doc_id").isNull(), "doc_id").alias("__dt_id"), F.xxhash64("text").alias("__dt_th")]
+    marked = checkpointed(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", *keys, "fp"))
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__dt_th").alias("th"), F.col("__dt_id").alias("id"))
+    first = fingerprint_classes(marked, F.min(rank), distance).select(F.col("least.id").alias("__dt_id"), F.col("least.th").alias("__dt_th")).distinct()
+    return docs.select("*", *keys).join(first, ["__dt_id", "__dt_th"]).dropDuplicates(["__dt_id", "__dt_th"]).select(*docs.columns)
