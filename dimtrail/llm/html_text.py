@@ -3,13 +3,14 @@
 Every node of a page's tree gets a density: its characters per tag, raised or lowered by the share of link characters
 and link tags below it and in the whole body. A node's density sum adds up its children's densities, and the node with
 the largest sum heads the main text. The threshold is the least density on the path from the body down to that node.
-A head inside an <article> stands for the whole article, which is then the main text. On a page without one, the node
-with the largest sum of every branch whose density reaches the threshold is a head too, from the body down; the main text
-is that of all heads and of the headings and bare text between them. Inside a head, containers of mostly links whose
-density is below the threshold are left out.
+The node with the largest sum of every other branch whose density reaches the threshold is a head too, if its sum is at
+least SHARE of the largest one, and so are paragraphs on that path; the main text is that of all heads and of the
+headings and bare text between them. Below the heads, containers of mostly links whose
+density is under the threshold are left out; other nodes under it are short paragraphs, which belong to an article.
 
-Parts that are never main text by their element or by the words of class, id or role (menus, sidebars, notices, adverts,
-forms, reader comments, page headers and footers) count for nothing and are not given out."""
+Densities are measured on all text that a page shows. Elements that the page names as something else than its text
+(menus, sidebars, notices, adverts, forms, reader comments, page headers and footers, by their element or by the words
+of class, id or role) are no heads, and inside the heads they are left out."""
 
 from __future__ import annotations
 
@@ -26,15 +27,20 @@ from dimtrail.llm.common import append_columns
 # Element names and the words that mark page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math noembed xmp".split())
-NEVER = frozenset("head nav footer aside form script style textarea title noscript iframe template svg math select button dialog menu object canvas audio video noembed xmp label fieldset datalist".split())
+UNSEEN = frozenset("head script style textarea title noscript iframe template svg math select object canvas audio video noembed xmp datalist".split())
+ASIDE = frozenset("nav footer aside form button dialog menu label fieldset".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 KEPT = frozenset("html body main article".split())
 FURNITURE = frozenset("ad ads adbox adsense advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar share sharing social related recommended comment comments disqus respond replies widget pagination pager copyright legal disclaimer search complementary contentinfo dialog form hidden skip".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CONTENT = frozenset("article content post entry story main body text".split())
+ITEMS = ("li", "option", "tr", "dt", "dd", "td", "th")
 SAME_CLOSES = {"li": ("li", ("ul", "ol", "menu")), "option": ("option", ("select",)), "tr": ("tr", ("table",)), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
 
+#: Share of the largest density sum from which another branch belongs to the main text.
+SHARE = 0.1
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)""", re.S)
 MARKS = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|[\s"'])(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
@@ -42,10 +48,12 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("chars", "density", "inside_link", "link_chars", "link_tags", "out", "parent", "parts", "tag", "tags")
+    """An element; out: it shows no text; aside: it, or one it is in, is page furniture."""
+
+    __slots__ = ("aside", "chars", "density", "inside_link", "link_chars", "link_tags", "out", "parent", "parts", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Node | None, out: bool, aside: bool = False):
+        self.tag, self.parent, self.out, self.aside = tag, parent, out, aside
         self.parts: list = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
@@ -56,7 +64,7 @@ def furniture(tag: str, attributes: str, node: Node) -> bool:
     """Whether an element that starts below `node` is page furniture."""
     if tag in KEPT:
         return False
-    if tag in NEVER:
+    if tag in ASIDE:
         return True
     if tag == "header":
         while node is not None and node.tag not in ("article", "main"):
@@ -78,6 +86,13 @@ def parse(html: str) -> list[Node]:
     """The nodes of a page in page order, the root first. Unclosed and stray tags are forgiven."""
     here = root = Node("html", None, False)
     nodes, at, end = [root], 0, len(html)
+    opened: Counter = Counter()  # tags from here up, so that a stray end tag walks nowhere
+
+    def close(node: Node) -> None:
+        nonlocal here
+        while here is not node.parent:
+            opened[here.tag] -= 1
+            here = here.parent
 
     def text(piece: str) -> None:
         if piece and not here.out:
@@ -99,41 +114,43 @@ def parse(html: str) -> list[Node]:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = here
+            node = here if opened[tag] else None
             while node is not None and node.tag != tag:
                 if tag in INLINE and node.tag not in INLINE:
                     node = None
                     break
                 node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+            if node is not None:
+                close(node)
             continue
         if tag in ("html", "body"):
             if tag == "body" and here is root:
                 here = Node("body", root, False)
+                opened["body"] += 1
                 root.parts.append(here)
                 nodes.append(here)
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             node = here
             while node is not None and node.tag != "p" and (node.tag in INLINE):
                 node = node.parent
             if node is not None and node.tag == "p":
-                here = node.parent
-        if tag in SAME_CLOSES:
+                close(node)
+        if tag in SAME_CLOSES and any(opened[n] for n in ITEMS):
             names, stops = SAME_CLOSES[tag]
             node = here
             while node is not None and node.tag not in names and node.tag not in stops:
                 node = node.parent
             if node is not None and node.tag in names and node.parent is not None:
-                here = node.parent
-        child = Node(tag, here, here.out or furniture(tag, m[3], here))
+                close(node)
+        child = Node(tag, here, here.out or tag in UNSEEN, here.aside or furniture(tag, m[3], here))
         here.parts.append(child)
         nodes.append(child)
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             at = stop.end() if stop else end
         elif tag not in VOID:
+            opened[tag] += 1
             here = child
     return nodes
 
@@ -163,32 +180,26 @@ def main_nodes(nodes: list[Node]) -> tuple[list[Node], float]:
     for n in nodes[1:]:
         if not n.out:
             sums[id(n.parent)] += n.density
-    best = max((n for n in nodes if not n.out), key=lambda n: sums[id(n)])
-    node = best
-    while node is not None and node.tag != "article":
-        node = node.parent
-    alone = node is not None
-    best = node or best
-    if best.tag in INLINE or best.tag == "p":
-        best = best.parent or best
+    best = max((n for n in nodes if not n.out and not n.aside), key=lambda n: sums[id(n)])
+    while best.tag in INLINE or best.tag == "p":
+        best = best.parent
     least, node = best.density, best
     while node.parent is not None:
         node = node.parent
-        least = min(least, node.density)
-    if alone:
-        return [best], least
+        if node.tag != "html":
+            least = min(least, node.density)
     top = {id(n): n for n in nodes}  # the node with the largest sum at or below a node
     for n in reversed(nodes[1:]):
-        if not n.out and sums[id(top[id(n)])] > sums[id(top[id(n.parent)])]:
+        if not n.out and not n.aside and sums[id(top[id(n)])] > sums[id(top[id(n.parent)])]:
             top[id(n.parent)] = top[id(n)]
     above, inside, marked = _above(best), set(), {id(best)}  # nodes come after their parents
     for n in nodes:
-        if n.out or n.chars == 0 or n.tag in INLINE:
+        if n.out or n.aside or n.chars == 0 or n.tag in INLINE:
             continue
         if n.parent is not None and id(n.parent) in inside or id(n) in marked:
             inside.add(id(n))
-        elif n.parent is not None and n.density >= least:
-            head = top[id(n)]
+        elif n.parent is not None and n.density >= least and (sums[id(top[id(n)])] >= SHARE * sums[id(best)] or (n.tag == "p" and id(n.parent) in above)):
+            head = top[id(n)] if n.tag != "p" else n
             while head is not n and (head.tag in INLINE or head.tag == "p"):
                 head = head.parent
             up = head
@@ -231,7 +242,7 @@ def blocks(heads: list[Node], threshold: float) -> list[str]:
             flush()
         elif isinstance(part, str):
             held.append(part)
-        elif id(part) in paths or ((whole or part.tag in HEADINGS or part.tag in INLINE) and not (part.out or (part.tags > 1 and part.density < threshold and 2 * part.link_chars > part.chars))):
+        elif id(part) in paths or ((whole or part.tag in HEADINGS or part.tag in INLINE) and not (part.out or part.aside or (part.tags > 1 and part.density < threshold and 2 * part.link_chars > part.chars))):
             inline = part.tag in INLINE
             if not inline:
                 flush()
