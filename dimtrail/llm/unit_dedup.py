@@ -5,12 +5,16 @@ are normalised (lower case, single blanks) and hashed to 128 bits. A sentence of
 alone: it is hashed with as many sentences before it, and once more with as many after it, as make MIN_WORDS words, and
 goes when either run repeats. Digests are grouped over all documents and the occurrence with the smallest (document id,
 offset) stays. A repeated line goes with its line end; in lines that stay, repeated
-sentences go. What is taken out is reported by its offsets in the original text."""
+sentences go. What is taken out is reported by its offsets in the original text.
+
+Digests are counted first, combined inside the tasks; the ones that repeat are written out and joined with the units, so
+that Spark sees the sizes of both sides and splits the partition of a digest that very many documents have."""
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,73 +27,98 @@ MIN_WORDS = 8
 SENTENCE = re.compile(r"[^.!?]+[.!?]*\s*|[.!?]+\s*")
 
 
-def units(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, str]]:
-    """(start, end, normalised text) of the units in text order; a line comes before its sentences, and a short sentence comes with each of its runs."""
+def units(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, bool, str]]:
+    """(start, end, whether it is a line, normalised text) of the units in text order; a line comes before its sentences, and a short sentence comes with each of its runs."""
     out, at = [], 0
     for line in (text or "").split("\n"):
         words = line.lower().split()
         if words:
-            out.append((at, at + len(line) + 1, " ".join(words)))
+            out.append((at, at + len(line) + 1, True, " ".join(words)))
         if len(words) >= min_words:
-            parts = [(m.start(), m.end(), m[0].lower().split()) for m in SENTENCE.finditer(line)]
-            parts = [x for x in parts if x[2]]
+            parts, start = [], at
+            for part in SENTENCE.findall(line):  # they cover the line
+                own = part.lower().split()
+                if own:
+                    parts.append((start, start + len(part), own))
+                start += len(part)
             if len(parts) > 1:
                 for i, (start, end, own) in enumerate(parts):
                     if len(own) >= min_words:
-                        out.append((at + start, at + end, " ".join(own)))
+                        out.append((start, end, False, " ".join(own)))
                         continue
                     for mark, step in (("\x00<", -1), ("\x00>", 1)):  # a run is no line and no sentence, nor a run to the other side
-                        k, n = i, len(own)
-                        while n < min_words and 0 <= k + step < len(parts):
+                        k, run = i, own
+                        while len(run) < min_words and 0 <= k + step < len(parts):
                             k += step
-                            n += len(parts[k][2])
-                        if n >= min_words:
-                            out.append((at + start, at + end, mark + " ".join(w for x in parts[min(i, k) : max(i, k) + 1] for w in x[2])))
+                            run = run + parts[k][2] if step > 0 else parts[k][2] + run
+                        if len(run) >= min_words:
+                            out.append((start, end, False, mark + " ".join(run)))
         at += len(line) + 1
     return out
 
 
 def digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, start, end, hi, lo): the units of every document with their digests; th tells rows of one id but different texts apart."""
+    """(doc_id, th, span, line, again, hi, lo): the units of every row with their digests.
+
+    th, a hash of the text, tells rows of one id but different texts apart; span is start << 32 | end; again marks a unit
+    that the same text has before. Null and blank texts have no units; repeated rows have theirs each."""
 
     def run(batches):
         for batch in batches:
-            ids, hashes, starts, ends, his, los = [], [], [], [], [], []
-            for doc_id, text, th in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            counts, spans, lines, again, hashes = [], [], [], [], []
+            for text in batch.column(1).to_pylist():
                 found = units(text, min_words)
-                ids += [doc_id] * len(found)
-                hashes += [th] * len(found)
-                for start, end, own in found:
-                    value = xxhash.xxh3_128_intdigest(own.encode("utf-8", "surrogatepass"))
-                    starts.append(start)
-                    ends.append(end)
-                    his.append((value >> 64) - (1 << 63))
-                    los.append((value & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
-            arrays = [pa.array(ids, batch.column(0).type), pa.array(hashes, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "th", "start", "end", "hi", "lo"])
+                counts.append(len(found))
+                own = [xxhash.xxh3_128_digest(u[3].encode("utf-8", "surrogatepass")) for u in found]
+                seen: set[bytes] = set()
+                for u, h in zip(found, own, strict=True):
+                    spans.append(u[0] << 32 | u[1])
+                    lines.append(u[2])
+                    again.append(h in seen)
+                    seen.add(h)
+                hashes += own
+            if spans:
+                row = pa.array(np.repeat(np.arange(len(counts)), counts))
+                both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+                arrays = [batch.column(0).take(row), batch.column(2).take(row), pa.array(spans, pa.int64()), pa.array(lines), pa.array(again), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "th", "span", "line", "again", "hi", "lo"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, start long, end long, hi long, lo long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, span long, line boolean, again boolean, hi long, lo long")
 
 
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, start, end, first_id) of every unit that an earlier one repeats; first_id: the document of the first."""
+    """(doc_id, th, span, line, first_id) of every unit that an earlier one repeats; first_id: the document of the first.
+
+    A null id ranks first; texts that share an id rank by th."""
     found = digests(docs, min_words)
-    rank = F.struct(F.col("doc_id"), F.col("th"), F.col("start"))
-    firsts = found.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
-    firsts = firsts.select("hi", "lo", "first")
-    return found.join(firsts, ["hi", "lo"]).where(~rank.eqNullSafe(F.col("first"))).select("doc_id", "th", "start", "end", F.col("first.doc_id").alias("first_id"))
+    none = F.col("doc_id").isNull()
+    firsts = found.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max(none).alias("null_first")).where("n > 1")
+    firsts = checkpointed(firsts.select("hi", "lo", "null_first", F.when(~F.col("null_first"), F.col("first_id")).alias("first_id")))
+    hits = found.join(firsts, ["hi", "lo"])
+    later = F.when(F.col("null_first"), ~none).otherwise(F.col("doc_id") > F.col("first_id")) | F.col("again")
+    twins = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high")).where("low != high")
+    twins = checkpointed(twins.select(F.col("doc_id").alias("twin")))
+    if not twins.isEmpty():  # of the texts of the first id, only the one with the smallest hash has the first unit
+        own = digests(docs.join(twins, F.col("doc_id").eqNullSafe(F.col("twin")), "left_semi"), min_words)
+        low = own.groupBy("hi", "lo", F.col("doc_id").alias("twin")).agg(F.min("th").alias("low"))
+        same = (hits["hi"] == low["hi"]) & (hits["lo"] == low["lo"]) & hits["doc_id"].eqNullSafe(F.col("twin"))
+        hits = hits.join(low, same, "left").drop(low["hi"], low["lo"])
+        later = later | F.coalesce(F.col("th") > F.col("low"), F.lit(False))
+    return hits.where(later).select("doc_id", "th", "span", "line", "first_id")
 
 
 def with_units_removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every row with repeated units taken out of text; adds removed (array of start, end, first_id by original offsets, merged where they touch) and n_removed.
 
-    Null texts stay null and empty ones empty, with nothing removed. Rows that repeat id and text are one document and keep
-    the same units; a null id ranks first. A column n_chars is set to the new length; other columns stay as they are."""
-    spans = repeated_units(docs, min_words).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "first_id"))).alias("__dt_spans"))
+    n_removed counts lines, and sentences of lines that stay. Null texts stay null and empty ones empty, with nothing
+    removed. Rows that repeat id and text are one document and keep the same units; a null id ranks first, and texts that
+    share an id rank by a hash. A column n_chars is set to the new length; other columns stay as they are."""
+    unit = F.struct("span", "line", "first_id")
+    spans = repeated_units(docs, min_words).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(unit)).alias("__dt_spans"))
     spans = spans.select(F.col("doc_id").alias("__dt_id"), F.col("th").alias("__dt_th"), "__dt_spans")
     names = [c for c in docs.columns if c not in ("removed", "n_removed")]
-    both = docs.select(*names).join(checkpointed(spans), docs["doc_id"].eqNullSafe(F.col("__dt_id")) & (F.xxhash64("text") == F.col("__dt_th")), "left").select(*names, "__dt_spans")
+    both = docs.select(*names).join(spans, docs["doc_id"].eqNullSafe(F.col("__dt_id")) & (F.xxhash64("text") == F.col("__dt_th")), "left").select(*names, "__dt_spans")
     id_type = docs.schema["doc_id"].dataType
     span_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("first_id", id_type)]))
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("removed", span_type), T.StructField("n_removed", T.LongType())])
@@ -113,19 +142,26 @@ def with_units_removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
 
 
 def cut_out(text: str | None, spans: list[dict] | None) -> tuple[str | None, list[dict], int]:
-    """The text without the spans (sorted by start), the spans merged where they touch or overlap, and how many units they were."""
+    """The text without the spans (sorted by start), the spans merged where they touch or overlap, and how many lines, and sentences of other lines, they were."""
     if not text or not spans:
         return text, [], 0
     merged: list[dict] = []
-    for s in spans:
-        end = min(s["end"], len(text))
-        if merged and s["start"] <= merged[-1]["end"]:
+    taken, line_end = set(), 0
+    for s in sorted(spans, key=lambda s: (s["span"] >> 32, -s["span"])):  # a line before its sentences
+        start, end = s["span"] >> 32, s["span"] & 0xFFFFFFFF
+        if s["line"]:
+            line_end = end
+        elif start < line_end:
+            continue
+        taken.add(s["span"])
+        end = min(end, len(text))
+        if merged and start <= merged[-1]["end"]:
             merged[-1]["end"] = max(merged[-1]["end"], end)
         else:
-            merged.append({"start": s["start"], "end": end, "first_id": s["first_id"]})
+            merged.append({"start": start, "end": end, "first_id": s["first_id"]})
     kept, at = [], 0
     for s in merged:
         kept.append(text[at : s["start"]])
         at = s["end"]
     kept.append(text[at:])
-    return "".join(kept), merged, len({(s["start"], s["end"]) for s in spans})
+    return "".join(kept), merged, len(taken)
