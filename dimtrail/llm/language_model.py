@@ -1,275 +1,310 @@
 """N-gram scoring by deleted interpolation.
 
-Words with at least MIN_SHARE of the training tokens, at most 1 / MIN_SHARE of them, and the end of a text are classes of
-their own; all other words share one class, RARE. Inside a class a rare word has an add-one estimate. The class of a
-token given the one before it is a mixture of maximum-likelihood estimates,
+The probability of a token after the two before it is a mixture of maximum-likelihood estimates of orders 3 to 1 and a
+uniform one,
 
-    a[b] * c(u, k) / c(u) + b[b] * c(k) / N + c[b] / K,
+    a[b] * c(u v w) / c(u v) + b[b] * c(v w) / c(v) + c[b] * c(w) / N + d[b] / (V + 1),
 
-whose weights depend on the bucket b (powers of two) of the context's count c(u). The weights are learned by
-expectation-maximisation on the class bigrams of a deleted part of the training texts, with counts of the rest; then
-the counts of the whole training part are put in.
+whose weights depend on the bucket b of the context: the power of two of c(u v) where that is not 0, else that of c(v),
+else none. The weights are learned by expectation-maximisation on the tokens of a deleted part of the training texts,
+with counts of the rest; then the counts of the whole training part are put in. Every word has n-grams of its own,
+however rare it is.
 
-Counts are Spark jobs: words are counted per task and summed by word; documents are dealt into blocks of about
-BLOCK_BYTES by a hash of id and text, a block asks for its distinct class bigrams and rare words in sorted arrays, parts
-of the key space add up all blocks' arrays and answer each block with the totals. Only the table of classes is
-broadcast, and its size has the bound above."""
+Words are 64-bit hashes, pairs and triples 56-bit ones. Documents are dealt into blocks of about BLOCK_BYTES by a hash of id and
+text, those of the deleted part, of the rest and of the held-out texts into blocks of their own. A block asks for its
+distinct n-grams in sorted arrays; parts of the key space add up the arrays of all blocks and answer each block with the
+totals. Nothing of the vocabulary is broadcast or collected, and what moves grows with the distinct n-grams of the blocks."""
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
-
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from dimtrail.llm.common import checkpointed, lower_ascii, utf8
+from dimtrail.llm.common import checkpointed
 
 HELD_OUT, DELETED, FOLDS = 2, 0, 7
-MIN_SHARE = 1e-5
+ORDERS = 3
+#: Bits of the keys of pairs and triples, and of the keys of each order.
+NGRAM_BITS = 56
+KEY_BITS = (64, NGRAM_BITS, NGRAM_BITS)
 BLOCK_BYTES = 8 << 20
-#: Distinct words a task counts before it hands them on.
-MEMO_WORDS = 400_000
-ROUNDS = 50
-#: Numbers of the classes that no word has; words follow from 3 on.
-RARE, START, END = 0, 1, 2
-_KEY_BITS = 20
-_RARE_WORD = np.uint64(1) << np.uint64(63)
-#: The histogram of the held-out bigrams: context bucket, and bigram and uniform against unigram estimate in eighths of a power of two.
-_STEPS = 8
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return lower_ascii(utf8(text)).split()  # at blanks and bytes 9 to 13
-
-
-def fold_of(doc_id) -> int:
-    """crc32 of the id as text, mod FOLDS; a null id counts as the empty text."""
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n, kept): counts in the training texts, and in those without the deleted part; the end of a text is the empty word."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        whole, kept = Counter(), Counter()
-
-        def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(list(whole), pa.binary()), pa.array(list(whole.values()), pa.int64()), pa.array([kept[w] for w in whole], pa.int64())], names=["word", "n", "kept"])
-            whole.clear(), kept.clear()
-            return out
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fold = fold_of(doc_id)
-                if fold != HELD_OUT:
-                    words = words_of(text)
-                    words.append(b"")
-                    whole.update(words)
-                    if fold != DELETED:
-                        kept.update(words)
-            if len(whole) > MEMO_WORDS:
-                yield rows()
-        if whole:
-            yield rows()
-
-    return docs.select("doc_id", "text").mapInArrow(run, "word binary, n long, kept long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"))
-
-
-class Classes:
-    """The broadcast part of a model."""
-
-    def __init__(self, rows, total: int, distinct: int, kept_total: int):
-        self.total, self.distinct, self.kept_total = total, distinct, kept_total
-        self.number = {b"": END}
-        count, kept = [0, 0, 0], [0, 0, 0]
-        for word, n, k in rows:
-            if word == b"":
-                count[END], kept[END] = n, k
-            else:
-                self.number[word] = len(count)
-                count.append(n)
-                kept.append(k)
-        self.own = len(count)
-        count[RARE], kept[RARE] = total - sum(count), kept_total - sum(kept)
-        self.count, self.kept = np.array(count, np.int64), np.array(kept, np.int64)
-        self.rare_types = distinct - (self.own - 3) - (count[END] > 0)
-        self.weights: np.ndarray | None = None
-
-    def contexts(self, count: np.ndarray) -> np.ndarray:
-        """Counts of classes as contexts: the start comes as often as the end, which is no context."""
-        out = count.copy()
-        out[START], out[END] = count[END], 0
-        return out
-
-
-def _bucket(count: np.ndarray) -> np.ndarray:
-    return np.where(count > 0, np.log2(np.maximum(count, 1)).astype(np.int64) + 1, 0)
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64) | _RARE_WORD
-
-
-def encoded(texts: list, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bigram key of every token, token counts of the texts, and keys of the rare words in order."""
-    get, numbers, lengths, rare = classes.number.get, [], [], []
-    seen: dict[bytes, int] = {}
-    for t in texts:
-        words = words_of(t)
-        own = [get(w, RARE) for w in words]
-        rare += [seen.setdefault(w, len(seen)) for w, k in zip(words, own, strict=True) if not k]
-        numbers.append(START)
-        numbers += own
-        numbers.append(END)
-        lengths.append(len(words) + 1)
-    numbers, lengths = np.array(numbers, np.int64), np.array(lengths, np.int64)
-    keys = numbers[:-1] << _KEY_BITS | numbers[1:]
-    keys = keys[numbers[1:] != START] if len(numbers) else np.zeros(0, np.int64)
-    return keys, lengths, (_hashes(list(seen))[np.array(rare, np.int64)] if rare else np.zeros(0, np.uint64))
-
-
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    mixed = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-    return (mixed % np.uint64(parts)).astype(np.int64)
-
-
-def asked(pdf: pd.DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """A block's sorted distinct keys with their counts in the kept and the deleted part; and its encoding."""
-    pdf = pdf.sort_values(["doc_id", "th"], kind="stable")
-    code = encoded(pdf["text"].tolist(), classes)
-    keys, lengths, rare = code
-    fold = np.array([fold_of(None if pd.isna(d) else d) for d in pdf["doc_id"].tolist()], np.int64)
-    rare_of = np.add.reduceat((keys & ((1 << _KEY_BITS) - 1)) == RARE, np.cumsum(lengths) - lengths) if len(keys) else np.zeros(0, np.int64)
-    folds = np.concatenate([np.repeat(fold, lengths), np.repeat(fold, rare_of)])
-    every = np.concatenate([keys.astype(np.uint64), rare])
-    distinct, inverse = np.unique(every, return_inverse=True)
-    kept = np.bincount(inverse, (folds != HELD_OUT) & (folds != DELETED), len(distinct)).astype(np.int64)
-    deleted = np.bincount(inverse, folds == DELETED, len(distinct)).astype(np.int64)
-    return distinct, kept, deleted, (pdf, keys, lengths, rare, inverse)
-
-
-def em_weights(cells: list[tuple[int, int, int, int]], rounds: int = ROUNDS) -> np.ndarray:
-    """Mixture weights for each context bucket from (bucket, bigram ratio, uniform ratio, n) cells; ratios are to the unigram estimate in log2 steps, -10000 for none."""
-    out = np.full((64, 3), (0.5, 0.45, 0.05))
-    by: dict[int, list] = {}
-    for bucket, x, y, n in cells:
-        by.setdefault(bucket, []).append((x, y, n))
-    for bucket, rows in by.items():
-        x, y, n = np.array(sorted(rows), float).T
-        p = np.stack([np.where(x > -9000, 2.0 ** (x / _STEPS), 0), np.where(y < 9000, 1.0, 0), np.where(y < 9000, 2.0 ** (np.where(y < 9000, y, 0) / _STEPS), 1.0)])
-        w = np.array([0.5, 0.45, 0.05])
+#: Bytes of text whose hashed bytes are held at a time.
+SLICE = 1 << 20
+ROUNDS = 100
+#: Cells of the held-out tokens: estimates to the uniform one in steps of 2 ** (1 / STEPS). A cell carries its mean estimates.
+STEPS = 4
+KEPT_BLOCK, DELETED_BLOCK, HELD_OUT_BLOCK = 0, 1, 2
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser, in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[9, 10, 11, 12, 13, 32]] = False
+_BASE = 0xD6E8FEB86659FD93
+_INVERSE = pow(_BASE, -1, 1 << 64)
+END, START, _TRIPLE = (mixed(np.array([k], np.uint64))[0] for k in (101, 102, 103))
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(SLICE, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(_BASE), _powers(_INVERSE)
+
+
+def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens one after another, and the token count of each text; null counts as empty.
+
+    A word's hash is a sum over its bytes times powers of their places, taken from running sums over the text."""
+    texts = pc.cast(pc.fill_null(texts, ""), pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    word = _IN_WORD[data]
+    begin, finish = word.copy(), word.copy()
+    begin[1:] &= ~word[:-1]
+    finish[:-1] &= ~word[1:]
+    filled = offsets[1:] > offsets[:-1]
+    begin[offsets[:-1][filled]] = word[offsets[:-1][filled]]
+    finish[offsets[1:][filled] - 1] = word[offsets[1:][filled] - 1]
+    starts, stops = np.flatnonzero(begin), np.flatnonzero(finish)
+    del begin, finish, word
+    before, after, scale = (np.empty(len(starts), np.uint64) for _ in range(3))
+    carry, up, down = np.uint64(0), 1, 1
+    for lo in range(0, len(data), SLICE):
+        run = _BYTE[data[lo : lo + SLICE]]
+        run *= _UP[: len(run)]
+        np.cumsum(run, out=run)
+        run *= np.uint64(up)
+        run += carry
+        a, b = np.searchsorted(starts, [lo, lo + SLICE])
+        here = starts[a:b] - lo
+        before[a:b] = np.where(here > 0, run[here - 1], carry)
+        scale[a:b] = _DOWN[here] * np.uint64(down)
+        a, b = np.searchsorted(stops, [lo, lo + SLICE])
+        after[a:b] = run[stops[a:b] - lo]
+        carry = run[-1]
+        up, down = up * pow(_BASE, SLICE, 1 << 64) % (1 << 64), down * pow(_INVERSE, SLICE, 1 << 64) % (1 << 64)
+    after -= before
+    after *= scale
+    lengths = np.diff(np.searchsorted(starts, offsets)) + 1
+    out = np.full(int(lengths.sum()), END, np.uint64)
+    ends = np.zeros(len(out), bool)
+    ends[np.cumsum(lengths) - 1] = True
+    out[~ends] = mixed(after)
+    return out, lengths
+
+
+def shifted(values: np.ndarray, firsts: np.ndarray, fill) -> np.ndarray:
+    """The value of the token before; `fill` for a text's first token."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[firsts] = fill
+    return out
+
+
+def ngram_keys(tokens: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """Keys of the word, pair and triple that end at each token; a text begins after two starts. Words have all 64 bits, since their counts are to be exact."""
+    firsts = np.cumsum(lengths) - lengths
+    two = mixed(mixed(shifted(tokens, firsts, START)) ^ tokens)
+    three = shifted(two, firsts, START)
+    three += _TRIPLE
+    three = mixed(mixed(three) ^ tokens)
+    two, three = two >> np.uint64(64 - NGRAM_BITS), three >> np.uint64(64 - NGRAM_BITS)
+    return [tokens, two, three]
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as byte planes, as many as the largest needs, after a byte with their number; empty planes vanish when a shuffle is compressed."""
+    width = max((int(values.max(initial=0)).bit_length() + 7) // 8, 1)
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel()
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def block_keys(texts: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray]:
+    tokens, lengths = token_hashes(texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0))
+    return ngram_keys(tokens, lengths), lengths
+
+
+REQUEST = T.StructType([T.StructField("block", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("part", T.LongType()), *[T.StructField(f"{c}{k}", T.BinaryType()) for c in ("keys", "n") for k in range(ORDERS)]])
+ANSWER = T.StructType([T.StructField("block", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("part", T.LongType()), *[T.StructField(f"{c}{k}", T.BinaryType()) for c in ("n", "kept") for k in range(ORDERS)], T.StructField("totals", T.ArrayType(T.LongType()))])
+CELL = T.StructType([T.StructField("cell", T.LongType()), T.StructField("n", T.LongType()), *[T.StructField(f"p{k}", T.DoubleType()) for k in range(ORDERS)]])
+
+
+def _table(rows: list[tuple], schema: T.StructType) -> pa.Table:
+    arrow = to_arrow_schema(schema)
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+
+def requests_of(block: pa.Table, parts: int) -> pa.Table:
+    """A block's distinct keys of each order, with their counts unless it is held out, by part of the key space."""
+    keys, _ = block_keys(block.column("text"))
+    kind = block.column("kind")[0].as_py()
+    found = [counted(k) for k in keys]
+    cuts = [[0, *np.searchsorted(k, np.array([p * (1 << bits) // parts for p in range(1, parts)], np.uint64)).tolist(), len(k)] for (k, _), bits in zip(found, KEY_BITS, strict=True)]
+    rows = []
+    for p in range(parts):
+        own = [(k[c[p] : c[p + 1]], n[c[p] : c[p + 1]]) for (k, n), c in zip(found, cuts, strict=True)]
+        if any(len(k) for k, _ in own):
+            rows.append((block.column("block")[0].as_py(), kind, p, *[packed(np.diff(k, prepend=np.uint64(0))) for k, _ in own], *[None if kind == HELD_OUT_BLOCK else packed(n) for _, n in own]))
+    return _table(rows, REQUEST)
+
+
+def answers_of(part: pa.Table) -> pa.Table:
+    """The totals of a part's keys for every block that asked, and for deleted blocks the counts of the kept part too; and a row of totals: tokens and distinct words, of all and of the kept training texts."""
+    blocks, kinds = part.column("block").to_pylist(), np.array(part.column("kind").to_pylist())
+    number = part.column("part")[0].as_py()
+    out, totals = [[b, k, number] for b, k in zip(blocks, kinds.tolist(), strict=True)], None
+    kept_of = [[] for _ in blocks]
+    for order in range(ORDERS):
+        keys = [np.cumsum(unpacked(k)) for k in part.column(f"keys{order}").to_pylist()]
+        sizes = [len(k) for k in keys]
+        every, place = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = [np.zeros(size, np.int64) if n is None else unpacked(n).astype(np.int64) for n, size in zip(part.column(f"n{order}").to_pylist(), sizes, strict=True)]
+        total = np.bincount(place, np.concatenate(counts), len(every)).astype(np.int64)
+        kept = np.bincount(place, np.concatenate([n if k == KEPT_BLOCK else np.zeros(len(n), np.int64) for n, k in zip(counts, kinds, strict=True)]), len(every)).astype(np.int64)
+        if order == 0:
+            totals = [int(total.sum()), int((total > 0).sum()), int(kept.sum()), int((kept > 0).sum())]
+        at = 0
+        for i, size in enumerate(sizes):
+            own = place[at : at + size]
+            out[i].append(packed(total[own]))
+            kept_of[i].append(packed(kept[own]) if kinds[i] == DELETED_BLOCK else None)
+            at += size
+    rows = [(*head, *kept, None) for head, kept in zip(out, kept_of, strict=True)]
+    return _table([*rows, (None, None, number, *[None] * (2 * ORDERS), totals)], ANSWER)
+
+
+def token_counts(keys: list[np.ndarray], answers: pa.Table, column: str) -> list[np.ndarray]:
+    """Counts of each token's n-grams of each order, from a block's answers."""
+    by_part = np.argsort(np.array(answers.column("part").to_pylist()), kind="stable")
+    out = []
+    for order, own in enumerate(keys):
+        place = np.unique(own, return_inverse=True)[1]
+        got = answers.column(f"{column}{order}").to_pylist()
+        out.append(np.concatenate([unpacked(got[i]) for i in by_part]).astype(np.int64)[place])
+    return out
+
+
+def estimates(counts: list[np.ndarray], lengths: np.ndarray, tokens: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum-likelihood estimates of each order (rows, from 1) of every token, and its bucket."""
+    firsts = np.cumsum(lengths) - lengths
+    texts = counts[0][firsts[0] + lengths[0] - 1] if len(lengths) else 0  # as many as ends
+    p, context = np.empty((ORDERS, len(counts[0]))), None
+    p[0] = counts[0] / max(tokens, 1)
+    bucket = np.zeros(len(counts[0]), np.int64)
+    for k in range(1, ORDERS):
+        context = shifted(counts[k - 1], firsts, texts)
+        p[k] = counts[k] / np.maximum(context, 1)
+        bucket = np.where(context > 0, 64 * k + np.log2(np.maximum(context, 1)).astype(np.int64), bucket)
+    return p, bucket
+
+
+def held_out_cells(block: pa.Table, answers: pa.Table, tokens: int, distinct: int) -> pa.Table:
+    """(cell, n, p0, p1, p2): tokens of a deleted block by bucket and estimates, with counts of the kept part; p: sums of the estimates to the uniform one."""
+    keys, lengths = block_keys(block.column("text"))
+    p, bucket = estimates(token_counts(keys, answers, "kept"), lengths, tokens, distinct)
+    p *= distinct + 1
+    cell = bucket
+    with np.errstate(divide="ignore"):
+        for row in p:
+            cell = cell << 11 | np.where(row > 0, np.clip(np.round(np.log2(row) * STEPS) + 1024, 1, 2047), 0).astype(np.int64)
+    cells, place = np.unique(cell, return_inverse=True)
+    return pa.Table.from_arrays([pa.array(cells), pa.array(np.bincount(place)), *[pa.array(np.bincount(place, row)) for row in p]], schema=to_arrow_schema(CELL))
+
+
+def em_weights(cells: list[tuple], rounds: int = ROUNDS) -> np.ndarray:
+    """Weights (uniform, order 1 to 3) of each bucket from (cell, n, p0, p1, p2) rows; a bucket without tokens has those of the nearest of its kind."""
+    weights = np.zeros((64 * ORDERS, ORDERS + 1))
+    for kind in range(ORDERS):
+        weights[64 * kind : 64 * kind + 64, : kind + 2] = 1 / (kind + 2)
+    table = np.array(sorted(cells), float).reshape(-1, 2 + ORDERS)
+    bucket = np.array([c[0] >> 11 * ORDERS for c in sorted(cells)], np.int64)
+    known = np.unique(bucket)
+    for b in known.tolist():
+        n = table[bucket == b, 1]
+        p = np.vstack([np.ones(len(n)), (table[bucket == b, 2:] / n[:, None]).T])
+        w = weights[b].copy()
         for _ in range(rounds):
             share = w[:, None] * p
             w = (share / share.sum(axis=0) * n).sum(axis=1) / n.sum()
-            w = np.maximum(w, 1e-9) / np.maximum(w, 1e-9).sum()
-        out[bucket] = w
-    out[0] = (0, 0.95, 0.05) if 0 not in by else out[0]
-    return out
+            w = np.where(weights[b] > 0, np.maximum(w, 1e-9), 0)
+            w /= w.sum()
+        weights[b] = w
+    for b in range(len(weights)):
+        kin = known[known // 64 == b // 64]
+        if len(kin) and b not in kin:
+            weights[b] = weights[kin[np.argmin(np.abs(kin - b))]]
+    return weights
 
 
-def with_scores(docs: DataFrame, min_share: float = MIN_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scores_of(block: pa.Table, answers: pa.Table, weights: np.ndarray, tokens: int, distinct: int, schema: pa.Schema) -> pa.Table:
+    """Scores of a block's documents with the counts it was answered."""
+    keys, lengths = block_keys(block.column("text"))
+    counts = token_counts(keys, answers, "n")
+    p, bucket = estimates(counts, lengths, tokens, distinct)
+    w = weights if tokens else np.eye(ORDERS + 1)[np.zeros(len(weights), int)]
+    p = w[bucket, 0] / (distinct + 1) + sum(w[bucket, k + 1] * p[k] for k in range(ORDERS))
+    firsts = np.cumsum(lengths) - lengths
+    total = lambda x: np.add.reduceat(x, firsts)
+    made = [block.column("doc_id").combine_chunks(), pa.array(np.full(len(lengths), block.column("kind")[0].as_py() == HELD_OUT_BLOCK)), pa.array(lengths), pa.array(total((counts[0] > 0).astype(np.int64))), pa.array(np.full(len(lengths), tokens)), pa.array(total(np.log10((counts[0] + 1) / (tokens + distinct + 1)))), pa.array(total(np.log10(p)))]
+    return pa.Table.from_arrays([a.cast(f.type) for a, f in zip(made, schema, strict=True)], schema=schema)
+
+
+def with_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of `docs`.
 
     A null or empty text is its end alone. A null id is in the fold of the empty text. Repeated rows are texts of their own.
     With no training text every count is 0. Other columns aren't looked at; an empty table gives an empty result."""
-    context = docs.sparkSession.sparkContext
-    docs = docs.select("doc_id", "text")
-    counts = checkpointed(word_counts(docs))
-    total, distinct, kept_total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum("kept"), F.lit(0))).first()
-    rows = counts.where((F.col("n") >= min_share * total) | (F.octet_length("word") == 0)).collect()  # at most 1 / min_share + 1
-    classes = Classes(sorted((bytes(r.word), r.n, r.kept) for r in rows), total, distinct, kept_total)
-    if classes.own >= 1 << _KEY_BITS:
-        raise ValueError("min_share gives more classes than keys have room for")
-    shared = context.broadcast(classes)
-
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = size // block_bytes + 1
-    parts = blocks
-    dealt = docs.withColumn("th", F.xxhash64("text")).withColumn("block", F.pmod(F.xxhash64("doc_id", "th"), F.lit(blocks)))
-
-    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, kept, deleted, _ = asked(pdf, shared.value)
-        part = _part(keys, parts)
-        order = np.argsort(part, kind="stable")
-        part, keys, kept, deleted = part[order], keys[order], kept[order].astype(np.uint32), deleted[order].astype(np.uint32)
-        edges, out = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)], []
-        for lo, hi in zip(edges, edges[1:]):  # only parts that have a key
-            out.append((int(pdf["block"].iloc[0]), int(part[lo]), *[a[lo:hi].tobytes() for a in (keys, kept, deleted)]))
-        return pd.DataFrame(out, columns=["block", "part", "keys", "kept", "deleted"])
-
-    requests = dealt.groupBy("block").applyInPandas(ask, "block long, part long, keys binary, kept binary, deleted binary")
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = shared.value
-        keys = [np.frombuffer(b, np.uint64) for b in pdf["keys"]]
-        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        kept = np.bincount(inverse, np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["kept"]]), len(every)).astype(np.int64)
-        deleted = np.bincount(inverse, np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["deleted"]]), len(every)).astype(np.int64)
-        out, at = [], 0
-        for block, own in zip(pdf["block"], keys, strict=True):
-            out.append((block, int(pdf["part"].iloc[0]), zlib.compress((kept + deleted)[inverse[at : at + len(own)]].astype("<u4").tobytes(), 1), None))
-            at += len(own)
-        return pd.concat([pd.DataFrame(out, columns=["block", "part", "counts", "cells"]), held_out_cells(every, kept, deleted, model)])
-
-    answers = checkpointed(requests.groupBy("part").applyInPandas(answer, "block long, part long, counts binary, cells array<long>"))
-    cells = answers.where("cells is not null").select(*[F.col("cells")[i].alias(c) for i, c in enumerate("bxyn")]).groupBy("b", "x", "y").agg(F.sum("n").alias("n"))
-    classes.weights = em_weights([tuple(r) for r in cells.collect()])  # at most 64 x 64 * _STEPS x 64 * _STEPS cells, a few thousand in use
-    model = context.broadcast(classes)
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return scored(left, right, model.value, parts)
+    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
+    kind = F.when(fold == HELD_OUT, HELD_OUT_BLOCK).when(fold == DELETED, DELETED_BLOCK).otherwise(KEPT_BLOCK)
+    docs = docs.select("doc_id", "text", kind.cast("int").alias("kind"))
+    sizes = {r.kind: r.bytes or 0 for r in docs.groupBy("kind").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    blocks = {k: n // block_bytes + 1 for k, n in sizes.items()}
+    n_blocks = max(sum(blocks.values()), 1)
+    parts = n_blocks // 2 + 1
+    number = F.pmod(F.xxhash64("doc_id", "text"), F.element_at(F.create_map(*[F.lit(x) for k in range(3) for x in (k, blocks.get(k, 1))]), F.col("kind")).cast("long"))
+    dealt = docs.withColumn("block", number * 3 + F.col("kind")).repartition(n_blocks, "block")
+
+    requests = dealt.groupBy("block").applyInArrow(lambda table: requests_of(table, parts), REQUEST)
+    answers = checkpointed(requests.repartition(parts, "part").groupBy("part").applyInArrow(answers_of, ANSWER))
+    tokens, distinct, kept_tokens, kept_distinct = answers.where("totals is not null").agg(*[F.coalesce(F.sum(F.col("totals")[i]), F.lit(0)) for i in range(4)]).first()
+    answers = answers.where("block is not null").drop("totals")
+    wanted = answers.where(F.col("kind") == DELETED_BLOCK).repartition(max(blocks.get(DELETED_BLOCK, 1), 1), "block")
+    deleted = docs.where(F.col("kind") == DELETED_BLOCK).withColumn("block", number * 3 + F.col("kind")).repartition(max(blocks.get(DELETED_BLOCK, 1), 1), "block")
+    cells = deleted.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(lambda left, right: held_out_cells(left, right, kept_tokens, kept_distinct), CELL)
+    cells = cells.groupBy("cell").agg(F.sum("n").alias("n"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(ORDERS)])
+    weights = em_weights([tuple(r) for r in cells.collect()])  # cells of a fixed grid, some ten thousand in use
 
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(n, t) for n, t in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))]]
-    return dealt.groupBy("block").cogroup(answers.where("counts is not null").select("block", "part", "counts").groupBy("block")).applyInPandas(score, T.StructType(fields))
-
-
-def held_out_cells(keys: np.ndarray, kept: np.ndarray, deleted: np.ndarray, model: Classes) -> pd.DataFrame:
-    """The histogram of the deleted bigrams among the keys."""
-    use = (deleted > 0) & (keys < _RARE_WORD)
-    before, after = (keys[use] >> np.uint64(_KEY_BITS)).astype(np.int64), (keys[use] & np.uint64((1 << _KEY_BITS) - 1)).astype(np.int64)
-    n, of = deleted[use], model.contexts(model.kept)[before]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        single = model.kept[after] / max(model.kept_total, 1)
-        base = np.where(single > 0, single, 1 / (model.own - 1))
-        x = np.where(kept[use] > 0, np.round(np.log2(kept[use] / np.maximum(of, 1) / base) * _STEPS), -10000)
-        y = np.where(single > 0, np.round(np.log2(1 / (model.own - 1) / base) * _STEPS), 10000)
-    table = pd.DataFrame({"b": _bucket(of), "x": x.astype(np.int64), "y": y.astype(np.int64), "n": n}).groupby(["b", "x", "y"], as_index=False).sum()
-    return pd.DataFrame({"block": None, "part": None, "counts": None, "cells": table.to_numpy(np.int64).tolist()}, columns=["block", "part", "counts", "cells"])
-
-
-def scored(left: pd.DataFrame, right: pd.DataFrame, model: Classes, parts: int) -> pd.DataFrame:
-    """Scores of a block's documents with the counts it was answered."""
-    distinct, _, _, (pdf, keys, lengths, rare, inverse) = asked(left, model)
-    count, part = np.zeros(len(distinct), np.int64), _part(distinct, parts)
-    for k, got in zip(right["part"], right["counts"], strict=True):
-        count[part == k] = np.frombuffer(zlib.decompress(got), "<u4")
-    count = count[inverse]
-    bigram, rare_count = count[: len(keys)], count[len(keys) :]
-    before, after = keys >> _KEY_BITS, keys & ((1 << _KEY_BITS) - 1)
-    single = model.count[after]
-    single[after == RARE] = rare_count
-    contexts = model.contexts(model.count)[before]
-    w = model.weights[_bucket(contexts)]
-    p = w[:, 0] * bigram / np.maximum(contexts, 1) + w[:, 1] * model.count[after] / max(model.total, 1) + w[:, 2] / (model.own - 1)
-    if model.total == 0:
-        p[:] = 1 / (model.own - 1)
-    inner = np.ones(len(keys))
-    inner[after == RARE] = (rare_count + 1) / (model.count[RARE] + model.rare_types + 1)
-    starts = np.cumsum(lengths) - lengths
-    total = lambda x: np.add.reduceat(x, starts)
-    return pd.DataFrame({
-        "doc_id": pdf["doc_id"].tolist(),
-        "held_out": [fold_of(None if pd.isna(d) else d) == HELD_OUT for d in pdf["doc_id"].tolist()],
-        "n_tokens": lengths,
-        "n_known": total((single > 0).astype(np.int64)),
-        "train_tokens": model.total,
-        "base_score": total(np.log10((single + 1) / (model.total + model.distinct + 1))),
-        "score": total(np.log10(p * inner)),
-    })
+    arrow = to_arrow_schema(T.StructType(fields))
+    return dealt.groupBy("block").cogroup(answers.repartition(n_blocks, "block").groupBy("block")).applyInArrow(lambda left, right: scores_of(left, right, weights, tokens, distinct, arrow), T.StructType(fields))
