@@ -10,7 +10,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -57,14 +59,42 @@ def test_token_query_and_budgets(spark, tiny, rows):
 # --- HTML
 
 
-def test_html_query_matches_articles(spark, tiny):
+def plain_article(page):
+    """The text of the page's <article>, by regular expressions."""
     from html import unescape
 
-    pages = {r.page_id: r.html for r in spark.read.parquet(f"{tiny}/pages.parquet").collect()}
+    article = re.search(r"<article>(.*?)(?:</article>|$)", page, re.S)[1]
+    parts = (re.sub(r"\s+", " ", unescape(p)).strip() for p in re.split(r"</?(?:p|br|h1)>", re.sub(r"</?[bi]>", "", article)))
+    return " ".join(p for p in parts if p)
+
+
+@pytest.fixture(scope="module")
+def pages(spark, tiny):
+    return {r.page_id: r.html for r in spark.read.parquet(f"{tiny}/pages.parquet").collect()}
+
+
+def test_html_query_matches_articles(spark, tiny, pages):
     for r in queries.op2_html_text(spark, tiny).collect():
-        article = re.search(r"<article>(.*?)(?:</article>|$)", pages[r.page_id], re.S)[1]
-        parts = (re.sub(r"\s+", " ", unescape(p)).strip() for p in re.split(r"</?(?:p|br|h1)>", re.sub(r"</?[bi]>", "", article)))
-        assert r.text == " ".join(p for p in parts if p) and r.n_chars == len(r.text)
+        assert r.text == plain_article(pages[r.page_id]) and r.n_chars == len(r.text)
+
+
+def test_html_by_density(pages, monkeypatch):
+    """Without <article>, and without any name at all, density finds the same texts; without density nothing does."""
+    unnamed = {i: re.sub(r"(</?)(?:nav|footer|article|div)\b[^>]*", r"\1div", p) for i, p in pages.items()}
+    right = lambda p: [html_text.main_text(p[i]) == plain_article(pages[i]) for i in pages]
+    assert all(right({i: re.sub("article>", "div>", p) for i, p in pages.items()}))
+    assert sum(right(unnamed)) >= 0.9 * len(pages)  # on the others two short texts weigh no more than an advert and a footer
+    measure = html_text.measure
+    monkeypatch.setattr(html_text, "measure", lambda nodes: (measure(nodes), [setattr(n, "density", 0.0) for n in nodes]))
+    assert not any(right(unnamed))
+
+
+def test_html_stray_end_tags_take_no_time():
+    import time
+
+    begun = time.perf_counter()
+    assert html_text.main_text("<div>" * 20000 + "</section></p>" * 20000 + "<b>" * 5000 + "<hr>" * 5000 + "deep") == "deep"
+    assert time.perf_counter() - begun < 20
 
 
 def test_html_layouts():
@@ -89,19 +119,76 @@ def test_html_without_article_keeps_every_section():
 # --- unit dedup
 
 
+def plain_sentences(line):
+    """(start, end) of the sentences: up to and with a run of .!? and the blanks after it."""
+    out, start, i = [], 0, 0
+    while i < len(line):
+        while i < len(line) and line[i] not in ".!?":
+            i += 1
+        while i < len(line) and line[i] in ".!?":
+            i += 1
+        while i < len(line) and line[i].isspace():
+            i += 1
+        if line[start:i].strip():
+            out.append((start, i))
+        start = i
+    return out
+
+
+def plain_dedup(rows):
+    """{id: (text, spans, n_removed)} for (id, text) rows with distinct ids: by comparing the units' words, one character of the text at a time."""
+    seen, out = {}, {}
+    for doc_id, text in sorted(rows):
+        gone, removed, at = [False] * len(text), [], 0
+        for line in text.split("\n"):
+            words = tuple(line.lower().split())
+            end = at + len(line) + 1
+            line_goes = bool(words) and words in seen
+            if words:
+                seen.setdefault(words, doc_id)
+            if line_goes:
+                removed.append((at, end))
+            parts = [(x, y, tuple(line[x:y].lower().split())) for x, y in plain_sentences(line)]
+            if len(words) >= 8 and len(parts) > 1:
+                for i, (x, y, own) in enumerate(parts):
+                    keys = [own] if len(own) >= 8 else []
+                    if not keys:
+                        for side in (-1, 1):
+                            run, k = [own], i
+                            while sum(map(len, run)) < 8 and 0 <= k + side < len(parts):
+                                k += side
+                                run = [parts[k][2], *run] if side < 0 else [*run, parts[k][2]]
+                            if sum(map(len, run)) >= 8:
+                                keys.append((side, sum(run, ())))
+                    if any(k in seen for k in keys) and not line_goes:
+                        removed.append((at + x, at + y))
+                    for k in keys:
+                        seen.setdefault(k, doc_id)
+            at = end
+        for x, y in removed:
+            gone[x:y] = [True] * (min(y, len(text)) - x)
+        out[doc_id] = ("".join(c for c, g in zip(text, gone, strict=True) if not g), len(removed))
+    return out
+
+
 def test_units_against_plain_python(spark, docs, rows):
-    seen, want = {}, {}
-    for doc_id in sorted(rows):
-        spans = []
-        for start, end, own in unit_dedup.units(rows[doc_id]):
-            if own in seen:
-                spans.append({"start": start, "end": end, "first_id": seen[own]})
-            else:
-                seen[own] = doc_id
-        want[doc_id] = unit_dedup.cut_out(rows[doc_id], spans)
-    for r in unit_dedup.with_units_removed(docs).collect():
-        assert (r.text, r.n_removed) == (want[r.doc_id][0], want[r.doc_id][2])
-        assert [(s.start, s.end) for s in r.removed] == [(s["start"], s["end"]) for s in want[r.doc_id][1]]
+    want = plain_dedup(rows.items())
+    got = unit_dedup.with_units_removed(docs).collect()
+    assert any(n for _, n in want.values())
+    for r in got:
+        assert (r.text, r.n_removed) == want[r.doc_id]
+        assert "".join(rows[r.doc_id][a:b] for a, b in zip([0, *[s.end for s in r.removed]], [*[s.start for s in r.removed], len(rows[r.doc_id])], strict=True)) == r.text
+
+
+def test_units_of_repeated_rows_and_ids(spark):
+    line = "One line of the text. Another sentence of it has a few more words in it."
+    rows = [(0, line), (1, "x\n" + line), (1, "x\n" + line), (1, "x\n" + line), (2, "y y\ny y"), (3, "z z"), (3, "z z\nw"), (None, "v v"), (4, "V  v"), (None, None), (5, "")]
+    out = unit_dedup.with_units_removed(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(out) == len(rows)
+    got = {(r.doc_id, r.text, r.n_removed, tuple(tuple(s) for s in r.removed)) for r in out}
+    second = {x for x in got if x[0] == 3}
+    assert got - second == {(0, line, 0, ()), (1, "x\n", 1, ((2, 2 + len(line), 0),)), (2, "y y\n", 1, ((4, 7, 2),)), (None, "v v", 0, ()), (4, "", 1, ((0, 4, None),)), (None, None, 0, ()), (5, "", 0, ())}
+    assert sorted(n for _, _, n, _ in second) == [0, 1]  # z z stays in one of the two
 
 
 def test_short_units(spark):
@@ -220,6 +307,46 @@ def test_simhash_of_a_dense_group(spark):
     assert {frozenset(v for v, c in got.items() if c == k) for k in set(got.values())} >= {frozenset(values[i] for i, c in enumerate(want) if c == k) for k, n in groups.items() if n > 1}
 
 
+def test_heavy_labels_in_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HEAVY", 3)
+    rng = random.Random(6)
+    values = set()
+    for _ in range(6):  # groups that share buckets, some of them linked with each other
+        center = rng.getrandbits(10)
+        values |= {center ^ sum(1 << b for b in rng.sample(range(12, 64), rng.randint(0, 3))) for _ in range(40)}
+    values = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    got = {r.node: r.component for r in simhash.fingerprint_components(spark.createDataFrame([(v,) for v in values], "fp long")).collect()}
+    want = plain_components([v & (1 << 64) - 1 for v in values], 4)
+    groups = Counter(want)
+    assert {frozenset(v for v, c in got.items() if c == k) for k in set(got.values())} == {frozenset(values[i] for i, c in enumerate(want) if c == k) for k, n in groups.items() if n > 1}
+
+
+def plain_fingerprint(text):
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())) if w]
+    shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64(s, seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_against_plain_python(rows):
+    texts = [*list(rows.values())[:40], "", "A", "b c", "one two Three four", "x\u00a0y Ä z w v", "a a a a a a a a"]
+    for t in texts:
+        assert fingerprints.simhash(t) == plain_fingerprint(t)
+
+
+def test_keep_one_judges_rows_by_their_text(spark):
+    rng = random.Random(8)
+    t = [" ".join(str(rng.random()) for _ in range(60)) for _ in range(9)]
+    rows = [(0, t[0]), (1, t[1]), (1, t[0])]  # t[1] stands nowhere else
+    rows += [(5, t[2]), (5, t[3])]  # unlike texts under one id
+    rows += [(16, t[4]), (16, t[4]), (13, t[4]), (13, t[4]), (17, t[5])]  # repeated rows
+    rows += [(None, t[6]), (None, t[6]), (None, t[7]), (22, t[7])]  # nulls come last
+    rows += [(31, t[8] + " end"), (30, t[8])]  # near copies
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = [(0, t[0]), (1, t[1]), (5, t[2]), (5, t[3]), (13, t[4]), (17, t[5]), (None, t[6]), (22, t[7]), (30, t[8])]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got))) == sorted(map(repr, want))
+
+
 def test_plan_thresholds_cover_the_distance():
     for n in (100, 10_000, 10_000_000):
         plan = simhash.search_plan(n, np.full((64, 64), n / 4) + np.eye(64) * n / 4)
@@ -273,36 +400,117 @@ def test_media_query(spark, tiny, rows):
 # --- pieces
 
 
-def test_sampling_follows_the_lattice():
-    from sentencepiece import SentencePieceProcessor
+def plain_lattice(model, unit):
+    """Edges (start, end, ids, weight) of a unit, from the pieces' bytes alone."""
+    ids = {b.decode(): i for i, b in enumerate(model.bytes_of) if i > max(model.byte_id) and b}
+    out = []
+    for i in range(len(unit)):
+        for j in range(i + 1, min(len(unit), i + model.longest) + 1):
+            if unit[i:j] in ids:
+                out.append((i, j, (ids[unit[i:j]],), math.log(model.weight[ids[unit[i:j]]])))
+        if unit[i] not in ids:
+            spelled = unit[i].encode("utf-8", "surrogatepass")
+            out.append((i, i + 1, tuple(model.byte_id[b] for b in spelled), len(spelled) * math.log(model.byte_weight)))
+    return out
 
-    path = tokenizer("pieces")
-    model, sp = pieces.Lattice(path), SentencePieceProcessor(model_file=path)
-    ids = {sp.id_to_piece(i).replace("▁", " "): i for i in range(259, sp.get_piece_size())}
-
-    def paths(s):
-        if not s:
-            yield (), 1.0
-        for j in range(1, len(s) + 1):
-            if s[:j] in ids:
-                for rest, w in paths(s[j:]):
-                    yield (ids[s[:j]], *rest), w * model.weight[ids[s[:j]]]
-
-    every = dict(paths(" then"))
+
+@pytest.fixture(scope="module")
+def model():
+    return pieces.Lattice(tokenizer("pieces"))
+
+
+@pytest.mark.parametrize("word", ["then", "a", "Zeit", "the🙂n", "ñandú", "x" * 9, "12ab", "日本語", "end.", "\tto"])
+def test_sampling_follows_the_lattice(model, word):
+    edges = plain_lattice(model, " " + word)
+
+    def paths(i):
+        if i > len(word):
+            yield (), 0.0
+        for a, b, ids, w in edges:
+            if a == i:
+                for rest, v in paths(b):
+                    yield (*ids, *rest), w + v
+
+    every = {}
+    for p, w in paths(0):
+        every[p] = every.get(p, 0) + math.exp(w)
     n, scale = 20000, sum(every.values())
-    drawn, at = model.sample(["then"] * n, list(range(n)))
+    drawn, at = model.sample([word] * n, list(range(n)))
     seen = Counter(tuple(drawn[a:b].tolist()) for a, b in zip(at, at[1:], strict=False))
     assert set(seen) <= set(every)
     for p, w in every.items():
         assert abs(seen[p] - n * w / scale) < 6 * math.sqrt(n * w / scale) + 3
 
 
+def plain_sample(model, text, key, seed=pieces.SEED):
+    """Forward filtering and backward sampling of one text, step by step."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    out, row = [], mix(pieces.hash_key(key) ^ seed)
+    for k, unit in enumerate(re.findall(" +[^ ]*", " " + text) if text else []):
+        edges, total = plain_lattice(model, unit), {0: 0.0}
+        for j in range(1, len(unit) + 1):
+            into = [total[a] + w for a, b, _, w in edges if b == j]
+            most = max(into)
+            total[j] = most + math.log(sum(math.exp(x - most) for x in into))
+        own, at, step = mix((row + k) * 0x9E3779B97F4A7C15 & mask), len(unit), 0
+        drawn = []
+        while at:
+            u, run = (mix((own + step) & mask) >> 32) / 2**32, 0.0
+            for a, _, ids, w in sorted((e for e in edges if e[1] == at), key=lambda e: -e[0]):
+                run += math.exp(total[a] + w - total[at])
+                if u < run:
+                    break
+            drawn.insert(0, ids)
+            at, step = a, step + 1
+        out += [i for ids in drawn for i in ids]
+    return out
+
+
+MIXED = st.text(st.sampled_from("🙂😀👩ab cdeñ 日本語\n\t▁\x00 thenZ."), max_size=60)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(MIXED, max_size=4))
+def test_samples_against_plain_python(model, texts):
+    with np.errstate(all="raise"):
+        ids, at = model.sample(texts, list(range(len(texts))))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [plain_sample(model, t, k) for k, t in enumerate(texts)]
+    assert model.same_texts(ids, at, texts).all()
+
+
+def test_long_units_do_not_underflow(model):
+    texts = ["🙂" * 3000 + "abc" * 100, "🙂🙂🙂abcdefghijklm" + "🙂" * 40, "ñ" * 500, None, ""]
+    with np.errstate(all="raise"):
+        ids, at = model.sample(texts, [1, 2, 3, 4, 5])
+    assert model.same_texts(ids, at, texts).all()
+    wrong = ids.copy()
+    wrong[0] ^= 1
+    assert model.same_texts(wrong, at, texts).tolist() == [False, True, True, True, True]
+
+
+def test_samples_do_not_depend_on_the_memo(model, monkeypatch):
+    texts = [f"some words of text {i} and number {i * i}" for i in range(50)]
+    want = model.sample(texts, list(range(50)))[0].tolist()
+    monkeypatch.setattr(pieces, "MEMO_EDGES", 100)
+    other = pieces.Lattice(tokenizer("pieces"))
+    assert [x for i, t in enumerate(texts) for x in other.sample([t], [i])[0].tolist()] == want
+
+
 def test_pieces_repeat_and_decode(spark, docs, rows):
     path = tokenizer("pieces")
     one = {r.doc_id: r.pieces for r in pieces.with_pieces(docs.select("doc_id", "text"), path).collect()}
     two = pieces.with_decoded(pieces.with_pieces(docs.select("doc_id", "text").repartition(7), path), path)
     for r in two.collect():
         assert r.pieces == one[r.doc_id] and r.decoded == rows[r.doc_id]
+    for r in pieces.with_round_trip(docs.select("doc_id", "text"), path).collect():
+        assert r.lossless and r.n_pieces == len(one[r.doc_id])
+        assert r.pieces_sha256 == hashlib.sha256(np.array(one[r.doc_id], "<i4").tobytes()).hexdigest()
 
 
 # --- quality
@@ -331,32 +539,113 @@ def test_label_model_finds_the_good_labellers():
 # --- language model
 
 
+def plain_tokens(text):
+    return [w for w in re.split(rb"[\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())) if w] + [b""]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("aAbBzZ éß日🙂 \t\n\x0b\x1c.[`{"), max_size=30)), max_size=6), st.integers(1, 40))
+def test_token_hashes(texts, size):
+    slice_size, language_model.SLICE = language_model.SLICE, size
+    try:
+        got, lengths = language_model.token_hashes(pa.array(texts, pa.string()))
+        part, _ = language_model.token_hashes(pa.array(["x y", *texts], pa.string()).slice(1))
+    finally:
+        language_model.SLICE = slice_size
+    want = [plain_tokens(t) for t in texts]
+    assert lengths.tolist() == [len(w) for w in want] and (part == got).all()
+    words = [w for ws in want for w in ws]
+    pairs = set(zip(words, got.tolist(), strict=True))
+    assert len({w for w, _ in pairs}) == len({h for _, h in pairs}) == len(pairs)
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=20))
+def test_packed_numbers_come_back(values):
+    values = np.array(values, np.uint64)
+    assert (language_model.unpacked(language_model.packed(values)) == values).all()
+
+
+def test_counts_beyond_32_bits():
+    """Two blocks that have one word 3e9 times each: the totals don't wrap."""
+    keys = [np.array([7], np.uint64)] * 3
+    rows = [(b, k, 0, *[language_model.packed(x) for x in keys], *[language_model.packed(np.array([n]))] * 3) for b, k, n in ((0, language_model.KEPT_BLOCK, 3_000_000_000), (1, language_model.DELETED_BLOCK, 3_000_000_000))]
+    out = language_model.answers_of(language_model._table(rows, language_model.REQUEST)).to_pylist()
+    assert [language_model.unpacked(r["n2"]).tolist() for r in out[:2]] == [[6_000_000_000]] * 2
+    assert out[0]["kept0"] is None and language_model.unpacked(out[1]["kept0"]).tolist() == [3_000_000_000]
+    assert out[2]["totals"] == [6_000_000_000, 1, 3_000_000_000, 1]
+
+
+def plain_model(tokens, fold):
+    """Scores by deleted interpolation from counters of word n-grams, with the weights learned on every deleted token."""
+    grams = lambda t, k: [tuple([None, None, *t][i + 3 - k : i + 3]) for i in range(len(t))]
+
+    def counts(folds):
+        return [Counter(g for i, t in tokens.items() if fold[i] in folds for g in grams(t, k)) for k in (1, 2, 3)]
+
+    def parts(c, t):
+        n, v, starts = sum(c[0].values()), len(c[0]), c[0][(b"",)]
+        for i, (one, two, three) in enumerate(zip(grams(t, 1), grams(t, 2), grams(t, 3), strict=True)):
+            of_one = c[0][(t[i - 1],)] if i else starts
+            of_two = c[1][two[:1] and tuple([None, None, *t][i : i + 2])] if i else starts
+            p = [1 / (v + 1), c[0][one] / n, c[1][two] / of_one if of_one else 0, c[2][three] / of_two if of_two else 0]
+            yield (2, of_two.bit_length()) if of_two else (1, of_one.bit_length()) if of_one else (0, 0), p
+
+    kept, whole = counts({1, 3, 4, 5, 6}), counts({0, 1, 3, 4, 5, 6})
+    by = {}
+    for i, t in tokens.items():
+        if fold[i] == 0:
+            for b, p in parts(kept, t):
+                by.setdefault(b, []).append(p)
+    weights = {}
+    for b, ps in by.items():
+        k = b[0] + 2
+        w = np.array([1 / k] * k + [0] * (4 - k))
+        p = np.array(ps).T
+        for _ in range(language_model.ROUNDS):
+            share = w[:, None] * p
+            w = (share / share.sum(axis=0)).sum(axis=1) / len(ps)
+        weights[b] = w
+    out = {}
+    for i, t in tokens.items():
+        score = 0.0
+        for b, p in parts(whole, t):
+            near = b if b in weights else min((x for x in weights if x[0] == b[0]), key=lambda x: abs(x[1] - b[1]), default=None)
+            w = weights[near] if near else np.array([1 / (b[0] + 2)] * (b[0] + 2) + [0] * (2 - b[0]))
+            score += math.log10(float(np.dot(w, p)))
+        out[i] = score
+    return out
+
+
 def test_scores_against_plain_python(spark, docs, rows):
-    tokens = {i: [*re.findall(rb"[^\x20\x09-\x0D]+", language_model.lower_ascii(t.encode())), b""] for i, t in rows.items()}
+    tokens = {i: plain_tokens(t) for i, t in rows.items()}
     fold = {i: zlib.crc32(str(i).encode()) % 7 for i in rows}
     count = Counter(w for i, t in tokens.items() if fold[i] != 2 for w in t)
     n, v = sum(count.values()), len(count)
-    out = {r.doc_id: r for r in language_model.with_scores(docs, min_share=1e-3, block_bytes=40_000).collect()}
+    out = {r.doc_id: r for r in language_model.with_scores(docs, block_bytes=40_000).collect()}
+    want = plain_model(tokens, fold)
     for i, t in tokens.items():
         base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t)
         r = out[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold[i] == 2, len(t), sum(count[w] > 0 for w in t), n)
         assert abs(r.base_score - base) < 1e-7 * abs(base)
+        assert abs(r.score - want[i]) < 2e-3 * abs(want[i])  # the weights come from cells, not from single tokens
     held = [r for r in out.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
 def test_model_is_a_distribution():
-    """The probabilities that a context gives to all classes come to one."""
-    rng = np.random.default_rng(2)
-    rows = [(b"", 30, 20), *[(f"w{i}".encode(), int(n), int(n) // 2) for i, n in enumerate(rng.integers(5, 40, 10))]]
-    total = sum(r[1] for r in rows) + 50
-    model = language_model.Classes(rows, total, len(rows) + 30, total // 2)
-    weights = language_model.em_weights([(5, 3, -8, 40), (5, -10000, -4, 10)])
-    bigram = rng.multinomial(model.count[5], np.ones(model.own) / model.own)
-    bigram[language_model.START] = 0
-    c = bigram.sum()
-    w = weights[5]
-    classes = [k for k in range(model.own) if k != language_model.START]
-    p = sum(w[0] * bigram[k] / c + w[1] * model.count[k] / model.total + w[2] / (model.own - 1) for k in classes)
-    assert abs(p - 1) < 1e-9
+    """The probabilities that a context gives to all words and the unknown one come to one, in every bucket."""
+    texts = [b"a b a c", b"b a", b"c c a b", b"a"]
+    tokens = [plain_tokens(t.decode()) for t in texts]
+    one = Counter(w for t in tokens for w in t)
+    two = Counter(p for t in tokens for p in zip([None, *t], t, strict=False))
+    three = Counter(p for t in tokens for p in zip([None, None, *t], [None, *t], t, strict=False))
+    weights = language_model.em_weights([((b << 33) | c, 5 + c, 3.0 * c, 1.0 + c, 0.5) for b in (0, 65, 66, 129) for c in (0, 2)])
+    assert np.allclose(weights.sum(axis=1), 1)
+    n, v = sum(one.values()), len(one)
+    for u, w in [(None, None), (None, b"a"), (b"a", b"b"), (b"z", b"a"), (b"z", b"z")]:
+        of_one = one[w] if w else one[b""]
+        of_two = two[u, w] if w else one[b""]
+        b = 128 + int(math.log2(of_two)) if of_two else 64 + int(math.log2(of_one)) if of_one else 0
+        total = sum(weights[b] @ [1 / (v + 1), one[x] / n, two[w, x] / max(of_one, 1), three[u, w, x] / max(of_two, 1)] for x in [*one, b"unknown"])
+        assert abs(total - 1) < 1e-9
