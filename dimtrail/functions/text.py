@@ -63,7 +63,7 @@ def to_flag(c: Column | str) -> Column:
 
 # Accepted date formats, dates before times.
 DATE_FORMATS = ("yyyy-M-d",)
-TIME_FORMATS = ("yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:sXXX", "yyyy-M-d H:m:sXXX", "yyyy-M-d'T'H:m:s.SSSSSS", "yyyy-M-d H:m:s.SSSSSS", "yyyy-M-d'T'H:m:s.SSS", "yyyy-M-d H:m:s.SSS", "yyyy-M-d'T'H:mXXX", "yyyy-M-d H:m", "yyyy-M-d'T'H:m")
+TIME_FORMATS = ("yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:sXXX", "yyyy-M-d H:m:sXXX", "yyyy-M-d'T'H:m:s.SSSSSS", "yyyy-M-d H:m:s.SSSSSS", "yyyy-M-d'T'H:m:s.SSS", "yyyy-M-d H:m:s.SSS", "yyyy-M-d'T'H:m:s.SSSXXX", "yyyy-M-d'T'H:m:s.SSSSSSXXX", "yyyy-M-d H:m:s.SSSXXX", "yyyy-M-d H:m:s.SSSSSSXXX", "yyyy-M-d'T'H:mXXX", "yyyy-M-d H:m", "yyyy-M-d'T'H:m")
 
 
 def to_history_date(c: Column | str) -> Column:
@@ -158,18 +158,22 @@ def is_email(c: Column | str) -> Column:
 
 
 def mask_email(c: Column | str) -> Column:
+    """First letter and all from the first @; a name of one letter or none shows nothing."""
     text = trim_ws(c)
-    return F.when(text.contains("@"), F.concat(F.substring(text, 1, 1), F.lit("***@"), F.substring_index(text, "@", -1))).when(text.isNotNull(), "<MASKED_EMAIL>")
+    at = F.instr(text, "@")
+    user = F.when(at > 2, F.concat(F.substring(text, 1, 1), F.lit("***"))).otherwise("*")
+    return F.when(at > 0, F.concat(user, F.substr(text, at))).when(text.isNotNull(), "<MASKED_EMAIL>")
 
 
 def mask_phone(c: Column | str) -> Column:
     digits = F.regexp_replace(col(c), "[^0-9]", "")
-    return F.when(F.length(digits) >= 4, F.concat(F.lit("***-***-"), F.right(digits, F.lit(4)))).when(col(c).isNotNull(), "***-****")
+    return F.when(F.length(digits) >= 4, F.concat(F.lit("***-"), F.right(digits, F.lit(4)))).when(col(c).isNotNull(), "***-****")
 
 
 def mask_name(c: Column | str) -> Column:
     words = F.filter(F.split(trim_ws(c), r"(?U)\s+"), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lit("***"))), " ")
+    shown = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lit("***"))), " ")
+    return F.when(shown == "", "***").otherwise(shown)
 
 
 def shape_token(c: Column | str) -> Column:
@@ -179,28 +183,31 @@ def shape_token(c: Column | str) -> Column:
     return F.when(trim_ws(text).rlike(EMAIL), "<EMAIL>").when(trim_ws(text).rlike(SSN), "<SSN>").when(trim_ws(text).rlike(PHONE), "<PHONE>").otherwise(shape)
 
 
+# Columns whose values are names of persons.
+NAME_COLUMNS = ("name", "first_name", "last_name", "full_name", "client_name", "client_full_name", "contact_name")
+
+
 def sample_value(c: Column | str, policy: str, name: str = "") -> Column:
-    """A value as samples may show it: masked by what it looks like and by the column's name, its shape only, or raw; cut at 50."""
-    text = col(c).cast("string")
+    """A value as samples may show it: masked by what it looks like or by what its column is called, else cut at 50; its shape only; or raw."""
+    text = trim_ws(col(c).cast("string"))
     if policy == "raw":
-        shown = text
-    elif policy == "shape_only":
-        shown = shape_token(text)
-    elif policy == "masked":
-        looks = trim_ws(text)
-        named = mask_name(text) if "name" in name.lower() else text
-        shown = F.when(looks.rlike(EMAIL), mask_email(text)).when(looks.rlike(SSN), "***-**-****").when(looks.rlike(PHONE), mask_phone(text)).otherwise(named)
-    else:
+        return text
+    if policy == "shape_only":
+        return shape_token(text)
+    if policy != "masked":
         raise ValueError(f"unknown policy {policy}")
-    return F.when(F.length(shown) > 50, F.concat(F.substring(shown, 1, 50), F.lit("..."))).otherwise(shown)
+    called = [F.lit(word in name.lower()) for word in ("email", "phone", "ssn")]
+    of_person = F.lit(name.lower() in NAME_COLUMNS) & ~text.rlike("^[0-9]+$")
+    cut = F.when(F.length(text) > 50, F.concat(F.substring(text, 1, 50), F.lit("..."))).otherwise(text)
+    return F.when(text.rlike(EMAIL) | called[0], mask_email(text)).when(text.rlike(PHONE) | called[1], mask_phone(text)).when(text.rlike(SSN) | called[2], F.when(text.isNotNull(), "***-**-1234")).when(of_person, mask_name(text)).otherwise(cut)
 
 
 def date_pattern(c: Column | str) -> Column:
-    """The pattern that a value's date is written in, or null."""
+    """The pattern that a value's date is written in, or null. Day and month are ambiguous if both could be months and they differ."""
     text = trim_ws(c)
     first, second = (F.regexp_extract(text, r"^([0-9]{1,2})/([0-9]{1,2})/[0-9]{4}$", i).try_cast("int") for i in (1, 2))
-    slashed = F.when((first > 12) & (second <= 12), "DD/MM/YYYY").when((second > 12) & (first <= 12), "MM/DD/YYYY").when((first <= 12) & (second <= 12), "AMBIGUOUS")
-    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), "YYYY-MM-DD").when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}"), "ISO_DATETIME").when(text.rlike(r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$"), "YYYY/MM/DD").when(text.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), slashed)
+    slashed = F.when(first > 12, "DD/MM/YYYY").when((second <= 12) & (first != second), "AMBIGUOUS").otherwise("MM/DD/YYYY")
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), "YYYY-MM-DD").when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T\s][0-9]{2}:[0-9]{2}:[0-9]{2}"), "ISO_DATETIME").when(text.rlike(r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"), "YYYY/MM/DD").when(text.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), slashed)
 
 
 def logical_type(c: Column | str) -> Column:

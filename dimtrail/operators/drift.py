@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dimtrail.functions.text import logical_type, null_or_blank, slug, token_similarity
+from dimtrail.functions.text import logical_type, null_or_blank, slug, token_similarity, type_compatible
+from dimtrail.operators.onboarding import ALIASES
 
 REGISTRY = "source string, version int, name string, type_name string, nullable boolean, ordinal int"
 RANKS = {"COMPATIBLE": 0, "REVIEW": 1, "BROKEN": 2}
@@ -38,23 +39,25 @@ def diff_schema(prior: DataFrame, current: DataFrame) -> DataFrame:
     return both.select("source", "slug", F.inline(events))
 
 
-def possible_renames(events: DataFrame, aliases: Sequence[tuple[str, str]] = (), least: float = 0.6) -> DataFrame:
-    """(source, removed, added, score): each removed column's best added one by name similarity; aliases count 0.88, other types cost 0.25. A source has as many pairs as its changed columns."""
+def possible_renames(events: DataFrame, aliases: Mapping[str, Sequence[str]] = ALIASES, least: float = 0.6) -> DataFrame:
+    """(source, removed, added, score): each removed column's best added one by name similarity; two names of one field count 0.88, types that don't fit cost 0.25. A source has as many pairs as its changed columns."""
     gone = events.where("event = 'REMOVED'").select("source", F.col("slug").alias("removed"), F.col("old").alias("t1"))
     come = events.where("event = 'ADDED'").select("source", F.col("slug").alias("added"), F.col("new").alias("t2"))
     known = F.lit(False)
-    for a, b in aliases:
-        known = known | ((F.col("removed") == a) & (F.col("added") == b)) | ((F.col("removed") == b) & (F.col("added") == a))
+    for target, others in aliases.items():
+        known = known | (F.col("removed").isin(target, *others) & F.col("added").isin(target, *others))
     likeness = token_similarity("removed", "added")
-    score = F.bround(F.when(known, F.greatest(likeness, F.lit(0.88))).otherwise(likeness) - F.when(F.col("t1") != F.col("t2"), 0.25).otherwise(0.0), 4)
+    score = F.bround(F.when(known, F.greatest(likeness, F.lit(0.88))).otherwise(likeness) - F.when(type_compatible(F.col("t2"), F.col("t1")), 0.0).otherwise(0.25), 4)
     scored = gone.join(come, "source").withColumn("score", score).where(F.col("score") >= least)
     best = Window.partitionBy("source", "removed").orderBy(F.col("score").desc(), "added")
     return scored.withColumn("r", F.row_number().over(best)).where("r = 1").select("source", "removed", "added", "score")
 
 
 def mapping_impact(events: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(source, slug, target, impact): what drift does to mapped columns; the worst event of a column counts. mapping: source, slug, target, required."""
-    rank = F.when(F.col("event") == "REMOVED", F.when(F.col("required"), 2).otherwise(1)).when(F.col("event") == "TYPE_CHANGED", F.when(F.col("new") == "string", 1).otherwise(2)).when(F.col("event") == "NULLABILITY_CHANGED", F.when(F.col("required") & (F.col("new") == "true"), 1).otherwise(0)).otherwise(0)
+    """(source, slug, target, impact): what drift does to mapped columns; the worst event of a column counts. mapping: source, slug, target, wanted (the canonical type), required.
+
+    A removed column breaks its mapping, also that of an optional field; another type is to be reviewed if it can fill the field and breaks it if not."""
+    rank = F.when(F.col("event") == "REMOVED", 2).when(F.col("event") == "TYPE_CHANGED", F.when(type_compatible(F.col("new"), F.col("wanted")), 1).otherwise(2)).when(F.col("event") == "NULLABILITY_CHANGED", F.when(F.col("required") & (F.col("new") == "true"), 1).otherwise(0)).otherwise(0)
     both = mapping.join(events, ["source", "slug"], "left").withColumn("rank", F.coalesce(rank, F.lit(0)))
     return both.groupBy("source", "slug", "target").agg(F.max("rank").alias("rank")).select("source", "slug", "target", _rank_name(F.col("rank")).alias("impact"))
 

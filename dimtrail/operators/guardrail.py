@@ -35,11 +35,11 @@ def _number(c: Column) -> Column:
 
 
 def batch_counts(changes: DataFrame, batch: str, first_batch: Column | None = None) -> DataFrame:
-    """(batch, evaluated, changed, new, unchanged, mutated, ratio): what an evaluation saw, ratio to 4 places. In a first batch new rows are no mutation."""
+    """(batch, evaluated, changed, new, unchanged, mutated, ratio): what an evaluation saw, ratio to 4 places. Deleted keys are no rows of the batch; in a first batch new rows are no mutation."""
     count = lambda k: F.count_if(F.col("change_type") == k)
-    out = changes.groupBy(batch).agg(F.count("*").alias("evaluated"), count("CHANGED").alias("changed"), count("NEW").alias("new"), count("UNCHANGED").alias("unchanged"), count("DELETED").alias("deleted"))
+    out = changes.groupBy(batch).agg(F.count_if(F.col("change_type") != "DELETED").alias("evaluated"), count("CHANGED").alias("changed"), count("NEW").alias("new"), count("UNCHANGED").alias("unchanged"), count("DELETED").alias("deleted"))
     start = (F.lit(False) if first_batch is None else first_batch) & (F.col("changed") == 0)
-    mutated = F.col("changed") + F.col("deleted") + F.when(start, 0).otherwise(F.col("new"))
+    mutated = F.col("changed") + F.when(start, 0).otherwise(F.col("new"))
     return out.withColumn("bootstrap", start).withColumn("mutated", mutated).withColumn("ratio", F.bround(F.col("mutated") / F.greatest("evaluated", F.lit(1)), 4))
 
 

@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The failure categories by what a message or an error type shows, in order.
-FAILURE_RULES = (("contract_rejected", "contract|quarantin"), ("ingestion", "csv|ingest|file not found|no such file|encoding"), ("schema", "schema|column|type mismatch"), ("persistence", "connection|database|postgres|jdbc|timeout|disk"), ("explanation", "llm|provider|model|token limit"))
+# Tasks, error types and words that tell failures apart.
+INGEST_TASKS, SCHEMA_TASKS = ("ingest_csvs", "ingest_task"), ("detect_schema", "schema_task")
+PERSIST_TASKS, EXPLAIN_TASKS = ("persist_artifacts", "persist_task", "write_run_artifacts"), ("explain_changes", "explain_task")
+HISTORY_ERRORS, FILE_ERRORS = ("DuplicateBusinessKeyError", "InvalidTemporalValueError"), ("FileNotFoundError", "IsADirectoryError", "PermissionError")
+PERMANENT_CODES, PERMANENT_STATES = (400, 401, 403, 404), ("UNAUTHENTICATED", "PERMISSION_DENIED", "NOT_FOUND")
+PERMANENT_WORDS = "unauthenticated|permission_denied|api key not valid|invalid api key|not found|perday|daily|quota exceeded.*day|day.*quota exceeded|invalid_argument"
+TRANSIENT_CODES, TRANSIENT_STATES = (429, 500, 502, 503, 504), ("RESOURCE_EXHAUSTED", "INTERNAL", "UNAVAILABLE", "DEADLINE_EXCEEDED")
+TRANSIENT_WORDS = "timeout|timed out|connection reset|temporarily unavailable|deadline exceeded|rate limit|resource exhausted"
+LOST_CONNECTION = ("TimeoutError", "ConnectionError", "ConnectionResetError", "ConnectionRefusedError", "ConnectionAbortedError", "BrokenPipeError")
 
 
 def latest_states(events: DataFrame, id_column: str, at: str, columns: list[str]) -> DataFrame:
@@ -29,8 +36,22 @@ def ops_metrics(runs: DataFrame, holds: DataFrame, checkpoints: DataFrame) -> Da
     return total.crossJoin(active).crossJoin(mark).withColumn("health", health)
 
 
-def failure_category(message: Column, kind: Column) -> Column:
-    text, out = F.lower(F.concat_ws(" ", kind, message)), None
-    for name, pattern in FAILURE_RULES:
-        out = F.when(text.rlike(pattern), name) if out is None else out.when(text.rlike(pattern), name)
-    return out.otherwise("unknown")
+def failure_category(message: Column, kind: Column, task: Column | None = None, code: Column | None = None, state: Column | None = None) -> Column:
+    """What a failure is, by the task it came from, its error type, its message, and the code and state of a called service; the first that fits."""
+    said, task = F.lower(F.coalesce(message, F.lit(""))), F.coalesce(F.lit("") if task is None else task, F.lit(""))
+    code, state = F.coalesce(F.lit(0) if code is None else code, F.lit(0)), F.coalesce(F.lit("") if state is None else state, F.lit(""))
+    is_value = kind == "ValueError"
+    permanent = code.isin(*PERMANENT_CODES) | state.isin(*PERMANENT_STATES) | said.rlike(f"(?s){PERMANENT_WORDS}")
+    transient = kind.isin(*LOST_CONNECTION) | said.rlike(TRANSIENT_WORDS) | code.isin(*TRANSIENT_CODES) | state.isin(*TRANSIENT_STATES)
+    explains = task.isin(*EXPLAIN_TASKS) | said.rlike("ai|gemini|groq")
+    return (
+        F.when(kind.isin(*HISTORY_ERRORS), "deterministic_scd2_error")
+        .when(task.isin(*INGEST_TASKS) & (kind.isin(*FILE_ERRORS) | is_value | said.contains("csv")), "deterministic_input_error")
+        .when(task.isin(*SCHEMA_TASKS) & (is_value | said.rlike("key|column")), "deterministic_schema_error")
+        .when(task.isin(*PERSIST_TASKS) | said.rlike("persistence|artifact"), "persistence_error")
+        .when(explains & permanent, "permanent_ai_error")
+        .when(explains & transient, "transient_ai_error")
+        .when(explains, "unexpected_internal_error")
+        .when(said.contains("duplicate") & said.contains("key"), "deterministic_scd2_error")
+        .otherwise("unexpected_internal_error")
+    )

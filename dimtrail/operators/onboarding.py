@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dimtrail.functions.text import ERROR_TYPE, cast_text, concat_fields, error_when, is_email, map_enum, mask_email, mask_name, norm_text, normalize_email, null_or_blank, parse_date, token_similarity, trim_ws, type_compatible
+from dimtrail.functions.text import ERROR_TYPE, cast_text, concat_fields, error_when, is_email, map_enum, norm_text, normalize_email, null_or_blank, parse_date, sample_value, slug, token_similarity, trim_ws, type_compatible
+from dimtrail.operators.profile import date_patterns, first_samples, profile_columns, top_values
 
 
 @dataclass(frozen=True)
@@ -16,21 +17,33 @@ class CanonicalField:
     name: str
     type: str
     required: bool
-    aliases: tuple[str, ...] = ()
     allowed: tuple[str, ...] = ()
+    unique: bool = False
 
 
 # The canonical customer record, version 1.
 CUSTOMER_V1 = (
-    CanonicalField("customer_id", "string", True, ("cust_id", "customer_no", "cust_no", "client_id", "account_id", "cust_ref", "id")),
-    CanonicalField("first_name", "string", True, ("fname", "given_name", "firstname")),
-    CanonicalField("last_name", "string", True, ("lname", "surname", "family_name", "lastname")),
-    CanonicalField("email", "string", True, ("email_address", "contact_email", "mail", "e_mail")),
-    CanonicalField("date_of_birth", "date", False, ("dob", "birth_date", "birthdate", "born_on")),
-    CanonicalField("status", "enum", True, ("cust_status", "account_status", "acct_status", "state", "state_flag"), ("ACTIVE", "INACTIVE", "PENDING", "SUSPENDED")),
-    CanonicalField("created_at", "datetime", True, ("created", "created_timestamp", "signup_date", "registration_date", "reg_time")),
+    CanonicalField("customer_id", "string", True, unique=True),
+    CanonicalField("first_name", "string", True),
+    CanonicalField("last_name", "string", True),
+    CanonicalField("email", "string", True),
+    CanonicalField("date_of_birth", "date", False),
+    CanonicalField("status", "enum", True, ("ACTIVE", "INACTIVE")),
+    CanonicalField("created_at", "datetime", True),
 )
-PROPOSE, CANDIDATE = 0.40, 0.35
+# Other names of the canonical fields.
+ALIASES = {
+    "customer_id": ("cust_id", "cust_no", "customer_no", "client_id", "client_no", "account_id", "account_no", "acct_code", "acct_no", "user_id", "user_identifier", "member_id", "id", "custid", "account_code"),
+    "first_name": ("fname", "given_name", "forename", "first", "firstname"),
+    "last_name": ("lname", "surname", "family_name", "last", "lastname"),
+    "email": ("email_address", "contact_email", "billing_email", "reporter_email", "mail", "user_email", "customer_email", "e_mail"),
+    "date_of_birth": ("birth_date", "birthdate", "dob", "bday", "birthday", "born_date"),
+    "status": ("cust_status", "customer_status", "account_state", "state", "user_status", "account_status", "membership_status"),
+    "created_at": ("created_timestamp", "create_date", "signup_date", "opened_date", "registration_date", "enrolled_at", "joined_date", "timestamp", "create_time"),
+}
+# Parts of a column's name that let it be a name of a person.
+NAME_PARTS = {"first_name": "first|fname|given", "last_name": "last|lname|surname|family"}
+PROPOSE, CANDIDATE, UNMAPPED_SCORE = 0.40, 0.35, 0.90
 
 
 @dataclass(frozen=True)
@@ -43,28 +56,43 @@ class FieldMapping:
 
 
 def mapping_candidates(columns: DataFrame, canonical: Sequence[CanonicalField] = CUSTOMER_V1) -> DataFrame:
-    """(source_field, target, score) of pairs that score at least CANDIDATE; columns: source_field (slug), type, is_unique, has_email, has_date, few_values.
+    """(source_field, target, score) of pairs that score at least CANDIDATE, score to 2 places.
 
-    The canonical side is fixed and small, so it is broadcast."""
+    columns, as column_signals gives them: source_field (slug), type, uniqueness (share of different values), has_at,
+    has_date, top_values (in upper case). The canonical side is fixed and small, so it is broadcast."""
     spark = columns.sparkSession
-    fields = spark.createDataFrame([(f.name, f.type, list(f.aliases)) for f in canonical], "target string, wanted string, aliases array<string>")
+    rows = [(i, f.name, f.type, f.unique, list(f.allowed), [f.name, *ALIASES.get(f.name, ())], NAME_PARTS.get(f.name)) for i, f in enumerate(canonical)]
+    fields = spark.createDataFrame(rows, "place int, target string, wanted string, is_key boolean, allowed array<string>, aliases array<string>, parts string")
     pairs = columns.crossJoin(F.broadcast(fields))
-    alias = (F.col("source_field") == F.col("target")) | F.array_contains("aliases", F.col("source_field"))
+    alias = F.array_contains("aliases", F.col("source_field"))
     base = F.when(alias, 0.85).otherwise(0.7 * token_similarity("source_field", "target"))
     fits = F.when(type_compatible(F.col("type"), F.col("wanted")), 0.10).otherwise(-0.30)
-    unique = F.when(F.col("target") == "customer_id", F.when(F.col("is_unique"), 0.15).otherwise(-0.50)).otherwise(0.0)
-    mail = F.when((F.col("target") == "email") & F.col("has_email"), 0.20).otherwise(0.0)
-    date = F.when(F.col("wanted").isin("date", "datetime") & F.col("has_date"), 0.15).otherwise(0.0)
-    few = F.when((F.col("wanted") == "enum") & F.col("few_values"), 0.20).otherwise(0.0)
-    name = F.when(F.col("target").isin("first_name", "last_name") & (F.col("has_email") | F.col("has_date")), -0.30).otherwise(0.0)
-    score = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + fits + unique + mail + date + few + name)), 4)
-    return pairs.select(*[c for c in ("source_id",) if c in columns.columns], "source_field", "target", score.alias("score")).where(F.col("score") >= CANDIDATE)
+    unique = F.when(F.col("is_key") & (F.col("uniqueness") == 1), 0.15).when(F.col("is_key") & (F.col("uniqueness") < 0.8), -0.50).otherwise(0.0)
+    mail = F.when((F.col("target") == "email") & (F.col("has_at") | F.col("source_field").contains("email")), 0.20).otherwise(0.0)
+    date = F.when(F.col("wanted").isin("date", "datetime") & (F.col("type").isin("date", "datetime") | F.col("has_date")), 0.15).otherwise(0.0)
+    word = F.when(F.arrays_overlap("top_values", "allowed"), 0.20).otherwise(0.0)
+    name = F.when(F.col("parts").isNotNull() & ~alias & ~F.regexp_like("source_field", F.col("parts")), -0.30).otherwise(0.0)
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + fits + unique + mail + date + word + name))
+    kept = pairs.withColumn("score", score).where(F.col("score") >= CANDIDATE)
+    return kept.select(*[c for c in ("source_id",) if c in columns.columns], "source_field", "target", F.bround("score", 2).alias("score"), "place")
+
+
+def column_signals(feed: DataFrame, ordinal: str) -> DataFrame:
+    """What mapping_candidates looks at, for every column of the feed but the ordinal: its profile, an @ in its samples, a date pattern, its most frequent values."""
+    names = [c for c in feed.columns if c != ordinal]
+    shaped = profile_columns(feed, names).select("column", "type", F.when(F.col("total") > F.col("nulls"), F.col("distinct") / (F.col("total") - F.col("nulls"))).otherwise(0.0).alias("uniqueness"))
+    at = first_samples(feed, names, ordinal).groupBy("column").agg(F.max(F.col("sample").contains("@")).alias("has_at"))
+    dated = date_patterns(feed, names, ordinal).select("column", F.lit(True).alias("has_date")).distinct()
+    top = top_values(feed, names).groupBy("column").agg(F.collect_list(F.upper("value")).alias("top_values"))
+    out = shaped.join(at, "column", "left").join(dated, "column", "left").join(top, "column", "left")
+    return out.select(slug("column").alias("source_field"), "type", "uniqueness", F.coalesce("has_at", F.lit(False)).alias("has_at"), F.coalesce("has_date", F.lit(False)).alias("has_date"), F.coalesce("top_values", F.array().cast("array<string>")).alias("top_values"))
 
 
 def propose_mapping(columns: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(source_field, target, score, ambiguous): the best candidate, UNMAPPED below PROPOSE; ambiguous where several columns claim a target."""
-    best = candidates.groupBy("source_field").agg(F.max_by(F.struct("target", "score"), F.struct("score", "target")).alias("b"))
-    out = columns.select("source_field").join(best, "source_field", "left").select("source_field", F.when(F.col("b.score") >= PROPOSE, F.col("b.target")).otherwise("UNMAPPED").alias("target"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
+    """(source_field, target, score, ambiguous): the best candidate, the earlier field of equal ones; UNMAPPED below PROPOSE; ambiguous where several columns claim a target."""
+    best = candidates.groupBy("source_field").agg(F.max_by(F.struct("target", "score"), F.struct("score", -F.col("place"))).alias("b"))
+    fine = F.col("b.score") >= PROPOSE
+    out = columns.select("source_field").join(best, "source_field", "left").select("source_field", F.when(fine, F.col("b.target")).otherwise("UNMAPPED").alias("target"), F.when(fine, F.col("b.score")).otherwise(UNMAPPED_SCORE).alias("score"))
     claims = out.where("target != 'UNMAPPED'").groupBy("target").agg(F.count("*").alias("claims"))
     return out.join(claims, "target", "left").select("source_field", "target", "score", F.coalesce(F.col("claims") > 1, F.lit(False)).alias("ambiguous"))
 
@@ -191,7 +219,9 @@ def to_exceptions(validated: DataFrame, source: str, run: str) -> DataFrame:
     rows = validated.select("row_index", F.col("customer_id").cast("string").alias("record_key"), observed.alias("o"), F.explode("errors").alias("e"))
     rule, of = F.col("e.rule_id"), F.col("e.field")
     value = F.element_at("o", of)
-    shown = F.when(of == "email", mask_email(value)).when(of.isin("first_name", "last_name"), mask_name(value)).otherwise(value)
+    shown = F.lit(None).cast("string")
+    for n in names:
+        shown = F.when(of == n, sample_value(value, "masked", n)).otherwise(shown)
     raw_id = F.concat_ws("-", F.lit(source), F.col("row_index").cast("string"), F.coalesce("record_key", F.lit("none")), rule, of)
     out = rows.select(F.regexp_replace(raw_id, "[^A-Za-z0-9_-]", "_").alias("exception_id"), F.lit(run).alias("run_id"), "row_index", rule.alias("rule_id"), of.alias("field"), _rule_text(rule, 0).alias("category"), _rule_text(rule, 1).alias("suggestion"), shown.alias("observed"), rule.isin(*PROTECTED).alias("protected"))
     return out.dropDuplicates(["exception_id"])

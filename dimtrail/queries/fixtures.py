@@ -154,6 +154,6 @@ errors AS (
   UNION ALL SELECT row_no, 'CUSTOMER_ID_REQUIRED', 'customer_id' FROM marked WHERE customer_id = ''
   UNION ALL SELECT row_no, 'DOB_IN_FUTURE', 'date_of_birth' FROM marked WHERE date_of_birth > DATE '2025-06-01'
   UNION ALL SELECT row_no, 'EMAIL_FORMAT', 'email' FROM marked WHERE NOT contains(email, '@')
-  UNION ALL SELECT row_no, 'STATUS_ENUM', 'status' FROM marked WHERE status NOT IN ('ACTIVE', 'INACTIVE', 'PENDING', 'SUSPENDED')
+  UNION ALL SELECT row_no, 'STATUS_ENUM', 'status' FROM marked WHERE status NOT IN ('ACTIVE', 'INACTIVE')
   UNION ALL SELECT row_no, 'CUSTOMER_ID_DUPLICATE', 'customer_id' FROM marked WHERE customer_id <> '' AND same_id > 1)
 """

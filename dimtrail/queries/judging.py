@@ -152,10 +152,17 @@ def ops_metrics(spark, d):
     return metrics.ops_metrics(_runs(spark, d), holds, marks).drop("last_checkpoint")
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'persistence' WHEN event_type = 'signup' THEN 'schema' WHEN event_type = 'view' THEN 'ingestion' WHEN event_type = 'click' THEN 'contract_rejected' ELSE 'unknown' END AS category FROM events")
+FAILURES = """f AS (SELECT event_id, user_id % 4 AS t, CASE event_type WHEN 'error' THEN 'Rate limit: try again' WHEN 'signup' THEN 'Column x is missing' WHEN 'view' THEN 'Bad CSV' WHEN 'click' THEN 'Duplicate business key' ELSE 'odd' END AS message, CASE user_id % 3 WHEN 0 THEN 'ValueError' WHEN 1 THEN 'FileNotFoundError' ELSE 'DuplicateBusinessKeyError' END AS kind FROM events)"""
+
+
+@query(f"""WITH {FAILURES} SELECT event_id, CASE WHEN kind = 'DuplicateBusinessKeyError' THEN 'deterministic_scd2_error' WHEN t = 0 THEN 'deterministic_input_error' WHEN t = 1 AND (kind = 'ValueError' OR regexp_matches(lower(message), 'key|column')) THEN 'deterministic_schema_error' WHEN t = 2 THEN 'persistence_error'
+WHEN message = 'Rate limit: try again' THEN 'transient_ai_error' WHEN t = 3 THEN 'unexpected_internal_error' WHEN message = 'Duplicate business key' THEN 'deterministic_scd2_error' ELSE 'unexpected_internal_error' END AS category FROM f""")
 def failure_categories(spark, d):
-    message = F.when(F.col("event_type") == "error", "Connection refused").when(F.col("event_type") == "signup", "column x missing").when(F.col("event_type") == "view", "bad CSV").when(F.col("event_type") == "click", "contract broken").otherwise("odd")
-    return table(spark, d, "events").select("event_id", metrics.failure_category(message, F.lit("ValueError")).alias("category"))
+    said = {"error": "Rate limit: try again", "signup": "Column x is missing", "view": "Bad CSV", "click": "Duplicate business key"}
+    message = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in said.items() for x in kv]), F.col("event_type")), F.lit("odd"))
+    kind = F.element_at(F.array(*map(F.lit, ("ValueError", "FileNotFoundError", "DuplicateBusinessKeyError"))), (F.col("user_id") % 3 + 1).cast("int"))
+    task = F.element_at(F.array(*map(F.lit, ("ingest_csvs", "detect_schema", "persist_artifacts", "explain_changes"))), (F.col("user_id") % 4 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", metrics.failure_category(message, kind, task).alias("category"))
 
 
 @query("SELECT count(*) FILTER (WHERE toxic = 1 AND n_chars > 1500) AS tp, count(*) FILTER (WHERE toxic <> 1 AND n_chars <= 1500) AS tn, count(*) FILTER (WHERE toxic <> 1 AND n_chars > 1500) AS fp, count(*) FILTER (WHERE toxic = 1 AND n_chars <= 1500) AS fn FROM labels JOIN documents USING (doc_id)")
@@ -184,9 +191,12 @@ def top_values(spark, d):
     return profile.top_values(table(spark, d, "documents"), PROFILED)
 
 
-@query("SELECT * FROM (SELECT 's_name' AS \"column\", row_number() OVER (ORDER BY s_suppkey) AS position, upper(substr(s_name, 1, 1)) || '***' AS sample FROM supplier) WHERE position <= 5")
+@query("""SELECT * FROM (SELECT 's_name' AS "column", row_number() OVER (ORDER BY s_suppkey) AS position, s_name AS sample FROM supplier) WHERE position <= 5 UNION ALL SELECT * FROM (SELECT 'full_name', row_number() OVER (ORDER BY s_suppkey) AS position, upper(substr(s_name, 1, 1)) || '***' FROM supplier) WHERE position <= 5
+UNION ALL SELECT * FROM (SELECT 'phone', row_number() OVER (ORDER BY s_suppkey) AS position, '***-' || right('0000' || s_suppkey, 4) FROM supplier) WHERE position <= 5 UNION ALL SELECT * FROM (SELECT 'email', row_number() OVER (ORDER BY s_suppkey) AS position, 's***@x.org' FROM supplier) WHERE position <= 1""")
 def samples_masked(spark, d):
-    return profile.first_samples(table(spark, d, "supplier"), ["s_name"], "s_suppkey")
+    """Names, phone numbers and e-mails are masked by what their column is called."""
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_name", F.col("s_name").alias("full_name"), F.concat(F.lit("call ext "), F.lpad(F.col("s_suppkey").cast("string"), 4, "0")).alias("phone"), F.lit("sales team@x.org").alias("email"))
+    return profile.first_samples(rows, ["s_name", "full_name", "phone", "email"], "s_suppkey")
 
 
 @query("SELECT event_id, regexp_replace(regexp_replace(regexp_replace(event_type || '-' || user_id, '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '#', 'g') AS shape FROM events")
@@ -196,7 +206,7 @@ def shape_tokens(spark, d):
     return table(spark, d, "events").select("event_id", shape_token(F.concat("event_type", F.lit("-"), F.col("user_id").cast("string"))).alias("shape"))
 
 
-@query("SELECT 'a' AS \"column\", 'YYYY-MM-DD' AS pattern, least(count(*), 100) AS n FROM orders UNION ALL SELECT 'b', CASE WHEN dd > 12 THEN 'DD/MM/YYYY' ELSE 'AMBIGUOUS' END, count(*) FROM (SELECT day(o_orderdate) AS dd FROM orders ORDER BY o_orderkey LIMIT 100) GROUP BY 2")
+@query("SELECT 'a' AS \"column\", 'YYYY-MM-DD' AS pattern, least(count(*), 100) AS n FROM orders UNION ALL SELECT 'b', CASE WHEN dd > 12 THEN 'DD/MM/YYYY' WHEN dd <> mm THEN 'AMBIGUOUS' ELSE 'MM/DD/YYYY' END, count(*) FROM (SELECT day(o_orderdate) AS dd, month(o_orderdate) AS mm FROM orders ORDER BY o_orderkey LIMIT 100) GROUP BY 2")
 def date_patterns(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("a"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("b"))
     return profile.date_patterns(rows, ["a", "b"], "o_orderkey")
@@ -274,49 +284,90 @@ def exception_states(spark, d):
     return onboarding.exception_states(found, events)
 
 
-def _feed_columns(spark, d) -> DataFrame:
-    """The feed's columns as mapping candidates see them."""
-    from dimtrail.functions.text import is_email
+FEED = ("cust_no", "first", "last", "mail", "dob", "state", "signup")
+RULES = {f.name: f for f in onboarding.CUSTOMER_V1}
 
-    feed = x4_feed(spark, d).drop("row_no")
-    shaped = profile.profile_columns(feed).select(F.col("column").alias("source_field"), "type", "is_unique", (F.col("distinct") <= 25).alias("few_values"))
-    cells = profile.unpivoted(feed, feed.columns).where("value is not null").groupBy(F.col("column").alias("source_field")).agg((F.count_if(is_email("value")) * 2 > F.count("*")).alias("has_email"), (F.count_if(F.col("value").rlike(r"^\d{4}-\d{2}-\d{2}$")) * 2 > F.count("*")).alias("has_date"))
-    return shaped.join(cells, "source_field")
 
+def _ratios(pairs) -> str:
+    """The library's name ratios as SQL rows: SQL has no such function, so its scores take them as input."""
+    from difflib import SequenceMatcher
 
-@query()
+    plain = lambda s: s.replace("_", " ")
+    return ", ".join(f"('{a}', '{b}', CAST({SequenceMatcher(None, plain(a), plain(b)).ratio()!r} AS DOUBLE))" for a, b in pairs)
+
+
+def _texts(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]::VARCHAR[]"
+
+
+SIGNALS = " UNION ALL ".join(f"""SELECT '{c}' AS source_field, 'string' AS type, (SELECT count(DISTINCT {c}) / count({c}) FROM feed) AS uniqueness,
+ (SELECT bool_or(contains(v, '@')) FROM (SELECT {c} AS v FROM feed GROUP BY 1 ORDER BY min(row_no) LIMIT 5)) AS has_at,
+ (SELECT bool_or(regexp_matches(trim(v), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$')) FROM (SELECT {c} AS v FROM feed ORDER BY row_no LIMIT 100)) AS has_date,
+ (SELECT CASE WHEN (SELECT count(DISTINCT {c}) FROM feed) <= 25 THEN list(upper(v)) ELSE [] END FROM (SELECT {c} AS v FROM feed GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5)) AS top""" for c in FEED)
+FIELDS = ", ".join(f"({i}, '{f.name}', '{f.type}', {str(f.required).upper()}, {str(f.unique).upper()}, {_texts(f.allowed)}, {_texts((f.name, *onboarding.ALIASES[f.name]))}, '{onboarding.NAME_PARTS.get(f.name, '')}')" for i, f in enumerate(onboarding.CUSTOMER_V1))
+SCORED = f"""{X4}, signals AS ({SIGNALS}),
+fields(place, target, wanted, required, is_key, allowed, aliases, parts) AS (VALUES {FIELDS}),
+ratios(source_field, target, ratio) AS (VALUES {_ratios((c, f) for c in FEED for f in RULES)}),
+pairs AS (SELECT *, list_contains(aliases, source_field) AS known FROM signals CROSS JOIN fields JOIN ratios USING (source_field, target)),
+raw AS (SELECT source_field, target, place, greatest(0e0, least(1e0, CASE WHEN known THEN 85e-2 ELSE 7e-1 * ratio END
+  + CASE WHEN type = wanted OR wanted = 'string' OR wanted IN ('date', 'datetime') AND type IN ('date', 'datetime', 'string') OR wanted = 'enum' AND type IN ('string', 'integer') THEN 1e-1 ELSE -3e-1 END
+  + CASE WHEN is_key AND uniqueness = 1 THEN 15e-2 WHEN is_key AND uniqueness < 8e-1 THEN -5e-1 ELSE 0e0 END
+  + CASE WHEN target = 'email' AND (has_at OR contains(source_field, 'email')) THEN 2e-1 ELSE 0e0 END
+  + CASE WHEN wanted IN ('date', 'datetime') AND (type IN ('date', 'datetime') OR has_date) THEN 15e-2 ELSE 0e0 END
+  + CASE WHEN list_has_any(top, allowed) THEN 2e-1 ELSE 0e0 END
+  + CASE WHEN parts <> '' AND NOT known AND NOT regexp_matches(source_field, parts) THEN -3e-1 ELSE 0e0 END)) AS score FROM pairs),
+candidates AS (SELECT source_field, target, place, round_even(score, 2) AS score FROM raw WHERE score >= 35e-2),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_field ORDER BY score DESC, place) AS r FROM candidates) WHERE r = 1),
+proposed AS (SELECT s.source_field, CASE WHEN score >= 4e-1 THEN target ELSE 'UNMAPPED' END AS target, CASE WHEN score >= 4e-1 THEN score ELSE 9e-1 END AS score FROM signals s LEFT JOIN best USING (source_field)),
+proposals AS (SELECT *, target <> 'UNMAPPED' AND count(*) OVER (PARTITION BY target) > 1 AS ambiguous FROM proposed)"""
+
+
+def _proposals(spark, d) -> DataFrame:
+    columns = onboarding.column_signals(x4_feed(spark, d), "row_no")
+    return onboarding.propose_mapping(columns, onboarding.mapping_candidates(columns))
+
+
+@query(f"WITH {SCORED} SELECT source_field, target, score FROM candidates")
 def mapping_candidates(spark, d):
-    return onboarding.mapping_candidates(_feed_columns(spark, d))
+    return onboarding.mapping_candidates(onboarding.column_signals(x4_feed(spark, d), "row_no")).drop("place")
 
 
-@query()
+@query(f"WITH {SCORED} SELECT * FROM proposals")
 def mapping_proposals(spark, d):
-    columns = _feed_columns(spark, d)
-    return onboarding.propose_mapping(columns, onboarding.mapping_candidates(columns))
+    return _proposals(spark, d)
 
 
-@query()
+@query(f"WITH {SCORED} SELECT 'unmapped_required' AS finding, target FROM fields WHERE required AND target NOT IN (SELECT target FROM proposals) UNION ALL SELECT DISTINCT 'ambiguous_target', target FROM proposals WHERE ambiguous")
 def mapping_checks(spark, d):
-    columns = _feed_columns(spark, d)
-    return onboarding.mapping_findings(onboarding.propose_mapping(columns, onboarding.mapping_candidates(columns)))
+    return onboarding.mapping_findings(_proposals(spark, d))
 
 
-@query()
+@query(f"WITH {SCORED}, labels(source_field, expected) AS (VALUES ('cust_no', 'customer_id'), ('first', 'first_name'), ('last', 'last_name'), ('mail', 'email'), ('dob', 'date_of_birth'), ('state', 'status'), ('signup', 'created_at')) SELECT count(*) AS labelled, count(*) FILTER (WHERE target = expected) AS correct, count(*) FILTER (WHERE target = 'UNMAPPED') AS unmapped, count(*) FILTER (WHERE ambiguous) AS ambiguous FROM labels LEFT JOIN proposals USING (source_field)")
 def mapping_accuracy(spark, d):
-    columns = _feed_columns(spark, d)
     labels = spark.createDataFrame([(m.sources[0], m.target) for m in MAPPING], "source_field string, expected string")
-    return onboarding.mapping_accuracy(onboarding.propose_mapping(columns, onboarding.mapping_candidates(columns)), labels)
+    return onboarding.mapping_accuracy(_proposals(spark, d), labels)
 
 
 def _registries(spark, d) -> tuple[DataFrame, DataFrame]:
     """Two versions of the feed: mail renamed, state gone, signup retyped, first with blanks, a score added."""
     feed = x4_feed(spark, d).drop("row_no")
-    later = feed.withColumnRenamed("mail", "E-Mail").drop("state").withColumn("signup", F.to_date("signup")).withColumn("first", F.when(F.crc32("last") % 2 == 0, None).otherwise(F.col("first"))).withColumn("Score", F.lit(1))
+    later = feed.withColumnRenamed("mail", "E-Mail").drop("state").withColumn("signup", F.to_date("signup")).withColumn("first", F.when(F.col("last").startswith("Lee0"), None).otherwise(F.col("first"))).withColumn("Score", F.lit(1))
     return drift.snapshot_schema(feed, "crm", 1), drift.snapshot_schema(later, "crm", 2)
 
 
-DRIFT = """events AS (SELECT 'crm' AS source, 'mail' AS slug, 'REMOVED' AS event, 'string' AS old, NULL AS new UNION ALL SELECT 'crm', 'e_mail', 'ADDED', NULL, 'string' UNION ALL SELECT 'crm', 'state', 'REMOVED', 'string', NULL
- UNION ALL SELECT 'crm', 'signup', 'TYPE_CHANGED', 'string', 'date' UNION ALL SELECT 'crm', 'first', 'NULLABILITY_CHANGED', 'false', 'true' UNION ALL SELECT 'crm', 'score', 'ADDED', NULL, 'integer')"""
+def _registry_sql(columns: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{slug}' AS slug, CASE typeof(any_value({e})) WHEN 'VARCHAR' THEN 'string' WHEN 'DATE' THEN 'date' WHEN 'INTEGER' THEN 'integer' END AS type, count(*) FILTER (WHERE {e} IS NULL OR trim(CAST({e} AS VARCHAR)) = '') > 0 AS nullable FROM feed" for slug, e in columns.items())
+
+
+DRIFT = f"""{X4}, a AS ({_registry_sql({c: c for c in FEED})}),
+b AS ({_registry_sql({"cust_no": "cust_no", "first": "CASE WHEN last LIKE 'Lee0%' THEN NULL ELSE first END", "last": "last", "e_mail": "mail", "dob": "dob", "signup": "CAST(signup AS DATE)", "score": "1"})}),
+joined AS (SELECT slug, a.type AS t1, b.type AS t2, a.nullable AS n1, b.nullable AS n2 FROM a FULL JOIN b USING (slug)),
+events AS (SELECT 'crm' AS source, slug, 'ADDED' AS event, NULL AS old, t2 AS new FROM joined WHERE t1 IS NULL UNION ALL SELECT 'crm', slug, 'REMOVED', t1, NULL FROM joined WHERE t2 IS NULL
+ UNION ALL SELECT 'crm', slug, 'TYPE_CHANGED', t1, t2 FROM joined WHERE t1 <> t2 UNION ALL SELECT 'crm', slug, 'NULLABILITY_CHANGED', CAST(n1 AS VARCHAR), CAST(n2 AS VARCHAR) FROM joined WHERE n1 <> n2),
+mapping(slug, target, wanted, required) AS (VALUES {", ".join(f"('{m.sources[0]}', '{m.target}', '{RULES[m.target].type}', {str(RULES[m.target].required).upper()})" for m in MAPPING)}),
+ranked AS (SELECT m.slug, m.target, coalesce(max(CASE WHEN event = 'REMOVED' THEN 2 WHEN event = 'TYPE_CHANGED' THEN CASE WHEN new = wanted OR wanted = 'string' OR wanted IN ('date', 'datetime') AND new IN ('date', 'datetime', 'string') OR wanted = 'enum' AND new IN ('string', 'integer') THEN 1 ELSE 2 END
+  WHEN event = 'NULLABILITY_CHANGED' AND required AND new = 'true' THEN 1 ELSE 0 END), 0) AS rank FROM mapping m LEFT JOIN events e USING (slug) GROUP BY 1, 2),
+worst AS (SELECT max(rank) AS rank FROM ranked), counts AS (SELECT count(*) FILTER (WHERE event = 'ADDED') AS x1, count(*) FILTER (WHERE event = 'REMOVED') AS x2, count(*) FILTER (WHERE event = 'TYPE_CHANGED') AS x3, count(*) FILTER (WHERE event = 'NULLABILITY_CHANGED') AS x4 FROM events)"""
 
 
 @query(f"WITH {DRIFT} SELECT * FROM events")
@@ -326,23 +377,26 @@ def schema_diff(spark, d):
 
 def _impact(spark, d) -> tuple[DataFrame, DataFrame]:
     events = drift.diff_schema(*_registries(spark, d))
-    mapping = spark.createDataFrame([("crm", m.sources[0], m.target, m.target != "date_of_birth") for m in MAPPING], "source string, slug string, target string, required boolean")
+    mapping = spark.createDataFrame([("crm", m.sources[0], m.target, RULES[m.target].type, RULES[m.target].required) for m in MAPPING], "source string, slug string, target string, wanted string, required boolean")
     return events, drift.mapping_impact(events, mapping)
 
 
-@query("SELECT 'crm' AS source, unnest(['cust_no', 'first', 'last', 'mail', 'dob', 'state', 'signup']) AS slug, unnest(['customer_id', 'first_name', 'last_name', 'email', 'date_of_birth', 'status', 'created_at']) AS target, unnest(['COMPATIBLE', 'REVIEW', 'COMPATIBLE', 'BROKEN', 'COMPATIBLE', 'BROKEN', 'BROKEN']) AS impact")
+@query(f"WITH {DRIFT} SELECT 'crm' AS source, slug, target, CASE rank WHEN 2 THEN 'BROKEN' WHEN 1 THEN 'REVIEW' ELSE 'COMPATIBLE' END AS impact FROM ranked")
 def mapping_impact(spark, d):
     return _impact(spark, d)[1]
 
 
-@query("SELECT 'crm' AS source, 'BROKEN' AS overall, TRUE AS needs_review, '2 added, 2 removed, 1 type_changed, 1 nullability_changed' AS summary")
+@query(f"WITH {DRIFT} SELECT 'crm' AS source, CASE rank WHEN 2 THEN 'BROKEN' WHEN 1 THEN 'REVIEW' ELSE 'COMPATIBLE' END AS overall, rank > 0 AS needs_review, x1 || ' added, ' || x2 || ' removed, ' || x3 || ' type_changed, ' || x4 || ' nullability_changed' AS summary FROM worst, counts")
 def drift_report(spark, d):
     return drift.drift_report(*_impact(spark, d))
 
 
-@query()
+@query(f"""WITH {DRIFT}, ratios(removed, added, ratio) AS (VALUES {_ratios((x, y) for x in FEED for y in ("e_mail", "score"))}), known(names) AS (VALUES {", ".join(f"({_texts((k, *v))})" for k, v in onboarding.ALIASES.items())}),
+scored AS (SELECT r.slug AS removed, c.slug AS added, round_even(greatest(ratio, CASE WHEN EXISTS (SELECT 1 FROM known WHERE list_contains(names, r.slug) AND list_contains(names, c.slug)) THEN 88e-2 ELSE 0e0 END)
+  - CASE WHEN c.new = r.old OR r.old = 'string' THEN 0e0 ELSE 25e-2 END, 4) AS score FROM events r, events c, ratios WHERE r.event = 'REMOVED' AND c.event = 'ADDED' AND ratios.removed = r.slug AND ratios.added = c.slug)
+SELECT 'crm' AS source, removed, added, score FROM (SELECT *, row_number() OVER (PARTITION BY removed ORDER BY score DESC, added) AS r FROM scored WHERE score >= 6e-1) WHERE r = 1""")
 def possible_renames(spark, d):
-    return drift.possible_renames(_impact(spark, d)[0], [("mail", "e_mail")])
+    return drift.possible_renames(_impact(spark, d)[0])
 
 
 @query()

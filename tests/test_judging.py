@@ -62,9 +62,9 @@ def one(spark, value, make):
 @pytest.mark.parametrize(("value", "make", "want"), [
     ("  x\t", text.norm_text, "x"), (" \n", text.norm_text, None), ("First  Name!", text.slug, "first_name"), ("---", text.slug, "col"), ("Éa b", text.slug, "éa_b"),
     ("YES", text.to_flag, True), ("no", text.to_flag, False), ("", text.to_flag, None),
-    ("2026-09-06", text.to_history_date, datetime.date(2026, 9, 6)), ("2026-09-06 23:30:00+05:00", text.to_history_date, datetime.date(2026, 9, 6)), ("2026-09", text.to_history_date, None), ("06/09/2026", text.to_history_date, None),
-    ("a@b.co", text.is_email, True), ("a@b", text.is_email, False), ("john@x.org", text.mask_email, "j***@x.org"), ("none", text.mask_email, "<MASKED_EMAIL>"), ("+1 555 123 4567", text.mask_phone, "***-***-4567"), ("12", text.mask_phone, "***-****"), ("ann lee", text.mask_name, "A*** L***"),
-    ("Ab-12", text.shape_token, "Aa-##"), ("a@b.co", text.shape_token, "<EMAIL>"), ("25/01/2020", text.date_pattern, "DD/MM/YYYY"), ("01/25/2020", text.date_pattern, "MM/DD/YYYY"), ("01/02/2020", text.date_pattern, "AMBIGUOUS"), ("x", text.date_pattern, None),
+    ("2026-09-06", text.to_history_date, datetime.date(2026, 9, 6)), ("2026-09-06 23:30:00+05:00", text.to_history_date, datetime.date(2026, 9, 6)), ("2026-09-06T10:00:00.123Z", text.to_history_date, datetime.date(2026, 9, 6)), ("2026-09-06T23:00:00.123456+02:00", text.to_history_date, datetime.date(2026, 9, 6)), ("2026-09", text.to_history_date, None), ("06/09/2026", text.to_history_date, None),
+    ("a@b.co", text.is_email, True), ("a@b", text.is_email, False), ("john@x.org", text.mask_email, "j***@x.org"), ("none", text.mask_email, "<MASKED_EMAIL>"), ("+1 555 123 4567", text.mask_phone, "***-4567"), ("j@x.org", text.mask_email, "*@x.org"), ("jo@x@y.org", text.mask_email, "j***@x@y.org"), ("12", text.mask_phone, "***-****"), ("ann lee", text.mask_name, "A*** L***"),
+    ("Ab-12", text.shape_token, "Aa-##"), ("a@b.co", text.shape_token, "<EMAIL>"), ("25/01/2020", text.date_pattern, "DD/MM/YYYY"), ("01/25/2020", text.date_pattern, "MM/DD/YYYY"), ("01/02/2020", text.date_pattern, "AMBIGUOUS"), ("05/05/2020", text.date_pattern, "MM/DD/YYYY"), ("2020/1/5", text.date_pattern, "YYYY/MM/DD"), ("2020-01-05 10:00", text.date_pattern, None), ("x", text.date_pattern, None),
     ("12.9", lambda c: text.cast_text(c, "integer"), 12), ("1d", lambda c: text.cast_text(c, "float"), None), ("Y", lambda c: text.cast_text(c, "boolean"), True), ("b", lambda c: text.map_enum(c, {"A": "ACTIVE", "B": "BLOCKED"}), "BLOCKED"), (" q ", lambda c: text.map_enum(c, {"A": "ACTIVE"}), "q"),
     ("06/09/2026", lambda c: text.parse_date(c, "%d/%m/%Y"), datetime.date(2026, 9, 6)), ("2026/9/6", text.parse_date, datetime.date(2026, 9, 6)), ("soon", text.parse_date, None),
 ])
@@ -83,9 +83,56 @@ def test_exception_moves(spark):
     assert {(r.exception_id, r.status, r.refused) for r in onboarding.exception_states(exceptions, events).collect()} == {("a", "RESOLVED", 1), ("b", "OPEN", 1), ("c", "OPEN", 0)}
 
 
+@pytest.mark.parametrize(("column", "value", "want"), [("phone", "+44 20 7946 0958 ext 3", "***-9583"), ("contact_email", "nobody", "<MASKED_EMAIL>"), ("ssn", "none", "***-**-1234"), ("full_name", "Ann Lee", "A*** L***"), ("full_name", "123", "123"), ("s_name", "Ann", "Ann"), ("note", "x" * 60, "x" * 50 + "..."), ("phone", None, None)])
+def test_samples_are_masked_by_column_name(spark, column, value, want):
+    assert one(spark, value, lambda c: text.sample_value(c, "masked", column)) == want
+
+
+def signals(spark, **columns):
+    rows = [(name, *({"type": "string", "uniqueness": 0.5, "has_at": False, "has_date": False, "top_values": []} | given).values()) for name, given in columns.items()]
+    return spark.createDataFrame(rows, "source_field string, type string, uniqueness double, has_at boolean, has_date boolean, top_values array<string>")
+
+
+def test_mapping_scores(spark):
+    rows = signals(spark, cust_no={"uniqueness": 0.9}, acct_no={"uniqueness": 1.0}, last={}, state={"top_values": ["A", "INACTIVE"]}, email_2={"has_at": True}, opened_date={"type": "date"}, given_no={})
+    got = {(r.source_field, r.target): r.score for r in onboarding.mapping_candidates(rows).collect()}
+    assert got["cust_no", "customer_id"] == 0.95 and got["acct_no", "customer_id"] == 1.0  # no penalty from 0.8 on
+    assert got["last", "last_name"] == 0.95 and ("last", "first_name") not in got
+    assert got["state", "status"] == 1.0 and got["opened_date", "created_at"] == 1.0
+    assert got["email_2", "email"] == round(0.7 * 2 * 5 / 12 + 0.1 + 0.2, 2)
+    assert ("given_no", "last_name") not in got
+    best = {r.source_field: r.target for r in onboarding.propose_mapping(rows, onboarding.mapping_candidates(rows)).collect()}
+    assert best["last"] == "last_name" and best["state"] == "status"
+
+
+def test_mapping_impact(spark):
+    events = spark.createDataFrame([("s", "dob", "REMOVED", "string", None), ("s", "signup", "TYPE_CHANGED", "string", "date"), ("s", "state", "TYPE_CHANGED", "string", "float"), ("s", "first", "NULLABILITY_CHANGED", "false", "true"), ("s", "nick", "NULLABILITY_CHANGED", "false", "true")], "source string, slug string, event string, old string, new string")
+    mapping = spark.createDataFrame([("s", "dob", "date_of_birth", "date", False), ("s", "signup", "created_at", "datetime", True), ("s", "state", "status", "enum", True), ("s", "first", "first_name", "string", True), ("s", "nick", "nickname", "string", False)], "source string, slug string, target string, wanted string, required boolean")
+    got = {r.slug: r.impact for r in drift.mapping_impact(events, mapping).collect()}
+    assert got == {"dob": "BROKEN", "signup": "REVIEW", "state": "BROKEN", "first": "REVIEW", "nick": "COMPATIBLE"}
+
+
+@pytest.mark.parametrize(("message", "kind", "task", "code", "want"), [
+    ("x", "DuplicateBusinessKeyError", "ingest_csvs", 0, "deterministic_scd2_error"), ("gone", "FileNotFoundError", "ingest_task", 0, "deterministic_input_error"), ("gone", "FileNotFoundError", None, 0, "unexpected_internal_error"),
+    ("no such column", "KeyError", "schema_task", 0, "deterministic_schema_error"), ("artifact lost", "OSError", None, 0, "persistence_error"), ("x", "RuntimeError", "explain_task", 403, "permanent_ai_error"), ("Quota exceeded for the day", "RuntimeError", "explain_task", 429, "permanent_ai_error"),
+    ("x", "TimeoutError", "explain_task", 0, "transient_ai_error"), ("x", "RuntimeError", "explain_changes", 503, "transient_ai_error"), ("x", "ValueError", "explain_changes", 0, "unexpected_internal_error"), ("duplicate key", "Exception", None, 0, "deterministic_scd2_error"), (None, "Exception", None, 0, "unexpected_internal_error"),
+])
+def test_failure_categories(spark, message, kind, task, code, want):
+    from dimtrail.operators.metrics import failure_category
+
+    df = spark.createDataFrame([(message, kind, task, code)], "m string, k string, t string, c int")
+    assert df.select(failure_category(*map(F.col, "mktc")).alias("r")).first().r == want
+
+
+def test_deleted_rows_are_no_evidence(spark):
+    df = spark.createDataFrame([("b", t) for t in ("CHANGED", "NEW", "UNCHANGED", "DELETED")], "batch string, change_type string")
+    r = guardrail.batch_counts(df, "batch").first()
+    assert (r.evaluated, r.mutated, r.ratio) == (3, 2, 0.6667)
+
+
 def test_drift_renames(spark):
-    events = spark.createDataFrame([("s", "customer_name", "REMOVED", "string", None), ("s", "customer_names", "ADDED", None, "string"), ("s", "zzz", "ADDED", None, "string")], "source string, slug string, event string, old string, new string")
-    assert [(r.removed, r.added) for r in drift.possible_renames(events).collect()] == [("customer_name", "customer_names")]
+    events = spark.createDataFrame([("s", "customer_name", "REMOVED", "string", None), ("s", "customer_names", "ADDED", None, "string"), ("s", "zzz", "ADDED", None, "string"), ("s", "dob", "REMOVED", "date", None), ("s", "bday", "ADDED", None, "string"), ("s", "qty", "REMOVED", "integer", None), ("s", "qty2", "ADDED", None, "float")], "source string, slug string, event string, old string, new string")
+    assert {(r.removed, r.added, r.score) for r in drift.possible_renames(events).collect()} == {("customer_name", "customer_names", 0.963), ("dob", "bday", 0.88), ("qty", "qty2", 0.6071)}
 
 
 def test_profile(spark):
