@@ -13,7 +13,10 @@ however rare it is.
 Words are 64-bit hashes, pairs and triples 56-bit ones. Documents are dealt into blocks of about BLOCK_BYTES by a hash of id and
 text, those of the deleted part, of the rest and of the held-out texts into blocks of their own. A block asks for its
 distinct n-grams in sorted arrays; parts of the key space add up the arrays of all blocks and answer each block with the
-totals. Nothing of the vocabulary is broadcast or collected, and what moves grows with the distinct n-grams of the blocks."""
+totals. Nothing of the vocabulary is broadcast or collected, and what moves grows with the distinct n-grams of the blocks.
+
+There are as many parts as blocks, so a block's request has as many rows; with very large inputs raise block_bytes along
+with the memory of a task (about 30 times block_bytes), so that rows still hold many keys."""
 
 from __future__ import annotations
 
@@ -37,7 +40,7 @@ BLOCK_BYTES = 8 << 20
 SLICE = 1 << 20
 ROUNDS = 100
 #: Cells of the held-out tokens: estimates to the uniform one in steps of 2 ** (1 / STEPS). A cell carries its mean estimates.
-STEPS = 4
+STEPS = 1
 KEPT_BLOCK, DELETED_BLOCK, HELD_OUT_BLOCK = 0, 1, 2
 
 
@@ -131,15 +134,23 @@ def ngram_keys(tokens: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Numbers as byte planes, as many as the largest needs, after a byte with their number; empty planes vanish when a shuffle is compressed."""
+    """Numbers as byte planes, as many as the largest needs, each compressed by itself; before them their number, and the size of each plane."""
     width = max((int(values.max(initial=0)).bit_length() + 7) // 8, 1)
-    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    made = [pa.compress(plane.tobytes(), codec="zstd", asbytes=True) for plane in planes] if len(values) else []
+    return np.array([len(values), *map(len, made)], "<u4").tobytes() + bytes(4) + b"".join(made)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : len(planes)] = planes.T
+    size = int.from_bytes(data[:4], "little")
+    out = np.zeros((size, 8), np.uint8)
+    sizes = []
+    while (n := int.from_bytes(data[4 * len(sizes) + 4 : 4 * len(sizes) + 8], "little")) > 0:
+        sizes.append(n)
+    at = 4 * len(sizes) + 8
+    for plane, n in enumerate(sizes):
+        out[:, plane] = np.frombuffer(pa.decompress(data[at : at + n], size, codec="zstd"), np.uint8)
+        at += n
     return out.view("<u8").ravel()
 
 
@@ -186,12 +197,19 @@ def answers_of(part: pa.Table) -> pa.Table:
     out, totals = [[b, k, number] for b, k in zip(blocks, kinds.tolist(), strict=True)], None
     kept_of = [[] for _ in blocks]
     for order in range(ORDERS):
-        keys = [np.cumsum(unpacked(k)) for k in part.column(f"keys{order}").to_pylist()]
+        keys = [np.cumsum(unpacked(k.as_py())) for k in part.column(f"keys{order}")]
         sizes = [len(k) for k in keys]
-        every, place = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = [np.zeros(size, np.int64) if n is None else unpacked(n).astype(np.int64) for n, size in zip(part.column(f"n{order}").to_pylist(), sizes, strict=True)]
-        total = np.bincount(place, np.concatenate(counts), len(every)).astype(np.int64)
-        kept = np.bincount(place, np.concatenate([n if k == KEPT_BLOCK else np.zeros(len(n), np.int64) for n, k in zip(counts, kinds, strict=True)]), len(every)).astype(np.int64)
+        keys = np.concatenate(keys)
+        by_key = np.argsort(keys)
+        first = np.flatnonzero(np.diff(keys[by_key], prepend=~keys[by_key[:1]]))
+        del keys
+        counts = np.concatenate([np.zeros(size, np.int64) if n.as_py() is None else unpacked(n.as_py()).astype(np.int64) for n, size in zip(part.column(f"n{order}"), sizes, strict=True)])
+        total = np.add.reduceat(counts[by_key], first) if len(first) else counts
+        counts[np.repeat(kinds != KEPT_BLOCK, sizes)] = 0
+        kept = np.add.reduceat(counts[by_key], first) if len(first) else counts
+        place = np.empty(len(by_key), np.int64)
+        place[by_key] = np.repeat(np.arange(len(first)), np.diff(first, append=len(by_key)))
+        del by_key, counts
         if order == 0:
             totals = [int(total.sum()), int((total > 0).sum()), int(kept.sum()), int((kept > 0).sum())]
         at = 0
@@ -291,7 +309,7 @@ def with_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     sizes = {r.kind: r.bytes or 0 for r in docs.groupBy("kind").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()}
     blocks = {k: n // block_bytes + 1 for k, n in sizes.items()}
     n_blocks = max(sum(blocks.values()), 1)
-    parts = n_blocks // 2 + 1
+    parts = n_blocks
     number = F.pmod(F.xxhash64("doc_id", "text"), F.element_at(F.create_map(*[F.lit(x) for k in range(3) for x in (k, blocks.get(k, 1))]), F.col("kind")).cast("long"))
     dealt = docs.withColumn("block", number * 3 + F.col("kind")).repartition(n_blocks, "block")
 
