@@ -7,8 +7,10 @@ goes when either run repeats. Digests are grouped over all documents and the occ
 offset) stays. A repeated line goes with its line end; in lines that stay, repeated
 sentences go. What is taken out is reported by its offsets in the original text.
 
-Digests are counted first, combined inside the tasks; the ones that repeat are written out and joined with the units, so
-that Spark sees the sizes of both sides and splits the partition of a digest that very many documents have."""
+Digests are counted first, combined inside the tasks. The ones that repeat set bits in a broadcast table of bounded size,
+and only units whose bit is set are joined with them; a bit too many costs time, never a result. The repeated digests are
+written out before the join, so that Spark sees the sizes of both sides and splits the partition of one that very many
+documents have."""
 
 from __future__ import annotations
 
@@ -17,13 +19,18 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dimtrail.llm.common import checkpointed
+from dimtrail.llm.common import checkpointed, slices
 
 MIN_WORDS = 8
+#: Text whose units are held at a time; a single longer text still goes as one.
+SLICE_BYTES = 1 << 20
+#: Bits of the table of repeated digests, at most (64 MB) and in one of its chunks.
+MOST_BITS, CHUNK_BITS = 29, 20
 SENTENCE = re.compile(r"[^.!?]+[.!?]*\s*|[.!?]+\s*")
 
 
@@ -57,14 +64,14 @@ def units(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int,
     return out
 
 
-def digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, span, line, again, hi, lo): the units of every row with their digests.
+def digests(docs: DataFrame, min_words: int = MIN_WORDS, marks: Broadcast | None = None) -> DataFrame:
+    """(doc_id, th, span, line, again, hi, lo): the units of every row with their digests; with marks, those whose bit is set.
 
     th, a hash of the text, tells rows of one id but different texts apart; span is start << 32 | end; again marks a unit
     that the same text has before. Null and blank texts have no units; repeated rows have theirs each."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in slices(b.column(1), SLICE_BYTES)):
             counts, spans, lines, again, hashes = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = units(text, min_words)
@@ -81,12 +88,33 @@ def digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 row = pa.array(np.repeat(np.arange(len(counts)), counts))
                 both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
                 arrays = [batch.column(0).take(row), batch.column(2).take(row), pa.array(spans, pa.int64()), pa.array(lines), pa.array(again), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "th", "span", "line", "again", "hi", "lo"])
+                made = pa.RecordBatch.from_arrays(arrays, names=["doc_id", "th", "span", "line", "again", "hi", "lo"])
+                if marks is not None:
+                    place = both[:, 0] & (8 * len(marks.value) - 1)
+                    made = made.filter(pa.array((marks.value[place >> 3] >> (place & 7) & 1).astype(bool)))
+                yield made
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, span long, line boolean, again boolean, hi long, lo long")
 
 
+def marked_digests(firsts: DataFrame) -> Broadcast:
+    """One bit for each place of a table of 16 to 32 times as many as there are digests, at most 2 ** MOST_BITS, set where one falls."""
+    size = 1 << min(max((16 * firsts.count()).bit_length(), CHUNK_BITS), MOST_BITS)
+
+    def chunk(key: tuple[pa.Scalar, ...], digests: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << CHUNK_BITS, np.uint8)
+        bits[digests.column("place").to_numpy() & ((1 << CHUNK_BITS) - 1)] = 1
+        return pa.table({"chunk": [key[0].as_py()], "bits": [np.packbits(bits, bitorder="little").tobytes()]}, schema=pa.schema([("chunk", pa.int64()), ("bits", pa.binary())]))
+
+    place = F.pmod(F.col("hi"), F.lit(size))
+    chunks = firsts.select(place.alias("place")).groupBy(F.shiftright("place", CHUNK_BITS).alias("chunk")).applyInArrow(chunk, "chunk long, bits binary")
+    out = np.zeros((size >> CHUNK_BITS, 1 << CHUNK_BITS - 3), np.uint8)
+    for r in chunks.collect():  # at most 2 ** (MOST_BITS - CHUNK_BITS) rows
+        out[r.chunk] = np.frombuffer(r.bits, np.uint8)
+    return firsts.sparkSession.sparkContext.broadcast(out.ravel())
+
+
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, span, line, first_id) of every unit that an earlier one repeats; first_id: the document of the first.
 
@@ -95,7 +123,7 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     none = F.col("doc_id").isNull()
     firsts = found.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max(none).alias("null_first")).where("n > 1")
     firsts = checkpointed(firsts.select("hi", "lo", "null_first", F.when(~F.col("null_first"), F.col("first_id")).alias("first_id")))
-    hits = found.join(firsts, ["hi", "lo"])
+    hits = digests(docs, min_words, marked_digests(firsts)).join(firsts, ["hi", "lo"])
     later = F.when(F.col("null_first"), ~none).otherwise(F.col("doc_id") > F.col("first_id")) | F.col("again")
     twins = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high")).where("low != high")
     twins = checkpointed(twins.select(F.col("doc_id").alias("twin")))
@@ -127,7 +155,7 @@ def with_units_removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in slices(b.column(b.schema.get_field_index("text")), SLICE_BYTES)):
             at = {n: batch.schema.get_field_index(n) for n in names}
             texts = batch.column(at["text"]).to_pylist()
             cut = [cut_out(t, s) for t, s in zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
