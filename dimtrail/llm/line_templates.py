@@ -2,8 +2,10 @@
 
 A line's leaf is its token count and its first LEADING tokens, tokens with a digit standing for any. Inside a leaf a
 token counts as constant at its place when lines of at least MIN_DOCS texts have it there; other tokens, and all with
-a digit, become <*>. A template is what remains; it must have MIN_TOKENS tokens and be constant in at least CONSTANT of
-its places. A template recurs when it stands in at least MIN_DOCS different companies. Every line of a recurring template
+a digit, become <*>. A template is what remains; it must be constant in at least CONSTANT of its places. The tree has two
+levels below its root, the token count and the leading tokens, and both are one hash, the leaf's number; a leaf has as many
+children as its lines have leading tokens, and a line is compared with none but the leaf's constant tokens. A template
+recurs when it stands in at least MIN_DOCS different companies. Every line of a recurring template
 is dropped. The company tells boilerplate, which stands in all kinds of documents, from copied documents, whose lines
 keep each other's company and which are left to document deduplication.
 
@@ -31,7 +33,6 @@ from dimtrail.llm.common import checkpointed
 
 LEADING = 3
 MIN_DOCS = 3
-MIN_TOKENS = 3
 CONSTANT = 0.7
 BUCKETS = 1 << 22
 _DIGIT = re.compile(r"\d")
@@ -62,7 +63,7 @@ def _leaf_buckets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             buckets, hashes = [], []
             for text, th in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {leaf % BUCKETS for leaf, line in text_leaves(text) if line.count(" ") >= MIN_TOKENS - 1}
+                own = {leaf % BUCKETS for leaf, line in text_leaves(text) if line}
                 buckets += own
                 hashes += [th] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(hashes, pa.int64())], names=["bucket", "th"])
@@ -95,7 +96,7 @@ def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                     held[leaf] += n
                 for at, leaf, line, n in lines:
                     bucket = leaf % BUCKETS
-                    if n >= MIN_TOKENS and marks[bucket >> 5] >> (bucket & 31) & 1:
+                    if marks[bucket >> 5] >> (bucket & 31) & 1:
                         rows.append((doc_id, th, at, leaf, xxhash.xxh64_intdigest(line) - (1 << 63), line, held[leaf], total))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (batch.column(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "th", "at", "leaf", "line_id", "line", "held", "total"])
@@ -130,8 +131,8 @@ def recurring_templates(seen: DataFrame, held: DataFrame, min_docs: int = MIN_DO
     return first.unionAll(second.select("leaf", "template_id"))
 
 
-def recurring_lines(found: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
-    """(leaf, line_id, template) of the lines whose template recurs.
+def recurring_lines(found: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT, companies: bool = True) -> DataFrame:
+    """(leaf, line_id, template) of the lines whose template recurs; without companies every template in min_docs texts does.
 
     A token at its place in a leaf is one hash, its cell; lines travel as ids, and their text comes back for templates only."""
     counts = found.select("leaf", "line_id", "th").distinct().groupBy("leaf", "line_id").agg(F.count("*").alias("texts"))
@@ -147,20 +148,25 @@ def recurring_lines(found: DataFrame, min_docs: int = MIN_DOCS, constant: float
     shape = F.array_join(F.transform(tokens, lambda t, i: F.when(F.array_contains("places", i), t).otherwise(ANY)), " ")
     templates = checkpointed(shaped.select("leaf", "line_id", shape.alias("template")).withColumn("template_id", F.xxhash64("template")))
     seen = found.select("line_id", "th", "held").join(templates.select("leaf", "line_id", "template_id"), "line_id").select("leaf", "template_id", "th", "held").distinct()
-    often = recurring_templates(checkpointed(seen), found.select("leaf", "th", "held", "total").distinct(), min_docs)
+    if companies:
+        often = recurring_templates(checkpointed(seen), found.select("leaf", "th", "held", "total").distinct(), min_docs)
+    else:
+        often = seen.groupBy("leaf", "template_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf", "template_id")
     return templates.join(often, ["leaf", "template_id"]).select("leaf", "line_id", "template")
 
 
-def with_line_drops(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
+def with_line_drops(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT, companies: bool = True) -> DataFrame:
     """Every row with the lines of recurring templates taken out of text; adds n_lines and dropped_lines (numbers from 0, ascending).
 
+    companies=False drops every template that min_docs texts have, copied documents among them.
+
     Lines end at line feeds; those that stay keep their bytes and order. Blank lines are never dropped. Null texts stay null,
     with no lines; empty texts have one. A column n_chars is set to the new length. Repeated rows and ties are each treated
     by their own text; equal texts lose equal lines."""
     bits = marked_buckets(docs, min_docs)
     found = checkpointed(occurrences(docs, bits))
-    bad = recurring_lines(found, min_docs, constant)
-    drops = found.select("doc_id", "th", "at", "line_id").join(bad.select("line_id"), "line_id").select("doc_id", "th", "at").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("at")).alias("dropped_lines"))
+    bad = checkpointed(recurring_lines(found, min_docs, constant, companies).select("line_id"))  # so that the join sees its size and a line's skew
+    drops = found.select("doc_id", "th", "at", "line_id").join(bad, "line_id").select("doc_id", "th", "at").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("at")).alias("dropped_lines"))
     drops = drops.select(F.col("doc_id").alias("__dt_id"), F.col("th").alias("__dt_th"), F.col("dropped_lines").alias("__dt_drops"))
     both = docs.drop("n_lines", "dropped_lines").join(drops, docs["doc_id"].eqNullSafe(F.col("__dt_id")) & (F.xxhash64("text") == F.col("__dt_th")), "left")
     lines = F.split("text", "\n")
