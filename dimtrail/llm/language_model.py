@@ -10,7 +10,8 @@ else none. The weights are learned by expectation-maximisation on the tokens of
 with counts of the rest; then the counts of the whole training part are put in. Every word has n-grams of its own,
 however rare it is.
 
-Words are 64-bit hashes, pairs and triples 56-bit ones. Documents are dealt into blocks of about BLOCK_BYTES by a hash of id and
+Words are 64-bit hashes. Pairs and triples are hashes of SPARE_BITS bits more than it takes to number the bytes of the
+input, so that the chance that an n-gram is taken for another stays below 1 in 250,000 at every size. Documents are dealt into blocks of about BLOCK_BYTES by a hash of id and
 text, those of the deleted part, of the rest and of the held-out texts into blocks of their own. A block asks for its
 distinct n-grams in sorted arrays; parts of the key space add up the arrays of all blocks and answer each block with the
 totals. Nothing of the vocabulary is broadcast or collected, and what moves grows with the distinct n-grams of the blocks.
@@ -32,9 +33,8 @@ from dimtrail.llm.common import checkpointed
 
 HELD_OUT, DELETED, FOLDS = 2, 0, 7
 ORDERS = 3
-#: Bits of the keys of pairs and triples, and of the keys of each order.
-NGRAM_BITS = 56
-KEY_BITS = (64, NGRAM_BITS, NGRAM_BITS)
+#: Bits that keys of pairs and triples have beyond the size of the input.
+SPARE_BITS = 18
 BLOCK_BYTES = 8 << 20
 #: Bytes of text whose hashed bytes are held at a time.
 SLICE = 1 << 20
@@ -122,14 +122,14 @@ def shifted(values: np.ndarray, firsts: np.ndarray, fill) -> np.ndarray:
     return out
 
 
-def ngram_keys(tokens: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+def ngram_keys(tokens: np.ndarray, lengths: np.ndarray, bits: int) -> list[np.ndarray]:
     """Keys of the word, pair and triple that end at each token; a text begins after two starts. Words have all 64 bits, since their counts are to be exact."""
     firsts = np.cumsum(lengths) - lengths
     two = mixed(mixed(shifted(tokens, firsts, START)) ^ tokens)
     three = shifted(two, firsts, START)
     three += _TRIPLE
     three = mixed(mixed(three) ^ tokens)
-    two, three = two >> np.uint64(64 - NGRAM_BITS), three >> np.uint64(64 - NGRAM_BITS)
+    two, three = two >> np.uint64(64 - bits), three >> np.uint64(64 - bits)
     return [tokens, two, three]
 
 
@@ -161,13 +161,13 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(first, append=len(keys))
 
 
-def block_keys(texts: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray]:
+def block_keys(texts: pa.ChunkedArray, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
     tokens, lengths = token_hashes(texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0))
-    return ngram_keys(tokens, lengths), lengths
+    return ngram_keys(tokens, lengths, bits), lengths
 
 
-REQUEST = T.StructType([T.StructField("block", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("part", T.LongType()), *[T.StructField(f"{c}{k}", T.BinaryType()) for c in ("keys", "n") for k in range(ORDERS)]])
-ANSWER = T.StructType([T.StructField("block", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("part", T.LongType()), *[T.StructField(f"{c}{k}", T.BinaryType()) for c in ("n", "kept") for k in range(ORDERS)], T.StructField("totals", T.ArrayType(T.LongType()))])
+REQUEST = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), *[T.StructField(f"{c}{k}", T.BinaryType()) for c in ("keys", "n") for k in range(ORDERS)]])
+ANSWER = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()), *[T.StructField(f"{c}{k}", T.BinaryType()) for c in ("n", "kept") for k in range(ORDERS)], T.StructField("totals", T.ArrayType(T.LongType()))])
 CELL = T.StructType([T.StructField("cell", T.LongType()), T.StructField("n", T.LongType()), *[T.StructField(f"p{k}", T.DoubleType()) for k in range(ORDERS)]])
 
 
@@ -176,12 +176,12 @@ def _table(rows: list[tuple], schema: T.StructType) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
 
-def requests_of(block: pa.Table, parts: int) -> pa.Table:
+def requests_of(block: pa.Table, parts: int, bits: int) -> pa.Table:
     """A block's distinct keys of each order, with their counts unless it is held out, by part of the key space."""
-    keys, _ = block_keys(block.column("text"))
+    keys, _ = block_keys(block.column("text"), bits)
     kind = block.column("kind")[0].as_py()
     found = [counted(k) for k in keys]
-    cuts = [[0, *np.searchsorted(k, np.array([p * (1 << bits) // parts for p in range(1, parts)], np.uint64)).tolist(), len(k)] for (k, _), bits in zip(found, KEY_BITS, strict=True)]
+    cuts = [[0, *np.searchsorted(k, np.array([p * (1 << bits) // parts for p in range(1, parts)], np.uint64)).tolist(), len(k)] for (k, _), bits in zip(found, (64, bits, bits), strict=True)]
     rows = []
     for p in range(parts):
         own = [(k[c[p] : c[p + 1]], n[c[p] : c[p + 1]]) for (k, n), c in zip(found, cuts, strict=True)]
@@ -247,9 +247,9 @@ def estimates(counts: list[np.ndarray], lengths: np.ndarray, tokens: int, distin
     return p, bucket
 
 
-def held_out_cells(block: pa.Table, answers: pa.Table, tokens: int, distinct: int) -> pa.Table:
+def held_out_cells(block: pa.Table, answers: pa.Table, bits: int, tokens: int, distinct: int) -> pa.Table:
     """(cell, n, p0, p1, p2): tokens of a deleted block by bucket and estimates, with counts of the kept part; p: sums of the estimates to the uniform one."""
-    keys, lengths = block_keys(block.column("text"))
+    keys, lengths = block_keys(block.column("text"), bits)
     p, bucket = estimates(token_counts(keys, answers, "kept"), lengths, tokens, distinct)
     p *= distinct + 1
     cell = bucket
@@ -285,9 +285,9 @@ def em_weights(cells: list[tuple], rounds: int = ROUNDS) -> np.ndarray:
     return weights
 
 
-def scores_of(block: pa.Table, answers: pa.Table, weights: np.ndarray, tokens: int, distinct: int, schema: pa.Schema) -> pa.Table:
+def scores_of(block: pa.Table, answers: pa.Table, bits: int, weights: np.ndarray, tokens: int, distinct: int, schema: pa.Schema) -> pa.Table:
     """Scores of a block's documents with the counts it was answered."""
-    keys, lengths = block_keys(block.column("text"))
+    keys, lengths = block_keys(block.column("text"), bits)
     counts = token_counts(keys, answers, "n")
     p, bucket = estimates(counts, lengths, tokens, distinct)
     w = weights if tokens else np.eye(ORDERS + 1)[np.zeros(len(weights), int)]
@@ -307,22 +307,25 @@ def with_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     kind = F.when(fold == HELD_OUT, HELD_OUT_BLOCK).when(fold == DELETED, DELETED_BLOCK).otherwise(KEPT_BLOCK)
     docs = docs.select("doc_id", "text", kind.cast("int").alias("kind"))
     sizes = {r.kind: r.bytes or 0 for r in docs.groupBy("kind").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()}
-    blocks = {k: n // block_bytes + 1 for k, n in sizes.items()}
-    n_blocks = max(sum(blocks.values()), 1)
+    blocks = [sizes[k] // block_bytes + 1 if k in sizes else 0 for k in range(3)]
+    n_blocks = max(sum(blocks), 1)
     parts = n_blocks
-    number = F.pmod(F.xxhash64("doc_id", "text"), F.element_at(F.create_map(*[F.lit(x) for k in range(3) for x in (k, blocks.get(k, 1))]), F.col("kind")).cast("long"))
-    dealt = docs.withColumn("block", number * 3 + F.col("kind")).repartition(n_blocks, "block")
+    bits = min(sum(sizes.values()).bit_length() + SPARE_BITS, 64)
+    of_kind = lambda values: F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("kind") + 1)
+    block = of_kind(np.cumsum(blocks) - blocks) + F.pmod(F.xxhash64("doc_id", "text"), of_kind(np.maximum(blocks, 1)))
+    dealt = docs.withColumn("block", block.cast("int")).repartitionById(n_blocks, "block")  # a block or part a task
 
-    requests = dealt.groupBy("block").applyInArrow(lambda table: requests_of(table, parts), REQUEST)
-    answers = checkpointed(requests.repartition(parts, "part").groupBy("part").applyInArrow(answers_of, ANSWER))
+    requests = dealt.groupBy("block").applyInArrow(lambda table: requests_of(table, parts, bits), REQUEST)
+    answers = checkpointed(requests.repartitionById(parts, "part").groupBy("part").applyInArrow(answers_of, ANSWER))
     tokens, distinct, kept_tokens, kept_distinct = answers.where("totals is not null").agg(*[F.coalesce(F.sum(F.col("totals")[i]), F.lit(0)) for i in range(4)]).first()
     answers = answers.where("block is not null").drop("totals")
-    wanted = answers.where(F.col("kind") == DELETED_BLOCK).repartition(max(blocks.get(DELETED_BLOCK, 1), 1), "block")
-    deleted = docs.where(F.col("kind") == DELETED_BLOCK).withColumn("block", number * 3 + F.col("kind")).repartition(max(blocks.get(DELETED_BLOCK, 1), 1), "block")
-    cells = deleted.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(lambda left, right: held_out_cells(left, right, kept_tokens, kept_distinct), CELL)
+    n_deleted = max(blocks[DELETED_BLOCK], 1)
+    wanted = answers.where(F.col("kind") == DELETED_BLOCK).repartition(n_deleted, "block")
+    deleted = docs.where(F.col("kind") == DELETED_BLOCK).withColumn("block", block.cast("int")).repartition(n_deleted, "block")
+    cells = deleted.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(lambda left, right: held_out_cells(left, right, bits, kept_tokens, kept_distinct), CELL)
     cells = cells.groupBy("cell").agg(F.sum("n").alias("n"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(ORDERS)])
     weights = em_weights([tuple(r) for r in cells.collect()])  # cells of a fixed grid, some ten thousand in use
 
     fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(n, t) for n, t in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))]]
     arrow = to_arrow_schema(T.StructType(fields))
-    return dealt.groupBy("block").cogroup(answers.repartition(n_blocks, "block").groupBy("block")).applyInArrow(lambda left, right: scores_of(left, right, weights, tokens, distinct, arrow), T.StructType(fields))
+    return dealt.groupBy("block").cogroup(answers.repartitionById(n_blocks, "block").groupBy("block")).applyInArrow(lambda left, right: scores_of(left, right, bits, weights, tokens, distinct, arrow), T.StructType(fields))
