@@ -28,12 +28,17 @@ def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.where(no_null(key)).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def require_unique(df: DataFrame, key: Sequence[str], what: str) -> None:
-    """Raises with the number of repeated keys and five of them."""
-    repeated = duplicate_keys(df, key)
-    samples = repeated.orderBy(*key).limit(5).collect()
-    if samples:
-        raise DuplicateKeysError(f"{what}: repeated keys, such as {[tuple(r[k] for k in key) for r in samples]}")
+def require_unique(source: DataFrame, target: DataFrame, key: Sequence[str]) -> None:
+    """Raises if keys repeat in the source or among the current rows of the target, with five of them, or if target rows lack is_current. One job for all."""
+    names = F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("k")
+    found = duplicate_keys(source, key).select(F.lit("source").alias("what"), names).unionByName(duplicate_keys(current_rows(target), key).select(F.lit("current target rows").alias("what"), names))
+    if CURRENT in target.columns:
+        found = found.unionByName(target.where(F.col(CURRENT).isNull()).select(F.lit(CURRENT).alias("what"), F.lit("").alias("k")))
+    bad = found.limit(5).collect()
+    if any(r.what == CURRENT for r in bad):
+        raise HistoryError("rows without is_current")
+    if bad:
+        raise DuplicateKeysError(f"repeated keys: {sorted(f'{r.what}: {r.k}' for r in bad)}")
 
 
 def current_rows(target: DataFrame) -> DataFrame:
@@ -82,8 +87,7 @@ def classify_changes(source: DataFrame, target: DataFrame, key: Sequence[str], t
     With `check`, repeated keys of the source or of current target rows are an error."""
     check_inputs(source, target, key, tracked, mode, policy)
     if check:
-        require_unique(source, key, "source")
-        require_unique(current_rows(target), key, "current target rows")
+        require_unique(source, target, key)
     both = joined(source, target, key, tracked, mode, policy).where("change_type != 'ABSENT'")
     return both.select(*[F.coalesce(f"s.{k}", f"t.{k}").alias(k) for k in key], "change_type", "field_changes")
 

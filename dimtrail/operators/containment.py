@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dimtrail.operators.changes import classify_changes
+from dimtrail.operators.guardrail import Thresholds, decide, evidence
+from dimtrail.operators.history import apply_history
+from dimtrail.operators.invariants import passes, validate_history
+
 HELD, CLOSING = "HELD", ("RELEASED", "REPROCESSED", "DISCARDED")
 
 
@@ -55,3 +64,56 @@ def released_rows(frozen: DataFrame, history: DataFrame, key: list[str], at: Col
     both = frozen.join(begun, key, "left")
     late = F.coalesce(at.cast("date") < F.col("__dt_begun"), F.lit(False))
     return both.where(~late).select(frozen.columns), both.where(late).select(frozen.columns)
+
+
+@dataclass
+class Resolution:
+    """What an action on a hold comes to: its new status, the next history (None where it stays as it is), rows too old to be replayed, and whether the source's cursor may pass the batch."""
+
+    status: str
+    history: DataFrame | None = None
+    late: DataFrame | None = None
+    advances: bool = False
+
+
+def _require_held(events: DataFrame, hold: str) -> None:
+    found = hold_states(events.where(F.col("hold_id") == hold)).first()
+    if found is None or found.status != HELD:
+        raise HoldError(f"hold {hold} is {'unknown' if found is None else found.status}")
+
+
+def _replayed(frozen: DataFrame, history: DataFrame, key: Sequence[str], tracked: Sequence[str], at: str, when: datetime.date | datetime.datetime) -> tuple[DataFrame, DataFrame]:
+    """The next history with the frozen rows in it, checked, and the rows too old for it."""
+    fit, late = released_rows(frozen, history, list(key), F.col(at))
+    staged = apply_history(fit.select(*key, *tracked), history, key, tracked, when, "incremental", "ignore")
+    report = validate_history(staged, key)
+    if not passes(report):
+        raise HoldError(f"the replay breaks {[r.rule for r in report.where('status = ' + repr('fail')).collect()]}")
+    return staged, late
+
+
+def release(events: DataFrame, hold: str, frozen: DataFrame, history: DataFrame, key: Sequence[str], tracked: Sequence[str], at: str, when: datetime.date | datetime.datetime) -> Resolution:
+    """A held batch is accepted as it is: its frozen rows are replayed against the history of today, except those older than their key's current version.
+
+    Only a hold that is HELD may be released; a replay that breaks an invariant changes nothing and is an error."""
+    _require_held(events, hold)
+    staged, late = _replayed(frozen, history, key, tracked, at, when)
+    return Resolution("RELEASED", staged, late, True)
+
+
+def reprocess(events: DataFrame, hold: str, frozen: DataFrame, history: DataFrame, key: Sequence[str], tracked: Sequence[str], at: str, when: datetime.date | datetime.datetime, thresholds: Thresholds = Thresholds(), force: bool = False) -> Resolution:  # noqa: B008
+    """A held batch is judged again against the history of today; still suspicious, it stays HELD, unless forced. Otherwise it is replayed."""
+    _require_held(events, hold)
+    fit, _ = released_rows(frozen, history, list(key), F.col(at))
+    changes = classify_changes(fit.select(*key, *tracked), history, key, tracked, "incremental", "ignore").withColumn("batch", F.lit(hold))
+    judged = decide(evidence(changes.join(fit.select(*key, at), list(key), "left"), "batch", key, at), thresholds).first()
+    if judged is not None and judged.decision != "NORMAL" and not force:
+        return Resolution(HELD)
+    staged, late = _replayed(frozen, history, key, tracked, at, when)
+    return Resolution("REPROCESSED", staged, late, True)
+
+
+def discard(events: DataFrame, hold: str, advance: bool = False) -> Resolution:
+    """A held batch is given up: the history stays; with advance the source's cursor passes the batch, else its rows come again."""
+    _require_held(events, hold)
+    return Resolution("DISCARDED", advances=advance)

@@ -10,33 +10,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dimtrail.functions.text import no_null
 from dimtrail.operators.changes import CURRENT, FROM, METADATA, TO, HistoryError, check_inputs, classify_changes, current_rows, historical_rows, joined, require_unique
 
 
+def validity_type(history: DataFrame) -> T.DataType:
+    """The type of a history's validity columns: timestamps if it has them, else dates."""
+    given = history.schema[FROM].dataType if FROM in history.columns else None
+    return given if isinstance(given, T.TimestampType) else T.DateType()
+
+
 def history_schema(source: DataFrame, target: DataFrame, key: Sequence[str], tracked: Sequence[str]) -> T.StructType:
-    """Types of the next history: the source's, else the target's, else string."""
+    """Types of the next history: the source's, else the target's, else string. Validity is by date, or by timestamp where the target has timestamps."""
     types = {f.name: f.dataType for f in (*target.schema.fields, *source.schema.fields)}
     fields = [T.StructField(c, types.get(c, T.StringType())) for c in (*key, *tracked)]
-    return T.StructType([*fields, T.StructField(FROM, T.DateType()), T.StructField(TO, T.DateType()), T.StructField(CURRENT, T.BooleanType())])
+    grain = validity_type(target)
+    return T.StructType([*fields, T.StructField(FROM, grain), T.StructField(TO, grain), T.StructField(CURRENT, T.BooleanType())])
 
 
-def apply_history(source: DataFrame, target: DataFrame, key: Sequence[str], tracked: Sequence[str], date: datetime.date, mode: str = "full", policy: str = "soft_delete", check: bool = True) -> DataFrame:
+def apply_history(source: DataFrame, target: DataFrame, key: Sequence[str], tracked: Sequence[str], date: datetime.date | datetime.datetime, mode: str = "full", policy: str = "soft_delete", check: bool = True) -> DataFrame:
     """The next history: closed versions as they are, and of each current or new key its retained, closed and new rows, from one join.
 
     A target without is_current holds current rows only. Current rows with a null flag are an error, not lost."""
     check_inputs(source, target, key, tracked, mode, policy)
     if check:
-        require_unique(source, key, "source")
-        require_unique(current_rows(target), key, "current target rows")
-        if CURRENT in target.columns and not target.where(F.col(CURRENT).isNull()).isEmpty():
-            raise HistoryError("rows without is_current")
+        require_unique(source, target, key)
     schema = history_schema(source, target, key, tracked)
     kinds = {f.name: f.dataType for f in schema.fields}
-    day = F.lit(date).cast("date")
+    grain = schema[FROM].dataType
+    day = F.lit(date).cast(grain)
 
     def row(side: str, begin: Column, end: Column, current: bool) -> Column:
         values = [F.col(f"{side}.{c}").cast(kinds[c]).alias(c) for c in (*key, *tracked)]
-        return F.struct(*values, begin.cast("date").alias(FROM), end.cast("date").alias(TO), F.lit(current).alias(CURRENT))
+        return F.struct(*values, begin.cast(grain).alias(FROM), end.cast(grain).alias(TO), F.lit(current).alias(CURRENT))
 
     begin = F.col(f"t.{FROM}") if FROM in target.columns else F.lit(None)
     end = F.col(f"t.{TO}") if TO in target.columns else F.lit(None)
@@ -59,11 +65,11 @@ def history_delta(changes: DataFrame, policy: str = "soft_delete") -> DataFrame:
     return marked.where("inserts or closes").drop("field_changes")
 
 
-def close_versions(history: DataFrame, keys: DataFrame, key: Sequence[str], at: datetime.date) -> DataFrame:
+def close_versions(history: DataFrame, keys: DataFrame, key: Sequence[str], at: datetime.date | datetime.datetime) -> DataFrame:
     """The history with the current rows of `keys` ended."""
     marked = history.join(keys.select(*key).distinct().withColumn("__dt_close", F.lit(True)), list(key), "left")
     ends = F.coalesce("__dt_close", F.lit(False)) & F.col(CURRENT)
-    return marked.select(*[F.when(ends, F.lit(at).cast("date")).otherwise(F.col(c)).alias(c) if c == TO else F.when(ends, False).otherwise(F.col(c)).alias(c) if c == CURRENT else F.col(c) for c in history.columns])
+    return marked.select(*[F.when(ends, F.lit(at).cast(validity_type(history))).otherwise(F.col(c)).alias(c) if c == TO else F.when(ends, False).otherwise(F.col(c)).alias(c) if c == CURRENT else F.col(c) for c in history.columns])
 
 
 def append_guard(rows: DataFrame) -> None:
@@ -80,11 +86,25 @@ def as_of(history: DataFrame, at) -> DataFrame:
 
 
 def as_of_join(events: DataFrame, history: DataFrame, key: Sequence[str], at: str) -> DataFrame:
-    """Every event with the version of its key that was valid at its time, the latest if several; null columns if none.
+    """Every event with the version of its key that was valid at its time, the one that began last if several; null columns if none.
 
     One sort of both sides by key and time instead of a range join: each event takes the last version that began by then,
-    which is the valid one unless it has ended."""
+    which is the valid one unless it has ended. Events of keys whose versions overlap, if there are any, take theirs by a
+    range join."""
     rest = [c for c in history.columns if c not in key]
+    begun = Window.partitionBy(*key).orderBy(FROM, F.col(TO).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    some = history.where(F.coalesce(F.col(TO) > F.col(FROM), F.lit(True)) & no_null(key))
+    reach = F.max(F.coalesce(F.col(TO).cast("timestamp"), F.lit("9999-12-31").cast("timestamp"))).over(begun)
+    nested = some.withColumn("__dt_reach", reach).where(F.col(FROM).cast("timestamp") < F.col("__dt_reach")).select(*key).distinct()
+    if not nested.isEmpty():
+        apart = events.join(nested, list(key), "left_anti").select(events.columns)
+        mine = events.join(nested, list(key), "left_semi").select(events.columns)
+        fits = reduce(lambda a, b: a & b, [F.col(f"e.{k}") == F.col(f"h.{k}") for k in key]) & (F.col(f"h.{FROM}").cast("timestamp") <= F.col(f"e.{at}").cast("timestamp")) & (F.col(f"h.{TO}").isNull() | (F.col(f"h.{TO}").cast("timestamp") > F.col(f"e.{at}").cast("timestamp")))
+        same = mine.groupBy(*mine.columns).agg(F.count("*").alias("__dt_n"))  # equal events have equal versions
+        wide = same.alias("e").join(some.join(nested, list(key), "left_semi").alias("h"), fits, "left")
+        best = wide.groupBy(*[F.col(f"e.{c}") for c in same.columns]).agg(F.max_by(F.struct(*[F.col(f"h.{c}") for c in rest]), F.struct(F.col(f"h.{FROM}"), F.coalesce(F.col(f"h.{TO}").cast("timestamp"), F.lit("9999-12-31").cast("timestamp")))).alias("__dt_v"))
+        found = best.select(*mine.columns, "__dt_v", F.explode(F.sequence(F.lit(1), F.col("__dt_n").cast("int")))).select(*mine.columns, *[F.col(f"__dt_v.{c}").alias(c) for c in rest])
+        return as_of_join(apart, history.join(nested, list(key), "left_anti").select(history.columns), key, at).unionByName(found)
     event, version = F.struct(*events.columns), F.struct(*rest)
     empty_version, empty_event = F.lit(None).cast(history.select(version).schema[0].dataType), F.lit(None).cast(events.select(event).schema[0].dataType)
     left = events.select(*key, F.col(at).cast("timestamp").alias("__dt_at"), F.lit(1).alias("__dt_side"), event.alias("e"), empty_version.alias("v"))

@@ -9,22 +9,26 @@ from pyspark.sql import functions as F
 
 from dimtrail.functions.text import norm_text
 from dimtrail.operators.changes import METADATA
+from dimtrail.operators.profile import unpivoted
 
 
 def key_scores(source: DataFrame, target: DataFrame) -> DataFrame:
     """(column, score, is_key) of the shared columns: names like ids and uniqueness score, all best columns are the key."""
     shared = [c for c in source.columns if c in target.columns and c not in METADATA]
     name = {c: 30 * c.lower().endswith(("_id", "_key", "key", "_no")) + 15 * (c.lower() in ("id", "key")) for c in shared}
-    counted = source.agg(F.count("*").alias("__dt_n"), *[F.count_distinct(c).alias(c) for c in shared])
-    rows = counted.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), (F.lit(name[c]) + F.when((F.col("__dt_n") > 0) & (F.col(c) == F.col("__dt_n")), 10).otherwise(0)).cast("bigint").alias("score")) for c in shared])))
+    valued = unpivoted(source, shared).groupBy("column", "value").agg(F.count("*").alias("n"))  # no column multiplies the rows of another
+    counted = valued.groupBy("column").agg((F.count("value") == F.sum("n")).alias("unique"))
+    points = F.element_at(F.create_map(*[F.lit(x) for c in shared for x in (c, name[c])]), F.col("column")) if shared else F.lit(0)
+    rows = counted.select("column", (points + F.when(F.col("unique"), 10).otherwise(0)).cast("bigint").alias("score"))
     return rows.withColumn("is_key", (F.col("score") == F.max("score").over(Window.partitionBy())) & (F.col("score") > 0))  # as many rows as columns
 
 
 def detect_keys(source: DataFrame, target: DataFrame) -> tuple[list[str], list[str]]:
-    """Key and tracked columns."""
+    """Key and tracked columns; where no column looks like a key, the first shared one is."""
     key = [r["column"] for r in key_scores(source, target).where("is_key").collect()]
+    key = key or [c for c in source.columns if c in target.columns and c not in METADATA][:1]
     if not key:
-        raise ValueError("no shared column looks like a key")
+        raise ValueError("no shared columns")
     return sorted(key), sorted(c for c in source.columns if c not in key)
 
 
@@ -69,3 +73,36 @@ def typed_columns(df: DataFrame, key: Sequence[str], tracked: Sequence[str]) ->
     kinds = found.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.when(F.col(c), "bigint").otherwise("string").alias("type")) for c in tracked])))
     row = found.first()
     return df.select(*[F.col(k).cast("string").alias(k) for k in key], *[norm_text(c).cast("bigint").alias(c) if row[c] else F.col(c).cast("string").alias(c) for c in tracked]), kinds
+
+
+def with_ordinal(df: DataFrame, name: str = "row_index") -> DataFrame:
+    """Rows numbered from 0 without gaps in the order that Spark reads them: counts of the partitions first, then each row's place in its own.
+
+    `df` must read the same rows in the same partitions each time, as files do."""
+    numbered = df.withColumn("__dt_id", F.monotonically_increasing_id())
+    part = F.shiftrightunsigned("__dt_id", 33)
+    sizes = sorted((r.p, r.n) for r in numbered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # a row a partition
+    starts, at = [], 0
+    for p, n in sizes:
+        starts += [F.lit(p), F.lit(at).cast("long")]
+        at += n
+    begin = F.element_at(F.create_map(*starts), part) if starts else F.lit(0).cast("long")
+    return numbered.withColumn(name, begin + F.col("__dt_id").bitwiseAND((1 << 33) - 1)).drop("__dt_id")
+
+
+MOST_PREVIEWED = 200
+
+
+def preview(df: DataFrame, order: Sequence[str], n: int = 100) -> DataFrame:
+    """The first n rows in an order, never more than MOST_PREVIEWED."""
+    return df.orderBy(*order).limit(max(0, min(n, MOST_PREVIEWED)))
+
+
+def to_key_json(columns: Sequence[str]) -> Column:
+    """Some columns as one JSON text, by name, nulls included."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+
+
+def from_key_json(text: Column, schema: str) -> Column:
+    """The struct that to_key_json wrote."""
+    return F.from_json(text, schema)

@@ -36,6 +36,24 @@ def ops_metrics(runs: DataFrame, holds: DataFrame, checkpoints: DataFrame) -> Da
     return total.crossJoin(active).crossJoin(mark).withColumn("health", health)
 
 
+# The states of an onboarding run, and what each may lead to.
+RUN_MOVES = (("PENDING", "RUNNING"), ("RUNNING", "COMPLETED"), ("RUNNING", "FAILED"), ("RUNNING", "HELD"), ("HELD", "RUNNING"), ("FAILED", "RUNNING"))
+
+
+def idempotency_conflicts(requests: DataFrame, name: str = "idempotency_key", request: str = "fingerprint") -> DataFrame:
+    """(idempotency_key, requests): keys that stand for more than one request."""
+    return requests.where(F.col(name).isNotNull()).groupBy(name).agg(F.count_distinct(request).alias("requests")).where("requests > 1")
+
+
+def find_runs(runs: DataFrame, fingerprint: str, column: str = "fingerprint") -> DataFrame:
+    return runs.where(F.col(column) == fingerprint)
+
+
+def without_run(rows: DataFrame, run: str, column: str = "run_id") -> DataFrame:
+    """A log or its details without one run."""
+    return rows.where(~F.col(column).eqNullSafe(F.lit(run)))
+
+
 def failure_category(message: Column, kind: Column, task: Column | None = None, code: Column | None = None, state: Column | None = None) -> Column:
     """What a failure is, by the task it came from, its error type, its message, and the code and state of a called service; the first that fits."""
     said, task = F.lower(F.coalesce(message, F.lit(""))), F.coalesce(F.lit("") if task is None else task, F.lit(""))

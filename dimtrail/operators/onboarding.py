@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dimtrail.functions.text import ERROR_TYPE, cast_text, concat_fields, error_when, is_email, map_enum, norm_text, normalize_email, null_or_blank, parse_date, sample_value, slug, token_similarity, trim_ws, type_compatible
+from dimtrail.functions.text import ERROR_TYPE, cast_text, concat_fields, error_when, is_email, map_enum, mask_email, mask_name, mask_phone, norm_text, normalize_email, null_or_blank, parse_date, slug, token_similarity, trim_ws, type_compatible
 from dimtrail.operators.profile import date_patterns, first_samples, profile_columns, top_values
 
 
@@ -162,9 +163,16 @@ def validate_records(records: DataFrame, today, canonical: Sequence[CanonicalFie
     Repeated ids and e-mails are counted by grouped aggregates joined back, so that a hot value combines before it is shuffled."""
     kinds = {f.name: f for f in canonical}
     day = F.lit(today).cast("date")
+    kind = {f.name: f.dataType for f in records.schema.fields}
+    typed = [(n, ~F.lit(isinstance(kind[n], T.StringType)) & F.col(n).isNotNull(), "must be text") for n in ("customer_id", "first_name", "last_name")]
+    typed.append(("date_of_birth", ~F.lit(isinstance(kind["date_of_birth"], T.DateType)) & F.col("date_of_birth").isNotNull(), "must be a date"))
+    moment = F.try_to_timestamp(F.col("created_at").cast("string")) if isinstance(kind["created_at"], (T.StringType, T.DateType, T.TimestampType)) else F.lit(None).cast("timestamp")
+    typed.append(("created_at", moment.isNull() & F.col("created_at").isNotNull(), "must be a timestamp"))
+    birth = F.col("date_of_birth") if isinstance(kind["date_of_birth"], T.DateType) else F.lit(None).cast("date")
     rules = [error_when(null_or_blank(f.name), f"{f.name.upper()}_REQUIRED", f.name, f"{f.name} is required") for f in canonical if f.required]
-    rules.append(error_when(F.col("date_of_birth") > day, "DOB_IN_FUTURE", "date_of_birth", "date of birth is in the future"))
-    rules.append(error_when(F.col("created_at").cast("date") > day, "CREATED_AT_IN_FUTURE", "created_at", "created_at is in the future"))
+    rules += [error_when(bad, f"{n.upper()}_TYPE", n, f"{n} {what}") for n, bad, what in typed]
+    rules.append(error_when(birth > day, "DOB_IN_FUTURE", "date_of_birth", "date of birth is in the future"))
+    rules.append(error_when(moment.cast("date") > day, "CREATED_AT_IN_FUTURE", "created_at", "created_at is in the future"))
     rules.append(error_when(~null_or_blank("email") & ~is_email("email"), "EMAIL_FORMAT", "email", "not an e-mail address"))
     rules.append(error_when(~null_or_blank("status") & ~F.upper(trim_ws("status")).isin(*kinds["status"].allowed), "STATUS_ENUM", "status", "unknown status"))
     out = records
@@ -183,7 +191,7 @@ def validate_records(records: DataFrame, today, canonical: Sequence[CanonicalFie
 
 def valid_records(validated: DataFrame) -> DataFrame:
     """Records without errors, trimmed, e-mail in lower and status in upper case."""
-    rows = validated.where((F.size("errors") == 0) & F.col("created_at").isNotNull())
+    rows = validated.where((F.size("errors") == 0) & ~null_or_blank("created_at"))
     return rows.select("row_index", norm_text("customer_id").alias("customer_id"), norm_text("first_name").alias("first_name"), norm_text("last_name").alias("last_name"), normalize_email("email").alias("email"), "date_of_birth", F.upper(trim_ws("status")).alias("status"), "created_at")
 
 
@@ -219,9 +227,7 @@ def to_exceptions(validated: DataFrame, source: str, run: str) -> DataFrame:
     rows = validated.select("row_index", F.col("customer_id").cast("string").alias("record_key"), observed.alias("o"), F.explode("errors").alias("e"))
     rule, of = F.col("e.rule_id"), F.col("e.field")
     value = F.element_at("o", of)
-    shown = F.lit(None).cast("string")
-    for n in names:
-        shown = F.when(of == n, sample_value(value, "masked", n)).otherwise(shown)
+    shown = F.when(of.contains("email"), mask_email(value)).when(of.contains("phone"), mask_phone(value)).when(of.rlike("first.*name|last.*name|name.*(first|last)"), mask_name(value)).otherwise(trim_ws(value))
     raw_id = F.concat_ws("-", F.lit(source), F.col("row_index").cast("string"), F.coalesce("record_key", F.lit("none")), rule, of)
     out = rows.select(F.regexp_replace(raw_id, "[^A-Za-z0-9_-]", "_").alias("exception_id"), F.lit(run).alias("run_id"), "row_index", rule.alias("rule_id"), of.alias("field"), _rule_text(rule, 0).alias("category"), _rule_text(rule, 1).alias("suggestion"), shown.alias("observed"), rule.isin(*PROTECTED).alias("protected"))
     return out.dropDuplicates(["exception_id"])
@@ -260,3 +266,32 @@ def moves_refused(events: DataFrame, allowed: Sequence[tuple[str, str]], id_colu
     return steps.where(~F.concat("before", F.lit(">"), "status").isin(*[f"{a}>{b}" for a, b in allowed]))
 
 
+
+
+TRACKED_FIELDS = ("first_name", "last_name", "email", "date_of_birth", "status")
+
+
+def canonical_to_source(records: DataFrame, key: Sequence[str] = ("customer_id",), tracked: Sequence[str] = TRACKED_FIELDS) -> DataFrame:
+    """Valid canonical records as a source of history: the key and the tracked columns, the date of birth as a date, others as text."""
+    return records.select(*[F.col(c).cast("date" if c == "date_of_birth" else "string").alias(c) for c in (*key, *tracked)])
+
+
+def canonical_batch(records: DataFrame, processing_date=None) -> DataFrame:
+    """Canonical records as rows that the guardrail looks at: the source columns and a time, which is updated_at if there is one, else noon of the processing date, else created_at."""
+    noon = F.lit(processing_date).cast("timestamp") + F.expr("interval 12 hours") if processing_date is not None else F.lit(None).cast("timestamp")
+    updated = F.try_to_timestamp(F.col("updated_at").cast("string")) if "updated_at" in records.columns else F.lit(None).cast("timestamp")
+    created = F.try_to_timestamp(F.col("created_at").cast("string"))
+    created = F.when(F.length(F.col("created_at").cast("string")) == 10, created + F.expr("interval 12 hours")).otherwise(created)  # a date counts as its noon
+    at = F.coalesce(updated, noon, created).alias("created_at")
+    named = records.withColumn("customer_id", F.coalesce(F.col("customer_id").cast("string"), F.lit(""))).withColumn("status", F.upper(F.coalesce("status", F.lit(""))))
+    return named.select(*[F.col(c).cast("date" if c == "date_of_birth" else "string").alias(c) for c in ("customer_id", *TRACKED_FIELDS)], at)
+
+
+def reprocess_exceptions(exceptions: DataFrame, events: DataFrame, validated: DataFrame) -> DataFrame:
+    """(exception_id, status) of corrected exceptions after their records have been mapped and validated again, across the whole batch.
+
+    An exception is RESOLVED when its record has no errors left, else REPROCESSED; only CORRECTED ones change. validated: row_index, errors."""
+    states = exception_states(exceptions, events).where("status = 'CORRECTED'").select("exception_id")
+    left = validated.groupBy("row_index").agg(F.max(F.size("errors")).alias("n"))
+    rows = exceptions.join(states, "exception_id").join(left, "row_index", "left")
+    return rows.select("exception_id", F.when(F.col("n") == 0, "RESOLVED").otherwise("REPROCESSED").alias("status"))

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from dimtrail.operators import contracts
 from dimtrail.operators.changes import change_summary, classify_changes
+from dimtrail.operators.drift import require_unbroken
 from dimtrail.operators.fingerprint import execution_fingerprint
+from dimtrail.operators.guardrail import Thresholds, decide, evidence
 from dimtrail.operators.history import apply_history
 from dimtrail.operators.invariants import passes, validate_history
 from dimtrail.operators.keys import detect_keys
+from dimtrail.operators.onboarding import TRACKED_FIELDS, canonical_batch
 from dimtrail.sources import sinks
 
 
@@ -57,10 +60,27 @@ def run_pipeline(source: DataFrame, target: DataFrame, root: str, date: datetime
     return RunResult("promoted", mark, version, change_summary(changes).first().asDict(), report)
 
 
-def integrate_batch(rows: DataFrame, history: DataFrame, key: Sequence[str], tracked: Sequence[str], date: datetime.date) -> tuple[DataFrame, DataFrame]:
+def integrate_batch(rows: DataFrame, history: DataFrame, key: Sequence[str], tracked: Sequence[str], date: datetime.date | datetime.datetime) -> tuple[DataFrame, DataFrame]:
     """Changes of an incremental batch, and the whole next history: keys the batch doesn't name pass through untouched."""
     touched = rows.select(*key).distinct().withColumn("__dt_touched", F.lit(True))
     marked = history.join(touched, list(key), "left").select(*history.columns, "__dt_touched")
     mine, others = marked.where("__dt_touched").select(history.columns), marked.where("__dt_touched is null").select(history.columns)
     changes = classify_changes(rows, mine, key, tracked, "incremental", "ignore")
     return changes, others.unionByName(apply_history(rows, mine, key, tracked, date, "incremental", "ignore", check=False).select(*[F.col(c).cast(history.schema[c].dataType).alias(c) for c in history.columns]))
+
+
+def integrate_canonical(records: DataFrame, history: DataFrame, date: datetime.date | datetime.datetime, report: DataFrame | None = None, thresholds: Thresholds = Thresholds()) -> tuple[DataFrame, DataFrame | None, DataFrame]:  # noqa: B008
+    """Valid canonical records on their way into the customer history: changes, the next history (None if the batch is suspicious or breaks an invariant) and the judged evidence.
+
+    A drift report that breaks the mapping stops the batch. The gate stands before anything is written."""
+    if report is not None:
+        require_unbroken(report)
+    key, tracked = ["customer_id"], list(TRACKED_FIELDS)
+    rows = canonical_batch(records)
+    changes, staged = integrate_batch(rows.select(*key, *tracked), history, key, tracked, date)
+    marked = changes.withColumn("batch", F.lit("canonical")).join(rows.select(*key, "created_at"), key, "left")
+    fine = passes(validate_history(staged, key))
+    valid = records.sparkSession.createDataFrame([("canonical", fine)], "batch string, valid boolean")
+    judged = decide(evidence(marked, "batch", key, "created_at", valid=valid), thresholds)
+    first = judged.first()
+    return changes, staged if first is None or first.decision == "NORMAL" else None, judged

@@ -1,7 +1,7 @@
 """Registered queries over the shared tables, and the same as SQL."""
 
-from dimtrail.queries import files, history, judging
+from dimtrail.queries import actions, files, history, judging
 
-MODULES = (history, judging, files)
+MODULES = (history, judging, files, actions)
 REGISTERED = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

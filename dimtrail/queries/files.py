@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,13 @@ from pyspark.sql import functions as F
 from dimtrail.operators.changes import classify_changes
 from dimtrail.operators.guardrail import Thresholds
 from dimtrail.plans.pipeline import run_pipeline
-from dimtrail.queries.fixtures import DATE, KEY, TRACKED, X1, table, x1_source, x1_target, x3_rows
+from dimtrail.queries.fixtures import DATE, KEY, TRACKED, X1, X3, table, x1_source, x1_target, x3_rows
 from dimtrail.queries.history import _history_sql
 from dimtrail.sources import readers, sinks
 from dimtrail.streaming.stream import HistoryStream, read_stream
 
 QUERIES, ORACLES = {}, {}
+PAGE_ROWS = 1000
 
 
 def query(sql: str | None = None):
@@ -30,7 +32,11 @@ def query(sql: str | None = None):
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/dimtrail-scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="dimtrail-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -48,18 +54,23 @@ def delimited_sniff(spark, d):
     return readers.read_delimited(spark, at)
 
 
+def _page(key: str):
+    """Pages of PAGE_ROWS keys, however many there are."""
+    return F.expr(f"({key} - 1) div {PAGE_ROWS}").alias("page")
+
+
 @query("SELECT s_suppkey AS id, s_name AS name FROM supplier")
 def json_envelope(spark, d):
     at = scratch(spark)
-    rows = table(spark, d, "supplier").select((F.col("s_suppkey") % 4).alias("page"), F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")).alias("r"))
+    rows = table(spark, d, "supplier").select(_page("s_suppkey"), F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")).alias("r"))
     rows.groupBy("page").agg(F.array_sort(F.collect_list("r")).alias("data")).write.partitionBy("page").json(at)  # a document a file
     return readers.read_json_records(spark, at, "data array<struct<id:bigint,name:string>>")
 
 
-@query("SELECT s_suppkey AS id FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey % 4, s_suppkey) AS r FROM supplier) WHERE r <= 7")
+@query("SELECT s_suppkey AS id FROM supplier ORDER BY s_suppkey LIMIT 7")
 def paged_feed(spark, d):
     at = scratch(spark)
-    rows = table(spark, d, "supplier").select((F.col("s_suppkey") % 4).alias("page"), F.struct(F.col("s_suppkey").alias("id")).alias("r"))
+    rows = table(spark, d, "supplier").select(_page("s_suppkey"), F.struct(F.col("s_suppkey").alias("id")).alias("r"))
     rows.groupBy("page").agg(F.array_sort(F.collect_list("r")).alias("data")).write.partitionBy("page").json(at)
     return readers.read_pages(spark, at, most=7)
 
@@ -80,25 +91,38 @@ def change_log(spark, d):
     return sinks.read_change_log(spark, at, changes.schema).select("custkey", "change_type")
 
 
-def _streamed(spark: SparkSession, d: str, late: bool) -> DataFrame:
-    """The events of each ten days as one file of a stream into a history."""
+def _streamed(spark: SparkSession, d: str, late: bool) -> str:
+    """The events of each ten days as one batch of a stream into a history; late: a tenth of the users come in the opposite order."""
     at = scratch(spark)
     rows = x3_rows(spark, d).withColumn("part", F.floor((F.dayofmonth("day") - 1) / 10))
     if late:
         rows = rows.withColumn("part", F.when(F.col("user_id") % 10 == 3, 2 - F.col("part")).otherwise(F.col("part")))
     rows = rows.select("user_id", "event_type", "cents", "ts", "part")
+    stream = HistoryStream(f"{at}/history", ["user_id"], ["event_type", "cents"], "ts", Thresholds(enabled=False))
     for k in range(3):
-        rows.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{at}/in")
-    quiet = Thresholds(enabled=False)
-    HistoryStream(f"{at}/history", ["user_id"], ["event_type", "cents"], "ts", quiet).start(read_stream(spark, f"{at}/in", rows.drop("part").schema), f"{at}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{at}/history/late") if late else sinks.read_history(spark, f"{at}/history")
+        rows.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{at}/in")
+        stream.start(read_stream(spark, f"{at}/in", rows.drop("part").schema, None), f"{at}/checkpoint").awaitTermination()
+    return f"{at}/history"
+
+
+STREAMED = f"""{X3}, parts AS (SELECT *, floor((day(day) - 1) / 10) AS own FROM x3),
+ranked AS (SELECT CAST(part AS INTEGER) AS part, user_id, event_type, cents, ts, row_number() OVER (PARTITION BY part, user_id ORDER BY ts DESC, event_type DESC, cents DESC) AS r FROM (SELECT *, {{part}} AS part FROM parts)),
+latest AS (SELECT * FROM ranked WHERE r = 1)"""
 
 
-@query()
+@query(f"""WITH {STREAMED.format(part="own")}, dates AS (SELECT part, CAST(max(ts) AS DATE) AS d FROM latest GROUP BY part),
+begun AS (SELECT user_id, event_type, cents, d FROM (SELECT l.*, d, lag(event_type) OVER w AS e, lag(cents) OVER w AS c, row_number() OVER w AS n FROM latest l JOIN dates USING (part) WINDOW w AS (PARTITION BY user_id ORDER BY part)) WHERE n = 1 OR e <> event_type OR c <> cents)
+SELECT user_id, event_type, cents, d AS effective_from, lead(d) OVER w AS effective_to, lead(d) OVER w IS NULL AS is_current FROM begun WINDOW w AS (PARTITION BY user_id ORDER BY d)""")
 def stream_history(spark, d):
-    return _streamed(spark, d, late=False).select("user_id", "event_type", "cents", "effective_from", "effective_to", "is_current")
+    return sinks.read_history(spark, _streamed(spark, d, late=False)).select("user_id", "event_type", "cents", "effective_from", "effective_to", "is_current")
 
 
-@query()
+@query(f"""WITH {STREAMED.format(part="CASE WHEN user_id % 10 = 3 THEN 2 - own ELSE own END")},
+b0 AS (SELECT user_id, event_type, cents, max(CAST(ts AS DATE)) OVER () AS begun FROM latest WHERE part = 0),
+l1 AS (SELECT l.*, b.begun, b.event_type AS e, b.cents AS c, coalesce(CAST(ts AS DATE) < b.begun, FALSE) AS late FROM latest l LEFT JOIN b0 b USING (user_id) WHERE part = 1),
+d1 AS (SELECT max(CAST(ts AS DATE)) AS d FROM l1 WHERE NOT late),
+b1 AS (SELECT user_id, CASE WHEN l1.user_id IS NULL OR late OR (e = l1.event_type AND c = l1.cents) THEN b0.begun ELSE (SELECT d FROM d1) END AS begun FROM b0 FULL JOIN l1 USING (user_id)),
+l2 AS (SELECT l.*, coalesce(CAST(ts AS DATE) < b.begun, FALSE) AS late FROM latest l LEFT JOIN b1 b USING (user_id) WHERE part = 2)
+SELECT user_id, event_type, cents, CAST(part AS VARCHAR) AS batch_id FROM (SELECT user_id, event_type, cents, part, late FROM l1 UNION ALL SELECT user_id, event_type, cents, part, late FROM l2) WHERE late""")
 def stream_late_rows(spark, d):
-    return _streamed(spark, d, late=True).select("user_id", "event_type", "cents", "batch_id")
+    return sinks.read_rows(spark, f"{_streamed(spark, d, late=True)}/late").select("user_id", "event_type", "cents", "batch_id")

@@ -150,9 +150,9 @@ def dup_keys(spark, d):
     return changes.duplicate_keys(table(spark, d, "orders").select(F.col("o_custkey").alias("custkey")), ["custkey"])
 
 
-@query(f"WITH {X1C} SELECT count(*) FILTER (WHERE custkey IS NULL) AS null_keys, count(*) AS n FROM bad")
+@query(f"WITH {X1C} SELECT 'custkey' AS \"column\", count(*) FILTER (WHERE custkey IS NULL) AS blanks FROM bad")
 def null_keys(spark, d):
-    return x1c(spark, d).agg(F.count_if(F.col("custkey").isNull()).alias("null_keys"), F.count("*").alias("n"))
+    return contracts.blank_counts(x1c(spark, d), KEY)
 
 
 @query(f"WITH {X1C} SELECT custkey, count(*) AS n FROM bad WHERE is_current AND custkey IS NOT NULL GROUP BY custkey HAVING count(*) > 1")
@@ -208,7 +208,7 @@ def _bad_source(spark, d) -> DataFrame:
 
 
 CONTRACT = f"""WITH {X1}, src AS (SELECT CASE WHEN custkey % 90 = 7 THEN custkey - 1 WHEN custkey % 290 = 2 THEN NULL ELSE custkey END AS custkey, CASE WHEN custkey % 50 = 3 THEN ' ' ELSE segment END AS segment FROM source),
-findings AS (SELECT 'missing_column' AS category, 'phone' AS "column", 'fail' AS severity, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'type_changed', 'cents', 'warn', 1
+findings AS (SELECT 'missing_column' AS category, 'phone' AS "column", 'fail' AS severity, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'type_changed', 'cents', 'warn', 1 FROM (SELECT typeof(any_value(cents)) AS t FROM source) WHERE t <> 'VARCHAR'
  UNION ALL SELECT 'blank_value', 'segment', 'fail', count(*) FROM src WHERE trim(segment) = '' HAVING count(*) > 0
  UNION ALL SELECT 'blank_key', 'custkey', 'fail', count(*) FROM src WHERE custkey IS NULL HAVING count(*) > 0
  UNION ALL SELECT 'duplicate_key', 'custkey', 'fail', count(*) FROM (SELECT custkey FROM src GROUP BY custkey HAVING count(*) > 1) HAVING count(*) > 0)"""
@@ -219,7 +219,7 @@ def contract_findings(spark, d):
     return contracts.contract_findings(_bad_source(spark, d), _contract()).select("category", "column", "severity", "n")
 
 
-@query(f"{CONTRACT} SELECT 'incompatible' AS outcome, count(*) FILTER (WHERE severity = 'fail') AS failures, count(*) FILTER (WHERE severity = 'warn') AS warnings FROM findings")
+@query(f"{CONTRACT} SELECT CASE WHEN count(*) FILTER (WHERE severity = 'fail') > 0 THEN 'incompatible' WHEN count(*) > 0 THEN 'compatible_with_warning' ELSE 'compatible' END AS outcome, count(*) FILTER (WHERE severity = 'fail') AS failures, count(*) FILTER (WHERE severity = 'warn') AS warnings FROM findings")
 def contract_outcome(spark, d):
     return contracts.outcome(contracts.contract_findings(_bad_source(spark, d), _contract()))
 
@@ -229,7 +229,7 @@ def quarantine_rows(spark, d):
     return contracts.quarantine_rows(contracts.contract_findings(_bad_source(spark, d), _contract()), "crm").drop("samples")
 
 
-@query(f"WITH {X1} SELECT 'custkey' AS \"column\", CAST(40 AS BIGINT) AS score, TRUE AS is_key UNION ALL SELECT c, CASE WHEN u THEN 10 ELSE 0 END, FALSE FROM (SELECT unnest(['segment', 'nation', 'cents']) AS c, unnest([count(DISTINCT segment) = count(*), count(DISTINCT nation) = count(*), count(DISTINCT cents) = count(*)]) AS u FROM source)")
+@query(f"WITH {X1}, p AS (SELECT unnest(['custkey', 'segment', 'nation', 'cents']) AS c, unnest([count(DISTINCT custkey) = count(*), count(DISTINCT segment) = count(*), count(DISTINCT nation) = count(*), count(DISTINCT cents) = count(*)]) AS u FROM source), s AS (SELECT c, CAST(CASE WHEN c LIKE '%key' THEN 30 ELSE 0 END + CASE WHEN u THEN 10 ELSE 0 END AS BIGINT) AS score FROM p) SELECT c AS \"column\", score, score > 0 AND score = max(score) OVER () AS is_key FROM s")
 def key_scores(spark, d):
     return keys.key_scores(x1_source(spark, d), x1_target(spark, d))
 
@@ -240,11 +240,9 @@ def incremental_page(spark, d):
     return page.select("event_id", "user_id", "event_type")
 
 
-@query("SELECT user_id, arg_min(event_id, ts) AS first_id, arg_max(event_id, ts) AS last_id FROM events GROUP BY user_id")
+@query("SELECT (SELECT event_id FROM events ORDER BY ts, event_id LIMIT 1) AS first_id, (SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1) AS last_id")
 def cursor_bounds(spark, d):
-    e = table(spark, d, "events")
-    mark = F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    return e.groupBy("user_id").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).select("user_id", F.col("a.event_id").alias("first_id"), F.col("b.event_id").alias("last_id"))
+    return keys.cursor_bounds(table(spark, d, "events"), "ts", ["event_id"]).select(F.col("first.event_id").alias("first_id"), F.col("last.event_id").alias("last_id"))
 
 
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -258,7 +256,7 @@ def upsert_source(spark, d):
     return keys.upsert(base, x1_source(spark, d).select("custkey", "segment"), KEY)
 
 
-@query("SELECT 'event_type' AS \"column\", 'string' AS type UNION ALL SELECT 'cents', 'bigint' UNION ALL SELECT 'value', 'string'")
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", CASE WHEN bool_and(regexp_matches(trim({e}), '^[+-]?[0-9]{{1,18}}$')) THEN 'bigint' ELSE 'string' END AS type FROM events" for c, e in (("event_type", "event_type"), ("cents", "CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)"), ("value", "CAST(value AS VARCHAR)"))))
 def typed_columns(spark, d):
     e = table(spark, d, "events").select("user_id", "event_type", F.round(F.col("value") * 100).cast("bigint").cast("string").alias("cents"), F.col("value").cast("string").alias("value"))
     return keys.typed_columns(e, ["user_id"], ["event_type", "cents", "value"])[1]

@@ -7,8 +7,8 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dimtrail.operators import containment, drift, fingerprint, guardrail, metrics, narrative, onboarding, profile
-from dimtrail.queries.fixtures import DATE, KEY, TRACKED, X3, X4, table, x1_source, x1_target, x3_changes, x3_rows, x4_feed
+from dimtrail.operators import containment, drift, guardrail, metrics, narrative, onboarding, profile
+from dimtrail.queries.fixtures import X3, X4, table, x3_changes, x3_rows, x4_feed
 
 QUERIES, ORACLES = {}, {}
 TODAY = datetime.date(2025, 6, 1)
@@ -30,9 +30,9 @@ def _evidence(spark, d) -> DataFrame:
     return guardrail.evidence(rows, "day", ["user_id"], "ts", first)
 
 
-@query(f"WITH {X3} SELECT day, evaluated, changed, new_rows AS \"new\", mutated, dispersion, CAST(round(round_even(max_relative, 4) * 10000) AS BIGINT) AS rel_1e4, CAST(max_absolute AS BIGINT) AS max_absolute, total_absolute, transitions FROM evidence")
+@query(f"WITH {X3} SELECT day, evaluated, changed, new_rows AS \"new\", mutated, dispersion, CAST(round(round_even(max_relative, 4) * 10000) AS BIGINT) AS rel_1e4, CAST(max_absolute AS BIGINT) AS max_absolute, total_absolute, transitions, CASE WHEN max_absolute > 0 THEN 'cents' END AS worst_column, round_even(mutated / CAST(evaluated AS DOUBLE), 4) AS ratio, round_even(per_second, 2) AS changes_per_second, CAST(0 AS BIGINT) AS deactivations FROM evidence")
 def guardrail_evidence(spark, d):
-    return _evidence(spark, d).select("day", "evaluated", "changed", "new", "mutated", "dispersion", F.round(F.col("max_relative") * 10000).cast("bigint").alias("rel_1e4"), F.col("max_absolute").cast("bigint").alias("max_absolute"), F.col("total_absolute").cast("bigint").alias("total_absolute"), "transitions")
+    return _evidence(spark, d).select("day", "evaluated", "changed", "new", "mutated", "dispersion", F.round(F.col("max_relative") * 10000).cast("bigint").alias("rel_1e4"), F.col("max_absolute").cast("bigint").alias("max_absolute"), F.col("total_absolute").cast("bigint").alias("total_absolute"), "transitions", "worst_column", "ratio", "changes_per_second", "deactivations")
 
 
 @query(f"WITH {X3} SELECT day, 'event_type' AS \"column\", count(*) AS n FROM changed WHERE n > 1 AND event_type <> old_type GROUP BY day UNION ALL SELECT day, 'cents', count(*) FROM changed WHERE n > 1 AND cents <> old_cents GROUP BY day")
@@ -96,32 +96,6 @@ def hold_dedup(spark, d):
     return containment.new_holds(batches, holds)
 
 
-def _frozen(spark, d) -> DataFrame:
-    """Held order rows: later changes of priority for some customers."""
-    o = table(spark, d, "orders")
-    return o.groupBy(F.col("o_custkey").alias("custkey")).agg(F.max_by(F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").alias("at")), F.struct(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")), "o_orderkey")).alias("v")).select("custkey", "v.*")
-
-
-@query()
-def release_replay(spark, d):
-    """Frozen rows replayed into the history that went on without them; rows older than the current version are left out."""
-    from dimtrail.operators.history import apply_history
-    from dimtrail.queries.fixtures import x2_history
-
-    history = x2_history(spark, d).where("effective_from < date'1998-01-01'").withColumn("effective_to", F.when(F.col("effective_to") < F.lit("1998-01-01").cast("date"), F.col("effective_to"))).withColumn("is_current", F.col("effective_to").isNull())
-    fit, _ = containment.released_rows(_frozen(spark, d), history, ["custkey"], F.col("at"))
-    return apply_history(fit.select("custkey", "priority"), history, ["custkey"], ["priority"], datetime.date(2001, 1, 1), "incremental", "ignore")
-
-
-@query()
-def discard_effect(spark, d):
-    """Current history rows that a discarded batch would have closed and hasn't."""
-    from dimtrail.operators.changes import classify_changes
-    from dimtrail.queries.fixtures import x2_history
-
-    return classify_changes(_frozen(spark, d).select("custkey", "priority"), x2_history(spark, d), ["custkey"], ["priority"], "incremental", "ignore").where("change_type = 'CHANGED'").select("custkey", "change_type")
-
-
 def _runs(spark, d) -> DataFrame:
     status = F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "signup", "HELD").otherwise("COMMITTED")
     return table(spark, d, "events").select(F.col("event_id").alias("run_id"), status.alias("status"), F.col("ts").alias("started"), F.floor("value").cast("bigint").alias("seen"), (F.col("user_id") % 7).alias("changed"), (F.col("user_id") % 3).alias("held"))
@@ -145,11 +119,11 @@ def filtered_runs(spark, d):
     return containment.filtered(_runs(spark, d), status="HELD", held=2, seen=None).select("run_id", "status", "seen")
 
 
-@query(f"WITH {RUNS}, {HOLDS[5:]}, m AS (SELECT count(*) AS runs, CAST(sum(seen) AS BIGINT) AS seen, CAST(sum(changed) AS BIGINT) AS changed, arg_max(run_id, started) AS last_run, arg_max(status, started) AS last_status FROM runs), h AS (SELECT count(*) FILTER (WHERE status = 'HELD') AS active_holds FROM s) SELECT runs, seen, changed, last_run, last_status, active_holds, CASE WHEN last_status = 'FAILED' THEN 'critical' WHEN active_holds > 0 THEN 'degraded' ELSE 'nominal' END AS health FROM m, h")
+@query(f"WITH {RUNS}, {HOLDS[5:]}, m AS (SELECT count(*) AS runs, CAST(sum(seen) AS BIGINT) AS seen, CAST(sum(changed) AS BIGINT) AS changed, arg_max(run_id, started) AS last_run, arg_max(status, started) AS last_status FROM runs), h AS (SELECT count(*) FILTER (WHERE status = 'HELD') AS active_holds FROM s) SELECT runs, seen, changed, last_run, last_status, active_holds, (SELECT max(ts) FROM events) AS last_checkpoint, CASE WHEN last_status = 'FAILED' THEN 'critical' WHEN active_holds > 0 THEN 'degraded' ELSE 'nominal' END AS health FROM m, h")
 def ops_metrics(spark, d):
     holds = containment.hold_states(_hold_events(spark, d))
     marks = table(spark, d, "events").select(F.col("ts").alias("updated"))
-    return metrics.ops_metrics(_runs(spark, d), holds, marks).drop("last_checkpoint")
+    return metrics.ops_metrics(_runs(spark, d), holds, marks)
 
 
 FAILURES = """f AS (SELECT event_id, user_id % 4 AS t, CASE event_type WHEN 'error' THEN 'Rate limit: try again' WHEN 'signup' THEN 'Column x is missing' WHEN 'view' THEN 'Bad CSV' WHEN 'click' THEN 'Duplicate business key' ELSE 'odd' END AS message, CASE user_id % 3 WHEN 0 THEN 'ValueError' WHEN 1 THEN 'FileNotFoundError' ELSE 'DuplicateBusinessKeyError' END AS kind FROM events)"""
@@ -165,17 +139,17 @@ def failure_categories(spark, d):
     return table(spark, d, "events").select("event_id", metrics.failure_category(message, kind, task).alias("category"))
 
 
-@query("SELECT count(*) FILTER (WHERE toxic = 1 AND n_chars > 1500) AS tp, count(*) FILTER (WHERE toxic <> 1 AND n_chars <= 1500) AS tn, count(*) FILTER (WHERE toxic <> 1 AND n_chars > 1500) AS fp, count(*) FILTER (WHERE toxic = 1 AND n_chars <= 1500) AS fn FROM labels JOIN documents USING (doc_id)")
+@query("WITH c AS (SELECT count(*) FILTER (WHERE toxic = 1 AND n_chars > 1500) AS tp, count(*) FILTER (WHERE toxic <> 1 AND n_chars <= 1500) AS tn, count(*) FILTER (WHERE toxic <> 1 AND n_chars > 1500) AS fp, count(*) FILTER (WHERE toxic = 1 AND n_chars <= 1500) AS fn FROM labels JOIN documents USING (doc_id)) SELECT *, (tp + tn) * 10000 // (tp + tn + fp + fn) AS accuracy, CASE WHEN tp + fp > 0 THEN tp * 10000 // (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp * 10000 // (tp + fn) END AS recall, CASE WHEN tn + fp > 0 THEN tn * 10000 // (tn + fp) END AS specificity, CASE WHEN tp + fp + fn > 0 THEN 2 * tp * 10000 // (2 * tp + fp + fn) END AS f1, CASE WHEN fp + tn > 0 THEN fp * 10000 // (fp + tn) END AS fpr, CASE WHEN fn + tp > 0 THEN fn * 10000 // (fn + tp) END AS fnr FROM c")
 def classification_metrics(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select((F.col("toxic") == 1).alias("expected"), (F.col("n_chars") > 1500).alias("predicted"))
-    return guardrail.classification_metrics(rows, "expected", "predicted").select("tp", "tn", "fp", "fn")
+    return guardrail.classification_metrics(rows, "expected", "predicted")
 
 
-@query("""SELECT event_type, count(*) AS n, min(c) AS "min", max(c) FILTER (WHERE r = 1 + CAST(floor(t * 0.5) AS BIGINT)) AS p50, max(c) FILTER (WHERE r = 1 + CAST(floor(t * 0.95) AS BIGINT)) AS p95, max(c) FILTER (WHERE r = 1 + CAST(floor(t * 0.99) AS BIGINT)) AS p99, max(c) AS "max"
+@query("""SELECT event_type, count(*) AS n, sum(c) / count(*) AS mean, min(c) AS "min", max(c) FILTER (WHERE r = 1 + CAST(floor(t * 0.5) AS BIGINT)) AS p50, max(c) FILTER (WHERE r = 1 + CAST(floor(t * 0.95) AS BIGINT)) AS p95, max(c) FILTER (WHERE r = 1 + CAST(floor(t * 0.99) AS BIGINT)) AS p99, max(c) AS "max"
 FROM (SELECT event_type, c, row_number() OVER (PARTITION BY event_type ORDER BY c) AS r, count(*) OVER (PARTITION BY event_type) AS t FROM (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS c FROM events)) GROUP BY event_type""")
 def latency_percentiles(spark, d):
     rows = table(spark, d, "events").select("event_type", F.round(F.col("value") * 100).cast("bigint").alias("c"))
-    return guardrail.latency_percentiles(rows, ["event_type"], "c").drop("mean")
+    return guardrail.latency_percentiles(rows, ["event_type"], "c")
 
 
 PROFILED = ["doc_id", "lang", "source", "n_chars"]
@@ -258,9 +232,11 @@ def _exceptions(spark, d) -> DataFrame:
 EXCEPTIONS = f"WITH {X4}, x AS (SELECT DISTINCT regexp_replace('crm-' || e.row_no || '-' || m.customer_id || '-' || rule_id || '-' || field, '[^A-Za-z0-9_-]', '_', 'g') AS exception_id, e.row_no AS row_index, rule_id, field, rule_id IN ('CUSTOMER_ID_REQUIRED', 'CUSTOMER_ID_DUPLICATE') AS protected FROM errors e JOIN mapped m USING (row_no))"
 
 
-@query(f"{EXCEPTIONS} SELECT * FROM x")
+@query(f"""{EXCEPTIONS} SELECT exception_id, row_index, rule_id, field, CASE WHEN rule_id LIKE '%REQUIRED' THEN 'missing_value' WHEN rule_id IN ('INVALID_DATE', 'EMAIL_FORMAT') THEN 'invalid_format' WHEN rule_id IN ('DOB_IN_FUTURE', 'STATUS_ENUM') THEN 'invalid_value' ELSE 'duplicate' END AS category,
+CASE WHEN rule_id LIKE '%REQUIRED' THEN 'Give a value for the field.' WHEN rule_id = 'INVALID_DATE' THEN 'Write the date as YYYY-MM-DD.' WHEN rule_id = 'DOB_IN_FUTURE' THEN 'Give a date that is not in the future.' WHEN rule_id = 'EMAIL_FORMAT' THEN 'Give a valid e-mail address.' WHEN rule_id = 'STATUS_ENUM' THEN 'Use one of the allowed values.' ELSE 'Keep one record or give another key.' END AS suggestion,
+CASE field WHEN 'email' THEN '<MASKED_EMAIL>' WHEN 'date_of_birth' THEN CAST(date_of_birth AS VARCHAR) WHEN 'status' THEN status ELSE customer_id END AS observed, protected FROM x JOIN mapped ON row_no = row_index""")
 def exceptions(spark, d):
-    return _exceptions(spark, d).select("exception_id", "row_index", "rule_id", "field", "protected")
+    return _exceptions(spark, d).select("exception_id", "row_index", "rule_id", "field", "category", "suggestion", "observed", "protected")
 
 
 def _corrections(spark, d) -> DataFrame:
@@ -397,24 +373,3 @@ scored AS (SELECT r.slug AS removed, c.slug AS added, round_even(greatest(ratio,
 SELECT 'crm' AS source, removed, added, score FROM (SELECT *, row_number() OVER (PARTITION BY removed ORDER BY score DESC, added) AS r FROM scored WHERE score >= 6e-1) WHERE r = 1""")
 def possible_renames(spark, d):
     return drift.possible_renames(_impact(spark, d)[0])
-
-
-@query()
-def schema_fingerprint(spark, d):
-    a, b = _registries(spark, d)
-    return fingerprint.schema_fingerprints(a.unionByName(b))
-
-
-@query()
-def dataset_digest(spark, d):
-    return fingerprint.dataset_digest(x1_target(spark, d))
-
-
-@query()
-def execution_fingerprint(spark, d):
-    return fingerprint.execution_fingerprint(x1_source(spark, d), x1_target(spark, d), DATE.isoformat(), "full", "soft_delete", KEY, TRACKED)
-
-
-@query()
-def batch_fingerprint(spark, d):
-    return fingerprint.batch_fingerprints(x3_rows(spark, d), "day", ["user_id"], "ts")

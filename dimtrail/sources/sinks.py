@@ -22,14 +22,20 @@ def _pointer(spark: SparkSession, root: str) -> DataFrame:
 
 def current_version(spark: SparkSession, root: str) -> dict | None:
     """The promoted version's pointer row."""
-    row = _pointer(spark, root).orderBy(F.col("version").desc()).limit(1).collect()
+    row = _pointer(spark, root).where("version is not null").orderBy(F.col("version").desc()).limit(1).collect()
     return row[0].asDict() if row else None
 
 
 def committed_batch(spark: SparkSession, root: str, batch_id: str) -> bool:
+    """Whether a batch has been promoted, or set aside for good."""
     return not _pointer(spark, root).where(F.col("batch_id") == batch_id).isEmpty()
 
 
+def set_aside(spark: SparkSession, root: str, batch_id: str) -> None:
+    """Marks a batch as done without a version of its own."""
+    spark.createDataFrame([(None, batch_id, None, 0)], POINTER).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+
+
 def stage_version(df: DataFrame, root: str) -> tuple[int, DataFrame]:
     """Writes the next version, unpromoted; and reads it back."""
     spark = df.sparkSession
@@ -69,3 +75,13 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
+
+
+def put_rows(df: DataFrame, path: str, name: str) -> None:
+    """Rows of one batch in a folder of their own, so that a repeated batch writes them once."""
+    df.write.mode("overwrite").parquet(f"{path}/of={name}")
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All batches' rows that put_rows wrote."""
+    return spark.read.parquet(path).drop("of")

@@ -24,14 +24,16 @@ class HistoryStream:
 
     A batch keeps the latest row of each key (by time, then by all values); rows older than their key's current version go
     to `late`; a batch that the guardrail finds suspicious goes to `held`. In mode block the query then fails, so that a
-    restart meets the same offsets; in mode divert it goes on. A replayed batch id is a no-op."""
+    restart meets the same offsets; in mode divert it goes on. A batch that was promoted or diverted is a no-op when it is
+    replayed, and late, held and evidence rows of a batch are written over, not added to, when it is tried again. With
+    grain timestamp versions begin and end at the last time of their batch, else at its date."""
 
-    def __init__(self, root: str, key: Sequence[str], tracked: Sequence[str], at: str, thresholds: Thresholds = Thresholds(), mode: str = "block"):  # noqa: B008
-        self.root, self.key, self.tracked, self.at, self.thresholds, self.mode = root, list(key), list(tracked), at, thresholds, mode
+    def __init__(self, root: str, key: Sequence[str], tracked: Sequence[str], at: str, thresholds: Thresholds = Thresholds(), mode: str = "block", grain: str = "date"):  # noqa: B008
+        self.root, self.key, self.tracked, self.at, self.thresholds, self.mode, self.grain = root, list(key), list(tracked), at, thresholds, mode, grain
 
     def _empty_history(self, batch: DataFrame) -> DataFrame:
         kinds = batch.schema
-        return batch.sparkSession.createDataFrame([], ", ".join([f"`{c}` {kinds[c].dataType.simpleString()}" for c in (*self.key, *self.tracked)]) + ", effective_from date, effective_to date, is_current boolean")
+        return batch.sparkSession.createDataFrame([], ", ".join([f"`{c}` {kinds[c].dataType.simpleString()}" for c in (*self.key, *self.tracked)]) + f", effective_from {self.grain}, effective_to {self.grain}, is_current boolean")
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark, name = batch.sparkSession, str(batch_id)
@@ -49,23 +51,25 @@ class HistoryStream:
     def _commit(self, spark: SparkSession, rows: DataFrame, history: DataFrame, name: str, first: bool) -> None:
         begun = history.where("is_current").select(*self.key, F.col("effective_from").alias("__dt_begun"))
         both = rows.join(begun, self.key, "left")
-        late = F.coalesce(F.col(self.at).cast("date") < F.col("__dt_begun"), F.lit(False))
-        sinks.append_rows(both.where(late).select(*rows.columns, F.lit(name).alias("batch_id")), f"{self.root}/late")
+        late = F.coalesce(F.col(self.at).cast(self.grain) < F.col("__dt_begun"), F.lit(False))
+        sinks.put_rows(both.where(late).select(*rows.columns, F.lit(name).alias("batch_id")), f"{self.root}/late", name)
         timely = both.where(~late).select(rows.columns)
         last = timely.agg(F.max(F.col(self.at).cast("timestamp"))).first()[0]
         if last is None:
+            sinks.set_aside(spark, self.root, name)
             return
-        changes, staged = integrate_batch(timely.select(*self.key, *self.tracked), history, self.key, self.tracked, last.date())
+        changes, staged = integrate_batch(timely.select(*self.key, *self.tracked), history, self.key, self.tracked, last if self.grain == "timestamp" else last.date())
         marked = changes.withColumn("batch", F.lit(name)).join(timely.select(*self.key, self.at), self.key, "left")
         version, written = sinks.stage_version(staged, self.root)
         report = validate_history(written, self.key)
         valid = spark.createDataFrame([(name, passes(report))], "batch string, valid boolean")
         judged = decide(evidence(marked, "batch", self.key, self.at, F.lit(first), valid=valid), self.thresholds)
-        sinks.append_rows(judged, f"{self.root}/evidence")
+        sinks.put_rows(judged, f"{self.root}/evidence", name)
         if judged.first().decision != "NORMAL":
-            sinks.append_rows(timely.withColumn("batch_id", F.lit(name)), f"{self.root}/held")
+            sinks.put_rows(timely.withColumn("batch_id", F.lit(name)), f"{self.root}/held", name)
             if self.mode == "block":
                 raise HeldBatchError(f"batch {name} is held")
+            sinks.set_aside(spark, self.root, name)
             return
         sinks.promote(spark, self.root, version, name, written.count(), last.isoformat())
 
@@ -74,5 +78,7 @@ class HistoryStream:
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 
-def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = 1) -> DataFrame:
+    """Files as they come, so many in a batch; None takes all that are new."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(path)

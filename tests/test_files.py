@@ -88,3 +88,30 @@ def test_stream_holds(spark, tmp_path):
     blocking = HistoryStream(f"{at}/h", ["k"], ["v"], "ts", Thresholds(dispersion=2))
     with pytest.raises(RuntimeError):
         blocking.process(spark.createDataFrame([(c, 2, datetime.datetime(2026, 1, 2)) for c in "abcdef"], ROWS), 2)
+
+
+def test_stream_tries_again_without_repeating(spark, tmp_path):
+    """A blocked batch that is tried again, and a diverted one that is replayed, leave their side rows once."""
+    at = str(tmp_path)
+    day = lambda d, v: spark.createDataFrame([(c, v, datetime.datetime(2026, 1, d)) for c in "abcdef"], ROWS)
+    stream = HistoryStream(f"{at}/h", ["k"], ["v"], "ts", Thresholds(dispersion=2))
+    stream.process(day(5, 1), 0)
+    batch = day(6, 2).union(spark.createDataFrame([("a", 9, datetime.datetime(2026, 1, 7))], ROWS)).union(spark.createDataFrame([("b", 9, datetime.datetime(2026, 1, 1))], ROWS)).where("k != 'b' or v = 9")
+    for _ in range(2):
+        with pytest.raises(RuntimeError):
+            stream.process(batch, 1)
+    assert sinks.read_rows(spark, f"{at}/h/late").where("batch_id = '1'").count() == 1
+    assert sinks.read_rows(spark, f"{at}/h/held").count() == 5
+    stream.mode = "divert"
+    for _ in range(2):
+        stream.process(batch, 1)
+    assert sinks.committed_batch(spark, f"{at}/h", "1") and sinks.current_version(spark, f"{at}/h")["batch_id"] == "0"
+    assert sinks.read_rows(spark, f"{at}/h/evidence").where("batch = '1'").count() == 1
+
+
+def test_stream_by_timestamp(spark, tmp_path):
+    stream = HistoryStream(f"{tmp_path}/h", ["k"], ["v"], "ts", Thresholds(enabled=False), grain="timestamp")
+    for n in range(3):  # three changes on one day
+        stream.process(spark.createDataFrame([("a", n, datetime.datetime(2026, 1, 1, 10 + n))], ROWS), n)
+    rows = sorted((r.v, r.effective_from.hour, r.effective_to and r.effective_to.hour) for r in sinks.read_history(spark, f"{tmp_path}/h").collect())
+    assert rows == [(0, 10, 11), (1, 11, 12), (2, 12, None)]

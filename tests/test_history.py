@@ -147,3 +147,31 @@ def test_keys_and_cursors(spark):
     assert [r.cust_id for r in keys.page_after(df, "ts", ["cust_id"], {"ts": cursor["ts"]}).collect()] == [3]
     assert [r.cust_id for r in keys.page_after(df, "ts", ["cust_id"], None, 2).collect()] == [1, 2]
     assert keys.cursor_bounds(df, "ts", ["cust_id"]).first().last.cust_id == 3
+
+
+def test_as_of_of_nested_versions(spark):
+    """An older version that outlasts a short one is valid again after it; equal events keep their number."""
+    day = lambda k: datetime.date(2026, 1, k)
+    h = spark.createDataFrame([("a", 1, day(1), day(20), False), ("a", 2, day(5), day(8), False), ("a", 3, day(20), None, True), ("b", 4, day(1), None, True)], "k string, v int, effective_from date, effective_to date, is_current boolean")
+    events = spark.createDataFrame([("a", day(6)), ("a", day(10)), ("a", day(10)), ("a", day(25)), ("b", day(2)), ("c", day(2)), (None, day(2))], "k string, at date")
+    got = sorted(((r.k or "", r["at"].day, r.v) for r in history.as_of_join(events, h, ["k"], "at").collect()), key=repr)
+    assert got == sorted([("a", 6, 2), ("a", 10, 1), ("a", 10, 1), ("a", 25, 3), ("b", 2, 4), ("c", 2, None), ("", 2, None)], key=repr)
+
+
+def test_history_by_timestamp(spark):
+    at = lambda h: datetime.datetime(2026, 1, 1, h)
+    empty = spark.createDataFrame([], "k string, v string, effective_from timestamp, effective_to timestamp, is_current boolean")
+    first = history.apply_history(spark.createDataFrame([("a", "x")], "k string, v string"), empty, ["k"], ["v"], at(9))
+    second = history.apply_history(spark.createDataFrame([("a", "y")], "k string, v string"), first, ["k"], ["v"], at(10))
+    assert sorted((r.v, r.effective_from, r.effective_to) for r in second.collect()) == [("x", at(9), at(10)), ("y", at(10), None)]
+    assert invariants.passes(invariants.validate_history(second, ["k"]))  # two changes on one day are no fault
+
+
+def test_ordinals_previews_and_json(spark, tmp_path):
+    spark.range(100).repartition(4).write.parquet(str(tmp_path / "r"))
+    rows = keys.with_ordinal(spark.read.parquet(str(tmp_path / "r")))
+    assert sorted(r.row_index for r in rows.collect()) == list(range(100))
+    assert keys.preview(spark.range(1000), ["id"], 500).count() == keys.MOST_PREVIEWED
+    coded = spark.createDataFrame([(1, None)], "b int, a string").select(keys.to_key_json(["b", "a"]).alias("j"))
+    assert coded.first().j == '{"a":null,"b":1}'
+    assert keys.detect_keys(spark.createDataFrame([("x", "x")], "p string, q string").union(spark.createDataFrame([("x", "x")], "p string, q string")), spark.createDataFrame([], "p string, q string"))[0] == ["p"]

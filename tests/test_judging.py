@@ -141,3 +141,43 @@ def test_profile(spark):
     assert got["id"].is_unique and (got["v"].nulls, got["v"].distinct, got["v"].max_length) == (1, 2, 2)
     assert [(r.value, r.n) for r in profile.top_values(df, ["v"]).orderBy("rank").collect()] == [("a", 2), (None, 1), ("bb", 1)]
     assert profile.without_secrets(df.withColumn("api_token", F.lit(1))).columns == ["id", "v"]
+
+
+def test_actions_on_holds(spark):
+    day = lambda k: datetime.date(2026, 1, k)
+    history = spark.createDataFrame([("a", "x", day(1), None, True), ("b", "x", day(9), None, True)], "k string, v string, effective_from date, effective_to date, is_current boolean")
+    frozen = spark.createDataFrame([("a", "y", day(5)), ("b", "y", day(5)), ("c", "y", day(5))], "k string, v string, at date")
+    events = spark.createDataFrame([("h", "HELD", 1), ("g", "HELD", 1), ("g", "RELEASED", 2)], "hold_id string, status string, at int")
+    args = (frozen, history, ["k"], ["v"], "at", day(10))
+    done = containment.release(events, "h", *args)
+    assert done.status == "RELEASED" and done.advances and [r.k for r in done.late.collect()] == ["b"]
+    assert {(r.k, r.v, r.is_current) for r in done.history.collect()} == {("a", "x", False), ("a", "y", True), ("b", "x", True), ("c", "y", True)}
+    for hold in ("g", "unknown"):
+        with pytest.raises(containment.HoldError):
+            containment.release(events, hold, *args)
+        with pytest.raises(containment.HoldError):
+            containment.discard(events, hold)
+    strict = guardrail.Thresholds(changed=0)
+    assert containment.reprocess(events, "h", *args, thresholds=strict).status == "HELD"
+    assert containment.reprocess(events, "h", *args, thresholds=strict, force=True).status == "REPROCESSED"
+    assert containment.discard(events, "h").history is None and containment.discard(events, "h", advance=True).advances
+
+
+def test_drift_gate_of_canonical_batches(spark):
+    from dimtrail.plans.pipeline import integrate_canonical
+
+    broken = spark.createDataFrame([("crm", "BROKEN")], "source string, overall string")
+    records = spark.createDataFrame([("1", "a", "b", "c@d.e", None, "active", datetime.datetime(2026, 1, 1))], "customer_id string, first_name string, last_name string, email string, date_of_birth date, status string, created_at timestamp")
+    history = spark.createDataFrame([], "customer_id string, first_name string, last_name string, email string, date_of_birth date, status string, effective_from date, effective_to date, is_current boolean")
+    with pytest.raises(ValueError):
+        integrate_canonical(records, history, datetime.date(2026, 1, 2), broken)
+    _, staged, judged = integrate_canonical(records, history, datetime.date(2026, 1, 2), thresholds=guardrail.Thresholds(dispersion=5))
+    assert [(r.customer_id, r.status, r.is_current) for r in staged.collect()] == [("1", "ACTIVE", True)] and judged.first().decision == "NORMAL"
+
+
+def test_corrected_exceptions(spark):
+    exceptions = spark.createDataFrame([("a", 1, False), ("b", 2, False), ("c", 3, False)], "exception_id string, row_index int, protected boolean")
+    at = datetime.datetime(2026, 1, 1)
+    events = spark.createDataFrame([("a", "CORRECTED", at), ("b", "CORRECTED", at)], "exception_id string, status string, at timestamp")
+    validated = spark.createDataFrame([(1, []), (2, [("R", "f", "m")]), (3, [])], "row_index int, errors array<struct<rule_id:string,field:string,message:string>>")
+    assert {(r.exception_id, r.status) for r in onboarding.reprocess_exceptions(exceptions, events, validated).collect()} == {("a", "RESOLVED"), ("b", "REPROCESSED")}
