@@ -15,6 +15,9 @@ a leaf is a head only if it is one of the two longest in at least half of its te
 is no new company. Templates with enough texts of their own are found first; their lines then count for nothing when
 the companies of the remaining templates are found. However many copies a company has, it counts once.
 
+Totals of leaves and cells are written out before they are joined back, so that Spark sees both sides and splits the
+partition of a line that very many documents have.
+
 First a sketch of fixed size finds which leaves may recur: one bit for each of BUCKETS leaf hashes, set where at least
 MIN_DOCS texts fall. Only lines of marked buckets are looked at closer; a bit too many costs time, never a result."""
 
@@ -82,7 +85,7 @@ def marked_buckets(docs: DataFrame, min_docs: int = MIN_DOCS) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(doc_id, th, at, leaf, line_id, line, held, total) of every line in a marked bucket; line_id: a hash of the line; held and total: the text's tokens in lines of this leaf, and in all lines."""
+    """(doc_id, th, at, leaf, line_id, line, held, total) of every line in a marked bucket, of every row, repeated ones too; null and blank texts have none. line_id: a hash of the line; held and total: the text's tokens in lines of this leaf, and in all lines."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -112,7 +115,7 @@ def _own(common: str, total: str) -> F.Column:
 
 def recurring_templates(seen: DataFrame, held: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(leaf, template_id) of the templates in at least min_docs companies; seen: (leaf, template_id, th, held); held: (leaf, th, held, total) of all texts."""
-    often = held.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    often = checkpointed(held.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs))
     lines = checkpointed(held.join(often, "leaf"))
     texts = lines.groupBy("th").agg(F.max("total").alias("total"), F.sum("held").alias("common"))
     first = seen.join(texts, "th").where(_own("common", "total")).groupBy("leaf", "template_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
@@ -136,12 +139,13 @@ def recurring_lines(found: DataFrame, min_docs: int = MIN_DOCS, constant: float
 
     A token at its place in a leaf is one hash, its cell; lines travel as ids, and their text comes back for templates only."""
     counts = found.select("leaf", "line_id", "th").distinct().groupBy("leaf", "line_id").agg(F.count("*").alias("texts"))
-    full = counts.groupBy("leaf").agg(F.sum("texts").alias("in_leaf")).where(F.col("in_leaf") >= min_docs)
+    full = checkpointed(counts.groupBy("leaf").agg(F.sum("texts").alias("in_leaf")).where(F.col("in_leaf") >= min_docs))
     lines = counts.join(full, "leaf").join(found.groupBy("line_id").agg(F.min("line").alias("line")), "line_id").select("leaf", "line_id", "texts", "line")
     lines = checkpointed(lines)
     cell = lambda token, place: F.when(~token.rlike(r"\d"), F.xxhash64(F.col("leaf"), place, token))
     cells = lines.select("line_id", "texts", F.posexplode(F.transform(F.split("line", " "), cell)).alias("place", "cell")).where("cell is not null")
     fixed = cells.groupBy("cell").agg(F.sum("texts").alias("n")).where(F.col("n") >= min_docs).select("cell")
+    fixed = checkpointed(fixed)
     places = cells.drop("texts").join(fixed, "cell").groupBy("line_id").agg(F.collect_list("place").alias("places"))
     tokens = F.split("line", " ")
     shaped = lines.join(places, "line_id").where(F.size("places") >= constant * F.size(tokens))
