@@ -7,8 +7,8 @@ place, so matches start where words do and no state of the automaton has more th
 coded text give word positions, from which hit passages are mapped back to character offsets of the original.
 
 The automaton is made of at most MAX_BLOCK_BYTES of benchmark text. Its size is checked first; a larger benchmark is
-dealt into blocks, and each block's automaton is broadcast and scans the documents in turn, so neither the driver nor a
-worker holds more than one block."""
+dealt into blocks, each of which is broadcast and scans the documents in tasks of its own. An automaton takes about 350
+times its text, so that a task's takes some 350 MB at most."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from dimtrail.llm.common import append_columns, lower_ascii, utf8
 
 WINDOW = 13
-MAX_BLOCK_BYTES = 1 << 18
+MAX_BLOCK_BYTES = 1 << 20
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BASE = 16
 
@@ -143,10 +143,15 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
         return append_columns(docs, RESULT, make)
 
-    out = docs
-    for k, block in enumerate(blocks):
-        out = _scan_block(out, context.broadcast([(r.item, r.text) for r in block.collect()]), window, f"{_FOUND}{k}")
-    return _judge(out, [f"{_FOUND}{k}" for k in range(len(blocks))])
+    text_hash = F.xxhash64("text").alias("__dt_th")
+    hits = None
+    for block in blocks:  # a scan each, so that a task holds one automaton; only rows that are hit move
+        found = _scan_block(docs.select("doc_id", "text"), context.broadcast([(r.item, r.text) for r in block.collect()]), window, _FOUND)
+        found = found.where(F.size(_FOUND) > 0).select(F.col("doc_id").alias("__dt_id"), text_hash, _FOUND)
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.groupBy("__dt_id", "__dt_th").agg(F.flatten(F.collect_set(_FOUND)).alias(_FOUND))
+    both = docs.join(hits, docs["doc_id"].eqNullSafe(F.col("__dt_id")) & (F.xxhash64(docs["text"]) == F.col("__dt_th")), "left")
+    return _judge(both.select(*docs.columns, _FOUND), _FOUND)
 
 
 _SCANNERS: dict = {}
@@ -173,9 +178,9 @@ def _scan_block(docs: DataFrame, shared, window: int, column: str) -> DataFrame:
     return append_columns(docs, [T.StructField(column, _FOUND_TYPE)], make)
 
 
-def _judge(docs: DataFrame, columns: list[str]) -> DataFrame:
-    rest = [c for c in docs.columns if c not in columns and c not in {f.name for f in RESULT}]
-    both = docs.select(*rest, F.struct("text", F.concat(*columns).alias("found")).alias("__dt_both"))
+def _judge(docs: DataFrame, column: str) -> DataFrame:
+    rest = [c for c in docs.columns if c != column and c not in {f.name for f in RESULT}]
+    both = docs.select(*rest, F.struct("text", F.col(column).alias("found")).alias("__dt_both"))
     schema = T.StructType([f for f in both.schema.fields if f.name != "__dt_both"] + RESULT)
 
     def run(batches):
