@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -74,7 +75,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/dimtrail-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="dimtrail-")
+        context.setCheckpointDir(folder)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

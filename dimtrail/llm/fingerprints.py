@@ -35,7 +35,7 @@ def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
 
 
 def with_fingerprint(docs: DataFrame, column: str = "fp") -> DataFrame:
-    """Adds the fingerprint as a signed long of the same bits."""
+    """Adds the fingerprint as a signed long of the same bits to every row; null and empty texts have 0, equal texts equal ones."""
 
     def make():
         def compute(texts):

@@ -140,6 +140,8 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 300, ridge: float = 1
 
 
 def with_pattern(docs: DataFrame) -> DataFrame:
+    """Adds pattern, the votes as one number, to every row; null and empty texts have that of a bad vote on size alone, equal texts have equal ones."""
+
     def make():
         return lambda texts: [[pattern_of(t) for t in texts]]
 
@@ -174,7 +176,8 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
         return compute
 
     mark = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)).alias("__dt_mark")
-    sample = append_columns(docs.select("text", mark).where(F.col("__dt_mark") < max(share)), [T.StructField("x", T.BinaryType()), T.StructField("y", T.DoubleType())], make, also=["__dt_mark"]).where("x is not null").select("x", "y").collect()
+    chosen = append_columns(docs.select("text", mark).where(F.col("__dt_mark") < max(share)), [T.StructField("x", T.BinaryType()), T.StructField("y", T.DoubleType())], make, also=["__dt_mark"]).where("x is not null")
+    sample = chosen.dropDuplicates(["__dt_mark"]).select("x", "y").collect()  # a row that is repeated very often comes once
     if not sample:
         return QualityModel(posterior, shares, np.zeros(2 * HALF + 1, np.float32))
     sample.sort(key=lambda r: (r.y, bytes(r.x)))  # the same fit whatever order the rows come in
