@@ -70,4 +70,36 @@ def test_edge_values(spark):
     assert scores[2].n_tokens == scores[3].n_tokens == 1
     kept = {r.doc_id: r.keep for r in quality.with_quality(d).collect()}
     assert not kept[2] and not kept[3] and not kept[6]
+    cut = sorted(repr((r.doc_id, r.text and r.text[:20], r.n_removed)) for r in unit_dedup.with_units_removed(d).collect())
+    first = "Some plain words to be read here."[:20]
+    assert cut == sorted(repr(x) for x in [(1, first, 0), (1, first, 0), (2, None, 0), (3, "", 0), (4, LONG[:20], 8999), (5, "", 1), (None, "No id but text.", 0), (6, ROWS[7][1], 0), (7, ROWS[8][1], 0)])
+    assert all(r.n_lines == (0 if r.text is None else r.text.count("\n") + 1) and r.dropped_lines == [] for r in operators(spark)["lines"](d).collect())
+    shown = {r.doc_id: (r.text, r.n_chars) for r in operators(spark)["html"](d).collect()}
+    assert shown[2] == shown[3] == shown[6] == ("", 0) and shown[1] == (ROWS[0][1], len(ROWS[0][1])) and shown[4][1] == len(LONG) - 1
+    stored = {r.doc_id: r for r in operators(spark)["media"](d).collect()}
+    assert stored[2].payload_sha256 == stored[3].payload_sha256 and (stored[2].n_bytes, stored[2].payload_bytes) == (0, 192) and stored[1].feature == stored[5].feature
     assert all(r.lossless for r in pieces.with_round_trip(d, tokenizer("pieces")).collect())
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_edge_rows(spark, tmp_path, k):
+    """Nulls, empty and long texts, repeated rows and extra columns in every stage: what stays, and that an empty table stays empty."""
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[k]
+    spark.createDataFrame(BENCH, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, th string, pieces string"
+    rows = [(i, t, None, "s", None if t is None else len(t), "x", "y", "z") for i, t in ROWS]
+    out = stage(spark, spark.createDataFrame(rows, schema), str(tmp_path))
+    got = [r.doc_id for r in out.collect()]
+    assert stage(spark, spark.createDataFrame([], schema), str(tmp_path)).collect() == []
+    if k < 4:
+        assert out.columns == [c.split()[0] for c in schema.split(", ")]
+    if name == "quality":
+        assert not {2, 3, 6} & set(got)
+    elif name == "near_dedup":
+        assert sorted(map(str, got)) == ["1", "2", "4", "7", "None"]
+    elif name == "decontaminate":
+        assert {1, 5} & set(got) == set() and {2, 3, 4, 6} <= set(got)
+    else:
+        assert len(got) == len(ROWS)

@@ -478,6 +478,25 @@ def test_media_query(spark, tiny, rows):
     assert io.BytesIO(media.encode_png(b" " * 192)).read(8) == media.SIGNATURE
 
 
+def plain_hash(image):
+    """The cosine hash by its sums, coefficient by coefficient."""
+    h, w, _ = image.shape
+    cell = lambda n, i: range(i * n // 32, max((i + 1) * n // 32, i * n // 32 + 1))
+    grey = [[sum(int(image[y, x].sum()) for y in cell(h, i) for x in cell(w, j)) / (len(cell(h, i)) * len(cell(w, j))) for j in range(32)] for i in range(32)]
+    cos = [[math.cos(math.pi * k * (2 * x + 1) / 64) for x in range(32)] for k in range(8)]
+    low = [round(sum(cos[u][i] * cos[v][j] * grey[i][j] for i in range(32) for j in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    return f"{sum(1 << 63 - i for i, c in enumerate(low) if i and c > middle):016x}"
+
+
+def test_features_against_plain_python(spark, tiny, rows):
+    assert (media.SIDE, media.LOW) == (32, 8)
+    for r in queries.op8_media(spark, tiny).limit(25).collect():
+        stored = media.encode_png(media.payload(rows[r.doc_id]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r.feature == plain_hash(media.decode_png(stored))
+
+
 # --- pieces
 
 
@@ -606,6 +625,29 @@ def test_quality_against_labels(spark):
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_quality_query_against_plain_python(spark, tiny, rows):
+    """Votes, posteriors by plain expectation-maximisation, and scores of the scorer that they train."""
+    vote = {i: quality.votes(t) for i, t in rows.items()}
+    good = {v: (0.95, 0.4, 0.1)[min(v.count(-1), 2)] for v in vote.values()}
+    for _ in range(quality.EM_ROUNDS):
+        share = {}
+        for c in (0, 1):
+            for k in range(12):
+                n = {x: 1 + sum(good[v] if c else 1 - good[v] for v in vote.values() if v[k] == x) for x in (-1, 1)}
+                share |= {(c, k, x): n[x] / sum(n.values()) for x in n}
+        mass = sum(good[v] for v in vote.values())
+        odds = math.log((mass + 1) / (len(vote) - mass + 1))
+        good = {v: 1 / (1 + math.exp(-max(-30, min(30, odds + sum(math.log(share[1, k, x] / share[0, k, x]) for k, x in enumerate(v) if x))))) for v in good}
+    out = {r.doc_id: r for r in queries.op1_quality(spark, tiny).collect()}
+    for i, r in out.items():
+        assert tuple(r.votes) == vote[i] and abs(r.weak_label - good[vote[i]]) < 1e-6
+    pairs = sorted((np.float64(good[vote[i]]), quality.features(t).astype(np.float16).tobytes()) for i, t in rows.items())  # all rows: there are fewer than TRAIN_ROWS
+    w = quality.fit_scorer(np.stack([np.frombuffer(x, np.float16) for _, x in pairs]).astype(np.float32), np.array([y for y, _ in pairs]))
+    for i, r in out.items():
+        want = 1 / (1 + math.exp(-float(quality.features(rows[i]) @ w[:-1] + w[-1]))) if rows[i].strip() else 0.0
+        assert abs(r.score - want) < 1e-3 and r.keep == (r.score >= quality.KEEP)
+
+
 def test_label_model_finds_the_good_labellers():
     rng = random.Random(1)
     counts = Counter()
