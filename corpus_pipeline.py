@@ -12,27 +12,27 @@ from dimtrail.llm.queries import tokenizer
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps; null, empty and blank texts go, repeated rows are judged alike. An empty table stays empty, here and in every stage."""
     return quality.with_quality(docs).where("keep").select(docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines of recurring templates."""
+    """All documents, without the lines of recurring templates; null and empty texts as they are."""
     return line_templates.with_line_drops(docs).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
+    """One document of each group of near duplicates, the one with the smallest id, nulls last; texts without words are one group, repeated rows one row."""
     return simhash.keep_one(docs).select(docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark contaminates."""
+    """Documents that no benchmark contaminates; null and empty texts stay."""
     return decontaminate.with_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated").select(docs.columns)
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the sampled pieces and their number."""
+    """doc_id, lang, source, the sampled pieces and their number, none for a null or empty text."""
     from pyspark.sql import functions as F
 
     return pieces.with_pieces(docs, tokenizer("pieces")).select("doc_id", "lang", "source", "pieces", F.size("pieces").cast("long").alias("n_pieces"))
