@@ -26,10 +26,12 @@ class HistoryStream:
     to `late`; a batch that the guardrail finds suspicious goes to `held`. In mode block the query then fails, so that a
     restart meets the same offsets; in mode divert it goes on. A batch that was promoted or diverted is a no-op when it is
     replayed, and late, held and evidence rows of a batch are written over, not added to, when it is tried again. With
-    grain timestamp versions begin and end at the last time of their batch, else at its date."""
+    grain timestamp versions begin and end at the last time of their batch, else at its date. The history is kept in
+    buckets of keys; a batch reads, rewrites and checks those of its own keys alone, so raise their number with the history."""
 
-    def __init__(self, root: str, key: Sequence[str], tracked: Sequence[str], at: str, thresholds: Thresholds = Thresholds(), mode: str = "block", grain: str = "date"):  # noqa: B008
+    def __init__(self, root: str, key: Sequence[str], tracked: Sequence[str], at: str, thresholds: Thresholds = Thresholds(), mode: str = "block", grain: str = "date", buckets: int = 16):  # noqa: B008
         self.root, self.key, self.tracked, self.at, self.thresholds, self.mode, self.grain = root, list(key), list(tracked), at, thresholds, mode, grain
+        self.buckets = buckets
 
     def _empty_history(self, batch: DataFrame) -> DataFrame:
         kinds = batch.schema
@@ -39,16 +41,24 @@ class HistoryStream:
         spark, name = batch.sparkSession, str(batch_id)
         if batch.isEmpty() or sinks.committed_batch(spark, self.root, name):
             return
-        history = sinks.read_history(spark, self.root)
-        first = history is None
-        history = self._empty_history(batch) if first else history
         rows = latest_per_key(batch, self.key, self.at, self.tracked).persist()
         try:
-            self._commit(spark, rows, history, name, first)
+            self._commit(spark, rows, name)
         finally:
             rows.unpersist()
 
-    def _commit(self, spark: SparkSession, rows: DataFrame, history: DataFrame, name: str, first: bool) -> None:
+    def _touched(self, spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, dict[int, int], bool]:
+        """The history in the buckets of the rows' keys, where the other buckets are to be read from, and whether this is the first batch."""
+        last = sinks.current_version(spark, self.root)
+        if last and not last["buckets"]:  # a history that was written as a whole is dealt into buckets once
+            return sinks.read_history(spark, self.root), {}, False
+        kept = dict(last["buckets"]) if last else {}
+        mine = {r[0] for r in rows.select(sinks.bucket_of(self.key, self.buckets)).distinct().collect()}  # at most so many as there are buckets
+        there = {b: kept.pop(b) for b in mine if b in kept}
+        return sinks.read_buckets(spark, self.root, there) if there else self._empty_history(rows), kept, last is None
+
+    def _commit(self, spark: SparkSession, rows: DataFrame, name: str) -> None:
+        history, kept, first = self._touched(spark, rows)
         begun = history.where("is_current").select(*self.key, F.col("effective_from").alias("__dt_begun"))
         both = rows.join(begun, self.key, "left")
         late = F.coalesce(F.col(self.at).cast(self.grain) < F.col("__dt_begun"), F.lit(False))
@@ -60,7 +70,9 @@ class HistoryStream:
             return
         changes, staged = integrate_batch(timely.select(*self.key, *self.tracked), history, self.key, self.tracked, last if self.grain == "timestamp" else last.date())
         marked = changes.withColumn("batch", F.lit(name)).join(timely.select(*self.key, self.at), self.key, "left")
-        version, written = sinks.stage_version(staged, self.root)
+        version = sinks.stage_buckets(staged, self.root, self.key, self.buckets)
+        written = spark.read.parquet(f"{self.root}/v={version}")
+        made = {r[0]: version for r in written.select(sinks.BUCKET).distinct().collect()}
         report = validate_history(written, self.key)
         valid = spark.createDataFrame([(name, passes(report))], "batch string, valid boolean")
         judged = decide(evidence(marked, "batch", self.key, self.at, F.lit(first), valid=valid), self.thresholds)
@@ -71,7 +83,7 @@ class HistoryStream:
                 raise HeldBatchError(f"batch {name} is held")
             sinks.set_aside(spark, self.root, name)
             return
-        sinks.promote(spark, self.root, version, name, written.count(), last.isoformat())
+        sinks.promote(spark, self.root, version, name, written.count(), last.isoformat(), kept | made)
 
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = True, interval: str = "15 seconds") -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)

@@ -115,3 +115,19 @@ def test_stream_by_timestamp(spark, tmp_path):
         stream.process(spark.createDataFrame([("a", n, datetime.datetime(2026, 1, 1, 10 + n))], ROWS), n)
     rows = sorted((r.v, r.effective_from.hour, r.effective_to and r.effective_to.hour) for r in sinks.read_history(spark, f"{tmp_path}/h").collect())
     assert rows == [(0, 10, 11), (1, 11, 12), (2, 12, None)]
+
+
+def test_stream_rewrites_its_own_buckets(spark, tmp_path):
+    """A batch of one key writes one bucket, a history written as a whole is taken up, and all of it stays readable."""
+    root = f"{tmp_path}/h"
+    rows = spark.createDataFrame([(str(i), 1) for i in range(200)], "k string, v bigint")
+    empty = spark.createDataFrame([], "k string, v bigint, effective_from date, effective_to date, is_current boolean")
+    run_pipeline(rows, empty, root, datetime.date(2026, 1, 1), ["k"], ["v"])
+    stream = HistoryStream(root, ["k"], ["v"], "ts", Thresholds(enabled=False), buckets=8)
+    stream.process(spark.createDataFrame([("5", 2, datetime.datetime(2026, 1, 3))], ROWS), 0)
+    stream.process(spark.createDataFrame([("5", 3, datetime.datetime(2026, 1, 4)), ("new", 1, datetime.datetime(2026, 1, 4))], ROWS), 1)
+    last = sinks.current_version(spark, root)
+    assert len(last["buckets"]) == 8 and 1 <= sum(v == last["version"] for v in last["buckets"].values()) <= 2 and last["rows"] < 100
+    history = sinks.read_history(spark, root)
+    assert history.where("is_current").count() == 201 and sorted(r.v for r in history.where("k = '5'").collect()) == [1, 2, 3]
+    assert set(history.columns) == {"k", "v", "effective_from", "effective_to", "is_current"}
