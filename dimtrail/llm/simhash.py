@@ -96,7 +96,8 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 
 def search_plan(n: int, both: np.ndarray, distance: int = DISTANCE) -> list[tuple[list[int], int]]:
     """The partitions and thresholds with the least estimated work."""
-    p, best = np.diag(both) / max(n, 1), (inf, [])
+    n = max(n, 1)  # without fingerprints every plan would cost nothing, even one with thousands of probes
+    p, best = np.diag(both) / n, (inf, [])
     for parts in range(2, distance + 2):
         groups = correlated_partitions(n, both, parts)
         costs = []

@@ -429,6 +429,7 @@ def test_keep_one_judges_rows_by_their_text(spark):
 
 
 def test_plan_thresholds_cover_the_distance():
+    assert all(t <= 0 for _, t in simhash.search_plan(0, np.zeros((64, 64))))
     for n in (100, 10_000, 10_000_000):
         plan = simhash.search_plan(n, np.full((64, 64), n / 4) + np.eye(64) * n / 4)
         assert sum(t + 1 for _, t in plan) == simhash.DISTANCE + 1
