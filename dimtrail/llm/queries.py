@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dimtrail.llm import decontaminate, html_text, language_model, line_templates, manifest, media, pieces, quality, simhash, sql, token_counts, unit_dedup
+from dimtrail.llm import conversations, decontaminate, html_text, language_model, line_templates, manifest, media, pieces, quality, simhash, sql, token_counts, unit_dedup
 from dimtrail.llm.common import documents
 
 TOKENIZERS = {"byte_bpe": "byte_bpe_50k.json", "pieces": "piece_bpe_32k.model"}
@@ -63,13 +63,19 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.with_scores(documents(spark, sf_dir))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = conversations.audits_of_all(talks, conversations.damaged(talks))
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.col("text"))
     proofs = manifest.inclusion_proofs(manifest.build_manifest(documents(spark, sf_dir), altered={"text": folded}))
     return proofs.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_html_text, op3_token_counts, op4_unit_dedup, op5_decontaminate, op6_line_templates, op7_simhash, op8_media, op9_pieces, op10_language_model, op12_manifest)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_html_text, op3_token_counts, op4_unit_dedup, op5_decontaminate, op6_line_templates, op7_simhash, op8_media, op9_pieces, op10_language_model, op11_conversations, op12_manifest)}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -83,5 +89,6 @@ hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM found, unnest(range(i, i
 named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM found GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op11_conversations": sql.REPAIR,
     "op12_manifest": sql.MANIFEST,
 }
