@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dimtrail.llm import conversations, decontaminate, html_text, language_model, line_templates, manifest, media, pieces, quality, simhash, sql, token_counts, unit_dedup
+from dimtrail.llm import conversations, decontaminate, html_text, language_model, line_templates, manifest, media, pieces, quality, secret_spans, simhash, sql, token_counts, unit_dedup
 from dimtrail.llm.common import documents
 
 TOKENIZERS = {"byte_bpe": "byte_bpe_50k.json", "pieces": "piece_bpe_32k.model"}
@@ -75,7 +75,11 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_html_text, op3_token_counts, op4_unit_dedup, op5_decontaminate, op6_line_templates, op7_simhash, op8_media, op9_pieces, op10_language_model, op11_conversations, op12_manifest)}
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans.with_secrets(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_html_text, op3_token_counts, op4_unit_dedup, op5_decontaminate, op6_line_templates, op7_simhash, op8_media, op9_pieces, op10_language_model, op11_conversations, op12_manifest, op13_secrets)}
 
 _WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from dimtrail.llm import decontaminate, html_text, language_model, line_templates, media, pieces, quality, simhash, token_counts, unit_dedup
+from dimtrail.llm import decontaminate, html_text, language_model, line_templates, media, pieces, quality, secret_spans, simhash, token_counts, unit_dedup
 from dimtrail.llm.queries import tokenizer
 
 LONG = "Long winding words go on and on here. " * 9000
@@ -25,10 +25,11 @@ def operators(spark):
         "media": lambda d: media.with_media(d),
         "pieces": lambda d: pieces.with_round_trip(d, tokenizer("pieces")),
         "scores": lambda d: language_model.with_scores(d),
+        "secrets": lambda d: secret_spans.with_secrets(d),
     }
 
 
-NAMES = ["quality", "html", "tokens", "units", "bench", "lines", "simhash", "keep_one", "media", "pieces", "scores"]
+NAMES = ["quality", "html", "tokens", "units", "bench", "lines", "simhash", "keep_one", "media", "pieces", "scores", "secrets"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -47,7 +48,7 @@ def test_empty_table(spark, name):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_clashing_columns(spark, name):
-    clash = "doc_id bigint, text string, n_tokens string, score string, keep string, pieces string, th string, line string, n_chars bigint, removed string, component_id string, fp string, media string, spans string, dropped_lines string, n_words string, block string, start string"
+    clash = "doc_id bigint, text string, n_tokens string, score string, keep string, pieces string, th string, line string, n_chars bigint, removed string, component_id string, fp string, media string, spans string, dropped_lines string, n_words string, block string, start string, n_hex string, windows string, text_2 string"
     width = clash.count(",") + 1
     rows = [(i, t, *[None if "bigint" in c else "x" for c in clash.split(",")[2:]]) for i, t in ROWS]
     assert all(len(r) == width for r in rows)
