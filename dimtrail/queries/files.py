@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dimtrail.operators import containment
 from dimtrail.operators.changes import classify_changes
 from dimtrail.operators.guardrail import Thresholds
 from dimtrail.plans.pipeline import run_pipeline
@@ -91,18 +92,18 @@ def change_log(spark, d):
     return sinks.read_change_log(spark, at, changes.schema).select("custkey", "change_type")
 
 
-def _streamed(spark: SparkSession, d: str, late: bool) -> str:
-    """The events of each ten days as one batch of a stream into a history; late: a tenth of the users come in the opposite order."""
+def _streamed(spark: SparkSession, d: str, late: bool, limits: Thresholds = Thresholds(enabled=False), buckets: tuple = (16, 16, 16)) -> HistoryStream:  # noqa: B008
+    """The events of each ten days as one batch of a stream into a history; late: a tenth of the users come in the opposite order. buckets: of each batch."""
     at = scratch(spark)
     rows = x3_rows(spark, d).withColumn("part", F.floor((F.dayofmonth("day") - 1) / 10))
     if late:
         rows = rows.withColumn("part", F.when(F.col("user_id") % 10 == 3, 2 - F.col("part")).otherwise(F.col("part")))
     rows = rows.select("user_id", "event_type", "cents", "ts", "part")
-    stream = HistoryStream(f"{at}/history", ["user_id"], ["event_type", "cents"], "ts", Thresholds(enabled=False))
     for k in range(3):
+        stream = HistoryStream(f"{at}/history", ["user_id"], ["event_type", "cents"], "ts", limits, "divert", buckets=buckets[k])
         rows.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{at}/in")
         stream.start(read_stream(spark, f"{at}/in", rows.drop("part").schema, None), f"{at}/checkpoint").awaitTermination()
-    return f"{at}/history"
+    return stream
 
 
 STREAMED = f"""{X3}, parts AS (SELECT *, floor((day(day) - 1) / 10) AS own FROM x3),
@@ -110,11 +111,69 @@ ranked AS (SELECT CAST(part AS INTEGER) AS part, user_id, event_type, cents, ts,
 latest AS (SELECT * FROM ranked WHERE r = 1)"""
 
 
-@query(f"""WITH {STREAMED.format(part="own")}, dates AS (SELECT part, CAST(max(ts) AS DATE) AS d FROM latest GROUP BY part),
-begun AS (SELECT user_id, event_type, cents, d FROM (SELECT l.*, d, lag(event_type) OVER w AS e, lag(cents) OVER w AS c, row_number() OVER w AS n FROM latest l JOIN dates USING (part) WINDOW w AS (PARTITION BY user_id ORDER BY part)) WHERE n = 1 OR e <> event_type OR c <> cents)
-SELECT user_id, event_type, cents, d AS effective_from, lead(d) OVER w AS effective_to, lead(d) OVER w IS NULL AS is_current FROM begun WINDOW w AS (PARTITION BY user_id ORDER BY d)""")
+VERSIONS = ["user_id", "event_type", "cents", "effective_from", "effective_to", "is_current"]
+BEGUN = f"""{STREAMED.format(part="own")}, dates AS (SELECT part, CAST(max(ts) AS DATE) AS d FROM latest GROUP BY part),
+told AS (SELECT l.*, d, lag(event_type) OVER w AS e, lag(cents) OVER w AS c, row_number() OVER w AS n FROM latest l JOIN dates USING (part) {{where}} WINDOW w AS (PARTITION BY user_id ORDER BY part)),
+begun AS (SELECT user_id, event_type, cents, d, part FROM told WHERE n = 1 OR e <> event_type OR c <> cents)"""
+ALL_VERSIONS = "SELECT user_id, event_type, cents, d AS effective_from, lead(d) OVER w AS effective_to, lead(d) OVER w IS NULL AS is_current FROM begun WINDOW w AS (PARTITION BY user_id ORDER BY d)"
+#: Ten days change more users than these limits allow; the first batch is a bootstrap and passes.
+STRICT = Thresholds(changed=10, ratio=2.0, relative=1e12, velocity=1e12, dispersion=1 << 40, deactivations=1 << 40)
+
+
+@query(f"WITH {BEGUN.format(where='')} {ALL_VERSIONS}")
 def stream_history(spark, d):
-    return sinks.read_history(spark, _streamed(spark, d, late=False)).select("user_id", "event_type", "cents", "effective_from", "effective_to", "is_current")
+    return _streamed(spark, d, late=False).store(spark).read().select(*VERSIONS)
+
+
+@query(f"WITH {BEGUN.format(where='')} {ALL_VERSIONS}")
+def stream_rebucketed(spark, d):
+    """The same with another number of buckets for every batch."""
+    return _streamed(spark, d, late=False, buckets=(4, 16, 7)).store(spark).read().select(*VERSIONS)
+
+
+@query(f"WITH {BEGUN.format(where='')} SELECT CAST(part AS VARCHAR) AS run_id, 'COMPLETED' AS status, count(*) AS seen, (SELECT count(*) FROM begun WHERE begun.part = latest.part) AS changed, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS late FROM latest GROUP BY part")
+def stream_runs(spark, d):
+    """The run log that the stream writes: a batch writes as many delta rows as keys change."""
+    return _streamed(spark, d, late=False).store(spark).runs().select("run_id", "status", "seen", "changed", "held", "late")
+
+
+@query(f"WITH {BEGUN.format(where='')} {ALL_VERSIONS}")
+def hold_released(spark, d):
+    """The second and third batch are held, then released in order; releasing one again, and discarding it, change nothing."""
+    store = _streamed(spark, d, late=False, limits=STRICT).store(spark)
+    for hold in [r.hold_id for r in store.holds().where("status = 'HELD'").orderBy("hold_id").collect()]:
+        store.release(hold)
+        store.release(hold)
+        try:
+            store.discard(hold)
+        except containment.HoldError:
+            continue
+        raise AssertionError("a released hold was discarded")
+    return store.read().select(*VERSIONS)
+
+
+@query(f"WITH {BEGUN.format(where='WHERE part <> 1')} {ALL_VERSIONS}")
+def hold_discarded(spark, d):
+    """The second batch is held and given up, the third one released: the history as it is stored has nothing of the second."""
+    store = _streamed(spark, d, late=False, limits=STRICT).store(spark)
+    second, third = [r.hold_id for r in store.holds().orderBy("hold_id").collect()]
+    store.discard(second, advance=True)
+    store.release(third)
+    return store.read().select(*VERSIONS)
+
+
+@query(f"""WITH {BEGUN.format(where='')}, held AS (SELECT part, count(*) AS n FROM latest WHERE part > 0 GROUP BY part), dates3 AS (SELECT max(ts) AS t FROM latest)
+SELECT CAST(part AS VARCHAR) AS batch, CASE part WHEN 1 THEN 'DISCARDED' ELSE 'REPROCESSED' END AS status, n AS frozen, (SELECT t FROM dates3) AS cursor FROM held""")
+def hold_store_states(spark, d):
+    """The stored holds after one was discarded and one reprocessed by force; the frozen rows stay, the cursor is that of the last batch."""
+    store = _streamed(spark, d, late=False, limits=STRICT).store(spark)
+    second, third = [r.hold_id for r in store.holds().orderBy("hold_id").collect()]
+    if store.reprocess(third) != containment.HELD:
+        raise AssertionError("a batch as suspicious as before was let in")
+    store.discard(second)
+    store.reprocess(third, force=True)
+    frozen = spark.read.parquet(f"{store.root}/held").groupBy("batch_id").agg(F.count("*").alias("frozen"))
+    return store.holds().withColumn("batch", F.split("hold_id", "-")[0]).join(frozen, F.col("batch") == F.col("batch_id")).select("batch", "status", "frozen", F.lit(store.cursor()).cast("timestamp").alias("cursor"))
 
 
 @query(f"""WITH {STREAMED.format(part="CASE WHEN user_id % 10 = 3 THEN 2 - own ELSE own END")},
@@ -125,4 +184,4 @@ b1 AS (SELECT user_id, CASE WHEN l1.user_id IS NULL OR late OR (e = l1.event_typ
 l2 AS (SELECT l.*, coalesce(CAST(ts AS DATE) < b.begun, FALSE) AS late FROM latest l LEFT JOIN b1 b USING (user_id) WHERE part = 2)
 SELECT user_id, event_type, cents, CAST(part AS VARCHAR) AS batch_id FROM (SELECT user_id, event_type, cents, part, late FROM l1 UNION ALL SELECT user_id, event_type, cents, part, late FROM l2) WHERE late""")
 def stream_late_rows(spark, d):
-    return sinks.read_rows(spark, f"{_streamed(spark, d, late=True)}/late").select("user_id", "event_type", "cents", "batch_id")
+    return sinks.read_rows(spark, f"{_streamed(spark, d, late=True).root}/late").select("user_id", "event_type", "cents", "batch_id")

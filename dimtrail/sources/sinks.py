@@ -1,19 +1,15 @@
 """Versioned history tables, change logs, reports and run logs on any file system that Spark writes to.
 
 A history is a folder of versions; the pointer table names the promoted one. A version is written, checked, and becomes
-visible with one appended pointer row, so readers never see half of it and a failed job leaves no trace. A version is
-either the whole history or some of its buckets, keys dealt by a hash; its pointer row then names the version that each
-bucket is to be read from, and a small batch rewrites the buckets of its keys alone."""
+visible with one appended pointer row, so readers never see half of it and a failed job leaves no trace. Histories that
+take small batches are in `keyed`."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINTER = "version long, batch_id string, cursor string, rows long, buckets map<int,long>"
-BUCKET = "__dt_bucket"
+POINTER = "version long, batch_id string, cursor string, rows long"
 
 
 def _pointer(spark: SparkSession, root: str) -> DataFrame:
@@ -32,15 +28,10 @@ def current_version(spark: SparkSession, root: str) -> dict | None:
 
 
 def committed_batch(spark: SparkSession, root: str, batch_id: str) -> bool:
-    """Whether a batch has been promoted, or set aside for good."""
+    """Whether a batch has been promoted."""
     return not _pointer(spark, root).where(F.col("batch_id") == batch_id).isEmpty()
 
 
-def set_aside(spark: SparkSession, root: str, batch_id: str) -> None:
-    """Marks a batch as done without a version of its own."""
-    spark.createDataFrame([(None, batch_id, None, 0, None)], POINTER).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
-
-
 def stage_version(df: DataFrame, root: str) -> tuple[int, DataFrame]:
     """Writes the next version, unpromoted; and reads it back."""
     spark = df.sparkSession
@@ -50,33 +41,14 @@ def stage_version(df: DataFrame, root: str) -> tuple[int, DataFrame]:
     return version, spark.read.schema(df.schema).parquet(f"{root}/v={version}")
 
 
-def bucket_of(key: Sequence[str], n: int) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
-
-
-def read_buckets(spark: SparkSession, root: str, buckets: dict[int, int]) -> DataFrame:
-    """The rows of some buckets, each from its version."""
-    return spark.read.parquet(*[f"{root}/v={v}/{BUCKET}={b}" for b, v in sorted(buckets.items())])
-
-
-def stage_buckets(df: DataFrame, root: str, key: Sequence[str], n: int) -> int:
-    """Writes the buckets that `df` has rows of as the next version, unpromoted."""
-    last = current_version(df.sparkSession, root)
-    version = (last["version"] if last else 0) + 1
-    df.withColumn(BUCKET, bucket_of(key, n)).repartition(BUCKET).write.mode("overwrite").option("compression", "zstd").partitionBy(BUCKET).parquet(f"{root}/v={version}")
-    return version
-
-
-def promote(spark: SparkSession, root: str, version: int, batch_id: str, rows: int, cursor: str | None = None, buckets: dict[int, int] | None = None) -> None:
+def promote(spark: SparkSession, root: str, version: int, batch_id: str, rows: int, cursor: str | None = None) -> None:
     """Makes a version the current one; rows: how many it wrote."""
-    spark.createDataFrame([(version, batch_id, cursor, rows, buckets)], POINTER).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+    spark.createDataFrame([(version, batch_id, cursor, rows)], POINTER).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
 
 
 def read_history(spark: SparkSession, root: str, schema=None) -> DataFrame | None:
     """The promoted version, or None."""
     last = current_version(spark, root)
-    if last and last["buckets"]:
-        return read_buckets(spark, root, last["buckets"])
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.parquet(f"{root}/v={last['version']}") if last else None
 

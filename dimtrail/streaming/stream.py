@@ -5,14 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dimtrail.operators.guardrail import Thresholds, decide, evidence
-from dimtrail.operators.invariants import passes, validate_history
-from dimtrail.operators.keys import latest_per_key
-from dimtrail.plans.pipeline import integrate_batch
-from dimtrail.sources import sinks
+from dimtrail.operators.containment import HELD
+from dimtrail.operators.guardrail import Thresholds
+from dimtrail.plans.held import HistoryStore
 
 
 class HeldBatchError(RuntimeError):
@@ -20,70 +17,31 @@ class HeldBatchError(RuntimeError):
 
 
 class HistoryStream:
-    """Writes a stream of keyed rows into a versioned history.
+    """Writes a stream of keyed rows into a stored history.
 
     A batch keeps the latest row of each key (by time, then by all values); rows older than their key's current version go
-    to `late`; a batch that the guardrail finds suspicious goes to `held`. In mode block the query then fails, so that a
-    restart meets the same offsets; in mode divert it goes on. A batch that was promoted or diverted is a no-op when it is
-    replayed, and late, held and evidence rows of a batch are written over, not added to, when it is tried again. With
-    grain timestamp versions begin and end at the last time of their batch, else at its date. The history is kept in
-    buckets of keys; a batch reads, rewrites and checks those of its own keys alone, so raise their number with the history."""
+    to `late`; a batch that the guardrail finds suspicious is held. In mode block the query then fails, so that a
+    restart meets the same offsets, until the hold is released or discarded; in mode divert it goes on. A batch that was committed or diverted
+    is a no-op when it is replayed, and late, held and evidence rows of a batch are written over, not added to, when it is tried again. With
+    grain timestamp versions begin and end at the last time of their batch, else at its date.
 
-    def __init__(self, root: str, key: Sequence[str], tracked: Sequence[str], at: str, thresholds: Thresholds = Thresholds(), mode: str = "block", grain: str = "date", buckets: int = 16):  # noqa: B008
-        self.root, self.key, self.tracked, self.at, self.thresholds, self.mode, self.grain = root, list(key), list(tracked), at, thresholds, mode, grain
-        self.buckets = buckets
+    A batch reads the current versions in the buckets of its keys and writes a delta of the keys that change; after compact_after
+    deltas they are applied. The number of buckets is part of the stored state: with another one the next batch deals the current
+    versions anew."""
 
-    def _empty_history(self, batch: DataFrame) -> DataFrame:
-        kinds = batch.schema
-        return batch.sparkSession.createDataFrame([], ", ".join([f"`{c}` {kinds[c].dataType.simpleString()}" for c in (*self.key, *self.tracked)]) + f", effective_from {self.grain}, effective_to {self.grain}, is_current boolean")
+    def __init__(self, root: str, key: Sequence[str], tracked: Sequence[str], at: str, thresholds: Thresholds = Thresholds(), mode: str = "block", grain: str = "date", buckets: int = 16, compact_after: int = 24, keep: int = 8):  # noqa: B008
+        self.root, self.mode = root, mode
+        self._store = lambda spark: HistoryStore(spark, root, key, tracked, at, thresholds, grain, buckets, compact_after, keep)
+
+    def store(self, spark: SparkSession) -> HistoryStore:
+        """The stored history: to be read, and to close holds."""
+        return self._store(spark)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        spark, name = batch.sparkSession, str(batch_id)
-        if batch.isEmpty() or sinks.committed_batch(spark, self.root, name):
-            return
-        rows = latest_per_key(batch, self.key, self.at, self.tracked).persist()
-        try:
-            self._commit(spark, rows, name)
-        finally:
-            rows.unpersist()
-
-    def _touched(self, spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, dict[int, int], bool]:
-        """The history in the buckets of the rows' keys, where the other buckets are to be read from, and whether this is the first batch."""
-        last = sinks.current_version(spark, self.root)
-        if last and not last["buckets"]:  # a history that was written as a whole is dealt into buckets once
-            return sinks.read_history(spark, self.root), {}, False
-        kept = dict(last["buckets"]) if last else {}
-        mine = {r[0] for r in rows.select(sinks.bucket_of(self.key, self.buckets)).distinct().collect()}  # at most so many as there are buckets
-        there = {b: kept.pop(b) for b in mine if b in kept}
-        return sinks.read_buckets(spark, self.root, there) if there else self._empty_history(rows), kept, last is None
-
-    def _commit(self, spark: SparkSession, rows: DataFrame, name: str) -> None:
-        history, kept, first = self._touched(spark, rows)
-        begun = history.where("is_current").select(*self.key, F.col("effective_from").alias("__dt_begun"))
-        both = rows.join(begun, self.key, "left")
-        late = F.coalesce(F.col(self.at).cast(self.grain) < F.col("__dt_begun"), F.lit(False))
-        sinks.put_rows(both.where(late).select(*rows.columns, F.lit(name).alias("batch_id")), f"{self.root}/late", name)
-        timely = both.where(~late).select(rows.columns)
-        last = timely.agg(F.max(F.col(self.at).cast("timestamp"))).first()[0]
-        if last is None:
-            sinks.set_aside(spark, self.root, name)
-            return
-        changes, staged = integrate_batch(timely.select(*self.key, *self.tracked), history, self.key, self.tracked, last if self.grain == "timestamp" else last.date())
-        marked = changes.withColumn("batch", F.lit(name)).join(timely.select(*self.key, self.at), self.key, "left")
-        version = sinks.stage_buckets(staged, self.root, self.key, self.buckets)
-        written = spark.read.parquet(f"{self.root}/v={version}")
-        made = {r[0]: version for r in written.select(sinks.BUCKET).distinct().collect()}
-        report = validate_history(written, self.key)
-        valid = spark.createDataFrame([(name, passes(report))], "batch string, valid boolean")
-        judged = decide(evidence(marked, "batch", self.key, self.at, F.lit(first), valid=valid), self.thresholds)
-        sinks.put_rows(judged, f"{self.root}/evidence", name)
-        if judged.first().decision != "NORMAL":
-            sinks.put_rows(timely.withColumn("batch_id", F.lit(name)), f"{self.root}/held", name)
-            if self.mode == "block":
-                raise HeldBatchError(f"batch {name} is held")
-            sinks.set_aside(spark, self.root, name)
+        if batch.isEmpty():
             return
-        sinks.promote(spark, self.root, version, name, written.count(), last.isoformat(), kept | made)
+        if self.store(batch.sparkSession).take(batch, str(batch_id), self.mode) == HELD and self.mode == "block":
+            raise HeldBatchError(f"batch {batch_id} is held")
 
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = True, interval: str = "15 seconds") -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
