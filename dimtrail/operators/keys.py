@@ -12,24 +12,31 @@ from dimtrail.operators.changes import METADATA
 from dimtrail.operators.profile import unpivoted
 
 
+# Ends of names that keys have.
+KEY_ENDS = ("_id", "_key", "_code", "_no", "_num", "_number", "id", "key", "code")
+
+
 def key_scores(source: DataFrame, target: DataFrame) -> DataFrame:
-    """(column, score, is_key) of the shared columns: names like ids and uniqueness score, all best columns are the key."""
-    shared = [c for c in source.columns if c in target.columns and c not in METADATA]
-    name = {c: 30 * c.lower().endswith(("_id", "_key", "key", "_no")) + 15 * (c.lower() in ("id", "key")) for c in shared}
+    """(column, score, is_key) of the shared columns: 30 for a name that ends like a key's, 15 more for id or key itself, 10 if no value repeats (null is a value).
+
+    All columns with the best score are the key; if no column scores, the first by name is."""
+    shared = sorted(c for c in source.columns if c in target.columns and c not in METADATA)
+    if not shared:
+        raise ValueError("no shared columns")
+    name = {c: 30 * c.lower().endswith(KEY_ENDS) + 15 * (c.lower() in ("id", "key")) for c in shared}
     valued = unpivoted(source, shared).groupBy("column", "value").agg(F.count("*").alias("n"))  # no column multiplies the rows of another
-    counted = valued.groupBy("column").agg((F.count("value") == F.sum("n")).alias("unique"))
-    points = F.element_at(F.create_map(*[F.lit(x) for c in shared for x in (c, name[c])]), F.col("column")) if shared else F.lit(0)
-    rows = counted.select("column", (points + F.when(F.col("unique"), 10).otherwise(0)).cast("bigint").alias("score"))
-    return rows.withColumn("is_key", (F.col("score") == F.max("score").over(Window.partitionBy())) & (F.col("score") > 0))  # as many rows as columns
+    counted = valued.groupBy("column").agg((F.max("n") == 1).alias("unique"))
+    named = source.sparkSession.createDataFrame(list(name.items()), "column string, points long")
+    rows = named.join(F.broadcast(counted), "column", "left")  # as many rows as columns
+    rows = rows.select("column", (F.col("points") + F.when(F.coalesce("unique", F.lit(True)), 10).otherwise(0)).alias("score"))
+    best = F.max("score").over(Window.partitionBy())
+    return rows.withColumn("is_key", F.when(best > 0, F.col("score") == best).otherwise(F.col("column") == shared[0]))
 
 
 def detect_keys(source: DataFrame, target: DataFrame) -> tuple[list[str], list[str]]:
-    """Key and tracked columns; where no column looks like a key, the first shared one is."""
-    key = [r["column"] for r in key_scores(source, target).where("is_key").collect()]
-    key = key or [c for c in source.columns if c in target.columns and c not in METADATA][:1]
-    if not key:
-        raise ValueError("no shared columns")
-    return sorted(key), sorted(c for c in source.columns if c not in key)
+    """Key columns, and tracked columns: the source's others, without those that a history adds."""
+    key = sorted(r["column"] for r in key_scores(source, target).where("is_key").collect())
+    return key, sorted(c for c in source.columns if c not in key and c not in METADATA)
 
 
 def after_cursor(df: DataFrame, at: str, keys: Sequence[str], cursor: Mapping | None) -> Column:

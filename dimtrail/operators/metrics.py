@@ -36,10 +36,6 @@ def ops_metrics(runs: DataFrame, holds: DataFrame, checkpoints: DataFrame) -> Da
     return total.crossJoin(active).crossJoin(mark).withColumn("health", health)
 
 
-# The states of an onboarding run, and what each may lead to.
-RUN_MOVES = (("PENDING", "RUNNING"), ("RUNNING", "COMPLETED"), ("RUNNING", "FAILED"), ("RUNNING", "HELD"), ("HELD", "RUNNING"), ("FAILED", "RUNNING"))
-
-
 def idempotency_conflicts(requests: DataFrame, name: str = "idempotency_key", request: str = "fingerprint") -> DataFrame:
     """(idempotency_key, requests): keys that stand for more than one request."""
     return requests.where(F.col(name).isNotNull()).groupBy(name).agg(F.count_distinct(request).alias("requests")).where("requests > 1")

@@ -199,16 +199,18 @@ def violations_by_rule(validated: DataFrame) -> DataFrame:
     return validated.select(F.explode("errors").alias("e")).groupBy(F.col("e.rule_id").alias("rule_id")).agg(F.count("*").alias("n"))
 
 
-# Suggestion and category of each rule; rules of protected categories can't be dismissed.
+# Category of the rules by what their name holds, and what is suggested; rules of PROTECTED can't be dismissed.
 RULE_TEXTS = {
-    "REQUIRED": ("missing_value", "Give a value for the field."),
-    "CAST_ERROR": ("invalid_format", "Correct the value to the field's type."),
-    "INVALID_DATE": ("invalid_format", "Write the date as YYYY-MM-DD."),
-    "IN_FUTURE": ("invalid_value", "Give a date that is not in the future."),
-    "EMAIL_FORMAT": ("invalid_format", "Give a valid e-mail address."),
-    "STATUS_ENUM": ("invalid_value", "Use one of the allowed values."),
-    "DUPLICATE": ("duplicate", "Keep one record or give another key."),
-    "REFERENTIAL_INTEGRITY": ("reference", "Add the referenced record first."),
+    "REQUIRED": ("VALIDATION_ERROR", "Give a value for the field."),
+    "CAST_ERROR": ("TRANSFORMATION_ERROR", "Correct the value to the field's type."),
+    "INVALID_DATE": ("TRANSFORMATION_ERROR", "Write the date as YYYY-MM-DD."),
+    "CONCAT_NULL": ("TRANSFORMATION_ERROR", "Give a value for every joined field."),
+    "UNSUPPORTED": ("TRANSFORMATION_ERROR", "Use one of the known operations."),
+    "IN_FUTURE": ("BUSINESS_RULE_ERROR", "Give a date that is not in the future."),
+    "EMAIL_FORMAT": ("VALIDATION_ERROR", "Give a valid e-mail address."),
+    "STATUS_ENUM": ("VALIDATION_ERROR", "Use one of the allowed values."),
+    "DUPLICATE": ("DUPLICATE_ERROR", "Keep one record or give another key."),
+    "REFERENTIAL_INTEGRITY": ("REFERENTIAL_INTEGRITY_ERROR", "Add the referenced record first."),
 }
 PROTECTED = ("CUSTOMER_ID_REQUIRED", "CUSTOMER_ID_DUPLICATE")
 
@@ -217,7 +219,7 @@ def _rule_text(rule: Column, i: int) -> Column:
     out = None
     for name, texts in RULE_TEXTS.items():
         out = F.when(rule.contains(name), texts[i]) if out is None else out.when(rule.contains(name), texts[i])
-    return out.otherwise("other" if i == 0 else "Review the record.")
+    return out.otherwise("VALIDATION_ERROR" if i == 0 else "Review the record.")
 
 
 def to_exceptions(validated: DataFrame, source: str, run: str) -> DataFrame:
@@ -266,8 +268,6 @@ def moves_refused(events: DataFrame, allowed: Sequence[tuple[str, str]], id_colu
     return steps.where(~F.concat("before", F.lit(">"), "status").isin(*[f"{a}>{b}" for a, b in allowed]))
 
 
-
-
 TRACKED_FIELDS = ("first_name", "last_name", "email", "date_of_birth", "status")
 
 

@@ -232,7 +232,7 @@ def _exceptions(spark, d) -> DataFrame:
 EXCEPTIONS = f"WITH {X4}, x AS (SELECT DISTINCT regexp_replace('crm-' || e.row_no || '-' || m.customer_id || '-' || rule_id || '-' || field, '[^A-Za-z0-9_-]', '_', 'g') AS exception_id, e.row_no AS row_index, rule_id, field, rule_id IN ('CUSTOMER_ID_REQUIRED', 'CUSTOMER_ID_DUPLICATE') AS protected FROM errors e JOIN mapped m USING (row_no))"
 
 
-@query(f"""{EXCEPTIONS} SELECT exception_id, row_index, rule_id, field, CASE WHEN rule_id LIKE '%REQUIRED' THEN 'missing_value' WHEN rule_id IN ('INVALID_DATE', 'EMAIL_FORMAT') THEN 'invalid_format' WHEN rule_id IN ('DOB_IN_FUTURE', 'STATUS_ENUM') THEN 'invalid_value' ELSE 'duplicate' END AS category,
+@query(f"""{EXCEPTIONS} SELECT exception_id, row_index, rule_id, field, CASE WHEN rule_id LIKE '%REQUIRED' OR rule_id IN ('EMAIL_FORMAT', 'STATUS_ENUM') THEN 'VALIDATION_ERROR' WHEN rule_id = 'INVALID_DATE' THEN 'TRANSFORMATION_ERROR' WHEN rule_id = 'DOB_IN_FUTURE' THEN 'BUSINESS_RULE_ERROR' ELSE 'DUPLICATE_ERROR' END AS category,
 CASE WHEN rule_id LIKE '%REQUIRED' THEN 'Give a value for the field.' WHEN rule_id = 'INVALID_DATE' THEN 'Write the date as YYYY-MM-DD.' WHEN rule_id = 'DOB_IN_FUTURE' THEN 'Give a date that is not in the future.' WHEN rule_id = 'EMAIL_FORMAT' THEN 'Give a valid e-mail address.' WHEN rule_id = 'STATUS_ENUM' THEN 'Use one of the allowed values.' ELSE 'Keep one record or give another key.' END AS suggestion,
 CASE field WHEN 'email' THEN '<MASKED_EMAIL>' WHEN 'date_of_birth' THEN CAST(date_of_birth AS VARCHAR) WHEN 'status' THEN status ELSE customer_id END AS observed, protected FROM x JOIN mapped ON row_no = row_index""")
 def exceptions(spark, d):
