@@ -3,14 +3,15 @@
 Every node of a page's tree gets a density: its characters per tag, raised or lowered by the share of link characters
 and link tags below it and in the whole body. A node's density sum adds up its children's densities, and the node with
 the largest sum heads the main text. The threshold is the least density on the path from the body down to that node.
-The node with the largest sum of every other branch whose density reaches the threshold is a head too, if its sum is at
-least SHARE of the largest one, and so are paragraphs on that path; the main text is that of all heads and of the
-headings and bare text between them. Below the heads, containers of mostly links whose
-density is under the threshold are left out; other nodes under it are short paragraphs, which belong to an article.
+The node with the largest sum of every other branch whose density reaches the threshold is a head too, if the branch hangs on
+that path below the body or has at least SHARE of the largest sum, and so are paragraphs on that path; the main text is that of all heads and of the headings and bare text between them. A head inside an
+<article> stands for all of it. Below the heads, containers of mostly links whose density is under the threshold are left
+out, but not in an <article>; other nodes under it are short paragraphs, which belong to the text.
 
 Densities are measured on all text that a page shows. Elements that the page names as something else than its text
 (menus, sidebars, notices, adverts, forms, reader comments, page headers and footers, by their element or by the words
-of class, id or role) are no heads, and inside the heads they are left out."""
+of class, id or role) are no heads, and inside the heads they are left out. An id of a section, or one with other words in an <article>
+or <main>, names a place of the text as often: it counts only for an element under the threshold and without a heading."""
 
 from __future__ import annotations
 
@@ -28,58 +29,73 @@ from dimtrail.llm.common import append_columns
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math noembed xmp".split())
 UNSEEN = frozenset("head script style textarea title noscript iframe template svg math select object canvas audio video noembed xmp datalist".split())
-ASIDE = frozenset("nav footer aside form button dialog menu label fieldset".split())
+ASIDE = frozenset("nav footer aside form button dialog menu".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-KEPT = frozenset("html body main article".split())
+KEPT = frozenset("html body main".split())
 FURNITURE = frozenset("ad ads adbox adsense advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar share sharing social related recommended comment comments disqus respond replies widget pagination pager copyright legal disclaimer search complementary contentinfo dialog form hidden skip".split())
+READERS = frozenset("comment comments disqus respond replies".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CONTENT = frozenset("article content post entry story main body text".split())
 ITEMS = ("li", "option", "tr", "dt", "dd", "td", "th")
 SAME_CLOSES = {"li": ("li", ("ul", "ol", "menu")), "option": ("option", ("select",)), "tr": ("tr", ("table",)), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
 
-#: Share of the largest density sum from which another branch belongs to the main text.
+#: Share of the largest density sum from which another branch of the body itself belongs to the main text; a branch of what
+#: holds the largest one does anyway.
 SHARE = 0.1
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)""", re.S)
-MARKS = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+MARKS = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|[\s"'])(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element; out: it shows no text; aside: it, or one it is in, is page furniture."""
+    """An element; out: it shows no text; aside: it, or one it is in, is page furniture; weak: its id may say so; article, main: it, or one it is in, is an article, or an article or main; headed: it has a heading in it."""
 
-    __slots__ = ("aside", "chars", "density", "inside_link", "link_chars", "link_tags", "out", "parent", "parts", "tag", "tags")
+    __slots__ = ("article", "aside", "chars", "density", "headed", "inside_link", "link_chars", "link_tags", "main", "out", "parent", "parts", "tag", "tags", "weak")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool, aside: bool = False):
-        self.tag, self.parent, self.out, self.aside = tag, parent, out, aside
+    def __init__(self, tag: str, parent: Node | None, out: bool, aside: bool = False, weak: bool = False):
+        self.tag, self.parent, self.out, self.aside, self.weak = tag, parent, out, aside, weak
+        self.article = tag == "article" or (parent is not None and parent.article)
+        self.main = tag == "main" or self.article or (parent is not None and parent.main)
+        self.headed = tag in HEADINGS
         self.parts: list = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
         self.inside_link = tag == "a" or (parent is not None and parent.inside_link)
 
 
-def furniture(tag: str, attributes: str, node: Node) -> bool:
-    """Whether an element that starts below `node` is page furniture."""
+def furniture(tag: str, attributes: str, node: Node) -> tuple[bool, bool]:
+    """Whether an element that starts below `node` is page furniture, and whether its id may say so."""
     if tag in KEPT:
-        return False
+        return False, False
     if tag in ASIDE:
-        return True
+        return True, False
     if tag == "header":
         while node is not None and node.tag not in ("article", "main"):
             node = node.parent
-        return node is None
+        return node is None, False
     if not attributes:
-        return False
+        return False, False
     if HIDDEN.search(attributes):
-        return True
+        return True, False
+    weak = False
     for found in MARKS.finditer(attributes):
-        for word in (found[1] or found[2] or found[3] or "").lower().split():
+        for word in (found[2] or found[3] or found[4] or "").lower().split():
             bits = [b for b in re.split(r"[^a-z]+", word) if b]
-            if not CONTENT.intersection(bits) and FURNITURE.intersection(bits):
-                return True
-    return False
+            if CONTENT.intersection(bits) or not FURNITURE.intersection(bits):
+                continue
+            if found[1].lower() != "id":
+                return True, False
+            if tag in HEADINGS or tag in INLINE or tag == "p":
+                continue
+            whole = FURNITURE.issuperset(bits)
+            if not READERS.issuperset(bits) and (tag == "section" and (node.main or not whole) or node.main and not whole):
+                weak = True
+            else:
+                return True, False
+    return False, weak
 
 
 def parse(html: str) -> list[Node]:
@@ -143,7 +159,8 @@ def parse(html: str) -> list[Node]:
                 node = node.parent
             if node is not None and node.tag in names and node.parent is not None:
                 close(node)
-        child = Node(tag, here, here.out or tag in UNSEEN, here.aside or furniture(tag, m[3], here))
+        named, weak = (False, False) if here.aside else furniture(tag, m[3], here)
+        child = Node(tag, here, here.out or tag in UNSEEN, here.aside or named, weak)
         here.parts.append(child)
         nodes.append(child)
         if tag in RAW:
@@ -164,6 +181,7 @@ def measure(nodes: list[Node]) -> None:
             up.tags += node.tags + 1
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags + (node.tag == "a")
+            up.headed |= node.headed
     body = nodes[0]
     ratio = body.link_chars / max(body.chars, 1)
     for node in nodes:
@@ -198,7 +216,7 @@ def main_nodes(nodes: list[Node]) -> tuple[list[Node], float]:
             continue
         if n.parent is not None and id(n.parent) in inside or id(n) in marked:
             inside.add(id(n))
-        elif n.parent is not None and n.density >= least and (sums[id(top[id(n)])] >= SHARE * sums[id(best)] or (n.tag == "p" and id(n.parent) in above)):
+        elif n.parent is not None and n.density >= least and (sums[id(top[id(n)])] >= SHARE * sums[id(best)] or id(n.parent) in above and n.parent.tag not in ("html", "body") or n.tag == "p" and id(n.parent) in above):
             head = top[id(n)] if n.tag != "p" else n
             while head is not n and (head.tag in INLINE or head.tag == "p"):
                 head = head.parent
@@ -209,9 +227,21 @@ def main_nodes(nodes: list[Node]) -> tuple[list[Node], float]:
                 marked.add(id(head))
                 if head is n:
                     inside.add(id(n))
+    for n in nodes:  # a head in an article stands for the outermost one
+        if id(n) in marked and n.article:
+            marked.discard(id(n))
+            marked.add(id(_article(n)))
     return [n for n in nodes if id(n) in marked], least
 
 
+def _article(node: Node) -> Node:
+    out = node
+    while node is not None:
+        out = node if node.tag == "article" else out
+        node = node.parent
+    return out
+
+
 def _above(node: Node) -> set[int]:
     out = set()
     while node is not None:
@@ -242,7 +272,7 @@ def blocks(heads: list[Node], threshold: float) -> list[str]:
             flush()
         elif isinstance(part, str):
             held.append(part)
-        elif id(part) in paths or ((whole or part.tag in HEADINGS or part.tag in INLINE) and not (part.out or part.aside or (part.tags > 1 and part.density < threshold and 2 * part.link_chars > part.chars))):
+        elif id(part) in paths or ((whole or part.tag in HEADINGS or part.tag in INLINE) and not (part.out or part.aside or (part.density < threshold and (part.weak and not part.headed or not part.article and part.tags > 1 and 2 * part.link_chars > part.chars)))):
             inline = part.tag in INLINE
             if not inline:
                 flush()
