@@ -76,6 +76,26 @@ def paged_feed(spark, d):
     return readers.read_pages(spark, at, most=7)
 
 
+@query("""WITH p AS (SELECT s_suppkey AS id, s_suppkey // 5 AS page FROM supplier WHERE s_suppkey % 20 <> 19), n AS (SELECT page, count(*) AS n FROM p GROUP BY page)
+SELECT id FROM p WHERE page <= (SELECT min(page) FROM n WHERE n < 5)""")
+def chained_pages(spark, d):
+    """Pages of five suppliers until the first short one; what lies behind it is no part of the feed."""
+    at = scratch(spark)
+    k = F.col("s_suppkey")
+    rows = table(spark, d, "supplier").where(k % 20 != 19).select(F.expr("s_suppkey div 5").alias("page"), F.struct(k.alias("id")).alias("r"))
+    rows.groupBy("page").agg(F.array_sort(F.collect_list("r")).alias("data")).write.partitionBy("page").json(at)
+    return readers.read_pages(spark, at, page_size=5)
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS key, 'Café ' || n_name AS name, 'a;b' AS \"odd; header\" FROM nation")
+def latin1_file(spark, d):
+    """A file that isn't UTF-8, with a quoted header: its encoding is found from its bytes."""
+    at = scratch(spark)
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.concat(F.lit("Café "), "n_name").alias("name"), F.lit("a;b").alias("odd; header"))
+    rows.coalesce(1).write.options(header=True, sep=";", encoding="ISO-8859-1").csv(at)
+    return readers.read_delimited(spark, at)
+
+
 @query(_history_sql("'CHANGED', 'DELETED'"))
 def parquet_history(spark, d):
     """The pipeline's promoted version, read back."""

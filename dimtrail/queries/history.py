@@ -133,6 +133,16 @@ def point_in_time_join(spark, d):
     return history.as_of_join(points, x2_history(spark, d), ["custkey"], "shipped").select("orderkey", "line", "partkey", "custkey", "priority", "effective_from")
 
 
+@query(f"""WITH {X2}, points AS (SELECT l_orderkey AS orderkey, CAST(l_linenumber AS BIGINT) AS line, l_partkey AS partkey, CASE WHEN l_orderkey % 10 = 0 THEN o_custkey ELSE (SELECT min(o_custkey) FROM orders) END AS custkey, l_shipdate FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT orderkey, line, partkey, p.custkey, h.priority, h.effective_from FROM points p LEFT JOIN history h ON h.custkey = p.custkey AND h.effective_from <= l_shipdate AND (h.effective_to IS NULL OR l_shipdate < h.effective_to)""")
+def point_in_time_hot_key(spark, d):
+    """Nine tenths of the points are of one customer: they are dealt over slices of time."""
+    first = table(spark, d, "orders").agg(F.min("o_custkey").alias("hot"))
+    points = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(F.broadcast(first))
+    points = points.select(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").cast("bigint").alias("line"), F.col("l_partkey").alias("partkey"), F.when(F.col("l_orderkey") % 10 == 0, F.col("o_custkey")).otherwise(F.col("hot")).alias("custkey"), F.col("l_shipdate").alias("shipped"))
+    return history.as_of_join_spread(points, x2_history(spark, d), ["custkey"], "shipped", 2000).select("orderkey", "line", "partkey", "custkey", "priority", "effective_from")
+
+
 @query(f"WITH {X2} SELECT custkey, priority, effective_from, effective_to FROM history WHERE custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def entity_history(spark, d):
     some = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("custkey"))

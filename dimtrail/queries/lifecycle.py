@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dimtrail.operators import corrections, keys
+from dimtrail.operators import approval, corrections, drift, fingerprint, keys
 from dimtrail.plans.run_log import RUN_MOVES, RunLog, run_states
 from dimtrail.queries.files import scratch
 from dimtrail.queries.fixtures import X4, table, x4_feed
-from dimtrail.queries.judging import _validated
+from dimtrail.queries.judging import MAPPING, _validated
 
 QUERIES, ORACLES = {}, {}
 
@@ -122,3 +124,27 @@ def key_scores_of_tables(spark: SparkSession, d: str) -> DataFrame:
         scored = keys.key_scores(rows, rows).select(F.lit(t).alias("table"), "column", "score", "is_key")
         out = scored if out is None else out.unionByName(scored)
     return out
+
+
+def _version(spark: SparkSession, feed: DataFrame) -> tuple[DataFrame, str]:
+    """A frozen mapping of the feed, every field overridden by a reviewer, and the fingerprint of the feed's schema."""
+    operations = {m.sources[0]: (m.target, json.dumps(m.operations)) for m in MAPPING}
+    proposals = spark.createDataFrame([(c, "UNMAPPED", 0.0, False) for c in operations], "source_field string, target string, score double, ambiguous boolean")
+    decisions = spark.createDataFrame([(c, "OVERRIDE", t, 1) for c, (t, _) in operations.items()], "source_field string, decision string, target string, at int")
+    steps = spark.createDataFrame([(c, o) for c, (_, o) in operations.items()], "source_field string, operations string")
+    mark = fingerprint.schema_fingerprints(drift.snapshot_schema(feed, "crm", 1)).first().fingerprint
+    return approval.frozen(approval.reviewed(proposals, decisions), steps, mark), mark
+
+
+@query(f"WITH {X4} SELECT row_no AS row_index, customer_id, first_name, last_name, email, date_of_birth, status, created_at, bad_date AS failed FROM mapped")
+def approved_mapping_applied(spark: SparkSession, d: str) -> DataFrame:
+    """The feed through a frozen mapping version; an altered version and another schema are refused."""
+    feed = x4_feed(spark, d)
+    version, mark = _version(spark, feed)
+    for bad, of in ((version.withColumn("target", F.when(F.col("target") == "email", "phone").otherwise(F.col("target"))), mark), (version, "another")):
+        try:
+            approval.require_unaltered(bad, of)
+        except approval.ApprovalError:
+            continue
+        raise AssertionError("a version that doesn't fit was accepted")
+    return approval.apply_version(feed, version, mark, "row_no").withColumn("failed", F.size("errors") > 0).drop("errors")

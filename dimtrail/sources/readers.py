@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,16 +42,24 @@ def read_snapshot_csv(spark: SparkSession, path: str, schema: T.StructType | str
 
 def sniff_separator(spark: SparkSession, path: str, encoding: str = "UTF-8") -> tuple[str, list[str]]:
     """The separator that the first line with text has most of, and its header."""
-    first = spark.read.option("encoding", encoding).text(path).where("trim(value) != ''").limit(1).collect()
+    first = spark.read.text(path).where("trim(value) != ''").select(F.col("value").cast("binary")).limit(1).collect()  # lines are bytes, whatever their encoding
     if not first:
         raise SourceError("an empty file")
-    line = first[0].value
+    line = bytes(first[0].value).decode(encoding)
     sep = max(SEPARATORS, key=line.count)
-    return sep, [h.strip().strip('"') for h in line.split(sep)]
+    sep = sep if sep in line else ","
+    return sep, [h.strip() for h in next(csv.reader([line], delimiter=sep))]
+
+
+def is_utf8(spark: SparkSession, path: str) -> bool:
+    """Whether all lines of the files are UTF-8; lines are read as bytes, files are split as ever."""
+    return spark.read.text(path).agg(F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True))).first()[0]
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """All columns as text. Blank or repeated headers and ragged rows are errors; so is a file of only a header."""
+    """All columns as text. Files that are not UTF-8 throughout are read as Latin-1. Blank or repeated headers and ragged rows are errors; so is a file of only a header."""
+    if encoding.upper() == "UTF-8" and not is_utf8(spark, path):
+        encoding = "ISO-8859-1"
     found, header = sniff_separator(spark, path, encoding)
     if any(not h for h in header) or len({h.lower() for h in header}) < len(header):
         raise SourceError(f"blank or repeated headers in {header}")
@@ -72,9 +81,19 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str
     return out
 
 
-def read_pages(spark: SparkSession, path: str, page: str = "page", records: str = "data", most: int | None = None) -> DataFrame:
-    """Records of page documents in page order, up to `most` of them."""
+def read_pages(spark: SparkSession, path: str, page: str = "page", records: str = "data", most: int | None = None, page_size: int | None = None, following: str | None = None) -> DataFrame:
+    """Records of page documents in page order, up to `most` of them.
+
+    The chain of pages ends with the first page that is empty, has fewer than page_size records, or whose `following` is null; later
+    pages are not part of the feed. The end is one minimum over the pages."""
     df = spark.read.option("multiLine", True).json(path)
+    n = F.coalesce(F.array_size(records), F.lit(0))
+    ends = n < (page_size or 1)
+    if following is not None:
+        ends = ends | (F.col(following).isNull() if following in df.columns else F.lit(True))
+    last = df.agg(F.min(F.when(ends, F.col(page)))).first()[0]
+    if last is not None:
+        df = df.where(F.col(page) <= last)
     rows = df.select(F.col(page).alias("__dt_page"), F.posexplode(records).alias("__dt_pos", "r"))
     if most is not None:
         rows = rows.orderBy("__dt_page", "__dt_pos").limit(most)
