@@ -58,6 +58,11 @@ def newest(rows: DataFrame, at: str, ties: str, n: int, offset: int = 0) -> Data
     return rows.orderBy(F.col(at).desc(), F.col(ties)).offset(offset).limit(n)
 
 
+def page_with_total(rows: DataFrame, at: str, ties: str, n: int, offset: int = 0) -> DataFrame:
+    """The rows of newest() with total, the number of all rows; no rows behind the last page."""
+    return newest(rows, at, ties, n, offset).join(F.broadcast(rows.agg(F.count("*").alias("total"))))
+
+
 def released_rows(frozen: DataFrame, history: DataFrame, key: list[str], at: Column) -> tuple[DataFrame, DataFrame]:
     """Frozen rows that may be replayed, and those older than the current version of their key, which may not."""
     begun = history.where("is_current").select(*key, F.col("effective_from").alias("__dt_begun"))
