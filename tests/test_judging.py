@@ -181,3 +181,24 @@ def test_corrected_exceptions(spark):
     events = spark.createDataFrame([("a", "CORRECTED", at), ("b", "CORRECTED", at)], "exception_id string, status string, at timestamp")
     validated = spark.createDataFrame([(1, []), (2, [("R", "f", "m")]), (3, [])], "row_index int, errors array<struct<rule_id:string,field:string,message:string>>")
     assert {(r.exception_id, r.status) for r in onboarding.reprocess_exceptions(exceptions, events, validated).collect()} == {("a", "RESOLVED"), ("b", "REPROCESSED")}
+
+
+def test_percentiles_in_slices(spark):
+    """Exact at any number of distinct values, with ties, a null group and null values, for whole numbers, fractions and decimals."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(g, rng.choice([rng.random() * 1000, float(rng.randint(0, 5)), 7.25])) for g, n in (("a", 3000), ("b", 1), (None, 40), ("c", 2)) for _ in range(n)] + [("d", None), ("a", None)]
+    for kind in ("double", "bigint", "decimal(12,2)"):
+        df = spark.createDataFrame(rows, "g string, v double").selectExpr("g", f"cast(v AS {kind}) AS v")
+        want = {}
+        for r in df.collect():
+            if r.v is not None:
+                want.setdefault(r.g, []).append(r.v)
+        got = {r.g: r for r in guardrail.latency_percentiles(df, ["g"], "v").collect()}
+        assert set(got) == set(want)
+        for g, values in want.items():
+            values.sort()
+            r = got[g]
+            assert (r.n, r.min, r.p50, r.p95, r.p99, r.max) == (len(values), values[0], *[values[int(len(values) * q)] for q in (0.5, 0.95, 0.99)], values[-1])
+        assert guardrail.latency_percentiles(df.limit(0), ["g"], "v").collect() == []
