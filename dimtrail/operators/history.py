@@ -72,9 +72,18 @@ def close_versions(history: DataFrame, keys: DataFrame, key: Sequence[str], at:
     return marked.select(*[F.when(ends, F.lit(at).cast(validity_type(history))).otherwise(F.col(c)).alias(c) if c == TO else F.when(ends, False).otherwise(F.col(c)).alias(c) if c == CURRENT else F.col(c) for c in history.columns])
 
 
+#: What no appended row may be: counts, as SQL, that a write can observe.
+APPEND_FAULTS = {
+    "reversed": f"count_if({FROM} >= {TO})",
+    "active_with_end": f"count_if({CURRENT} and {TO} is not null)",
+    "closed_without_end": f"count_if(not {CURRENT} and {TO} is null)",
+    "without_begin_or_flag": f"count_if({FROM} is null or {CURRENT} is null)",
+}
+
+
 def append_guard(rows: DataFrame) -> None:
-    """Raises on rows that no history may get: reversed, active with an end, closed without."""
-    bad = rows.agg(F.count_if(F.col(FROM) >= F.col(TO)).alias("reversed"), F.count_if(F.col(CURRENT) & F.col(TO).isNotNull()).alias("active with end"), F.count_if(~F.col(CURRENT) & F.col(TO).isNull()).alias("closed without end")).first().asDict()
+    """Raises on rows that no history may get: reversed, active with an end, closed without, without a begin or flag."""
+    bad = rows.agg(*[F.expr(c).alias(name) for name, c in APPEND_FAULTS.items()]).first().asDict()
     if any(bad.values()):
         raise HistoryError(f"rows refused: {bad}")
 
@@ -170,4 +179,4 @@ def versions_from_events(events: DataFrame, key: Sequence[str], at: str, tracked
     return daily.withColumn(TO, F.lead(FROM).over(order)).select(*key, "v.*", FROM, TO, F.col(TO).isNull().alias(CURRENT))
 
 
-__all__ = ["METADATA", "append_guard", "apply_history", "as_of", "as_of_join", "classify_changes", "close_versions", "history_delta", "history_schema", "sorted_history", "version_counts", "versions_from_events", "versions_of", "view_versions"]
+__all__ = ["APPEND_FAULTS", "METADATA", "append_guard", "apply_history", "as_of", "as_of_join", "classify_changes", "close_versions", "history_delta", "history_schema", "sorted_history", "version_counts", "versions_from_events", "versions_of", "view_versions"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -35,29 +36,33 @@ def run_pipeline(source: DataFrame, target: DataFrame, root: str, date: datetime
     """Runs a snapshot into the history under `root`.
 
     A rejected contract leaves a quarantine table; equal inputs and parameters give the earlier result; a history that breaks
-    an invariant is reported and not promoted."""
+    an invariant is reported and not promoted. Every run but a reused one leaves a row in the runs table."""
     spark = source.sparkSession
     if key is None:
         key, tracked = detect_keys(source, target)
     tracked = list(tracked or [c for c in source.columns if c not in key])
+    settings = {"date": date.isoformat(), "mode": mode, "policy": policy, "key": ",".join(key), "tracked": ",".join(tracked)}
     if contract is not None:
         findings = contracts.contract_findings(source, contract)
         if contracts.outcome(findings).first().outcome == contracts.REJECTED:
             sinks.append_rows(contracts.quarantine_rows(findings, root.rsplit("/", 1)[-1]), f"{root}/quarantine")
+            sinks.write_run(spark, root, f"rejected-{uuid.uuid4().hex}", "rejected", None, None, {}, settings)
             return RunResult("rejected", "", findings=findings)
     mark = execution_fingerprint(source, target, date.isoformat(), mode, policy, key, tracked).first().fingerprint
     if sinks.committed_batch(spark, root, mark):
         return RunResult("reused", mark, version=sinks.current_version(spark, root)["version"])
     changes = classify_changes(source, target, key, tracked, mode, policy)
     sinks.write_change_log(changes.where("change_type != 'UNCHANGED'"), f"{root}/changes/{mark}")
-    version, staged = sinks.stage_version(apply_history(source, target, key, tracked, date, mode, policy, check=False), root)
+    version, staged, rows = sinks.stage_version(apply_history(source, target, key, tracked, date, mode, policy, check=False), root)
     report = validate_history(staged, key)
     sinks.write_report(report, f"{root}/validation/{mark}")
+    summary = change_summary(changes).first().asDict()
     if not passes(report):
+        sinks.write_run(spark, root, mark, "invalid", None, rows, summary, settings)
         return RunResult("invalid", mark, report=report)
-    rows = staged.count()
     sinks.promote(spark, root, version, mark, rows)
-    return RunResult("promoted", mark, version, change_summary(changes).first().asDict(), report)
+    sinks.write_run(spark, root, mark, "promoted", version, rows, summary, settings)
+    return RunResult("promoted", mark, version, summary, report)
 
 
 def integrate_batch(rows: DataFrame, history: DataFrame, key: Sequence[str], tracked: Sequence[str], date: datetime.date | datetime.datetime) -> tuple[DataFrame, DataFrame]:

@@ -27,6 +27,11 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def missing(e: Exception) -> bool:
     return "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e)
 
@@ -40,6 +45,8 @@ class Ledger:
         self.spark, self.path, self.folded = spark, f"{root}/log", f"{root}/events"
 
     def _rows(self) -> DataFrame:
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], f"{ROW}, at long")
         try:
             return self.spark.read.schema(f"{ROW}, at long").parquet(self.path)
         except Exception as e:

@@ -6,10 +6,11 @@ take small batches are in `keyed`."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 POINTER = "version long, batch_id string, cursor string, rows long"
+RUN = "run string, status string, version long, rows long, counts map<string,long>, settings map<string,string>"
 
 
 def _pointer(spark: SparkSession, root: str) -> DataFrame:
@@ -32,13 +33,13 @@ def committed_batch(spark: SparkSession, root: str, batch_id: str) -> bool:
     return not _pointer(spark, root).where(F.col("batch_id") == batch_id).isEmpty()
 
 
-def stage_version(df: DataFrame, root: str) -> tuple[int, DataFrame]:
-    """Writes the next version, unpromoted; and reads it back."""
-    spark = df.sparkSession
+def stage_version(df: DataFrame, root: str) -> tuple[int, DataFrame, int]:
+    """Writes the next version, unpromoted; its number, the rows read back, and how many the write saw."""
+    spark, seen = df.sparkSession, Observation()
     last = current_version(spark, root)
     version = (last["version"] if last else 0) + 1
-    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/v={version}")
-    return version, spark.read.schema(df.schema).parquet(f"{root}/v={version}")
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/v={version}")
+    return version, spark.read.schema(df.schema).parquet(f"{root}/v={version}"), seen.get["rows"]
 
 
 def promote(spark: SparkSession, root: str, version: int, batch_id: str, rows: int, cursor: str | None = None) -> None:
@@ -66,6 +67,22 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """A validation report as it was written."""
+    return spark.read.schema("rule string, status string, issues long, message string").json(path)
+
+
+def write_run(spark: SparkSession, root: str, run: str, status: str, version: int | None, rows: int | None, counts: dict, settings: dict) -> None:
+    """What a run did: one row in a folder of its own. counts: by change type; settings: what it was asked for."""
+    told = [(run, status, version, rows, {k: int(v) for k, v in counts.items()}, {k: str(v) for k, v in settings.items()})]
+    put_rows(spark.createDataFrame(told, RUN).withColumn("time", F.current_timestamp()).coalesce(1), f"{root}/runs", run)
+
+
+def read_runs(spark: SparkSession, root: str) -> DataFrame:
+    """All runs that write_run has told of."""
+    return spark.read.schema(f"{RUN}, time timestamp").parquet(f"{root}/runs")
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
