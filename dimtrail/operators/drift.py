@@ -53,13 +53,17 @@ def possible_renames(events: DataFrame, aliases: Mapping[str, Sequence[str]] = A
     return scored.withColumn("r", F.row_number().over(best)).where("r = 1").select("source", "removed", "added", "score")
 
 
-def mapping_impact(events: DataFrame, mapping: DataFrame) -> DataFrame:
+def mapping_impact(events: DataFrame, mapping: DataFrame, renames: DataFrame | None = None) -> DataFrame:
     """(source, slug, target, impact): what drift does to mapped columns; the worst event of a column counts. mapping: source, slug, target, wanted (the canonical type), required.
 
-    A removed column breaks its mapping, also that of an optional field; another type is to be reviewed if it can fill the field and breaks it if not."""
+    A removed column breaks its mapping, also that of an optional field; another type is to be reviewed if it can fill the field and breaks it if not.
+    With renames (possible_renames of the events) also replacement and confidence: the added column that a removed one may have become, null if none."""
     rank = F.when(F.col("event") == "REMOVED", 2).when(F.col("event") == "TYPE_CHANGED", F.when(type_compatible(F.col("new"), F.col("wanted")), 1).otherwise(2)).when(F.col("event") == "NULLABILITY_CHANGED", F.when(F.col("required") & (F.col("new") == "true"), 1).otherwise(0)).otherwise(0)
     both = mapping.join(events, ["source", "slug"], "left").withColumn("rank", F.coalesce(rank, F.lit(0)))
-    return both.groupBy("source", "slug", "target").agg(F.max("rank").alias("rank")).select("source", "slug", "target", _rank_name(F.col("rank")).alias("impact"))
+    told = both.groupBy("source", "slug", "target").agg(F.max("rank").alias("rank")).select("source", "slug", "target", _rank_name(F.col("rank")).alias("impact"))
+    if renames is None:
+        return told
+    return told.join(renames.select("source", F.col("removed").alias("slug"), F.col("added").alias("replacement"), F.col("score").alias("confidence")), ["source", "slug"], "left")
 
 
 def _rank_name(rank: Column) -> Column:

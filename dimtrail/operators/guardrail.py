@@ -52,6 +52,16 @@ def key_dispersion(changes: DataFrame, batch: str, key: Sequence[str], dispersio
     return changes.groupBy(batch).agg((F.greatest(*counts) if len(counts) > 1 else counts[0]).alias("dispersion"))
 
 
+def _word_change(numeric: Column) -> Column:
+    return ~numeric & F.col("old_value").isNotNull() & F.col("new_value").isNotNull() & (F.upper("old_value") != F.upper("new_value"))
+
+
+def column_transitions(diffs: DataFrame, batch: str) -> DataFrame:
+    """(batch, column, n): changes of a category to another one, whatever its case, by column; columns without any have no row."""
+    numeric = _number(F.col("old_value")).isNotNull() & _number(F.col("new_value")).isNotNull()
+    return diffs.where(_word_change(numeric)).groupBy(batch, "column").agg(F.count("*").alias("n"))
+
+
 def field_evidence(diffs: DataFrame, batch: str) -> DataFrame:
     """(batch, largest relative and absolute swing, total absolute swing, worst column, categorical transitions, deactivations) from one row per changed field.
 
@@ -59,7 +69,7 @@ def field_evidence(diffs: DataFrame, batch: str) -> DataFrame:
     old, new = _number(F.col("old_value")), _number(F.col("new_value"))
     numeric = old.isNotNull() & new.isNotNull()
     rel, size = F.when(numeric, relative_delta(old, new)), F.when(numeric, F.floor(F.abs(new - old)))
-    words = ~numeric & F.col("old_value").isNotNull() & F.col("new_value").isNotNull() & (F.upper("old_value") != F.upper("new_value"))
+    words = _word_change(numeric)
     stopped = (F.lower("column") == "status") & (F.upper("old_value") == "ACTIVE") & F.upper("new_value").isin(*INACTIVE)
     return diffs.groupBy(batch).agg(
         F.coalesce(F.max(rel), F.lit(0.0)).alias("max_relative"),
