@@ -18,28 +18,30 @@ the companies of the remaining templates are found. However many copies a compan
 Totals of leaves and cells are written out before they are joined back, so that Spark sees both sides and splits the
 partition of a line that very many documents have.
 
-First a sketch of fixed size finds which leaves may recur: one bit for each of BUCKETS leaf hashes, set where at least
-MIN_DOCS texts fall. Only lines of marked buckets are looked at closer; a bit too many costs time, never a result."""
+First the leaves of at least MIN_DOCS texts are counted, without their lines. A table of bits, 16 to 32 for each of them and at most
+64 MB, then tells lines that may recur from those that don't; one that is let in by chance costs time, never a result."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dimtrail.llm.common import checkpointed
+from dimtrail.llm.unit_dedup import marked_digests
 
 LEADING = 3
 MIN_DOCS = 3
 CONSTANT = 0.7
-BUCKETS = 1 << 22
-_DIGIT = re.compile(r"\d")
+_DIGIT = re.compile(r"\d")  # decimal digits of all scripts
+DIGIT = r"\p{Nd}"  # the same for Spark
 ANY = "<*>"
+ADDED = ("n_lines", "dropped_lines", "repeated_lines")
 
 
 def leaf_of(tokens: list[str], leading: int = LEADING) -> int:
@@ -59,37 +61,33 @@ def text_leaves(text: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def _leaf_buckets(docs: DataFrame) -> DataFrame:
-    """(bucket, th): the buckets that each text falls into."""
+def _leaves(docs: DataFrame) -> DataFrame:
+    """(leaf, th): the leaves of each text."""
 
     def run(batches):
         for batch in batches:
-            buckets, hashes = [], []
+            leaves, hashes = [], []
             for text, th in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {leaf % BUCKETS for leaf, line in text_leaves(text) if line}
-                buckets += own
+                own = {leaf for leaf, line in text_leaves(text) if line}
+                leaves += own
                 hashes += [th] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(hashes, pa.int64())], names=["bucket", "th"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(hashes, pa.int64())], names=["leaf", "th"])
 
-    return docs.select("text", F.xxhash64("text").alias("th")).mapInArrow(run, "bucket long, th long")
+    return docs.select("text", F.xxhash64("text").alias("th")).mapInArrow(run, "leaf long, th long")
 
 
-def marked_buckets(docs: DataFrame, min_docs: int = MIN_DOCS) -> np.ndarray:
-    """Bits of the buckets with at least min_docs texts: BUCKETS / 8 bytes, whatever the input."""
-    often = _leaf_buckets(docs).distinct().groupBy("bucket").count().where(F.col("count") >= min_docs)
-    words = often.groupBy(F.expr("bucket div 32").alias("word")).agg(F.sum(F.expr("shiftleft(1L, cast(bucket % 32 as int))")).alias("bits"))
-    out = np.zeros(BUCKETS // 32, np.uint32)
-    for r in words.collect():  # at most BUCKETS / 32 rows
-        out[r.word] = r.bits
-    return out
+def common_leaves(docs: DataFrame, min_docs: int = MIN_DOCS) -> Broadcast:
+    """Bits of the leaves of at least min_docs different texts, by unit_dedup.marked_digests; none are set for an empty table or null texts."""
+    often = _leaves(docs).distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    return marked_digests(checkpointed(often.select(F.col("leaf").alias("hi"))))
 
 
-def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(doc_id, th, at, leaf, line_id, line, held, total) of every line in a marked bucket, of every row, repeated ones too; null and blank texts have none. line_id: a hash of the line; held and total: the text's tokens in lines of this leaf, and in all lines."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def occurrences(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """(doc_id, th, at, leaf, line_id, line, held, total) of every line in a marked leaf, of every row, repeated ones too; null and blank texts have none. line_id: a hash of the line; held and total: the text's tokens in lines of this leaf, and in all lines."""
 
     def run(batches):
         marks = shared.value
+        size = 8 * len(marks)
         for batch in batches:
             rows = []
             for doc_id, text, th in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
@@ -98,8 +96,8 @@ def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 for _, leaf, _, n in lines:
                     held[leaf] += n
                 for at, leaf, line, n in lines:
-                    bucket = leaf % BUCKETS
-                    if marks[bucket >> 5] >> (bucket & 31) & 1:
+                    place = leaf % size
+                    if marks[place >> 3] >> (place & 7) & 1:
                         rows.append((doc_id, th, at, leaf, xxhash.xxh64_intdigest(line) - (1 << 63), line, held[leaf], total))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (batch.column(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "th", "at", "leaf", "line_id", "line", "held", "total"])
@@ -114,7 +112,7 @@ def _own(common: str, total: str) -> F.Column:
 
 
 def recurring_templates(seen: DataFrame, held: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(leaf, template_id) of the templates in at least min_docs companies; seen: (leaf, template_id, th, held); held: (leaf, th, held, total) of all texts."""
+    """(leaf, template_id) of the templates in at least min_docs companies, none of none; seen: (leaf, template_id, th, held); held: (leaf, th, held, total) of all texts."""
     often = checkpointed(held.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs))
     lines = checkpointed(held.join(often, "leaf"))
     texts = lines.groupBy("th").agg(F.max("total").alias("total"), F.sum("held").alias("common"))
@@ -135,14 +133,14 @@ def recurring_templates(seen: DataFrame, held: DataFrame, min_docs: int = MIN_DO
 
 
 def recurring_lines(found: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT, companies: bool = True) -> DataFrame:
-    """(leaf, line_id, template) of the lines whose template recurs; without companies every template in min_docs texts does.
+    """(leaf, line_id, template, recurs) of the lines whose template stands in at least min_docs texts; recurs: in as many companies, or true without companies. Nothing found gives nothing.
 
     A token at its place in a leaf is one hash, its cell; lines travel as ids, and their text comes back for templates only."""
     counts = found.select("leaf", "line_id", "th").distinct().groupBy("leaf", "line_id").agg(F.count("*").alias("texts"))
     full = checkpointed(counts.groupBy("leaf").agg(F.sum("texts").alias("in_leaf")).where(F.col("in_leaf") >= min_docs))
     lines = counts.join(full, "leaf").join(found.groupBy("line_id").agg(F.min("line").alias("line")), "line_id").select("leaf", "line_id", "texts", "line")
     lines = checkpointed(lines)
-    cell = lambda token, place: F.when(~token.rlike(r"\d"), F.xxhash64(F.col("leaf"), place, token))
+    cell = lambda token, place: F.when(~token.rlike(DIGIT), F.xxhash64(F.col("leaf"), place, token))
     cells = lines.select("line_id", "texts", F.posexplode(F.transform(F.split("line", " "), cell)).alias("place", "cell")).where("cell is not null")
     fixed = cells.groupBy("cell").agg(F.sum("texts").alias("n")).where(F.col("n") >= min_docs).select("cell")
     fixed = checkpointed(fixed)
@@ -152,29 +150,33 @@ def recurring_lines(found: DataFrame, min_docs: int = MIN_DOCS, constant: float
     shape = F.array_join(F.transform(tokens, lambda t, i: F.when(F.array_contains("places", i), t).otherwise(ANY)), " ")
     templates = checkpointed(shaped.select("leaf", "line_id", shape.alias("template")).withColumn("template_id", F.xxhash64("template")))
     seen = found.select("line_id", "th", "held").join(templates.select("leaf", "line_id", "template_id"), "line_id").select("leaf", "template_id", "th", "held").distinct()
+    seen = checkpointed(seen)
+    often = seen.groupBy("leaf", "template_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf", "template_id")
     if companies:
-        often = recurring_templates(checkpointed(seen), found.select("leaf", "th", "held", "total").distinct(), min_docs)
+        spread = recurring_templates(seen, found.select("leaf", "th", "held", "total").distinct(), min_docs).withColumn("recurs", F.lit(True))
+        often = often.join(spread, ["leaf", "template_id"], "left").withColumn("recurs", F.coalesce("recurs", F.lit(False)))
     else:
-        often = seen.groupBy("leaf", "template_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf", "template_id")
-    return templates.join(often, ["leaf", "template_id"]).select("leaf", "line_id", "template")
+        often = often.withColumn("recurs", F.lit(True))
+    return templates.join(often, ["leaf", "template_id"]).select("leaf", "line_id", "template", "recurs")
 
 
 def with_line_drops(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT, companies: bool = True) -> DataFrame:
-    """Every row with the lines of recurring templates taken out of text; adds n_lines and dropped_lines (numbers from 0, ascending).
+    """Every row with the lines of recurring templates taken out of text; adds n_lines, dropped_lines and repeated_lines (numbers from 0, ascending).
 
-    companies=False drops every template that min_docs texts have, copied documents among them.
+    repeated_lines are all lines whose template min_docs texts have, copied documents among them; dropped are those of them whose
+    template is in min_docs companies, or all with companies=False.
 
     Lines end at line feeds; those that stay keep their bytes and order. Blank lines are never dropped. Null texts stay null,
     with no lines; empty texts have one. A column n_chars is set to the new length. Repeated rows and ties are each treated
     by their own text; equal texts lose equal lines."""
-    bits = marked_buckets(docs, min_docs)
-    found = checkpointed(occurrences(docs, bits))
-    bad = checkpointed(recurring_lines(found, min_docs, constant, companies).select("line_id"))  # so that the join sees its size and a line's skew
-    drops = found.select("doc_id", "th", "at", "line_id").join(bad, "line_id").select("doc_id", "th", "at").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("at")).alias("dropped_lines"))
-    drops = drops.select(F.col("doc_id").alias("__dt_id"), F.col("th").alias("__dt_th"), F.col("dropped_lines").alias("__dt_drops"))
-    both = docs.drop("n_lines", "dropped_lines").join(drops, docs["doc_id"].eqNullSafe(F.col("__dt_id")) & (F.xxhash64("text") == F.col("__dt_th")), "left")
+    found = checkpointed(occurrences(docs, common_leaves(docs, min_docs)))
+    bad = checkpointed(recurring_lines(found, min_docs, constant, companies).select("line_id", "recurs"))  # so that the join sees its size and a line's skew
+    hits = found.select("doc_id", "th", "at", "line_id").join(bad, "line_id").select("doc_id", "th", "at", "recurs")
+    places = lambda c: F.array_sort(F.collect_set(c))
+    drops = hits.groupBy(F.col("doc_id").alias("__dt_id"), F.col("th").alias("__dt_th")).agg(places(F.when(F.col("recurs"), F.col("at"))).alias("__dt_drops"), places("at").alias("__dt_repeats"))
+    both = docs.drop(*ADDED).join(drops, docs["doc_id"].eqNullSafe(F.col("__dt_id")) & (F.xxhash64("text") == F.col("__dt_th")), "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("__dt_drops"), i)), "\n")
-    text = F.when(F.col("__dt_drops").isNull(), F.col("text")).otherwise(kept)
-    made = [text.alias("text") if c == "text" else (F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns if c not in ("n_lines", "dropped_lines")]
-    return both.select(*made, F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce("__dt_drops", F.array().cast("array<int>")).alias("dropped_lines"))
+    text = F.when(F.coalesce(F.size("__dt_drops"), F.lit(0)) < 1, F.col("text")).otherwise(kept)
+    made = [text.alias("text") if c == "text" else (F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns if c not in ADDED]
+    return both.select(*made, F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), *[F.coalesce(c, F.array().cast("array<int>")).alias(name) for c, name in (("__dt_drops", "dropped_lines"), ("__dt_repeats", "repeated_lines"))])

@@ -43,7 +43,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_templates.with_line_drops(documents(spark, sf_dir).select("doc_id", "text"))
-    return cleaned.select("doc_id", "n_lines", F.size("dropped_lines").cast("long").alias("n_dropped"), "dropped_lines", F.length("text").cast("long").alias("n_chars"))
+    return cleaned.select("doc_id", "n_lines", F.size("dropped_lines").cast("long").alias("n_dropped"), "dropped_lines", "repeated_lines", F.length("text").cast("long").alias("n_chars"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

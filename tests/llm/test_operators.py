@@ -405,6 +405,13 @@ def language_hash(leaf):
     return xxhash.xxh64_intdigest(f"{leaf[0]}\x00" + "\x00".join(leaf[1:])) - (1 << 63)
 
 
+def test_digits_of_all_scripts_are_variable(spark):
+    """A token with a digit of any script is no constant, neither for a leaf nor at its place in it."""
+    rows = [(i, f"Seite {d} von vielen Seiten\n" + " ".join(chr(97 + i) * n for n in range(1, 12))) for i, d in enumerate("\u0661\u0662\u06633")]
+    out = line_templates.with_line_drops(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [r.dropped_lines for r in out] == [[0]] * 4 and [r.repeated_lines for r in out] == [[0]] * 4
+
+
 def test_templates_against_plain_python(spark, docs, rows):
     rng = random.Random(9)
     prose = lambda n: " ".join("".join(rng.choice("aeioubdkmr") for _ in range(6)) for _ in range(n))
@@ -424,6 +431,7 @@ def test_templates_against_plain_python(spark, docs, rows):
         assert r.dropped_lines == want[texts[r.doc_id]], r.doc_id
         assert r.text == "\n".join(x for i, x in enumerate(texts[r.doc_id].split("\n")) if i not in r.dropped_lines)
     copies = spark.createDataFrame([(i, "\n".join(core) + "x" * i) for i in range(5)], "doc_id bigint, text string")
+    assert all(r.dropped_lines == [] and r.repeated_lines == list(range(5)) for r in line_templates.with_line_drops(copies).collect())
     # the last line differs in its last token alone, which becomes <*>: it is of one template too
     assert all(r.dropped_lines == list(range(5)) for r in line_templates.with_line_drops(copies, companies=False).collect())
 
