@@ -82,19 +82,32 @@ def typed_columns(df: DataFrame, key: Sequence[str], tracked: Sequence[str]) ->
     return df.select(*[F.col(k).cast("string").alias(k) for k in key], *[norm_text(c).cast("bigint").alias(c) if row[c] else F.col(c).cast("string").alias(c) for c in tracked]), kinds
 
 
+def _counted_on(numbered: DataFrame, name: str) -> DataFrame:
+    """Numbers without gaps from those of monotonically_increasing_id: a row's place in its partition, behind the partitions before it."""
+    part = F.shiftrightunsigned("__dt_id", 33).cast("int")
+    sizes = {r.p: r.n for r in numbered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row a partition
+    starts, at = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        starts.append(at)
+        at += sizes.get(p, 0)
+    begin = F.get(F.array(*[F.lit(n).cast("long") for n in starts]), part) if starts else F.lit(0).cast("long")
+    return numbered.withColumn(name, begin + F.col("__dt_id").bitwiseAND((1 << 33) - 1)).drop("__dt_id")
+
+
 def with_ordinal(df: DataFrame, name: str = "row_index") -> DataFrame:
     """Rows numbered from 0 without gaps in the order that Spark reads them: counts of the partitions first, then each row's place in its own.
 
-    `df` must read the same rows in the same partitions each time, as files do."""
-    numbered = df.withColumn("__dt_id", F.monotonically_increasing_id())
-    part = F.shiftrightunsigned("__dt_id", 33)
-    sizes = sorted((r.p, r.n) for r in numbered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # a row a partition
-    starts, at = [], 0
-    for p, n in sizes:
-        starts += [F.lit(p), F.lit(at).cast("long")]
-        at += n
-    begin = F.element_at(F.create_map(*starts), part) if starts else F.lit(0).cast("long")
-    return numbered.withColumn(name, begin + F.col("__dt_id").bitwiseAND((1 << 33) - 1)).drop("__dt_id")
+    `df` must read the same rows in the same partitions each time, as files do. A sort doesn't; with_sorted_ordinal is for that."""
+    return _counted_on(df.withColumn("__dt_id", F.monotonically_increasing_id()), name)
+
+
+def with_sorted_ordinal(df: DataFrame, path: str, name: str = "row_index") -> DataFrame:
+    """Rows of a sorted table numbered from 0 without gaps in its order.
+
+    A sort samples the bounds of its ranges anew each time it runs, so its rows are written under `path` with their place, once; the partitions are counted there."""
+    placed = df.withColumn("__dt_id", F.monotonically_increasing_id())
+    placed.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return _counted_on(df.sparkSession.read.schema(placed.schema).parquet(path), name)
 
 
 MOST_PREVIEWED = 200

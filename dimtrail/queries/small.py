@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dimtrail.functions import text
 from dimtrail.operators import containment, contracts, guardrail, history, keys, metrics, profile
+from dimtrail.queries.files import scratch
 from dimtrail.queries.fixtures import X2, X3, X4, table, x2_history, x4_feed
 from dimtrail.queries.judging import _evidence
 from dimtrail.sources import readers
@@ -35,7 +36,7 @@ def rows_since(spark, d):
 def all_rows_in_order(spark, d):
     """A whole source in (time, keys) order, numbered as it comes."""
     ordered = keys.page_after(table(spark, d, "events"), "ts", ["user_id", "event_id"], None)
-    return keys.with_ordinal(ordered.select("event_id"), "at").select("event_id", (F.col("at") + 1).alias("place"))
+    return keys.with_sorted_ordinal(ordered.select("event_id"), scratch(spark), "at").select("event_id", (F.col("at") + 1).alias("place"))
 
 
 @query("SELECT c_name AS name, c_mktsegment AS segment, NULL AS nation FROM customer UNION ALL SELECT s_name, NULL, s_nationkey FROM supplier")

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from dimtrail.operators import changes, contracts, history, invariants, keys
 from dimtrail.operators.changes import DuplicateKeysError, HistoryError
 
@@ -175,3 +176,20 @@ def test_ordinals_previews_and_json(spark, tmp_path):
     coded = spark.createDataFrame([(1, None)], "b int, a string").select(keys.to_key_json(["b", "a"]).alias("j"))
     assert coded.first().j == '{"a":null,"b":1}'
     assert keys.detect_keys(spark.createDataFrame([("x", "x")], "p string, q string").union(spark.createDataFrame([("x", "x")], "p string, q string")), spark.createDataFrame([], "p string, q string"))[0] == ["p"]
+
+
+@pytest.fixture
+def spread(spark):
+    """Small tables stay in several partitions, as large ones do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_places_of_a_sorted_source(spark, tmp_path, spread):
+    """More rows than a sort samples: a second sort has other ranges, places must not depend on that."""
+    rows = spark.range(60000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(5000))).alias("ts"), (F.col("id") % 7).alias("user_id"))
+    rows.repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    want = [r.event_id for r in sorted(rows.collect(), key=lambda r: (r.ts, r.user_id, r.event_id))]
+    found = sorted(entry.queries()["all_rows_in_order"](spark, str(tmp_path)).collect(), key=lambda r: r.place)
+    assert [r.place for r in found] == list(range(1, 60001)) and [r.event_id for r in found] == want
