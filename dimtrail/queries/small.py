@@ -81,7 +81,7 @@ def utc_times(spark, d):
 def history_in_order(spark, d):
     """The canonical order of a history, numbered as it comes."""
     ordered = history.sorted_history(x2_history(spark, d), ["custkey"]).select("custkey", "effective_from")
-    return keys.with_ordinal(ordered, "at").select("custkey", "effective_from", (F.col("at") + 1).alias("place"))
+    return keys.with_sorted_ordinal(ordered, scratch(spark), "at").select("custkey", "effective_from", (F.col("at") + 1).alias("place"))
 
 
 @query("SELECT c_custkey AS custkey, c_name AS name, DATE '2020-01-01' AS effective_from, DATE '2020-01-01' AS effective_to, TRUE AS is_current FROM customer WHERE FALSE")

@@ -193,3 +193,12 @@ def test_places_of_a_sorted_source(spark, tmp_path, spread):
     want = [r.event_id for r in sorted(rows.collect(), key=lambda r: (r.ts, r.user_id, r.event_id))]
     found = sorted(entry.queries()["all_rows_in_order"](spark, str(tmp_path)).collect(), key=lambda r: r.place)
     assert [r.place for r in found] == list(range(1, 60001)) and [r.event_id for r in found] == want
+
+
+def test_places_of_a_sorted_history(spark, tmp_path, spread):
+    k = F.col("id")
+    orders = spark.range(60000).select(k.alias("o_orderkey"), F.pmod(F.xxhash64("id"), F.lit(3000)).alias("o_custkey"), F.date_add(F.lit(D0), (k % 400).cast("int")).alias("o_orderdate"), F.lit("1").alias("o_orderpriority"))
+    orders.repartition(6).write.parquet(str(tmp_path / "orders.parquet"))
+    found = sorted(entry.queries()["history_in_order"](spark, str(tmp_path)).collect(), key=lambda r: r.place)
+    assert [r.place for r in found] == list(range(1, len(found) + 1))
+    assert [(r.custkey, r.effective_from) for r in found] == sorted({(r.o_custkey, r.o_orderdate) for r in orders.collect()})
