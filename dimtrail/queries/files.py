@@ -64,16 +64,16 @@ def _page(key: str):
 def json_envelope(spark, d):
     at = scratch(spark)
     rows = table(spark, d, "supplier").select(_page("s_suppkey"), F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")).alias("r"))
-    rows.groupBy("page").agg(F.array_sort(F.collect_list("r")).alias("data")).write.partitionBy("page").json(at)  # a document a file
-    return readers.read_json_records(spark, at, "data array<struct<id:bigint,name:string>>")
+    sinks.write_pages(rows.groupBy("page").agg(F.array_sort(F.collect_list("r")).alias("data")), at)
+    return readers.read_json_records(spark, at, "data array<struct<id:bigint,name:string>>", lines=True)
 
 
 @query("SELECT s_suppkey AS id FROM supplier ORDER BY s_suppkey LIMIT 7")
 def paged_feed(spark, d):
     at = scratch(spark)
     rows = table(spark, d, "supplier").select(_page("s_suppkey"), F.struct(F.col("s_suppkey").alias("id")).alias("r"))
-    rows.groupBy("page").agg(F.array_sort(F.collect_list("r")).alias("data")).write.partitionBy("page").json(at)
-    return readers.read_pages(spark, at, most=7)
+    sinks.write_pages(rows.groupBy("page").agg(F.array_sort(F.collect_list("r")).alias("data")), at)
+    return readers.read_pages(spark, at, most=7, lines=True)
 
 
 @query("""WITH p AS (SELECT s_suppkey AS id, s_suppkey // 5 AS page FROM supplier WHERE s_suppkey % 20 <> 19), n AS (SELECT page, count(*) AS n FROM p GROUP BY page)
@@ -83,8 +83,8 @@ def chained_pages(spark, d):
     at = scratch(spark)
     k = F.col("s_suppkey")
     rows = table(spark, d, "supplier").where(k % 20 != 19).select(F.expr("s_suppkey div 5").alias("page"), F.struct(k.alias("id")).alias("r"))
-    rows.groupBy("page").agg(F.array_sort(F.collect_list("r")).alias("data")).write.partitionBy("page").json(at)
-    return readers.read_pages(spark, at, page_size=5)
+    sinks.write_pages(rows.groupBy("page").agg(F.array_sort(F.collect_list("r")).alias("data")), at)
+    return readers.read_pages(spark, at, page_size=5, lines=True)
 
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS key, 'Café ' || n_name AS name, 'a;b' AS \"odd; header\" FROM nation")

@@ -70,9 +70,9 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
     return df
 
 
-def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """The objects of JSON arrays or of envelopes; files are read whole, rows are spread after."""
-    reader = spark.read.option("multiLine", True)
+def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:
+    """The objects of JSON arrays or of envelopes. lines: a document is a line, else a file, which is read whole; rows are spread after."""
+    reader = spark.read.option("multiLine", not lines)
     df = (reader.schema(schema) if schema is not None else reader).json(path)
     under = [c for c in ENVELOPES if c in df.columns and isinstance(df.schema[c].dataType, T.ArrayType) and isinstance(df.schema[c].dataType.elementType, T.StructType)]
     out = df.select(F.inline(under[0])) if under else df
@@ -81,12 +81,12 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str
     return out
 
 
-def read_pages(spark: SparkSession, path: str, page: str = "page", records: str = "data", most: int | None = None, page_size: int | None = None, following: str | None = None) -> DataFrame:
-    """Records of page documents in page order, up to `most` of them.
+def read_pages(spark: SparkSession, path: str, page: str = "page", records: str = "data", most: int | None = None, page_size: int | None = None, following: str | None = None, lines: bool = False) -> DataFrame:
+    """Records of page documents in page order, up to `most` of them. lines: a document is a line, as write_pages stores them, else a file.
 
     The chain of pages ends with the first page that is empty, has fewer than page_size records, or whose `following` is null; later
     pages are not part of the feed. The end is one minimum over the pages."""
-    df = spark.read.option("multiLine", True).json(path)
+    df = spark.read.option("multiLine", not lines).json(path)
     n = F.coalesce(F.array_size(records), F.lit(0))
     ends = n < (page_size or 1)
     if following is not None:

@@ -54,6 +54,11 @@ def read_history(spark: SparkSession, root: str, schema=None) -> DataFrame | Non
     return reader.parquet(f"{root}/v={last['version']}") if last else None
 
 
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Page documents, one a line: there are as many files as partitions, however many pages."""
+    pages.write.mode("overwrite").json(path)
+
+
 def write_change_log(changes: DataFrame, path: str) -> None:
     changes.write.mode("overwrite").json(path, ignoreNullFields=False)
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from dimtrail.operators import approval
 from dimtrail.operators.history import as_of_join, as_of_join_spread
-from dimtrail.sources import readers
+from dimtrail.queries import files
+from dimtrail.sources import readers, sinks
 
 ALL = {"a": "customer_id", "b": "first_name", "c": "last_name", "d": "email", "e": "status", "f": "created_at"}
 
@@ -73,6 +74,27 @@ def test_page_chains(spark, tmp_path):
     assert got(ended, following="next", page_size=2) == [1, 2, 3, 4] and got(ended, following="next", most=3) == [1, 2, 3]
 
 
+def test_pages_share_files(spark, tmp_path):
+    """Thousands of pages are no more files than the write has tasks, and the chain still ends at its first short page."""
+    keys = spark.range(20000).withColumnRenamed("id", "s_suppkey")
+    keys.where("s_suppkey not between 9000 and 9002").repartition(3).write.parquet(str(tmp_path / "supplier.parquet"))
+    at = str(tmp_path / "pages")
+    rows = spark.read.parquet(str(tmp_path / "supplier.parquet")).selectExpr("s_suppkey div 5 page", "struct(s_suppkey id) r")
+    sinks.write_pages(rows.groupBy("page").agg(F.array_sort(F.collect_list("r")).alias("data")), at)
+    assert len(list((tmp_path / "pages").glob("*.json"))) <= 4
+    assert sorted(r.id for r in readers.read_pages(spark, at, page_size=5, lines=True).collect()) == [*range(9000), 9003, 9004]
+    assert [r.id for r in readers.read_pages(spark, at, most=7, lines=True).collect()] == list(range(7))
+
+
+@pytest.mark.parametrize("name", ["chained_pages", "paged_feed", "json_envelope"])
+def test_paged_queries_make_few_files(spark, tiny, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(files, "scratch", lambda _: str(tmp_path / "at"))
+    monkeypatch.setattr(files, "PAGE_ROWS", 1)
+    spark.range(400).selectExpr("id s_suppkey", "'x' s_name").write.parquet(str(tmp_path / "supplier.parquet"))
+    files.QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(list((tmp_path / "at").rglob("*.json"))) <= 4
+
+
 def test_encodings(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("naïve;größe\nü;1\n".encode("latin-1"))
     (tmp_path / "b.csv").write_bytes("naïve,größe\nü,1\n".encode())
