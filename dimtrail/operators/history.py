@@ -124,36 +124,40 @@ def as_of_join(events: DataFrame, history: DataFrame, key: Sequence[str], at: st
     return found.select("e.*", *[F.when(valid, F.col(f"v.{c}")).alias(c) for c in rest])
 
 
+#: Slices of one key in as_of_join_spread.
+MOST_SLICES = 64
+
+
 def as_of_join_spread(events: DataFrame, history: DataFrame, key: Sequence[str], at: str, slice_rows: int = 1_000_000) -> DataFrame:
-    """as_of_join for keys with very many events, on a history whose versions don't overlap: a key's events are cut by time into slices of about slice_rows.
+    """as_of_join for keys with very many events, on a history whose versions don't overlap: events of one key and time have one version, so each such point is
+    looked up once, and a key's points are cut by time into slices of about slice_rows.
 
-    Quantiles of the events' times, found by a mergeable sketch, are a key's cuts; a key with fewer rows has none. The window that carries versions
-    forward then runs in a slice, and a slice without a version of its own yet takes the last one of the slices before it. Events of one key and one
-    time stay together. Results don't depend on the cuts."""
+    Quantiles of the points' times, found by a mergeable sketch, are a key's cuts; a key with fewer points has none. The window that carries versions
+    forward then runs in a slice, and a slice without a version of its own yet takes the last one of the slices before it. Events themselves move once,
+    to their points, by key and time. Keys with cuts, and their slices, are 1 / slice_rows of the points and are broadcast. Results don't depend on the cuts."""
     rest = [c for c in history.columns if c not in key]
+    parts = F.least(F.ceil(F.col("__dt_n") / slice_rows).cast("int"), F.lit(MOST_SLICES))
+    seconds = F.unix_micros("__dt_at")
     moment = F.col(at).cast("timestamp")
-    parts = F.ceil(F.col("__dt_n") / slice_rows).cast("int")
-    seconds = F.unix_micros(moment)
-    counted = events.where(no_null(key) & moment.isNotNull()).groupBy(*key).agg(F.count("*").alias("__dt_n"), F.percentile_approx(seconds, [k / 64 for k in range(1, 64)], 10000).alias("__dt_q"))
-    picked = F.transform(F.sequence(F.lit(1), F.least(parts, F.lit(64)) - 1), lambda i: F.get(F.col("__dt_q"), F.floor(i * 64 / F.least(parts, F.lit(64))).cast("int") - 1))
-    cuts = counted.where(F.col("__dt_n") > slice_rows).select(*key, F.array_sort(F.array_distinct(picked)).alias("__dt_cuts"))
-    slice_of = lambda t: F.coalesce(F.size(F.filter("__dt_cuts", lambda c: c <= t)), F.lit(0))
-    begins = F.unix_micros(F.col(FROM).cast("timestamp"))
+    points = events.where(no_null(key) & moment.isNotNull()).select(*key, moment.alias("__dt_at")).distinct()
+    counted = points.groupBy(*key).agg(F.count("*").alias("__dt_n"), F.percentile_approx(seconds, [k / MOST_SLICES for k in range(1, MOST_SLICES)], 10000).alias("__dt_q"))
+    picked = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get(F.col("__dt_q"), F.floor(i * MOST_SLICES / parts).cast("int") - 1))
+    cuts = F.broadcast(counted.where(F.col("__dt_n") > slice_rows).select(*key, F.array_sort(F.array_distinct(picked)).alias("__dt_cuts")))
+    slice_of = F.when(F.col("__dt_cuts").isNull(), 0).otherwise(F.size(F.filter("__dt_cuts", lambda c: c <= seconds)))
     lasting = history.where(F.coalesce(F.col(TO) > F.col(FROM), F.lit(True)) & no_null(key))
-    version, event = F.struct(*rest), F.struct(*events.columns)
-    empty_version, empty_event = F.lit(None).cast(history.select(version).schema[0].dataType), F.lit(None).cast(events.select(event).schema[0].dataType)
-    left = events.join(cuts, list(key), "left").select(*key, slice_of(seconds).alias("__dt_slice"), moment.alias("__dt_at"), F.lit(1).alias("__dt_side"), event.alias("e"), empty_version.alias("v"))
-    placed = lasting.join(cuts, list(key), "left").withColumn("__dt_slice", slice_of(begins))
-    right = placed.select(*key, "__dt_slice", F.col(FROM).cast("timestamp").alias("__dt_at"), F.lit(0).alias("__dt_side"), empty_event.alias("e"), version.alias("v"))
+    version = F.struct(*rest)
+    none = F.lit(None).cast(history.select(version).schema[0].dataType)
+    left = points.join(cuts, list(key), "left").select(*key, slice_of.alias("__dt_slice"), "__dt_at", F.lit(1).alias("__dt_side"), none.alias("v"))
+    right = lasting.withColumn("__dt_at", F.col(FROM).cast("timestamp")).join(cuts, list(key), "left").select(*key, slice_of.alias("__dt_slice"), "__dt_at", F.lit(0).alias("__dt_side"), version.alias("v"))
     order = Window.partitionBy(*key, "__dt_slice").orderBy("__dt_at", "__dt_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = left.unionByName(right).withColumn("v", F.last("v", ignorenulls=True).over(order)).where("e is not null")
-    tails = placed.groupBy(*key, "__dt_slice").agg(F.max_by(version, F.struct(F.col(FROM))).alias("__dt_tail"))
+    found = left.unionByName(right).withColumn("v", F.last("v", ignorenulls=True).over(order)).where("__dt_side = 1")
+    tails = right.join(cuts.select(*key), list(key), "left_semi").groupBy(*key, "__dt_slice").agg(F.max_by("v", F.struct("__dt_at")).alias("__dt_tail"))
     slices = cuts.select(*key, F.explode(F.sequence(F.lit(0), F.size("__dt_cuts"))).alias("__dt_slice")).join(tails, [*key, "__dt_slice"], "left")
     before = Window.partitionBy(*key).orderBy("__dt_slice").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as a key has slices
     carried = slices.withColumn("__dt_carry", F.last("__dt_tail", ignorenulls=True).over(before)).where("__dt_carry is not null").drop("__dt_tail")
-    found = found.join(carried, [*key, "__dt_slice"], "left").withColumn("v", F.coalesce("v", "__dt_carry"))
-    valid = (F.col(f"v.{TO}").isNull() | (F.col(f"v.{TO}").cast("timestamp") > F.col(f"e.{at}").cast("timestamp"))) & reduce(lambda a, b: a & b, [F.col(f"e.{k}").isNotNull() for k in key])
-    return found.select("e.*", *[F.when(valid, F.col(f"v.{c}")).alias(c) for c in rest])
+    found = found.join(F.broadcast(carried), [*key, "__dt_slice"], "left").withColumn("v", F.coalesce("v", "__dt_carry"))
+    known = found.where(F.col(f"v.{TO}").isNull() | (F.col(f"v.{TO}").cast("timestamp") > F.col("__dt_at"))).where("v is not null").select(*key, "__dt_at", "v")
+    return events.withColumn("__dt_at", moment).join(known, [*key, "__dt_at"], "left").select(*events.columns, *[F.col(f"v.{c}").alias(c) for c in rest])
 
 
 def versions_of(history: DataFrame, keys: DataFrame, key: Sequence[str], current: bool = False) -> DataFrame:

@@ -121,3 +121,19 @@ def test_hot_key_as_of(spark, slice_rows):
     events = spark.createDataFrame(events, "n int, k string, at date")
     want = sorted(map(repr, as_of_join(events, history, ["k"], "at").collect()))
     assert sorted(map(repr, as_of_join_spread(events, history, ["k"], "at", slice_rows).collect())) == want
+
+
+def test_hot_key_as_of_orders_points_alone(spark):
+    """A hot key's events don't go to tasks by their key: the window sees (key, time) points, cuts are broadcast whatever Spark thinks of their size."""
+    day = datetime.date(2024, 1, 1)
+    history = spark.createDataFrame([("hot", 1, day, None, True)], "k string, v int, effective_from date, effective_to date, is_current boolean")
+    events = spark.range(3000).select("id", F.lit("hot").alias("k"), F.date_add(F.lit(day), (F.col("id") % 30).cast("int")).alias("at"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = as_of_join_spread(events, history, ["k"], "at", 10)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [last(v" in line]
+        assert plan.count("strategy=broadcast") >= 3 and windows and not any("named_struct(id" in line for line in plan.splitlines())
+        assert found.where("v = 1").count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
