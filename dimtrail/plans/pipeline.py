@@ -83,9 +83,14 @@ def integrate_canonical(records: DataFrame, history: DataFrame, date: datetime.d
     key, tracked = ["customer_id"], list(TRACKED_FIELDS)
     rows = canonical_batch(records)
     changes, staged = integrate_batch(rows.select(*key, *tracked), history, key, tracked, date)
-    marked = changes.withColumn("batch", F.lit("canonical")).join(rows.select(*key, "created_at"), key, "left")
-    fine = passes(validate_history(staged, key))
-    valid = records.sparkSession.createDataFrame([("canonical", fine)], "batch string, valid boolean")
-    judged = decide(evidence(marked, "batch", key, "created_at", valid=valid), thresholds)
-    first = judged.first()
-    return changes, staged if first is None or first.decision == "NORMAL" else None, judged
+    marked = changes.withColumn("batch", F.lit("canonical")).join(rows.select(*key, "created_at"), key, "left").persist()  # no more rows than the batch has
+    checked = staged.persist()
+    try:
+        fine = passes(validate_history(checked, key))
+        valid = records.sparkSession.createDataFrame([("canonical", fine)], "batch string, valid boolean")
+        judged = decide(evidence(marked, "batch", key, "created_at", valid=valid), thresholds)
+        told = judged.collect()  # a row, or none for an empty batch
+    finally:
+        checked.unpersist()
+        marked.unpersist()
+    return changes, staged if not told or told[0].decision == "NORMAL" else None, records.sparkSession.createDataFrame(told, judged.schema)

@@ -40,6 +40,13 @@ def _cut_history(spark: SparkSession, d: str) -> DataFrame:
     return x2_history(spark, d).where(F.col("effective_from") < end).withColumn("effective_to", F.when(F.col("effective_to") < end, F.col("effective_to"))).withColumn("is_current", F.col("effective_to").isNull())
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """A table written once, as held rows and histories are: what reads it several times doesn't derive it anew."""
+    at = scratch(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def _hold(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("h1", "HELD", 1), ("h0", "HELD", 1), ("h0", "DISCARDED", 2)], "hold_id string, status string, at int")
 
@@ -62,10 +69,9 @@ def release_replay(spark, d):
 def reprocess_held(spark, d):
     """A held batch judged again: it stays held while too much of it changes, unless forced."""
     limits = guardrail.Thresholds(changed=25, ratio=2.0, relative=1e9, dispersion=1 << 40)
-    rows = []
+    rows, frozen, history = [], _stored(_frozen(spark, d)), _stored(_cut_history(spark, d).where("custkey is not null"))
     for forced in (False, True):
-        changed_or_new = _frozen(spark, d)
-        r = containment.reprocess(_hold(spark), "h1", changed_or_new, _cut_history(spark, d).where("custkey is not null"), ["custkey"], ["priority"], "at", RELEASED, limits, forced)
+        r = containment.reprocess(_hold(spark), "h1", frozen, history, ["custkey"], ["priority"], "at", RELEASED, limits, forced)
         rows.append((forced, r.status, r.advances))
     return spark.createDataFrame(rows, "forced boolean, status string, advances boolean")
 
@@ -96,10 +102,10 @@ def canonical_batch(spark, d):
 @query(f"WITH {X4}, good AS (SELECT * FROM mapped WHERE row_no NOT IN (SELECT row_no FROM errors)), n AS (SELECT count(*) AS n, count(*) FILTER (WHERE row_no % 3 = 0) AS fresh, count(*) FILTER (WHERE row_no % 3 <> 0 AND row_no % 15 = 2) AS moved FROM good) SELECT n AS evaluated, moved AS changed, fresh AS \"new\", CASE WHEN moved > 25 THEN 'SUSPICIOUS' ELSE 'NORMAL' END AS decision, CASE WHEN moved > 25 THEN 0 ELSE n + moved END AS versions FROM n")
 def canonical_gate(spark, d):
     """A canonical batch judged before it is committed: a third of its customers is new, some have moved to another status."""
-    good = onboarding.valid_records(_validated(spark, d)).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    good = _stored(onboarding.valid_records(_validated(spark, d)).withColumn("created_at", F.col("created_at").cast("timestamp")))
     row_no = F.col("row_index")
     known = onboarding.canonical_to_source(good.where(row_no % 3 != 0).withColumn("status", F.when(row_no % 15 == 2, F.lit("OTHER")).otherwise(F.col("status"))))
-    history = known.selectExpr("*", "date'2020-01-01' as effective_from", "cast(null as date) as effective_to", "true as is_current")
+    history = _stored(known.selectExpr("*", "date'2020-01-01' as effective_from", "cast(null as date) as effective_to", "true as is_current"))
     changes, staged, judged = integrate_canonical(good, history, TODAY, thresholds=guardrail.Thresholds(ratio=2.0, dispersion=1 << 40, velocity=1e12))
     return judged.select("evaluated", "changed", "new", "decision", F.lit(staged.count() if staged is not None else 0).cast("bigint").alias("versions"))
 
