@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from dimtrail.operators.changes import classify_changes
 from dimtrail.operators.guardrail import Thresholds, decide, evidence
 from dimtrail.operators.history import apply_history
-from dimtrail.operators.invariants import passes, validate_history
+from dimtrail.operators.invariants import validate_history
 
 HELD, CLOSING = "HELD", ("RELEASED", "REPROCESSED", "DISCARDED")
 
@@ -91,9 +91,13 @@ def _replayed(frozen: DataFrame, history: DataFrame, key: Sequence[str], tracked
     """The next history with the frozen rows in it, checked, and the rows too old for it."""
     fit, late = released_rows(frozen, history, list(key), F.col(at))
     staged = apply_history(fit.select(*key, *tracked), history, key, tracked, when, "incremental", "ignore")
-    report = validate_history(staged, key)
-    if not passes(report):
-        raise HoldError(f"the replay breaks {[r.rule for r in report.where('status = ' + repr('fail')).collect()]}")
+    checked = staged.persist()
+    try:
+        broken = [r.rule for r in validate_history(checked, key).where("status = 'fail'").collect()]
+    finally:
+        checked.unpersist()
+    if broken:
+        raise HoldError(f"the replay breaks {broken}")
     return staged, late
 
 
@@ -109,11 +113,17 @@ def release(events: DataFrame, hold: str, frozen: DataFrame, history: DataFrame,
 def reprocess(events: DataFrame, hold: str, frozen: DataFrame, history: DataFrame, key: Sequence[str], tracked: Sequence[str], at: str, when: datetime.date | datetime.datetime, thresholds: Thresholds = Thresholds(), force: bool = False) -> Resolution:  # noqa: B008
     """A held batch is judged again against the history of today; still suspicious, it stays HELD, unless forced. Otherwise it is replayed."""
     _require_held(events, hold)
-    fit, _ = released_rows(frozen, history, list(key), F.col(at))
-    changes = classify_changes(fit.select(*key, *tracked), history, key, tracked, "incremental", "ignore").withColumn("batch", F.lit(hold))
-    judged = decide(evidence(changes.join(fit.select(*key, at), list(key), "left"), "batch", key, at), thresholds).first()
-    if judged is not None and judged.decision != "NORMAL" and not force:
-        return Resolution(HELD)
+    if not force:
+        fit, _ = released_rows(frozen, history, list(key), F.col(at))
+        fit = fit.persist()  # no more rows than the batch has
+        changes = classify_changes(fit.select(*key, *tracked), history, key, tracked, "incremental", "ignore").withColumn("batch", F.lit(hold)).join(fit.select(*key, at), list(key), "left").persist()
+        try:
+            judged = decide(evidence(changes, "batch", key, at), thresholds).first()
+        finally:
+            changes.unpersist()
+            fit.unpersist()
+        if judged is not None and judged.decision != "NORMAL":
+            return Resolution(HELD)
     staged, late = _replayed(frozen, history, key, tracked, at, when)
     return Resolution("REPROCESSED", staged, late, True)
 

@@ -2,6 +2,9 @@
 
 import datetime
 
+import pytest
+
+from dimtrail.operators import containment
 from dimtrail.plans.pipeline import integrate_canonical
 
 DAY = datetime.date(2020, 1, 1)
@@ -15,3 +18,12 @@ def test_judged_canonical_batch_is_a_result(spark):
     _, staged, judged = integrate_canonical(records, history, DAY)
     assert "Join" not in judged._jdf.queryExecution().optimizedPlan().toString()
     assert (judged.first().new, judged.first().decision, staged.count()) == (1, "NORMAL", 1)
+
+
+def test_forced_reprocessing_is_not_judged(spark, monkeypatch):
+    monkeypatch.setattr(containment, "evidence", lambda *_: pytest.fail("judged"))
+    events = spark.createDataFrame([("h", "HELD", 1)], "hold_id string, status string, at int")
+    frozen = spark.createDataFrame([("a", "y", datetime.date(2024, 1, 1))], "k string, v string, at date")
+    history = spark.createDataFrame([("a", "x", DAY, None, True)], f"k string, v string, {VERSIONS}")
+    found = containment.reprocess(events, "h", frozen, history, ["k"], ["v"], "at", datetime.date(2024, 2, 1), force=True)
+    assert found.status == "REPROCESSED" and found.history.count() == 2
