@@ -111,10 +111,13 @@ class HistoryStore:
             before = pairs.where("t is not null").select(*[F.col(f"t.{c}").alias(c) for c in values], F.col(f"t.{FROM}").alias(FROM), ends.alias(TO), ends.isNull().alias(CURRENT))
             after = moved.drop(ENDS).withColumn(TO, F.lit(None).cast(self.grain)).withColumn(CURRENT, F.lit(True))
             valid = passes(validate_history(before.unionByName(after.select(before.columns)), self.key))
-            changes = pairs.select(*[F.coalesce(f"s.{k}", f"t.{k}").alias(k) for k in self.key], "change_type", "field_changes").withColumn("batch", F.lit(name)).join(rows.select(*self.key, self.at), self.key, "left")
+            changes = pairs.select(*[F.coalesce(f"s.{k}", f"t.{k}").alias(k) for k in self.key], "change_type", "field_changes").withColumn("batch", F.lit(name)).join(rows.select(*self.key, self.at), self.key, "left").persist()
             checked = self.spark.createDataFrame([(name, valid)], "batch string, valid boolean")
             judged = decide(evidence(changes, "batch", self.key, self.at, F.lit(first), valid=checked), self.thresholds)
-            sinks.put_rows(judged, f"{self.root}/evidence", name)
+            try:
+                sinks.put_rows(judged, f"{self.root}/evidence", name)
+            finally:
+                changes.unpersist()
             told = sinks.read_rows(self.spark, f"{self.root}/evidence/of={name}").first()
             return Judged(history, folder, last, told.decision, told.severity, tuple(told.rules), valid, moved.count(), **counts)
         finally:

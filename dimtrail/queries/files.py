@@ -118,7 +118,9 @@ def _streamed(spark: SparkSession, d: str, late: bool, limits: Thresholds = Thre
     rows = x3_rows(spark, d).withColumn("part", F.floor((F.dayofmonth("day") - 1) / 10))
     if late:
         rows = rows.withColumn("part", F.when(F.col("user_id") % 10 == 3, 2 - F.col("part")).otherwise(F.col("part")))
-    rows = rows.select("user_id", "event_type", "cents", "ts", "part")
+    rows = rows.select("user_id", "event_type", "cents", "ts", F.col("part").cast("int").alias("part"))
+    rows.write.partitionBy("part").parquet(f"{at}/days")  # the three batches from one pass over the events
+    rows = spark.read.schema(rows.schema).parquet(f"{at}/days")
     for k in range(3):
         stream = HistoryStream(f"{at}/history", ["user_id"], ["event_type", "cents"], "ts", limits, "divert", buckets=buckets[k])
         rows.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{at}/in")

@@ -6,6 +6,7 @@ import pytest
 
 from dimtrail.operators import containment
 from dimtrail.plans.pipeline import integrate_canonical
+from dimtrail.queries import files
 
 DAY = datetime.date(2020, 1, 1)
 VERSIONS = "effective_from date, effective_to date, is_current boolean"
@@ -27,3 +28,10 @@ def test_forced_reprocessing_is_not_judged(spark, monkeypatch):
     history = spark.createDataFrame([("a", "x", DAY, None, True)], f"k string, v string, {VERSIONS}")
     found = containment.reprocess(events, "h", frozen, history, ["k"], ["v"], "at", datetime.date(2024, 2, 1), force=True)
     assert found.status == "REPROCESSED" and found.history.count() == 2
+
+
+def test_stream_batches_come_from_one_pass(spark, tiny, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "scratch", lambda _: str(tmp_path / "at"))
+    monkeypatch.setattr(files.HistoryStream, "start", lambda self, *_: type("Query", (), {"awaitTermination": lambda self: None})())
+    files._streamed(spark, tiny, late=False)
+    assert sorted(p.name for p in (tmp_path / "at" / "days").glob("part=*")) == ["part=0", "part=1", "part=2"]
